@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.functions.levels import amplitude_db, is_finite
@@ -95,7 +97,7 @@ def range_summary(samples: DataFrame, levels: DataFrame, ranges: DataFrame) -> D
     """
     depth = levels.groupBy("rec_id").agg(F.max("level").alias("_deepest"))
     length = F.col("s1") - F.col("s0")
-    wanted = F.floor(F.log(F.lit(4.0), (length / (2 * BASE_BIN)).cast("double")) + 1e-12)
+    wanted = F.floor(F.ln((length / (2 * BASE_BIN)).cast("double")) / math.log(LEVEL_FACTOR) + 1e-12)
     level = F.least(F.greatest(wanted, F.lit(0)), F.col("_deepest")).cast("int")
     sized = ranges.join(depth, "rec_id").withColumn("level", level).withColumn(
         "_size", F.lit(BASE_BIN) * F.pow(F.lit(4), F.col("level")).cast("long")

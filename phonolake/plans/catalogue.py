@@ -1,6 +1,11 @@
 """All registered queries, gathered by importing the modules that register them."""
 
-from phonolake.plans import q_transforms  # noqa: F401
+from phonolake.plans import (  # noqa: F401
+    q_blocks,
+    q_loudness,
+    q_segments,
+    q_transforms,
+)
 from phonolake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -204,8 +204,8 @@ def _(spark, d):
     return P.mix(s, s.withColumn("v", F.col("v") * 0.5), 0.75).withColumn("v", r6("v"))
 
 
-@query("prj11_residual_levels", """SELECT rec_id, round(max(abs(v-round_even(v*32768,0)/32768)),9) AS peak,
-  round(sqrt(avg((v-round_even(v*32768,0)/32768)*(v-round_even(v*32768,0)/32768))),9) AS rms FROM v_sig GROUP BY rec_id""")
+@query("prj11_residual_levels", """WITH q AS (SELECT rec_id, v-greatest(-32768,least(32767,round_even(v*32768,0)))/32768 AS x FROM v_sig)
+  SELECT rec_id, round(max(abs(x)),9) AS peak, round(sqrt(avg(x*x)),9) AS rms FROM q GROUP BY rec_id""")
 def _(spark, d):
     s = V.sig(spark, d)
     q = P.quantise(s, 16).drop("code")
@@ -277,10 +277,10 @@ def _pyramid(spark, d):
     return s, S.pyramid(s, longest)
 
 
-@query("agg04_pyramid", f"WITH {_PYR} SELECT rec_id, ch, lev AS level, bin, round(mn,6)+0.0::DOUBLE AS mn, round(mx,6)+0.0::DOUBLE AS mx, round(ms,6)+0.0::DOUBLE AS ms FROM pyr")
+@query("agg04_pyramid", f"WITH {_PYR} SELECT rec_id, ch, lev AS level, bin, round(mn,6)+0.0::DOUBLE AS mn, round(mx,6)+0.0::DOUBLE AS mx, round(ms,9)+0.0::DOUBLE AS ms FROM pyr")
 def _(spark, d):
     _, p = _pyramid(spark, d)
-    return p.withColumns({c: r6(c) for c in ("mn", "mx", "ms")})
+    return p.withColumns({"mn": r6("mn"), "mx": r6("mx"), "ms": r6("ms", 9)})
 
 
 @query("agg05_range_summary", f"""WITH {_PYR},

@@ -25,7 +25,7 @@ def sig(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ordinals(
         events,
         ["rec_id"],
-        {"_hour": F.floor(F.unix_seconds("ts") / 3600)},
+        {"_day": F.to_date("ts"), "_hour": F.hour("ts")},
         [F.col("ts"), F.col("event_id")],
     )
     return placed.select(
