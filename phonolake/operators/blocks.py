@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phonolake.functions.levels import amplitude_db, clamp, floor_half_db, is_finite, power_db
 from phonolake.operators.ordered import SLICE, halo_window, running, slice_no, with_halo
-from phonolake.operators.quantiles import exact_quantiles
+from phonolake.operators.quantiles import exact_quantiles, quantiles_of
 from phonolake.operators.signal import CLIP_LEVEL
 
 PROGRAM_BLOCK_DB = -55.0
@@ -205,9 +205,11 @@ def hum_decision(classified: DataFrame) -> DataFrame:
     quiet = classified.filter("class = 'quiet'").withColumns(
         {f"dom{hz}": F.col(f"hum{hz}_db") - F.col("rms_db") for hz in (50, 60)}
     )
-    medians = quiet.groupBy("rec_id").agg(F.count(F.lit(1)).alias("quiet_blocks"))
-    for name in ("hum50_db", "hum60_db", "dom50", "dom60"):
-        medians = medians.join(exact_quantiles(quiet, ["rec_id"], name, {f"m_{name}": ("linear", 0.5)}), "rec_id", "left")
+    counts = quiet.groupBy("rec_id").agg(F.count(F.lit(1)).alias("quiet_blocks"))
+    medians = counts.join(
+        quantiles_of(quiet, ["rec_id"], ["hum50_db", "hum60_db", "dom50", "dom60"], "linear", 0.5), "rec_id"
+    )
+
     def found(hz):
         return (F.col(f"m_hum{hz}_db") >= HUM_MINIMUM_DB) & (F.col(f"m_dom{hz}") >= HUM_DOMINANCE_DB)
     enough = F.col("quiet_blocks") >= HUM_QUIET_BLOCKS

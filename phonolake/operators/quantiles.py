@@ -99,3 +99,17 @@ def exact_quantiles(
             for name in wanted
         ]
     )
+
+
+def quantiles_of(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], rule: str, p: float, prefix: str = "m_"
+) -> DataFrame:
+    """The same quantile of several columns in one pass: the columns become rows, then columns again."""
+    long = df.select(
+        *keys,
+        F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("_m"),
+    ).select(*keys, F.col("_m.name").alias("_name"), F.col("_m.x").alias("_x"))
+    found = exact_quantiles(long, [*keys, "_name"], "_x", {"_q": (rule, p)})
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == c, F.col("_q"))).alias(f"{prefix}{c}") for c in columns]
+    )

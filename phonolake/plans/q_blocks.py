@@ -13,6 +13,7 @@ from phonolake.plans import views as V
 from phonolake.plans.q_loudness import _tp_sql
 from phonolake.plans.q_transforms import r6
 from phonolake.plans.registry import query
+from phonolake.session import stage
 
 _DB = "CASE WHEN {0}>0 THEN {1}*log10({0}) ELSE '-inf'::DOUBLE END"
 
@@ -48,6 +49,11 @@ def _blocks(spark, d):
     return B.block_summary(V.stereo(spark, d), V.LR_RATE)
 
 
+def _block_table(spark, d):
+    """The block record written once: a ten-thousandth of the samples, read by several branches afterwards."""
+    return stage(_blocks(spark, d), "blocks")
+
+
 @query("agg12_block_summary", f"""WITH {BLK} SELECT rec_id, block, CAST(frames AS BIGINT) AS frames, CAST(channels AS BIGINT) AS channels, round(rms_db,5)+0.0::DOUBLE AS rms_db,
   round(activity_rms_db,5)+0.0::DOUBLE AS activity_rms_db, round(peak_db,5)+0.0::DOUBLE AS peak_db, round(zc_per_s,4) AS zc_per_s,
   round(left_ms,8) AS left_ms, round(right_ms,8) AS right_ms, round(left_mean,8)+0.0::DOUBLE AS left_mean, round(right_mean,8)+0.0::DOUBLE AS right_mean, CAST(clipped AS BIGINT) AS clipped FROM blk""")
@@ -66,7 +72,7 @@ def _(spark, d):
 
 @query("agg14_block_classes", f"""WITH {CLS} SELECT rec_id, class, CAST(count(*) AS BIGINT) AS blocks, round(max(threshold_db),5) AS threshold_db, round(max(noise_floor_db),5) AS noise_floor_db FROM cls GROUP BY 1,2""")
 def _(spark, d):
-    return B.classify(_blocks(spark, d), V.LR_RATE).groupBy("rec_id", "class").agg(
+    return B.classify(_block_table(spark, d), V.LR_RATE).groupBy("rec_id", "class").agg(
         F.count(F.lit(1)).alias("blocks"), r6(F.max("threshold_db"), 5).alias("threshold_db"),
         r6(F.max("noise_floor_db"), 5).alias("noise_floor_db"),
     )
@@ -98,7 +104,7 @@ def _(spark, d):
             amplitude_db(F.max(F.abs("v"))).alias("peak_db"), F.count_if(F.abs("v") >= 0.999969).alias("clipped")
         ), "rec_id",
     ).withColumn("flat_tops", F.lit(False))
-    out = B.level_snapshot(B.block_summary(s, V.LR_RATE), extremes, V.LR_RATE)
+    out = B.level_snapshot(stage(B.block_summary(s, V.LR_RATE), "blocks"), stage(extremes, "extremes"), V.LR_RATE)
     return out.withColumns({
         "active_seconds": r6("active_seconds"), "confidence": r6("confidence"), "suggested_gain_db": F.col("suggested_gain_db") + F.lit(0.0),
         **{c: r6(c, 5) for c in ("program_rms_db", "program_peak_db", "crest_db")},
@@ -108,7 +114,7 @@ def _(spark, d):
 @query("agg16_channel_balance", f"""WITH {CLS} SELECT rec_id, round(least(60,greatest(-60,10*log10(sum(left_ms)/sum(right_ms)))),5)+0.0::DOUBLE AS balance_db,
   round(20*log10(greatest(abs(avg(left_mean)),abs(avg(right_mean)))),4)+0.0::DOUBLE AS dc_db FROM cls WHERE class='active' GROUP BY rec_id""")
 def _(spark, d):
-    out = B.channel_balance(B.classify(_blocks(spark, d), V.LR_RATE))
+    out = B.channel_balance(B.classify(_block_table(spark, d), V.LR_RATE))
     return out.select("rec_id", r6("balance_db", 5).alias("balance_db"), r6("dc_db", 4).alias("dc_db"))
 
 
@@ -116,7 +122,7 @@ def _(spark, d):
 def _(spark, d):
     s = V.stereo(spark, d)
     reference = s.groupBy("rec_id").agg(amplitude_db(F.max(F.abs("v"))).alias("reference_db"))
-    out = B.peak_evidence(B.classify(B.block_summary(s, V.LR_RATE), V.LR_RATE), reference)
+    out = B.peak_evidence(B.classify(stage(B.block_summary(s, V.LR_RATE), "blocks"), V.LR_RATE), reference)
     return out.select("rec_id", r6("tail_db", 5).alias("tail_db"), r6("novelty_db", 5).alias("novelty_db"))
 
 
@@ -125,7 +131,7 @@ h AS (SELECT *, c>=10 AND l5>=-80 AND d5>=-3 AS h5, c>=10 AND l6>=-80 AND d6>=-3
 SELECT rec_id, CAST(c AS BIGINT) AS quiet_blocks, CAST(CASE WHEN h5 AND (NOT h6 OR l5>=l6) THEN 50 WHEN h6 THEN 60 ELSE 0 END AS INT) AS hum_hz,
   round(CASE WHEN h5 AND (NOT h6 OR l5>=l6) THEN l5 WHEN h6 THEN l6 END,5) AS hum_db FROM h""")
 def _(spark, d):
-    return B.hum_decision(B.classify(_blocks(spark, d), V.LR_RATE)).withColumn("hum_db", r6("hum_db", 5))
+    return B.hum_decision(B.classify(_block_table(spark, d), V.LR_RATE)).withColumn("hum_db", r6("hum_db", 5))
 
 
 @query("win09_repeated_flat_tops", """WITH p AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM v_stereo WINDOW w AS (PARTITION BY rec_id, ch ORDER BY n)),
@@ -162,7 +168,7 @@ ra AS (SELECT *, max(CASE WHEN program THEN block END) OVER (PARTITION BY rec_id
 
 
 def _run_out(spark, d):
-    blocks = B.run_out_blocks(V.stereo(spark, d), V.LR_RATE)
+    blocks = stage(B.run_out_blocks(V.stereo(spark, d), V.LR_RATE), "run_out_blocks")
     return B.run_out_program(B.quietest_so_far(blocks), V.LR_RATE)
 
 
@@ -187,9 +193,9 @@ def _(spark, d):
     return B.fading_tail(_run_out(spark, d)).select("rec_id", "block", "fading")
 
 
-@query("join16_last_program", f"WITH {RUN} SELECT rec_id, block, program, CAST(last_program AS BIGINT) AS last_program FROM ra")
+@query("join16_last_program", f"WITH {RUN} SELECT rec_id, block, program, CAST(coalesce(last_program,-1) AS BIGINT) AS last_program FROM ra")
 def _(spark, d):
-    return B.last_program(_run_out(spark, d)).select("rec_id", "block", "program", "last_program")
+    return B.last_program(_run_out(spark, d)).select("rec_id", "block", "program", F.coalesce("last_program", F.lit(-1)).alias("last_program"))
 
 
 @query("win15_hold_trigger", f"""WITH {RUN}, h AS (SELECT rec_id, min(block) AS trigger_block, arg_min(last_program, block) AS last_program FROM ra WHERE (block-last_program)/10.0::DOUBLE>=5 GROUP BY rec_id)

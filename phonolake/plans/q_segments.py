@@ -10,6 +10,7 @@ from phonolake.operators import transforms as P
 from phonolake.plans import views as V
 from phonolake.plans.q_transforms import r6
 from phonolake.plans.registry import query
+from phonolake.session import stage
 
 SIL = """bp AS (SELECT rec_id, n//256 AS block, max(abs(v)) AS pk FROM v_stereo GROUP BY 1,2), fr AS (SELECT rec_id, max(n)+1 AS frames FROM v_stereo GROUP BY 1),
 sq AS (SELECT rec_id, block, block-row_number() OVER (PARTITION BY rec_id ORDER BY block) AS g FROM bp WHERE pk<pow(10.0::DOUBLE,-40.0::DOUBLE/20)),
@@ -42,6 +43,7 @@ r AS (SELECT rec_id, coalesce(pe,0) AS a, s AS b FROM o UNION ALL SELECT fr.rec_
 SELECT rec_id, CAST(a AS BIGINT) AS "start", CAST(b AS BIGINT) AS "end" FROM r WHERE b-a>100""")
 def _(spark, d):
     silences, frames = _silences(spark, d)
+    silences, frames = stage(silences, "silences"), stage(frames, "frames")
     return G.split_by_silence(silences, frames, V.LR_RATE)
 
 
