@@ -118,7 +118,12 @@ def rewindow(df: DataFrame, piece: float, step: float, minimum: float) -> DataFr
     The number of full pieces is the number of steps taken while more than ``piece`` remains.
     """
     length = F.col("end") - F.col("start")
-    full = F.greatest(F.lit(0), F.ceil((length - piece) / step).cast("int"))
+    guess = F.greatest(F.lit(0), F.ceil((length - piece) / step).cast("int"))
+
+    def longer(k):  # the loop's own test, so that rounding in the quotient cannot add or lose a piece
+        return (F.col("end") - (F.col("start") + k * step) > piece).cast("int")
+
+    full = guess + longer(guess) - F.when(guess > 0, 1 - longer(guess - 1)).otherwise(0)
     k = F.col("_k")
     begin = F.col("start") + k * step
     return (
@@ -159,4 +164,4 @@ def coverage_semi(windows: DataFrame, needed: DataFrame, keys: Sequence[str], wi
     condition = [cores[k] == wanted[k] for k in [*keys, "_bin"]] + [
         F.least(cores["core_end"], wanted["_ne"]) > F.greatest(cores["core_start"], wanted["_ns"])
     ]
-    return cores.join(wanted, condition, "left_semi").drop("_bin").dropDuplicates([*keys, "core_start", "core_end"])
+    return cores.join(wanted, condition, "left_semi").drop("_bin").dropDuplicates(windows.columns)

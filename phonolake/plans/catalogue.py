@@ -4,6 +4,7 @@ from phonolake.plans import (  # noqa: F401
     q_blocks,
     q_loudness,
     q_segments,
+    q_transcripts,
     q_transforms,
 )
 from phonolake.plans.registry import ORACLES, QUERIES

@@ -106,10 +106,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pass2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A second reading of the words: one-letter and very doubtful words are missed, some get a suffix."""
+    """A second reading of the words: one-letter and very doubtful words are missed, some get a prefix."""
     base = words(spark, sf_dir).filter((F.length("word") > 1) & (F.col("p") >= 0.1))
     return base.withColumn(
-        "word", F.when(F.col("i") % 11 == 5, F.concat("word", F.lit("x"))).otherwise(F.col("word"))
+        "word", F.when(F.col("i") % 11 == 5, F.concat(F.lit("x"), "word")).otherwise(F.col("word"))
     )
 
 
@@ -191,7 +191,7 @@ SQL = {
                     list_filter(regexp_split_to_array(text,'[ \n\t\r]+'), lambda w: w<>'') AS ws FROM conversations))""",
     "v_lines": """SELECT rec_id, line_no, min(w_start) AS "start", max(w_end) AS "end", string_agg(word,' ' ORDER BY i) AS text,
         bool_or(p<0.5) AS needs_review FROM v_words GROUP BY rec_id, line_no""",
-    "v_pass2": """SELECT rec_id, line_no, i, w_start, w_end, CASE WHEN i%11=5 THEN word||'x' ELSE word END AS word, p
+    "v_pass2": """SELECT rec_id, line_no, i, w_start, w_end, CASE WHEN i%11=5 THEN 'x'||word ELSE word END AS word, p
         FROM v_words WHERE length(word)>1 AND p>=0.1::DOUBLE""",
     "v_ann": """SELECT doc_id AS song, source||'_'||lang||CASE WHEN doc_id%17=0 THEN ' feat. guest' ELSE '' END AS artist,
         CAST((doc_id*7)%300 AS DOUBLE) AS "start", CAST((doc_id*7)%300+n_chars%40 AS DOUBLE) AS "end",
@@ -222,6 +222,7 @@ def with_views(sql: str, views: dict[str, str] | None = None) -> str:
         return sql
     ctes = ", ".join(f"{name} AS ({views[name]})" for name in needed)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes}, {body[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body[: len(head)].upper() == head:
+            return f"{head}{ctes}, {body[len(head):]}"
     return f"WITH {ctes} {body}"
