@@ -2,6 +2,7 @@
 
 from phonolake.plans import (  # noqa: F401
     q_blocks,
+    q_dataset,
     q_loudness,
     q_segments,
     q_transcripts,
