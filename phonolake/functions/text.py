@@ -25,12 +25,19 @@ def artist_identity(song: Column) -> Column:
 
 
 def contains_in_order(shorter: Column, longer: Column) -> Column:
-    """Every token of ``shorter`` occurs in ``longer`` in the same order."""
-    start = F.lit(0)
-    matched = F.aggregate(
-        longer, start, lambda at, token: F.when(F.get(shorter, at) == token, at + 1).otherwise(at)
+    """Every token of ``shorter`` occurs in ``longer`` in the same order.
+
+    The shorter list rides along in the fold's state, so it is computed once per row and not once per step.
+    """
+    zero = F.struct(F.lit(0).alias("at"), shorter.alias("old"))
+    done = F.aggregate(
+        longer, zero,
+        lambda s, token: F.struct(
+            F.when(F.get(s["old"], s["at"]) == token, s["at"] + 1).otherwise(s["at"]).alias("at"), s["old"].alias("old")
+        ),
+        lambda s: s["at"] == F.size(s["old"]),
     )
-    return matched == F.size(shorter)
+    return done
 
 
 def added_words_supported(old: Column, words: Column) -> Column:
@@ -38,17 +45,17 @@ def added_words_supported(old: Column, words: Column) -> Column:
     flat = F.flatten(
         F.transform(words, lambda w: F.transform(tokens(w["word"]), lambda t: F.struct(t.alias("t"), w["p"].alias("p"))))
     )
-    zero = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"), old.alias("old"))
 
-    def step(state, x):
-        hit = F.coalesce(F.get(old, state["at"]) == x["t"], F.lit(False))
+    def step(s, x):
+        hit = F.coalesce(F.get(s["old"], s["at"]) == x["t"], F.lit(False))
         return F.struct(
-            F.when(hit, state["at"] + 1).otherwise(state["at"]).alias("at"),
-            (state["ok"] & (hit | (x["p"] >= 0.5))).alias("ok"),
+            F.when(hit, s["at"] + 1).otherwise(s["at"]).alias("at"),
+            (s["ok"] & (hit | (x["p"] >= 0.5))).alias("ok"),
+            s["old"].alias("old"),
         )
 
-    done = F.aggregate(flat, zero, step)
-    return done["ok"] & (done["at"] == F.size(old))
+    return F.aggregate(flat, zero, step, lambda s: s["ok"] & (s["at"] == F.size(s["old"])))
 
 
 def is_stage_annotation(text: Column) -> Column:

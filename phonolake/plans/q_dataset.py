@@ -16,6 +16,7 @@ from phonolake.plans.q_segments import _EQ, _SHOULDER, EVT, RUNS, _events
 from phonolake.plans.q_transcripts import tok
 from phonolake.plans.q_transforms import r6
 from phonolake.plans.registry import query
+from phonolake.session import stage
 
 _ID = r"regexp_replace(lower(split_part(artist,' - ',1)),'\s+(feat\.?|ft\.?|featuring)\s+[\s\S]*$','')"
 
@@ -58,18 +59,23 @@ qa AS (SELECT split, greatest(1,count(*)//9) AS q FROM ex WHERE text<>'' GROUP B
 mf AS (SELECT song, artist, "start", "end", kind, text, split, source FROM ex WHERE text<>'' UNION ALL SELECT song, artist, "start", "end", kind, text, split, source FROM ng LEFT JOIN qa USING (split) WHERE k<coalesce(q,1))"""
 
 
+def _split(spark, d):
+    """Parsed and assigned once: the later steps each read the table more than once."""
+    return stage(D.split_artists(stage(_kept(spark, d), "annotations")), "split")
+
+
 def _manifest(spark, d):
-    return D.negatives_sampled(D.expand_sources(D.split_artists(_kept(spark, d))))
+    return D.negatives_sampled(D.expand_sources(_split(spark, d)))
 
 
 @query("ds01_artist_split", f"WITH {_SPLIT} SELECT song, artist, split FROM sp")
 def _(spark, d):
-    return D.split_artists(_kept(spark, d)).select("song", "artist", "split")
+    return _split(spark, d).select("song", "artist", "split")
 
 
 @query("ds02_expand_sources", f"WITH {_SPLIT} SELECT song, split, source, kind FROM ex")
 def _(spark, d):
-    return D.expand_sources(D.split_artists(_kept(spark, d))).select("song", "split", "source", "kind")
+    return D.expand_sources(_split(spark, d)).select("song", "split", "source", "kind")
 
 
 @query("top04_sampled_negatives", f"WITH {_SPLIT} SELECT song, split, source, kind FROM mf")
@@ -132,7 +138,7 @@ def _(spark, d):
 @query("top05_balanced_subset", f"""WITH {_SPLIT}, x AS (SELECT artist, song, "start", source, row_number() OVER (PARTITION BY artist ORDER BY md5('44|'||"start"||'|'||song||source), "start", song||source)-1 AS k FROM mf),
 n AS (SELECT count(DISTINCT artist) AS s FROM mf) SELECT artist, song, source, CAST(k AS BIGINT) AS rank FROM x, n WHERE k<greatest(1,200//greatest(1,s)) ORDER BY artist, k LIMIT 200""")
 def _(spark, d):
-    rows = _manifest(spark, d).select(F.col("artist").alias("song"), "start", F.concat(F.col("song").cast("string"), "source").alias("source"), F.col("song").alias("number"), F.col("source").alias("kind_of"))
+    rows = stage(_manifest(spark, d), "manifest").select(F.col("artist").alias("song"), "start", F.concat(F.col("song").cast("string"), "source").alias("source"), F.col("song").alias("number"), F.col("source").alias("kind_of"))
     return D.balanced_subset(rows, 200).select(F.col("song").alias("artist"), F.col("number").alias("song"), F.col("kind_of").alias("source"), "rank")
 
 
@@ -182,9 +188,9 @@ def _(spark, d):
 
 
 @query("agg29_scorecard", """SELECT coalesce(corpus,'ALL') AS corpus, coalesce(severity,-1) AS severity, CAST(count(*) AS BIGINT) AS cells, round(avg(gain),6)+0.0::DOUBLE AS mean_gain, round(min(gain),6)+0.0::DOUBLE AS worst_gain,
- CAST(count(CASE WHEN gain<0 THEN 1 END) AS BIGINT) AS below_nothing, round(avg(CASE WHEN planted>0 THEN least(1,found/planted) END),6) AS recall FROM v_cells GROUP BY GROUPING SETS ((corpus),(severity),())""")
+ CAST(count(CASE WHEN gain<0 THEN 1 END) AS BIGINT) AS below_nothing, round(avg(CASE WHEN planted>0 THEN least(1,found/planted) END),5) AS recall FROM v_cells GROUP BY GROUPING SETS ((corpus),(severity),())""")
 def _(spark, d):
-    return E.scorecard(V.cells(spark, d)).withColumns({c: r6(c) for c in ("mean_gain", "worst_gain", "recall")})
+    return E.scorecard(V.cells(spark, d)).withColumns({"mean_gain": r6("mean_gain"), "worst_gain": r6("worst_gain"), "recall": r6("recall", 5)})
 
 
 @query("agg30_false_event_rates", "WITH r AS (SELECT corpus, recording, sum(found)/60 AS per_second FROM v_cells GROUP BY 1,2) SELECT corpus, round(median(per_second),6) AS median_rate, round(max(per_second),6) AS max_rate FROM r GROUP BY corpus")
