@@ -5,6 +5,7 @@ from phonolake.plans import (  # noqa: F401
     q_dataset,
     q_loudness,
     q_segments,
+    q_spectrum,
     q_streaming,
     q_tracks,
     q_transcripts,
