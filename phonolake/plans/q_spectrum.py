@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from phonolake.functions import text as X
@@ -44,8 +46,8 @@ _W = {
     "Gaussian": "exp(-0.5*pow((i-32)/(0.4*32),2))",
     "Tukey": "CASE WHEN i<16 THEN 0.5*(1-cos(pi()*i/16)) WHEN i>48 THEN 0.5*(1-cos(pi()*(64-i)/16)) ELSE 1 END",
 }
-_BES = "(1" + "".join(f"+pow({{q}},{k})/{__import__('math').factorial(k)**2}.0::DOUBLE" for k in range(1, 26)) + ")"
-_W["Kaiser"] = _BES.format(q="(8.6*8.6*(1-pow((i-32)/32,2))/4)") + "/" + _BES.format(q="(8.6*8.6/4)")
+_BES = "(1" + "".join(f"+pow({{q}},{k})/{float(math.factorial(k)) ** 2!r}::DOUBLE" for k in range(1, 36)) + ")"
+_W["Kaiser"] = "CASE WHEN i<=0 THEN 0 ELSE " + _BES.format(q="(8.6*8.6*(1-pow((i-32)/32,2))/4)") + "/" + _BES.format(q="(8.6*8.6/4)") + " END"
 
 
 @query("fun16_window_energies", "WITH k AS (SELECT rec_id, frame, v, CAST(i AS DOUBLE) AS i, unnest([" + ",".join(f"'{k}'" for k in Z.WINDOWS) + "]) AS kind FROM v_frames) SELECT rec_id, frame, kind, round(sum(pow(v*CASE kind "
