@@ -60,8 +60,9 @@ def test_error_rate_counts_invented_words(spark):
 
 def line(start, end, text, p=0.9, **extra):
     words = text.split()
-    step = (end - start) / max(1, len(words))
+    step = (end - start) / max(1.0, len(words))
     ws = [{"i": i, "w_start": start + i * step, "w_end": start + (i + 1) * step, "word": w + " ", "p": p} for i, w in enumerate(words)]
+    start, end = float(start), float(end)
     return {"rec_id": 1, "start": start, "end": end, "text": text, "needs_review": False, "words": ws, "avg_logprob": -0.2,
             "no_speech_prob": 0.1, "compression_ratio": 1.2, **extra}
 
