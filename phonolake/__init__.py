@@ -1 +1,8 @@
 """phonolake: recorded-audio and timed-transcript analytics as Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -91,7 +90,6 @@ def framed(samples: DataFrame, size: int, hop: int) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=16)
 def _hann(size: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
 
@@ -402,7 +400,6 @@ def _biquad(b: tuple, a: tuple, x: np.ndarray) -> np.ndarray:
     return y
 
 
-@lru_cache(maxsize=16)
 def weighting_response(kind: str, rate: int, taps: int) -> np.ndarray:
     """Impulse response of the K weighting (shelf and high-pass) or of the 150 Hz activity high-pass."""
 

@@ -213,6 +213,8 @@ def _processors():
             heard, waited, since_fade, preserved, settled, done = counts
             out = []
             for block, x in _packets_in_order(rows):
+                if x.shape[1] < self.rate // 10:
+                    continue  # an unfinished block at the end of a take decides nothing
                 small = self.rate // 100
                 usable = x[:, : x.shape[1] // small * small]
                 power = (usable**2).reshape(x.shape[0], -1, small).sum(axis=(0, 2)) / (small * x.shape[0])
