@@ -221,14 +221,15 @@ def strongest_burst(scores: DataFrame) -> DataFrame:
     return scores.groupBy("rec_id").agg(pick.alias("_b")).select("rec_id", "_b.*")
 
 
-def connected_regions(cells: DataFrame, tolerance_db: float = 18.0, floor_margin_db: float = 6.0, rounds: int = 64) -> DataFrame:
+def connected_regions(cells: DataFrame, tolerance_db: float = 18.0, floor_margin_db: float = 6.0) -> DataFrame:
     """Label 4-connected regions of loud cells(rec_id, frame, bin, db) over the whole archive.
 
     Edges between loud neighbours are made once. Labels then shrink by hooking to the smallest neighbour and jumping
-    to the label's own label, so a region of diameter d needs about log d rounds. Each round is checkpointed. A region
-    that has not settled after ``rounds`` raises an error; no region is cut.
+    to the label's own label, so a region of diameter d needs about log d rounds. Each round is written to the shared
+    folder and read back: a checkpointed plan would carry its column constraints along, and they double every round.
+    Labels only ever fall, so the loop ends by itself and no region is cut.
     """
-    from phonolake.session import cut_lineage
+    from phonolake.session import stage
 
     levels = cells.groupBy("rec_id").agg(F.max("db").alias("_top"), F.min("db").alias("_low"))
     gate = F.greatest(F.col("_top") - tolerance_db, F.col("_low") + floor_margin_db)
@@ -239,24 +240,23 @@ def connected_regions(cells: DataFrame, tolerance_db: float = 18.0, floor_margin
     right = loud.select("rec_id", (F.col("frame") - 1).alias("frame"), "bin", F.col("cell").alias("other"))
     up = loud.select("rec_id", "frame", (F.col("bin") - 1).alias("bin"), F.col("cell").alias("other"))
     half = loud.join(right.unionByName(up), ["rec_id", "frame", "bin"]).select("rec_id", "cell", "other")
-    edges = cut_lineage(half.unionByName(half.select("rec_id", F.col("other").alias("cell"), F.col("cell").alias("other"))))
-    labels = cut_lineage(loud.select("rec_id", "cell", F.col("cell").alias("label")))
-    for _ in range(rounds):
+    edges = stage(half.unionByName(half.select("rec_id", F.col("other").alias("cell"), F.col("cell").alias("other"))), "edges")
+    labels = stage(loud.select("rec_id", "cell", F.col("cell").alias("label")), "labels")
+    while True:
         near = edges.join(labels.select("rec_id", F.col("cell").alias("other"), F.col("label").alias("_l")), ["rec_id", "other"])
         least = near.groupBy("rec_id", "cell").agg(F.min("_l").alias("_near"))
         hooked = labels.join(least, ["rec_id", "cell"], "left").select(
             "rec_id", "cell", F.col("label").alias("_old"), F.least("label", "_near").alias("_mid")
         )
         jump = hooked.select("rec_id", F.col("cell").alias("_mid"), F.col("_mid").alias("_far"))
-        moved = cut_lineage(hooked.join(jump, ["rec_id", "_mid"]).select(
+        moved = stage(hooked.join(jump, ["rec_id", "_mid"]).select(
             "rec_id", "cell", "_old", F.least("_mid", "_far").alias("label")
-        ))
+        ), "labels")
         labels = moved.select("rec_id", "cell", "label")
         if moved.filter("label <> _old").isEmpty():
             return labels.select(
                 "rec_id", F.floor(F.col("cell") / 65_536).alias("frame"), (F.col("cell") % 65_536).alias("bin"), "label"
             )
-    raise RuntimeError("regions did not settle; raise the number of rounds")
 
 
 # --- axes, masks, curves ------------------------------------------------------------------------------------------
