@@ -75,14 +75,17 @@ def isolated(df: DataFrame, keys: Sequence[str], start: str, end: str, tie: Sequ
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end",
                     aggs: dict[str, Column] | None = None, width: float = HOUR) -> DataFrame:
     """Union of intervals: overlapping or touching rows become one."""
+    # Equal intervals count once while islands are numbered: two passes must not order ties differently.
     order = [start, end]
     slices = slice_no(start, width)
-    seen = running(df, keys, slices, order, {"_reach": ("max", F.col(end))}, inclusive=False)
+    spans = df.select(*keys, start, end).distinct()
+    seen = running(spans, keys, slices, order, {"_reach": ("max", F.col(end))}, inclusive=False)
     flagged = seen.withColumn(
         "_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), 1).otherwise(0)
     )
     numbered = running(flagged, keys, slices, order, {"_island": ("sum", F.col("_new"))})
-    return numbered.groupBy(*keys, "_island").agg(
+    members = df.join(numbered.drop("_reach", "_new"), [*keys, start, end]) if aggs else numbered
+    return members.groupBy(*keys, "_island").agg(
         F.min(start).alias(start), F.max(end).alias(end),
         *[column.alias(name) for name, column in (aggs or {}).items()],
     ).drop("_island")
