@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +15,6 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-_fallback_dir: str | None = None
-
-
 def build_session(app: str = "phonolake", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators are written for; cluster sizing stays with the caller."""
     builder = SparkSession.builder.appName(app)
@@ -30,14 +26,9 @@ def build_session(app: str = "phonolake", master: str | None = None, **extra: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or one made for this process where none is named."""
-    global _fallback_dir
+    """The cluster's shared checkpoint folder; where none is named, a folder beside the tables of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _fallback_dir is None:
-        _fallback_dir = tempfile.mkdtemp(prefix="phonolake-")
-    return _fallback_dir
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -45,15 +36,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back: a materialised table used by several branches."""
     spark = df.sparkSession
