@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from phonolake.llm.text_stats import STAT_NAMES, doc_stats
 
 FEATURES = (
-    "log_words", "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punctuation", "variety",
+    "word_length", "symbols", "dup_lines", "repeats", "upper", "digits", "punctuation", "variety",
     "line_words",
 )
 #: -1: the score never rises with the feature; 0: free.
@@ -40,7 +40,7 @@ def features(stats: np.ndarray) -> np.ndarray:
     words, chars, symbols, dup, repeat, lines, upper, digits, punct, distinct = stats.astype(float).T
     w, c, n = np.maximum(words, 1), np.maximum(chars, 1), np.maximum(lines, 1)
     return np.column_stack([
-        np.log1p(words), chars / w, symbols / c, dup / n, repeat / w, upper / c, digits / c, punct / c, distinct / w,
+        chars / w, symbols / c, dup / n, repeat / w, upper / c, digits / c, punct / c, distinct / w,
         np.log1p(words / n),
     ])
 
@@ -154,7 +154,11 @@ def base_failed(stats: Column) -> Column:
     return (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
 
 
-def judged(docs: DataFrame, model: Forest | None, threshold: float = 0.5) -> DataFrame:
+#: Losing a good document counts four times as much as keeping a bad one, so a row goes below 1 / (1 + 4).
+THRESHOLD = 0.2
+
+
+def judged(docs: DataFrame, model: Forest | None, threshold: float = THRESHOLD) -> DataFrame:
     """``row`` (the input row as a struct), ``stats``, ``base_failed``, ``score`` and ``kept``, for every row."""
 
     @F.pandas_udf("double")
@@ -167,5 +171,6 @@ def judged(docs: DataFrame, model: Forest | None, threshold: float = 0.5) -> Dat
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("score", F.lit(1.0)) >= threshold))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
+                  threshold: float = THRESHOLD) -> DataFrame:
     return judged(docs, train(docs, labels, train_rows), threshold)
