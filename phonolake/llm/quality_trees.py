@@ -40,7 +40,8 @@ def features(stats: np.ndarray) -> np.ndarray:
     words, chars, symbols, dup, repeat, lines, upper, digits, punct, distinct = stats.astype(float).T
     w, c, n = np.maximum(words, 1), np.maximum(chars, 1), np.maximum(lines, 1)
     return np.column_stack([
-        chars / w, symbols / c, dup / n, repeat / w, upper / c, digits / c, punct / c, distinct / w,
+        chars / w, symbols / c, dup / n, repeat / w, upper / c, digits / c, punct / c,
+        np.log1p(distinct) / np.log1p(w),  # less bound to the length than distinct / words
         np.log1p(words / n),
     ])
 

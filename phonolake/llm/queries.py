@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import exact_dedup, quality_trees
+from phonolake.llm import exact_dedup, mixing, packing, quality_trees
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *[f"stats.{n}" for n in quality_trees.STAT_NAMES[:5]], "base_failed", "score", "kept")
 
 
+def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+
+
+def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup.exact_groups(docs)
@@ -28,6 +37,8 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_trees": op1_quality_trees,
+    "op3_entropy_mix": op3_entropy_mix,
+    "op4_binary_packing": op4_binary_packing,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
