@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import exact_dedup, mixing, packing, quality_trees
+from phonolake.llm import exact_dedup, mixing, packing, quality_trees, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +35,45 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(exact_dedup.normalised(F.col("row.text")), 256).alias("text_sha256"))
 
 
+def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("blob")
+
+
 QUERIES = {
     "op1_quality_trees": op1_quality_trees,
     "op3_entropy_mix": op3_entropy_mix,
     "op4_binary_packing": op4_binary_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_blob_ledger": op9_blob_ledger,
 }
 
+
+def _secrets_sql() -> str:
+    """The spans by list functions: what lies before match i is the pieces up to i and the matches before it."""
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i:
+         {{'a': list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
+           'run': length(m[i]), 'size': length(g[i])}})) AS s
+FROM (SELECT doc_id, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {r.group}) AS g,
+             string_split_regex(t, {p}) AS gaps FROM d) WHERE len(m) > 0""")
+    least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secrets.RULES)
+    count = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in secrets.BASE)
+    sums = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+k AS (SELECT doc_id, rank, kind, CAST(s.a AS BIGINT) AS a, CAST(s.a + s.run AS BIGINT) AS b FROM f WHERE s.size >= CASE kind {least} END),
+j AS (SELECT doc_id, {sums},
+        string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (kind IN ({base})) AS base,
+        string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, {count}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (doc_id)
+"""
+
+
 ORACLES = {
     "op8_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -50,4 +82,5 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)
 """,
+    "op9_blob_ledger": _secrets_sql(),
 }
