@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import exact_dedup, mixing, packing, quality_trees, secrets
+from phonolake.llm import exact_dedup, mixing, packing, quality_trees, secrets, warc
+from phonolake.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,12 @@ def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.catalogue(spark, path)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup.exact_groups(docs)
@@ -43,6 +50,7 @@ QUERIES = {
     "op1_quality_trees": op1_quality_trees,
     "op3_entropy_mix": op3_entropy_mix,
     "op4_binary_packing": op4_binary_packing,
+    "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_blob_ledger": op9_blob_ledger,
 }
@@ -83,4 +91,14 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """,
     "op9_blob_ledger": _secrets_sql(),
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 AND count(*) OVER w > 1 THEN max(page_id) OVER w END AS keep
+      FROM q WINDOW w AS (PARTITION BY payload_digest, payload_bytes))
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM g
+""",
 }
