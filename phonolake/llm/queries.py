@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import exact_dedup, mixing, packing, quality_trees, secrets, warc
+from phonolake.llm import exact_dedup, mixing, near_dup, packing, quality_trees, secrets, warc
 from phonolake.session import scratch_path
 
 
@@ -19,6 +19,12 @@ def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", *[f"stats.{n}" for n in quality_trees.STAT_NAMES[:5]], "base_failed", "score", "kept")
 
 
+def op2_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = near_dup.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dup.near_groups(docs).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
@@ -48,6 +54,7 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_trees": op1_quality_trees,
+    "op2_hamming_join": op2_hamming_join,
     "op3_entropy_mix": op3_entropy_mix,
     "op4_binary_packing": op4_binary_packing,
     "op7_warc": op7_warc,
