@@ -258,7 +258,8 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame
         .join(marks.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
         .filter(sizes_allow(F.col("na"), F.col("nb"), percent)).filter(distance("sa", "sb") <= REACH).select("a", "b")
     )
-    links = stage(confirmed(stage(near, "star-pairs"), texts, width, percent), "star-links")
+    tried = stage(near, "star-pairs")
+    links = stage(confirmed(tried, texts, width, percent), "star-links")
     roots = stage(components(links), "star-components")
 
     rooted = inside.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
@@ -266,7 +267,8 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame
     mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     mixed_keys = stage(mixed_keys, "mixed-keys")
     live = rooted.join(mixed_keys, "key").join(marks.drop("met"), "rid")
-    rest = stage(close_pairs(live, percent), "rest-pairs")
+    tested = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stage(close_pairs(live, percent).join(tested, ["a", "b"], "left_anti"), "rest-pairs")
     more = stage(confirmed(rest, texts, width, percent), "rest-links")
 
     whole = stage(components(links.unionByName(more)), "components") if not more.isEmpty() else roots

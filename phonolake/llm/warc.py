@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +32,7 @@ from pyspark.sql.datasource import (
     LessThanOrEqual,
 )
 
+from phonolake.llm.files import file_system
 from phonolake.session import stage
 
 BREAK = "\r\n"
@@ -91,16 +91,6 @@ class Files(InputPartition):
     paths: list[str]
 
 
-def file_system(path: str):
-    """(file system, path in it) for a local path, a file: URI or any URI that Arrow knows."""
-    from pyarrow import fs
-
-    parts = urlparse(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(parts.path)
-    return fs.FileSystem.from_uri(path)
-
-
 _TESTS = {
     EqualTo: lambda a, b: a == b, In: lambda a, b: a in b, GreaterThan: lambda a, b: a > b,
     GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b,
