@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import exact_dedup, mixing, near_dup, packing, quality_trees, secrets, warc
+from phonolake.llm import exact_dedup, mixing, near_dup, ngram_trie, packing, quality_trees, secrets, warc
 from phonolake.session import scratch_path
 
 
@@ -34,6 +34,10 @@ def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -57,6 +61,7 @@ QUERIES = {
     "op2_hamming_join": op2_hamming_join,
     "op3_entropy_mix": op3_entropy_mix,
     "op4_binary_packing": op4_binary_packing,
+    "op6_ngram_trie": op6_ngram_trie,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_blob_ledger": op9_blob_ledger,
