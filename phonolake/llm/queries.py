@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolake.llm import exact_dedup, mixing, near_dup, ngram_trie, packing, quality_trees, secrets, warc
+from phonolake.llm import (
+    compression_classifier,
+    exact_dedup,
+    mixing,
+    near_dup,
+    ngram_trie,
+    packing,
+    preference,
+    quality_trees,
+    secrets,
+    warc,
+)
 from phonolake.session import scratch_path
 
 
@@ -34,6 +45,10 @@ def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
 def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -56,15 +71,22 @@ def op9_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("blob")
 
 
+def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return compression_classifier.train_and_score(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+
+
 QUERIES = {
     "op1_quality_trees": op1_quality_trees,
     "op2_hamming_join": op2_hamming_join,
     "op3_entropy_mix": op3_entropy_mix,
     "op4_binary_packing": op4_binary_packing,
+    "op5_preference": op5_preference,
     "op6_ngram_trie": op6_ngram_trie,
     "op7_warc": op7_warc,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_blob_ledger": op9_blob_ledger,
+    "op10_compression": op10_compression,
 }
 
 
@@ -112,5 +134,31 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
 FROM g
+""",
+    "op5_preference": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS raw FROM conversations),
+l AS (SELECT conv_id, max(turn) AS at, arg_max(text, turn) AS reply FROM t WHERE raw = 'assistant' GROUP BY conv_id),
+b AS (SELECT t.*, own.at, other.reply, (raw = 'assistant' AND t.turn = own.at) IS TRUE AS swap
+      FROM t LEFT JOIN l own ON own.conv_id = t.conv_id LEFT JOIN l other ON xor(other.conv_id, 1) = t.conv_id),
+s AS (SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM b
+      UNION ALL SELECT conv_id, 'rejected', turn, role, CASE WHEN swap THEN reply ELSE text END FROM b
+      WHERE NOT swap OR reply IS NOT NULL),
+p AS (SELECT pair_id, side, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece,
+             length(role) + 13 AS head, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS place FROM s),
+d AS (SELECT pair_id, min(place) FILTER (n < 2 OR a <> b) AS differ
+      FROM (SELECT pair_id, place, count(*) AS n, min(piece) AS a, max(piece) AS b FROM p GROUP BY pair_id, place) GROUP BY pair_id),
+c AS (SELECT p.*, CASE WHEN place >= differ THEN side WHEN side = 'chosen' THEN 'prompt' END AS part FROM p JOIN d USING (pair_id)),
+m AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, part ORDER BY place
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM c WHERE part IS NOT NULL)
+SELECT pair_id, count(*) FILTER (part = 'prompt') AS prompt_turns,
+       coalesce(string_agg(piece, '' ORDER BY place) FILTER (part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(piece, '' ORDER BY place) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(piece, '' ORDER BY place) FILTER (part = 'rejected'), '') AS rejected,
+       coalesce(string_agg(CAST(CAST(begun + head AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begun + length(piece) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY place)
+                FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(CAST(CAST(begun + head AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begun + length(piece) - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY place)
+                FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_mask,
+       count(*) FILTER (part = 'chosen') AS chosen_turns, count(*) FILTER (part = 'rejected') AS rejected_turns
+FROM m GROUP BY pair_id
 """,
 }
