@@ -27,24 +27,21 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.exact_groups(docs).filter("kept").select("row.*")
 
 
-def _kept(docs: DataFrame, rids: DataFrame, how: str) -> DataFrame:
-    """Rows of a stable scan joined with staged row numbers, whatever the columns of docs are called."""
-    rows = docs.select(F.struct("*").alias("row")).withColumn("rid", F.monotonically_increasing_id())
-    return rows.join(rids, "rid", how)
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group the document of the smallest id stays."""
     groups = near_dup.near_groups(near_dup.numbered(docs.select("doc_id", "text")))
-    dropped = stage(groups.filter("rid <> first_rid").select("rid"), "near-copies")
-    return _kept(docs, near_dup.if_small(dropped), "left_anti").select("row.*")
+    dropped = stage(groups.filter("rid <> first_rid").select(F.col("rid").alias("__rid")), "near-copies")
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    return rows.join(near_dup.if_small(dropped), "__rid", "left_anti").drop("__rid")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: rows taken twice appear twice, rows not taken go."""
-    copies = stage(mixing.mix(docs.select("doc_id", "source", "text")).select("rid", F.col("copies").cast("int")), "copies")
-    taken = _kept(docs, copies, "inner").filter("copies > 0")
-    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+    mix = mixing.mix(docs.select("doc_id", "source", "text"))
+    copies = stage(mix.filter("copies > 0").select(F.col("rid").alias("__rid"), F.col("copies").cast("int").alias("__copies")), "copies")
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    taken = rows.join(copies, "__rid").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
+    return taken.drop("__rid", "__copies", "__copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,27 +75,29 @@ def _first_name(text: Column, block: int) -> Column:
     return F.xxhash64(F.length(text), F.substring(text, 1, block))
 
 
-def split_candidates(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """(rows alone with their length and first block, rows that may have a copy), each as ``row`` plus ``t``."""
-    rows = docs.select(F.struct("*").alias("row"))
-    keyed = rows.withColumn("_key", _first_name(normalised(F.col("row.text")), 256))
-    shared = stage(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_key"), "shared-first-blocks")
-    marked = keyed.join(shared.withColumn("_shared", F.lit(True)), "_key", "left")
-    return marked.filter("_shared IS NULL").select("row"), marked.filter("_shared").select("row")
-
-
 def exact_groups(docs: DataFrame, block: int = 1024) -> DataFrame:
-    """``row`` (input row as a struct), ``keep_id``, ``group_size`` and ``kept``, for every input row."""
-    alone, maybe = split_candidates(docs, block)
-    maybe = stage(maybe.withColumn("rid", F.monotonically_increasing_id()), "possible-copies")
-    identity = name_documents(maybe.select("rid", normalised(F.col("row.text")).alias("t")), block)
-    owned = stage(identity.join(maybe.select("rid", F.col("row.doc_id").alias("doc_id")), "rid"), "identities")
+    """``row`` (input row as a struct), ``keep_id``, ``group_size`` and ``kept``, for every input row.
+
+    Working columns bear names that no table has (``__``); the input's own are gathered into the struct at the end.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.withColumn("__key", _first_name(normalised(F.col("text")), 256))
+    shared = stage(
+        keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select(F.col("__key").alias("__shared")), "shared-first-blocks")
+    alone = keyed.join(shared, F.col("__key") == F.col("__shared"), "left_anti")
+    maybe = keyed.join(shared, F.col("__key") == F.col("__shared"), "left_semi")
+    maybe = stage(maybe.withColumn("__rid", F.monotonically_increasing_id()), "possible-copies")
+
+    identity = name_documents(maybe.select(F.col("__rid").alias("rid"), normalised(F.col("text")).alias("t")), block)
+    owned = stage(identity.join(maybe.select(F.col("__rid").alias("rid"), "doc_id"), "rid"), "identities")
     groups = stage(  # written, so that the join below shuffles both sides plainly and Spark can split a hot group
         owned.groupBy("blocks", "name").agg(
-            F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size")), "groups")
+            F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("__size")), "groups")
     verdicts = owned.join(groups, ["blocks", "name"]).select(
-        "rid", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"))
-    copied = maybe.join(verdicts, "rid").select("row", "keep_id", "group_size", "kept")
+        F.col("rid").alias("__rid"), F.col("keep.doc_id").alias("__keep"), "__size", (F.col("rid") == F.col("keep.rid")).alias("__kept"))
+    copied = maybe.join(verdicts, "__rid").select(
+        own, F.col("__keep").alias("keep_id"), F.col("__size").alias("group_size"), F.col("__kept").alias("kept"))
     single = alone.select(
-        "row", F.col("row.doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+        own, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     return single.unionByName(copied)

@@ -7,12 +7,14 @@ most one row of some chunk, so every chunk is filed once per allowed error: unde
 pairs within REACH of 64 rows share a bucket; at similarity 0.8 the distance is 12.8 on average and above 31 with a
 probability under 1e-6.
 
-Documents with equal sets are one class and one representative from the start. Buckets are then worked off in rounds
-without listing their pairs. In a round each bucket compares its members with one centre (the member met most often over
-all buckets, so a text that many copies stem from is a centre early); links confirmed on the full sets become
-components. A bucket whose members all are in one component needs no more pairs. What is left are buckets of several
-components: these are compared block by block on signatures, and only pairs of different components within the
-distance, and of sizes that allow the similarity, come out and are confirmed.
+Documents with equal sets are one class and one representative from the start. Buckets are then worked off without
+listing their pairs. First each bucket compares its members with one centre (the member met most often over all buckets, so
+a text that many copies stem from is a centre); each comparison is exact, on full sets, and also yields what the member adds
+to the centre's set and lacks of it. Links become components. Two members of one bucket that are in one component already
+need no comparison. The others share a centre, and their overlap follows exactly from their differences to it: they are
+compared block by block, and only links that join two components come out. So no similar pair of a bucket goes unseen, and
+what is shuffled grows with the number of members and their differences, not with pairs; the comparisons inside blocks do
+grow with the square of the members that no component holds together.
 
 Edge cases: null and empty texts, and texts without a word, have an empty set and no links; texts of fewer words than a
 shingle have one shingle; rows that repeat an id and text are one class; a class whose ids are all null has a null
@@ -25,12 +27,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from phonolake.llm.components import components
 from phonolake.llm.text_stats import Numbering
@@ -39,7 +39,7 @@ from phonolake.session import stage
 ROWS, CHUNK = 64, 4
 CHUNKS = ROWS // CHUNK
 REACH = 2 * CHUNKS - 1
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 BROADCAST_ROWS = 1_000_000  # ids of 8 bytes: 8 MB at most
 
 
@@ -106,11 +106,11 @@ def chunk_keys(sig: np.ndarray) -> list[int]:
     return keys
 
 
-SKETCH = "rid long, n long, class_hi long, class_lo long, sig binary, keys array<long>"
+SKETCH = "rid long, n long, class_hi long, class_lo long, keys array<long>"
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(rid, n, class_hi, class_lo, sig, keys) per row of docs(rid, text): set size, 128-bit set name, signature, keys."""
+    """(rid, n, class_hi, class_lo, keys) per row of docs(rid, text): set size, 128-bit set name, bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = salts()
@@ -119,60 +119,53 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 hashes = shingle(text.as_py())
                 if len(hashes) == 0:
-                    out.append((rid, 0, None, None, None, None))
+                    out.append((rid, 0, None, None, None))
                     continue
-                sig = signature(hashes, salt)
                 name = xxhash.xxh128_digest(hashes.tobytes())
                 hi, lo = np.frombuffer(name, dtype="<i8")
-                out.append((rid, len(hashes), int(hi), int(lo), sig.tobytes(), chunk_keys(sig)))
+                out.append((rid, len(hashes), int(hi), int(lo), chunk_keys(signature(hashes, salt))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(
-                    (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))],
-                names=["rid", "n", "class_hi", "class_lo", "sig", "keys"])
+                    (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))],
+                names=["rid", "n", "class_hi", "class_lo", "keys"])
 
     return docs.select("rid", "text").mapInArrow(run, SKETCH)
 
 
-@F.pandas_udf(IntegerType())
-def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    left = np.frombuffer(b"".join(a), dtype="<u2").reshape(-1, ROWS)
-    right = np.frombuffer(b"".join(b), dtype="<u2").reshape(-1, ROWS)
-    return pd.Series((left != right).sum(axis=1).astype("int32"))
-
-
-def sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
 def if_small(ids: DataFrame) -> DataFrame:
     """Broadcast a staged table of ids after counting it; beyond the bound Spark joins by shuffle."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The staged pairs(a, b) whose full sets reach the similarity. Only texts named in a pair move."""
+COMPARED = "a long, centre long, n long, centre_n long, shared long, added binary, removed binary"
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None  # rows of one b follow each other
+
+def compared(star: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The staged pairs star(a, centre) with the exact overlap of their full sets and what ``a`` adds to the centre's set
+    and lacks of it. Only texts named in a pair move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # rows of one centre follow each other
         for batch in batches:
-            shingle, a, b = Shingler(width), [], []
-            for left, right, x, y in zip(*(batch.column(i) for i in range(4))):
-                if right != last:
-                    last, held = right, shingle(y.as_py())
+            shingle, out = Shingler(width), []
+            for a, centre, x, y in zip(*(batch.column(i) for i in range(4))):
+                if centre != last:
+                    last, held = centre, shingle(y.as_py())
                 mine = shingle(x.as_py())
-                shared = len(np.intersect1d(mine, held, assume_unique=True))
-                if 100 * shared >= percent * (len(mine) + len(held) - shared):
-                    a.append(left.as_py()), b.append(right.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                added = np.setdiff1d(mine, held, assume_unique=True)
+                shared = len(mine) - len(added)
+                removed = np.setdiff1d(held, mine, assume_unique=True)
+                out.append((a.as_py(), centre.as_py(), len(mine), len(held), shared, added.tobytes(), removed.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], pa.int64() if i < 5 else pa.binary()) for i in range(7)],
+                names=["a", "centre", "n", "centre_n", "shared", "added", "removed"])
 
     def texts(side: str, name: str) -> DataFrame:
-        ids = stage(pairs.select(F.col(side).alias("rid")).distinct(), f"named-{side}")
+        ids = stage(star.select(F.col(side).alias("rid")).distinct(), f"named-{side}")
         return docs.join(if_small(ids), "rid").select(F.col("rid").alias(side), F.col("text").alias(name))
 
-    both = pairs.join(texts("a", "x"), "a").join(texts("b", "y"), "b")
-    return both.select("a", "b", "x", "y").sortWithinPartitions("b").mapInArrow(check, "a long, b long")
+    both = star.join(texts("a", "x"), "a").join(texts("centre", "y"), "centre")
+    return both.select("a", "centre", "x", "y").sortWithinPartitions("centre").mapInArrow(run, COMPARED)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]:
@@ -195,37 +188,73 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.Table]
         yield held
 
 
-def close_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """live(key, rid, root, n, sig, size) -> distinct pairs(a, b) of different roots within the distance, from buckets
-    cut into blocks: a block meets every block of its bucket once, in a task of its own."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = live.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the given sets. Members found once only cannot count and leave first; the rest is
+    multiplied as 0/1 columns, a few thousand at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    members, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times > 1)
+    place = np.full(len(members), -1)
+    place[often] = np.arange(len(often))
+    column = place[column]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0):]
+    for at in range(0, len(often), 4096):
+        part = order[np.searchsorted(column[order], at):np.searchsorted(column[order], at + 4096)]
+        marks = np.zeros((len(sets), min(4096, len(often) - at)), dtype=np.float32)
+        marks[owner[part], column[part] - at] = 1
+        out += marks @ marks.T
+    return out
+
+
+def linked_inside(live: DataFrame, percent: int) -> DataFrame:
+    """live(centre, a, root, n, centre_n, added, removed, size, bytes) -> links (a, b) between members of one centre whose
+    roots differ. With R and A what two members lack of and add to the centre C, their overlap is exactly
+    |C| - |R1 or R2| + |A1 and A2|, so members are compared by their differences alone. Members are cut into blocks; each
+    pair of blocks is a task's group of its own. Only true links come out, and no more of them than join roots."""
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    cut = live.withColumn("blocks", F.greatest(blocks, F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = (
         cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
-                "block", "rid", "root", "n", "sig")
-        .repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        .select("centre", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+                "a", "root", "n", "centre_n", "added", "removed")
+        .repartition("centre", "p", "q").sortWithinPartitions("centre", "p", "q")
     )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(rows, root, n, centre_n, added, removed):
+        added, removed = ([np.frombuffer(x, dtype="<u8") for x in column] for column in (added, removed))
+        lacks = np.array([len(x) for x in removed], dtype=np.float64)
+        both = centre_n - (lacks[:, None] + lacks[None, :] - shared_counts(removed)) + shared_counts(added)
+        close = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        joined = {r: r for r in root.tolist()}
+
+        def top(r):
+            while joined[r] != r:
+                r = joined[r]
+            return r
+
+        for i, j in zip(*np.nonzero(np.triu(close & (root[:, None] != root[None, :]), 1))):
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                yield int(rows[i]), int(rows[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, 3):
-            key, p, q, block, rid, root, n = (table.column(i).to_numpy() for i in range(7))
-            sig = np.frombuffer(b"".join(table.column(7).to_pylist()), dtype="<u2").reshape(-1, ROWS)
-            edge = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-            a, b = [], []
-            for start, end in zip([0, *edge], [*edge, len(key)]):
-                for i in range(start, end - 1):
-                    j = np.arange(i + 1, end)
-                    fit = (root[j] != root[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-                    if p[i] != q[i]:
-                        fit &= block[j] != block[i]
-                    j = j[fit]
-                    if len(j):
-                        j = j[(sig[j] != sig[i]).sum(axis=1) <= REACH]
-                        a.extend(np.minimum(rid[j], rid[i]).tolist()), b.extend(np.maximum(rid[j], rid[i]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+            key = [table.column(i).to_numpy() for i in range(3)]
+            numbers = [table.column(i).to_numpy() for i in (3, 4, 5, 6)]
+            edge = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            out = []
+            for start, end in zip([0, *edge], [*edge, len(key[0])]):
+                rows, root, n, centre_n = (x[start:end] for x in numbers)
+                if len(rows) > 1 and (root != root[0]).any():
+                    sides = (table.column(i).slice(start, end - start).to_pylist() for i in (7, 8))
+                    out.extend(links(rows, root, n, int(centre_n[0]), *sides))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
@@ -246,30 +275,24 @@ def near_groups(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame
     shared = stage(filed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared-keys")
     inside = stage(filed.join(shared, "key"), "buckets")
     met = inside.groupBy("rid").agg(F.sum("size").alias("met"))
-    marks = stage(met.join(reps.select("rid", "n", "sig"), "rid"), "marks")
-
-    ranked = inside.join(marks.select("rid", "met"), "rid")
+    ranked = inside.join(met, "rid")
     centres = stage(
         ranked.groupBy("key").agg(F.max(F.struct("met", F.negative("rid").alias("first"))).alias("top"))
         .select("key", F.negative("top.first").alias("centre")), "centres")
-    star = inside.join(centres, "key").filter("rid <> centre").select(F.col("rid").alias("a"), F.col("centre").alias("b")).distinct()
-    near = (
-        star.join(marks.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
-        .join(marks.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-        .filter(sizes_allow(F.col("na"), F.col("nb"), percent)).filter(distance("sa", "sb") <= REACH).select("a", "b")
-    )
-    tried = stage(near, "star-pairs")
-    links = stage(confirmed(tried, texts, width, percent), "star-links")
+    star = inside.join(centres, "key").filter("rid <> centre").select(F.col("rid").alias("a"), "centre").distinct()
+    met_centre = stage(compared(stage(star, "star"), texts, width), "compared")
+    links = met_centre.filter(100 * F.col("shared") >= percent * (F.col("n") + F.col("centre_n") - F.col("shared")))
+    links = stage(links.select("a", F.col("centre").alias("b")), "star-links")
     roots = stage(components(links), "star-components")
 
-    rooted = inside.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    rooted = stage(rooted, "rooted")
-    mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    mixed_keys = stage(mixed_keys, "mixed-keys")
-    live = rooted.join(mixed_keys, "key").join(marks.drop("met"), "rid")
-    tested = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(close_pairs(live, percent).join(tested, ["a", "b"], "left_anti"), "rest-pairs")
-    more = stage(confirmed(rest, texts, width, percent), "rest-links")
+    rooted = met_centre.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    rooted = stage(rooted.drop("shared"), "rooted")
+    several = stage(
+        rooted.groupBy("centre").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"),
+            F.sum(F.octet_length("added") + F.octet_length("removed")).alias("bytes"))
+        .filter("lo <> hi").select("centre", "size", "bytes"), "several-roots")
+    more = stage(linked_inside(rooted.join(several, "centre"), percent), "inner-links")
 
     whole = stage(components(links.unionByName(more)), "components") if not more.isEmpty() else roots
     label = (

@@ -291,6 +291,8 @@ class Pool:
         self.keys, self.counts, self.held, self.most = [], [], 0, most
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        if not len(keys):
+            return
         self.keys.append(keys), self.counts.append(counts)
         self.held += len(keys)
         if self.held > self.most and len(self.keys) > 1:

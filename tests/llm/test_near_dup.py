@@ -89,12 +89,16 @@ def test_pigeonhole_finds_every_pair_within_reach():
         assert set(N.chunk_keys(a)) & set(N.chunk_keys(b))
 
 
-def test_blocks_of_a_large_bucket_miss_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK", 4)
-    sig = np.arange(N.ROWS, dtype="<u2")
-    rows = [(1, i, i, 100 + i % 2, sig.tobytes(), 30) for i in range(30)]
-    live = spark.createDataFrame(rows, "key long, rid long, root long, n long, sig binary, size long")
-    assert N.close_pairs(live, 80).count() == 30 * 29 // 2
+def test_overlaps_from_differences():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 3000, rng.integers(0, 900))).astype(np.uint64) for _ in range(20)]
+    got = N.shared_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20) if i != j)
+
+
+def test_small_blocks_give_the_same_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    test_groups_of_edited_copies(spark, tmp_path)
 
 
 def test_components_of_paths_and_stars(spark):
