@@ -9,6 +9,7 @@ from phonolake.functions.levels import amplitude_db, clamp, floor_half_db, is_fi
 from phonolake.operators.ordered import SLICE, halo_window, running, slice_no, with_halo
 from phonolake.operators.quantiles import exact_quantiles, quantiles_of
 from phonolake.operators.signal import CLIP_LEVEL
+from phonolake.operators.weighting import weighted
 
 PROGRAM_BLOCK_DB = -55.0
 PROGRAM_PEAK_DB = -35.0
@@ -49,17 +50,22 @@ def trimmed_peak(samples: DataFrame, block_frames: int) -> DataFrame:
     )
 
 
-def block_summary(samples: DataFrame, rate: int, activity: str = "v") -> DataFrame:
-    """Thirteen figures per 100 ms block. ``activity`` names the 150 Hz high-passed column where there is one.
+def active(samples: DataFrame, rate: int, response=None) -> DataFrame:
+    """samples with ``a``: the signal after the 150 Hz high-pass, where rumble and hum no longer count as activity."""
+    return weighted(samples, rate, "activity", response=response, out="a")
+
+
+def block_summary(samples: DataFrame, rate: int, response=None) -> DataFrame:
+    """Thirteen figures per 100 ms block; activity and crossings are of the high-passed signal (``active``).
 
     Zero crossings compare with the previous sample of the same channel, also across a block border, so the
     samples carry a one-row halo per slice; everything else is one partial aggregation.
     """
     frames = rate // 10
-    a = F.col(activity)
+    a = F.col("a")
     w = Window.partitionBy("rec_id", "ch", "_slice").orderBy("n")
     sign = F.signum(a)
-    prepared = with_halo(samples, "n", before=1).withColumn("_ps", F.lag(sign).over(w)).filter("_home")
+    prepared = with_halo(active(samples, rate, response), "n", before=1).withColumn("_ps", F.lag(sign).over(w)).filter("_home")
     crossing = ((sign * F.col("_ps")) < 0).cast("int")
     block = slice_no("n", frames)
     theta = lambda hz: 2 * 3.141592653589793 * hz * F.col("n") / rate
@@ -295,15 +301,16 @@ RUN_OUT_PEAK_DB = -60.0
 MEDIUM_FLOOR_DB = -80.0
 
 
-def run_out_blocks(samples: DataFrame, rate: int) -> DataFrame:
-    """100 ms blocks whose level is the median of ten 10 ms levels; crossings count a non-zero current sample."""
+def run_out_blocks(samples: DataFrame, rate: int, response=None) -> DataFrame:
+    """100 ms blocks whose level is the median of ten 10 ms levels of the high-passed signal; crossings count a non-zero
+    current sample; the peak is the signal's own."""
     small, big = rate // 100, rate // 10
     w = Window.partitionBy("rec_id", "ch", "_slice").orderBy("n")
-    sign = F.signum("v")
-    prepared = with_halo(samples, "n", before=1).withColumn("_ps", F.lag(sign).over(w)).filter("_home")
+    sign = F.signum("a")
+    prepared = with_halo(active(samples, rate, response), "n", before=1).withColumn("_ps", F.lag(sign).over(w)).filter("_home")
     crossing = ((sign != 0) & (sign != F.col("_ps"))).cast("int")
     sub = prepared.groupBy("rec_id", "ch", slice_no("n", small).alias("sub")).agg(
-        F.sum(F.col("v") * F.col("v")).alias("p"), F.max(F.abs("v")).alias("peak"),
+        F.sum(F.col("a") * F.col("a")).alias("p"), F.max(F.abs("v")).alias("peak"),
         F.sum(crossing).alias("zc"), F.count(F.lit(1)).alias("c"),
     )
     block = slice_no("sub", RUN_OUT_SUB_BLOCKS)
@@ -402,21 +409,41 @@ def run_out_program(blocks_with_floor: DataFrame, rate: int, minimum_peak: float
     return blocks_with_floor.withColumn("program", is_program(threshold, rate, minimum_peak))
 
 
+SETTLING_BLOCKS = 30
+
+
 def last_program(blocks: DataFrame) -> DataFrame:
-    """As-of: number of the latest programme block at or before each block."""
+    """As-of: number of the latest programme block at or before each block, and of the first one."""
     return running(
         blocks, ["rec_id"], slice_no("block", SLICE), ["block"],
-        {"last_program": ("max", F.when(F.col("program"), F.col("block")))},
+        {"last_program": ("max", F.when(F.col("program"), F.col("block"))),
+         "first_program": ("min", F.when(F.col("program"), F.col("block")))},
     )
 
 
+def waiting(asof: DataFrame) -> DataFrame:
+    """Adds ``since`` (the block from which the hold counts) to blocks with program, fading, first_program.
+
+    Programme restarts the hold at its block. A fade, once thirty blocks of the side have been heard, keeps the side open
+    and restarts it three seconds later, when the level has settled. So one running maximum over such events is the whole
+    state of the monitor: the latest event decides, and a block counts for the hold when it lies past its restart.
+    """
+    heard = F.col("first_program").isNotNull() & (F.col("block") - F.col("first_program") >= 29)
+    event = F.when(F.col("program"), 2 * F.col("block")).when(F.col("fading") & heard, 2 * F.col("block") + 1)
+    seen = running(asof, ["rec_id"], slice_no("block", SLICE), ["block"], {"_event": ("max", event)})
+    block, fade = F.floor(F.col("_event") / 2), F.col("_event") % 2
+    return seen.withColumn("since", (block + fade * SETTLING_BLOCKS).cast("long")).withColumn(
+        "preserved_to", block.cast("long")).drop("_event")
+
+
 def hold_trigger(asof: DataFrame, hold_seconds: float = 12.0, keep_seconds: float = 4.0) -> DataFrame:
-    """First block at which nothing has played for the hold, and the block the take is trimmed to."""
+    """First block at which the hold has passed (see ``waiting``), and the block the take is trimmed to."""
     hold = min(60.0, max(5.0, hold_seconds))
-    waited = (F.col("block") - F.col("last_program")) / 10
     return (
-        asof.filter(waited >= hold)
+        waiting(asof).filter((F.col("block") - F.col("since")) / 10 >= hold)
         .groupBy("rec_id")
-        .agg(F.min("block").alias("trigger_block"), F.min_by("last_program", "block").alias("last_program"))
-        .withColumn("keep_to_block", F.least("trigger_block", F.col("last_program") + int(keep_seconds * 10)))
+        .agg(F.min("block").alias("trigger_block"), F.min_by("last_program", "block").alias("last_program"),
+             F.min_by("preserved_to", "block").alias("_to"))
+        .select("rec_id", "trigger_block", "last_program",
+                F.least("trigger_block", F.col("_to") + int(keep_seconds * 10)).alias("keep_to_block"))
     )

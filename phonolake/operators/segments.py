@@ -11,6 +11,7 @@ from phonolake.functions.levels import amplitude_db, clamp01
 from phonolake.operators.intervals import gaps
 from phonolake.operators.ordered import SLICE, islands, over_halo, slice_no, with_halo
 from phonolake.operators.signal import CLIP_LEVEL, SILENCE_BLOCK
+from phonolake.operators.weighting import weighted
 
 
 def minimum_samples(ms: float, rate: int) -> int:
@@ -234,11 +235,12 @@ def repeated_flat_tops(tops: DataFrame, peaks: DataFrame, rate: int, seconds: fl
     ).select("rec_id", F.coalesce("alarms", F.lit(0)).alias("alarms"), F.col("alarms").isNotNull().alias("flat_tops"))
 
 
-def zero_crossings(samples: DataFrame, block_frames: int) -> DataFrame:
-    """Per block, the larger channel count under both rules: both signs non-zero, or only the current one."""
+def zero_crossings(samples: DataFrame, block_frames: int, rate: int, response=None) -> DataFrame:
+    """Per block of the high-passed signal, the larger channel count under both rules: both signs non-zero, or only the
+    current one."""
     keys = ["rec_id", "ch"]
-    s = F.signum("v")
-    out = over_halo(samples.withColumn("_s", s), keys, "n", {"_p": lambda w: F.lag("_s").over(w)}, before=1)
+    s = F.signum("a")
+    out = over_halo(weighted(samples, rate, "activity", response=response, out="a").withColumn("_s", s), keys, "n", {"_p": lambda w: F.lag("_s").over(w)}, before=1)
     strict = ((F.col("_s") * F.col("_p")) < 0).cast("long")
     loose = ((F.col("_s") != 0) & (F.col("_s") != F.col("_p"))).cast("long")
     return (

@@ -386,56 +386,3 @@ def hum_comb(power: DataFrame, hz_per_bin: float, rate: float) -> DataFrame:
         "rec_id", F.col("f").alias("hum_hz"), "score", "supported", F.coalesce("highest", F.lit(1)).alias("harmonics"), "mean_excess",
         "low_order", (F.col("score") - F.coalesce("_rival", F.lit(0.0))).alias("separation"),
     )
-
-
-# --- weighting -------------------------------------------------------------------------------------------------------
-
-
-def _biquad(b: tuple, a: tuple, x: np.ndarray) -> np.ndarray:
-    y = np.zeros_like(x)
-    x1 = x2 = y1 = y2 = 0.0
-    for i, v in enumerate(x):
-        out = (b[0] * v + b[1] * x1 + b[2] * x2 - a[1] * y1 - a[2] * y2) / a[0]
-        y[i], x2, x1, y2, y1 = out, x1, v, y1, out
-    return y
-
-
-def weighting_response(kind: str, rate: int, taps: int) -> np.ndarray:
-    """Impulse response of the K weighting (shelf and high-pass) or of the 150 Hz activity high-pass."""
-
-    def high_pass(f, q):
-        w = 2 * math.pi * f / rate
-        c, alpha = math.cos(w), math.sin(w) / (2 * q)
-        return ((1 + c) / 2, -(1 + c), (1 + c) / 2), (1 + alpha, -2 * c, 1 - alpha)
-
-    def high_shelf(f, gain_db):
-        g, w = 10 ** (gain_db / 40), 2 * math.pi * f / rate
-        c = math.cos(w)
-        root = 2 * math.sqrt(g) * (math.sin(w) / 2 * math.sqrt(2))
-        top = (g * (g + 1 + (g - 1) * c + root), -2 * g * (g - 1 + (g + 1) * c), g * (g + 1 + (g - 1) * c - root))
-        return top, (g + 1 - (g - 1) * c + root, 2 * (g - 1 - (g + 1) * c), g + 1 - (g - 1) * c - root)
-
-    impulse = np.zeros(taps)
-    impulse[0] = 1.0
-    # Corner frequencies, shelf gain and Q of the weighting.
-    stages = [high_shelf(1681.97, 3.99982), high_pass(38.13, 0.5)] if kind == "K" else [high_pass(150.0, math.sqrt(0.5))]
-    for b, a in stages:
-        impulse = _biquad(b, a, impulse)
-    return impulse
-
-
-def weighted(samples: DataFrame, rate: int, kind: str = "K", seconds: float = 10.0) -> DataFrame:
-    """Filtered samples. The filter's tail is below 1e-9 after 0.1 s, so ten-second slices with that much halo are
-    filtered on their own; one slice of one channel is one Arrow group."""
-    taps, size = max(8, rate // 10), int(rate * seconds)
-    haloed = with_halo(samples.select("rec_id", "ch", "n", "v"), "n", before=taps, size=size)
-
-    def convolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        x = pdf["v"].to_numpy()
-        response = weighting_response(kind, rate, taps)
-        width = 1 << (len(x) + taps - 1).bit_length()
-        y = np.fft.irfft(np.fft.rfft(x, width) * np.fft.rfft(response, width), width)[: len(x)]
-        return pdf.assign(v=y).loc[pdf["_home"], ["rec_id", "ch", "n", "v"]]
-
-    return haloed.groupBy("rec_id", "ch", "_slice").applyInPandas(convolve, "rec_id long, ch long, n long, v double")

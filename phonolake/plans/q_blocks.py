@@ -27,16 +27,16 @@ TRIM = """hb AS (SELECT rec_id, n//100 AS block, CASE WHEN abs(v)>1e-9 THEN leas
 hc AS (SELECT *, greatest(1,floor(sum(c) OVER (PARTITION BY rec_id, block)*0.005)) AS t, sum(CASE WHEN bin IS NOT NULL THEN c ELSE 0 END) OVER (PARTITION BY rec_id, block ORDER BY bin) AS cum FROM hb),
 trim AS (SELECT rec_id, block, -(min(bin)+0.5::DOUBLE)*0.5::DOUBLE AS trimmed_peak_db FROM hc WHERE bin IS NOT NULL AND cum>=t GROUP BY 1,2)"""
 
-BLK = TRIM + f""", sg AS (SELECT *, sign(v) AS s, lag(sign(v)) OVER (PARTITION BY rec_id, ch ORDER BY n) AS ps FROM v_stereo),
-ac AS (SELECT rec_id, ch, n//100 AS block, count(*) AS f, sum(v*v) AS p, max(abs(v)) AS pk, sum(CASE WHEN s*ps<0 THEN 1 ELSE 0 END) AS zc, sum(v) AS t,
+BLK = TRIM + f""", sg AS (SELECT *, sign(a) AS s, lag(sign(a)) OVER (PARTITION BY rec_id, ch ORDER BY n) AS ps FROM v_active),
+ac AS (SELECT rec_id, ch, n//100 AS block, count(*) AS f, sum(v*v) AS p, sum(a*a) AS ap, max(abs(v)) AS pk, sum(CASE WHEN s*ps<0 THEN 1 ELSE 0 END) AS zc, sum(v) AS t,
   count(CASE WHEN abs(v)>=0.999969 THEN 1 END) AS cl, sum(v*cos(2*pi()*50*n/1000)) AS c50, sum(v*sin(2*pi()*50*n/1000)) AS s50,
   sum(v*cos(2*pi()*60*n/1000)) AS c60, sum(v*sin(2*pi()*60*n/1000)) AS s60 FROM sg GROUP BY 1,2,3),
-bb AS (SELECT rec_id, block, max(f) AS frames, count(*) AS channels, {_db('sum(p)/(max(f)*count(*))')} AS rms_db, {_db('max(pk)', 20)} AS peak_db,
+bb AS (SELECT rec_id, block, max(f) AS frames, count(*) AS channels, {_db('sum(p)/(max(f)*count(*))')} AS rms_db, {_db('sum(ap)/(max(f)*count(*))')} AS activity_rms_db, {_db('max(pk)', 20)} AS peak_db,
   {_db('2*(pow(sum(c50)/count(*),2)+pow(sum(s50)/count(*),2))/(max(f)*max(f))')} AS hum50_db,
   {_db('2*(pow(sum(c60)/count(*),2)+pow(sum(s60)/count(*),2))/(max(f)*max(f))')} AS hum60_db,
   max(zc)*1000/max(f)::DOUBLE AS zc_per_s, max(CASE WHEN ch=0 THEN p END)/max(f) AS left_ms, max(CASE WHEN ch=1 THEN p END)/max(f) AS right_ms,
   max(CASE WHEN ch=0 THEN t END)/max(f) AS left_mean, max(CASE WHEN ch=1 THEN t END)/max(f) AS right_mean, sum(cl) AS clipped FROM ac GROUP BY 1,2),
-blk AS (SELECT bb.*, rms_db AS activity_rms_db, coalesce(trimmed_peak_db,'-inf'::DOUBLE) AS trimmed_peak_db FROM bb LEFT JOIN trim USING (rec_id, block))"""
+blk AS (SELECT bb.*, coalesce(trimmed_peak_db,'-inf'::DOUBLE) AS trimmed_peak_db FROM bb LEFT JOIN trim USING (rec_id, block))"""
 
 CLS = BLK + """, pc AS (SELECT rec_id, quantile_cont(activity_rms_db,0.1) AS p10, quantile_cont(activity_rms_db,0.5) AS p50, quantile_cont(activity_rms_db,0.9) AS p90 FROM blk GROUP BY rec_id),
 fl AS (SELECT *, CASE WHEN p90-p10>=10 THEN p10 END AS noise_floor_db, CASE WHEN p90-p10>=10 THEN greatest(-55,p10+10) WHEN p50>-55 THEN -55 END AS threshold_db FROM pc),
@@ -46,7 +46,7 @@ cls AS (SELECT blk.*, threshold_db, noise_floor_db, CASE WHEN threshold_db IS NU
 
 
 def _blocks(spark, d):
-    return B.block_summary(V.stereo(spark, d), V.LR_RATE)
+    return B.block_summary(V.stereo(spark, d), V.LR_RATE, V.ACTIVITY_TAPS)
 
 
 def _block_table(spark, d):
@@ -104,7 +104,7 @@ def _(spark, d):
             amplitude_db(F.max(F.abs("v"))).alias("peak_db"), F.count_if(F.abs("v") >= 0.999969).alias("clipped")
         ), "rec_id",
     ).withColumn("flat_tops", F.lit(False))
-    out = B.level_snapshot(stage(B.block_summary(s, V.LR_RATE), "blocks"), stage(extremes, "extremes"), V.LR_RATE)
+    out = B.level_snapshot(stage(B.block_summary(s, V.LR_RATE, V.ACTIVITY_TAPS), "blocks"), stage(extremes, "extremes"), V.LR_RATE)
     return out.withColumns({
         "active_seconds": r6("active_seconds"), "confidence": r6("confidence"), "suggested_gain_db": F.col("suggested_gain_db") + F.lit(0.0),
         **{c: r6(c, 5) for c in ("program_rms_db", "program_peak_db", "crest_db")},
@@ -122,7 +122,7 @@ def _(spark, d):
 def _(spark, d):
     s = V.stereo(spark, d)
     reference = s.groupBy("rec_id").agg(amplitude_db(F.max(F.abs("v"))).alias("reference_db"))
-    out = B.peak_evidence(B.classify(stage(B.block_summary(s, V.LR_RATE), "blocks"), V.LR_RATE), reference)
+    out = B.peak_evidence(B.classify(stage(B.block_summary(s, V.LR_RATE, V.ACTIVITY_TAPS), "blocks"), V.LR_RATE), reference)
     return out.select("rec_id", r6("tail_db", 5).alias("tail_db"), r6("novelty_db", 5).alias("novelty_db"))
 
 
@@ -149,15 +149,15 @@ def _(spark, d):
     return G.repeated_flat_tops(G.flat_tops(s), peaks, V.LR_RATE)
 
 
-@query("win10_zero_crossings", """WITH s AS (SELECT rec_id, ch, n, sign(v) AS s, lag(sign(v)) OVER (PARTITION BY rec_id, ch ORDER BY n) AS p FROM v_stereo),
+@query("win10_zero_crossings", """WITH s AS (SELECT rec_id, ch, n, sign(a) AS s, lag(sign(a)) OVER (PARTITION BY rec_id, ch ORDER BY n) AS p FROM v_active),
 c AS (SELECT rec_id, ch, n//100 AS block, sum(CASE WHEN s*p<0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN s<>0 AND s<>p THEN 1 ELSE 0 END) AS b FROM s GROUP BY 1,2,3)
 SELECT rec_id, block, CAST(max(a) AS BIGINT) AS both_signed, CAST(max(b) AS BIGINT) AS current_signed FROM c GROUP BY 1,2""")
 def _(spark, d):
-    return G.zero_crossings(V.stereo(spark, d), 100)
+    return G.zero_crossings(V.stereo(spark, d), 100, V.LR_RATE, V.ACTIVITY_TAPS)
 
 
-RUN = f"""rs AS (SELECT rec_id, ch, n, v, sign(v) AS s, lag(sign(v)) OVER (PARTITION BY rec_id, ch ORDER BY n) AS p FROM v_stereo),
-r1 AS (SELECT rec_id, n//10 AS sub, {_db('sqrt(sum(v*v)/count(*))', 20)} AS lv FROM rs GROUP BY 1,2),
+RUN = f"""rs AS (SELECT rec_id, ch, n, v, a, sign(a) AS s, lag(sign(a)) OVER (PARTITION BY rec_id, ch ORDER BY n) AS p FROM v_active),
+r1 AS (SELECT rec_id, n//10 AS sub, {_db('sqrt(sum(a*a)/count(*))', 20)} AS lv FROM rs GROUP BY 1,2),
 r2 AS (SELECT rec_id, ch, n//100 AS block, sum(CASE WHEN s<>0 AND s<>p THEN 1 ELSE 0 END) AS zc, max(abs(v)) AS pk, count(*) AS f FROM rs GROUP BY 1,2,3),
 r3 AS (SELECT rec_id, block, max(zc)/(max(f)/1000.0::DOUBLE) AS zc_per_s, {_db('max(pk)', 20)} AS peak_db FROM r2 GROUP BY 1,2 HAVING max(f)=100),
 r4 AS (SELECT rec_id, sub//10 AS block, median(lv) AS activity_rms_db FROM r1 GROUP BY 1,2),
@@ -168,13 +168,13 @@ ra AS (SELECT *, max(CASE WHEN program THEN block END) OVER (PARTITION BY rec_id
 
 
 def _run_out(spark, d):
-    blocks = stage(B.run_out_blocks(V.stereo(spark, d), V.LR_RATE), "run_out_blocks")
+    blocks = stage(B.run_out_blocks(V.stereo(spark, d), V.LR_RATE, V.ACTIVITY_TAPS), "run_out_blocks")
     return B.run_out_program(B.quietest_so_far(blocks), V.LR_RATE)
 
 
 @query("win12_run_out_blocks", f"WITH {RUN} SELECT rec_id, block, round(activity_rms_db,5)+0.0::DOUBLE AS activity_rms_db, round(peak_db,5)+0.0::DOUBLE AS peak_db, round(zc_per_s,4) AS zc_per_s FROM ro")
 def _(spark, d):
-    out = B.run_out_blocks(V.stereo(spark, d), V.LR_RATE)
+    out = B.run_out_blocks(V.stereo(spark, d), V.LR_RATE, V.ACTIVITY_TAPS)
     return out.withColumns({"activity_rms_db": r6("activity_rms_db", 5), "peak_db": r6("peak_db", 5), "zc_per_s": r6("zc_per_s", 4)})
 
 
@@ -198,10 +198,37 @@ def _(spark, d):
     return B.last_program(_run_out(spark, d)).select("rec_id", "block", "program", F.coalesce("last_program", F.lit(-1)).alias("last_program"))
 
 
-@query("win15_hold_trigger", f"""WITH {RUN}, h AS (SELECT rec_id, min(block) AS trigger_block, arg_min(last_program, block) AS last_program FROM ra WHERE (block-last_program)/10.0::DOUBLE>=5 GROUP BY rec_id)
-SELECT rec_id, trigger_block, CAST(last_program AS BIGINT) AS last_program, CAST(least(trigger_block,last_program+40) AS BIGINT) AS keep_to_block FROM h""")
+# Recordings are replayed with everything past two thirds of their length 1000 times quieter, so that sides do end.
+_SIDE = """q_all AS (SELECT rec_id, max(n) AS top FROM v_lr GROUP BY rec_id), q_side AS (SELECT s.rec_id, ch, n,
+  CASE WHEN n*3>top*2 THEN v*0.001::DOUBLE ELSE v END AS v FROM v_stereo s JOIN q_all USING (rec_id)), q_active AS (SELECT rec_id, ch, n, v,
+  """ + V._fir_sql(V.ACTIVITY_TAPS) + """ AS a FROM q_side WINDOW w AS (PARTITION BY rec_id, ch ORDER BY n)), """
+
+
+def ending_sides(spark, d):
+    s = V.stereo(spark, d)
+    top = V.lr(spark, d).groupBy("rec_id").agg(F.max("n").alias("_top"))
+    quiet = F.when(F.col("n") * 3 > F.col("_top") * 2, F.col("v") * 0.001).otherwise(F.col("v"))
+    return s.join(top, "rec_id").select("rec_id", "ch", "n", quiet.alias("v"))
+
+
+_FADE = """fm AS (SELECT rec_id, block, floor_db,
+  median(activity_rms_db) OVER (PARTITION BY rec_id ORDER BY block ROWS BETWEEN 29 PRECEDING AND 20 PRECEDING) AS a,
+  median(activity_rms_db) OVER (PARTITION BY rec_id ORDER BY block ROWS BETWEEN 19 PRECEDING AND 10 PRECEDING) AS b,
+  median(activity_rms_db) OVER (PARTITION BY rec_id ORDER BY block ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c,
+  count(*) OVER (PARTITION BY rec_id ORDER BY block ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n FROM rp),
+fd AS (SELECT rec_id, block, (n=30 AND NOT isinf(a) AND NOT isinf(b) AND NOT isinf(c) AND NOT coalesce(c<=floor_db+1.5,false) AND a-b>=0.15 AND b-c>=0.15) AS fading FROM fm),
+fe AS (SELECT ra.*, fading, min(CASE WHEN program THEN block END) OVER (PARTITION BY rec_id ORDER BY block) AS first_program FROM ra JOIN fd USING (rec_id, block)),
+fw AS (SELECT *, max(CASE WHEN program THEN 2*block WHEN fading AND block-first_program>=29 THEN 2*block+1 END) OVER (PARTITION BY rec_id ORDER BY block) AS e FROM fe),
+"""
+
+
+@query("win15_hold_trigger", f"""WITH {_SIDE}{RUN.replace('v_active', 'q_active')}, {_FADE}
+h AS (SELECT rec_id, min(block) AS trigger_block, arg_min(last_program, block) AS last_program, arg_min(e//2, block) AS upto FROM fw WHERE (block-(e//2+e%2*30))/10.0::DOUBLE>=5 GROUP BY rec_id)
+SELECT rec_id, trigger_block, CAST(last_program AS BIGINT) AS last_program, CAST(least(trigger_block,upto+40) AS BIGINT) AS keep_to_block FROM h""")
 def _(spark, d):
-    return B.hold_trigger(B.last_program(_run_out(spark, d)), 5.0)
+    blocks = stage(B.run_out_blocks(ending_sides(spark, d), V.LR_RATE, V.ACTIVITY_TAPS), "run_out_blocks")
+    program = B.run_out_program(B.quietest_so_far(blocks), V.LR_RATE)
+    return B.hold_trigger(B.last_program(B.fading_tail(program)), 5.0)
 
 
 @query("join15_stereo_correlation", "SELECT rec_id, round(sum(l*r)/sqrt(sum(l*l)*sum(r*r)),6)+0.0::DOUBLE AS correlation FROM v_lr GROUP BY rec_id")

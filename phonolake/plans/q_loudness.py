@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from phonolake.operators import loudness as N
 from phonolake.operators import transforms as P
+from phonolake.operators.weighting import weighted
 from phonolake.plans import views as V
 from phonolake.plans.q_transforms import r6
 from phonolake.plans.registry import query
 
-SUB = "sub AS (SELECT rec_id, n//100 AS sub, sum(v*v)/100 AS ms FROM v_stereo GROUP BY 1,2 HAVING count(*)=200)"
+SUB = "sub AS (SELECT rec_id, n//100 AS sub, sum(v*v)/100 AS ms FROM v_k GROUP BY 1,2 HAVING count(*)=200)"
 _L = "-0.691::DOUBLE+10*log10(greatest(1e-12::DOUBLE,{}))"
 MOV = SUB + ", mov AS (SELECT rec_id, sub, {} AS m, {} AS st FROM sub)".format(
     _L.format("avg(ms) OVER (PARTITION BY rec_id ORDER BY sub ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"),
@@ -43,17 +44,21 @@ MEASURE = INT + ", " + _tp_sql() + """, meas AS (SELECT e.rec_id, coalesce(integ
   20*log10(true_peak) AS true_peak_db FROM (SELECT DISTINCT rec_id FROM mov) e LEFT JOIN integ USING (rec_id) LEFT JOIN rng USING (rec_id) JOIN tp USING (rec_id))"""
 
 
+def _heard(spark, d):
+    return weighted(V.stereo(spark, d), V.LR_RATE, "K", response=V.K_TAPS)
+
+
 def _moving(spark, d):
-    return N.moving_loudness(N.sub_blocks(V.stereo(spark, d), V.LR_RATE))
+    return N.moving_loudness(N.sub_blocks(_heard(spark, d), V.LR_RATE))
 
 
 def _measures(spark, d):
-    return N.measure(V.stereo(spark, d), V.LR_RATE)
+    return N.measure(V.stereo(spark, d), V.LR_RATE, response=V.K_TAPS)
 
 
 @query("agg06_sub_block_power", f"WITH {SUB} SELECT rec_id, sub, round(ms,9) AS ms FROM sub")
 def _(spark, d):
-    return N.sub_blocks(V.stereo(spark, d), V.LR_RATE).withColumn("ms", r6("ms", 9))
+    return N.sub_blocks(_heard(spark, d), V.LR_RATE).withColumn("ms", r6("ms", 9))
 
 
 @query("win01_moving_loudness", f"""WITH {MOV} SELECT rec_id, sub, round(m,6) AS momentary, round(st,6) AS short_term, sub>=3 AS momentary_full,
@@ -144,6 +149,6 @@ g AS (SELECT rec_id, CASE WHEN abs(least(a-integrated,-1.0::DOUBLE-true_peak_db)
 SELECT rec_id, ch, n, round(v*pow(10.0::DOUBLE,gain/20),6)+0.0::DOUBLE AS v FROM v_stereo JOIN g USING (rec_id)""")
 def _(spark, d):
     samples = V.stereo(spark, d)
-    plan = N.loudness_match(N.measure(samples, V.LR_RATE), "average")
+    plan = N.loudness_match(N.measure(samples, V.LR_RATE, response=V.K_TAPS), "average")
     gains = plan.withColumn("gain_db", F.when(F.col("applies"), F.col("gain_db")).otherwise(0.0))
     return P.gain(samples, gains).select("rec_id", "ch", "n", r6("v").alias("v"))

@@ -14,6 +14,7 @@ from phonolake.operators import loudness as N
 from phonolake.operators import segments as G
 from phonolake.operators import spectrum as Z
 from phonolake.operators import transforms as P
+from phonolake.operators.weighting import weighted
 from phonolake.plans import views as V
 from phonolake.plans.q_blocks import BLK
 from phonolake.plans.q_segments import SIL, _silences
@@ -109,10 +110,10 @@ def _(spark, d):
     return V.table(spark, d, "part").select("p_partkey", r6(Z.emphasis_db(hz)).alias("emphasis_db"), F.inline(rows))
 
 
-@query("fun15_k_weighting")
+@query("fun15_k_weighting", "SELECT rec_id, n//100 AS sub, round(sum(v*v)/100,9) AS ms FROM v_k GROUP BY 1,2 HAVING count(*)=200")
 def _(spark, d):
-    weighted = Z.weighted(V.stereo(spark, d), V.LR_RATE)
-    return N.sub_blocks(weighted, V.LR_RATE).withColumn("ms", r6("ms", 9))
+    heard = weighted(V.stereo(spark, d), V.LR_RATE, "K", response=V.K_TAPS)
+    return N.sub_blocks(heard, V.LR_RATE).withColumn("ms", r6("ms", 9))
 
 
 @query("agg19_hum_comb")
@@ -323,7 +324,7 @@ def _(spark, d):
 
 @query("udx03_gated_mean", f"WITH {BLK}, k AS (SELECT rec_id, rms_db AS x FROM blk WHERE rms_db>-70), g AS (SELECT rec_id, -0.691::DOUBLE+10*log10(greatest(1e-12,avg(pow(10.0::DOUBLE,(x+0.691::DOUBLE)/10))))-10 AS g FROM k GROUP BY 1) SELECT rec_id, round(-0.691::DOUBLE+10*log10(greatest(1e-12,avg(pow(10.0::DOUBLE,(x+0.691::DOUBLE)/10)))),5)+0.0::DOUBLE AS gated, CAST(count(*) AS BIGINT) AS kept FROM k JOIN g USING (rec_id) WHERE x>g GROUP BY 1")
 def _(spark, d):
-    blocks = B.block_summary(V.stereo(spark, d), V.LR_RATE)
+    blocks = B.block_summary(V.stereo(spark, d), V.LR_RATE, V.ACTIVITY_TAPS)
     return N.gated_mean(blocks, "rms_db", ["rec_id"], 10.0).withColumn("gated", r6("gated", 5))
 
 

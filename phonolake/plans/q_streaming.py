@@ -42,13 +42,13 @@ def _(spark, d):
 
 @query("st02_live_momentary", f"WITH {MOV} SELECT rec_id AS take_id, sub AS block, round(m,6) AS loudness FROM mov WHERE sub>=3")
 def _(spark, d):
-    full = S.run(S.live_loudness(_stream(spark, d), V.LR_RATE, "400 milliseconds", 4), "momentary")
+    full = S.run(S.live_loudness(S.live_weighted(_stream(spark, d), V.LR_RATE, response=V.K_TAPS), V.LR_RATE, "400 milliseconds", 4), "momentary")
     return _whole(spark, d, full)
 
 
 @query("st02_live_short_term", f"WITH {MOV} SELECT rec_id AS take_id, sub AS block, round(st,6) AS loudness FROM mov WHERE sub>=29")
 def _(spark, d):
-    full = S.run(S.live_loudness(_stream(spark, d), V.LR_RATE, "3 seconds", 30), "short_term")
+    full = S.run(S.live_loudness(S.live_weighted(_stream(spark, d), V.LR_RATE, response=V.K_TAPS), V.LR_RATE, "3 seconds", 30), "short_term")
     return _whole(spark, d, full)
 
 
@@ -61,7 +61,7 @@ def _whole(spark, d, readings):
 
 @query("st03_run_out_monitor", f"WITH {RUN} SELECT rec_id AS take_id, block, round(activity_rms_db,5)+0.0::DOUBLE AS level_db, round(floor_db,5)+0.0::DOUBLE AS floor_db, program FROM rp")
 def _(spark, d):
-    out = S.run(S.run_out_monitor(_stream(spark, d), V.LR_RATE), "run_out").filter("take_id >= 0")
+    out = S.run(S.run_out_monitor(_stream(spark, d), V.LR_RATE, response=V.ACTIVITY_TAPS), "run_out").filter("take_id >= 0")
     frames = V.lr(spark, d).groupBy(F.col("rec_id").alias("take_id")).agg((F.floor(F.count(F.lit(1)) / 100)).alias("_blocks"))
     return out.join(frames, "take_id").filter(F.col("block") < F.col("_blocks")).select(
         "take_id", "block", r6("level_db", 5).alias("level_db"), r6("floor_db", 5).alias("floor_db"), "program")
@@ -89,7 +89,7 @@ def _(spark, d):
 def _(spark, d):
     # Blocks arrive as a stream, are kept in an idempotent table, and the levels are recomputed from the retained part.
     source = scratch_path(spark, "blocks")
-    B.block_summary(V.stereo(spark, d), V.LR_RATE).write.parquet(source)
+    B.block_summary(V.stereo(spark, d), V.LR_RATE, V.ACTIVITY_TAPS).write.parquet(source)
     schema = spark.read.parquet(source).schema
     table = scratch_path(spark, "rolling")
     S.append_batches(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source), table, scratch_path(spark, "rolling-checkpoint"))

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.operators.ordered import ordinals
+from phonolake.operators.weighting import weighting_response
 
 SIG_RATE = 100
 LR_RATE = 1000
+#: Short responses for the fixtures, which SQL can sum lag by lag: the K weighting as made for 48 kHz, the activity
+#: high-pass as made for the fixture's own rate.
+K_TAPS = [round(float(x), 12) for x in weighting_response("K", 48_000, 24)]
+ACTIVITY_TAPS = [round(float(x), 12) for x in weighting_response("activity", LR_RATE, 24)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -169,6 +174,12 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+def _fir_sql(taps: list[float]) -> str:
+    return "+".join(f"({t!r}::DOUBLE)*coalesce(lag(v,{k}) OVER w,0)" for k, t in enumerate(taps))
+
+
 SQL = {
     "v_sig": """SELECT user_id%4 AS rec_id, CAST(0 AS BIGINT) AS ch,
         row_number() OVER (PARTITION BY user_id%4 ORDER BY ts,event_id)-1 AS n, (value-100.0)/350.0 AS v FROM events""",
@@ -180,6 +191,8 @@ SQL = {
         (l_quantity-25.5::DOUBLE)/25.5::DOUBLE AS l, (l_discount-0.05::DOUBLE)/0.05::DOUBLE AS r FROM lineitem)""",
     "v_stereo": """SELECT rec_id, CAST(0 AS BIGINT) AS ch, n, l AS v FROM v_lr
         UNION ALL SELECT rec_id, CAST(1 AS BIGINT), n, r FROM v_lr""",
+    "v_k": f"SELECT rec_id, ch, n, {_fir_sql(K_TAPS)} AS v FROM v_stereo WINDOW w AS (PARTITION BY rec_id, ch ORDER BY n)",
+    "v_active": f"SELECT rec_id, ch, n, v, {_fir_sql(ACTIVITY_TAPS)} AS a FROM v_stereo WINDOW w AS (PARTITION BY rec_id, ch ORDER BY n)",
     "v_frames": """SELECT CAST(label AS BIGINT) AS rec_id, vec_id AS frame,
         CAST(generate_subscripts(embedding,1)-1 AS BIGINT) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings""",
     "v_words": r"""SELECT rec_id, line_no, i, CAST(line_no*100+i*0.25::DOUBLE AS DOUBLE) AS w_start,

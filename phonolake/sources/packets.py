@@ -15,7 +15,7 @@ def to_packets(samples: DataFrame, frames: int, rate: int) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("n", "v")))
     seq = F.floor(F.col("n") / frames).cast("long")
     packed = samples.groupBy(F.col("rec_id").alias("take_id"), seq.alias("seq"), "ch").agg(ordered.alias("_s"))
-    micros = F.unix_micros(F.lit(START).cast("timestamp")) + F.col("seq") * (frames * 1_000_000 // rate)
+    micros = F.unix_micros(F.lit(START).cast("timestamp")) + F.floor(F.col("seq") * frames * 1_000_000 / rate).cast("long")
     return packed.select(
         "take_id", "seq", F.timestamp_micros(micros).alias("ts"), "ch", F.transform("_s", lambda s: s["v"]).alias("v")
     )

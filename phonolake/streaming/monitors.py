@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from phonolake.functions.levels import amplitude_db, is_finite, lufs
 from phonolake.operators.signal import CLIP_LEVEL
+from phonolake.operators.weighting import weighting_response
 from phonolake.session import scratch_path
 
 PACKETS = T.StructType([
@@ -61,34 +62,54 @@ def run(stream: DataFrame, label: str, path: str | None = None, checkpoint: str
 # --- packets and windows --------------------------------------------------------------------------------
 
 
-def sample_times(packets: DataFrame, rate: int) -> DataFrame:
-    """One row per sample with its own event time; a closing packet keeps one row without a value."""
-    opened = packets.select("take_id", "ch", "ts", F.posexplode_outer("v").alias("i", "v"))
-    micros = F.unix_micros("ts") + F.coalesce(F.col("i"), F.lit(0)) * (1_000_000 // rate)
-    return opened.select("take_id", "ch", F.timestamp_micros(micros).alias("ts"), "v")
+METER_MICROS = 100_000
+
+
+def _reduced(x: str) -> list:
+    """Figures of the samples in the array column ``x``."""
+    good = F.filter(x, lambda v: v.isNotNull() & is_finite(v))
+    return [
+        F.array_max(F.transform(good, F.abs)).alias("peak"),
+        F.aggregate(good, F.lit(0.0), lambda a, v: a + v * v).alias("power"),
+        F.size(F.filter(x, lambda v: v.isNotNull())).alias("values"),
+        F.size(F.filter(good, lambda v: F.abs(v) >= CLIP_LEVEL)).alias("clipped"),
+        F.size(F.filter(x, lambda v: v.isNotNull() & ~is_finite(v))).alias("invalid"),
+    ]
+
+
+def packet_meter(packets: DataFrame, rate: int) -> DataFrame:
+    """One row per packet and 100 ms it touches: the packet's samples are reduced where they lie, before any shuffle.
+
+    Sample i of a packet is due at ts + floor(i * 1e6 / rate) microseconds, so the samples of a window are a slice of the
+    array. A closing packet keeps one row without values.
+    """
+    micros, size = F.unix_micros("ts"), F.coalesce(F.size("v"), F.lit(0))
+    first = F.floor(micros / METER_MICROS)
+    last = F.floor((micros + F.floor(F.greatest(size - 1, F.lit(0)) * 1_000_000 / rate)) / METER_MICROS)
+    at = lambda w: F.greatest(F.lit(0), F.ceil((w * METER_MICROS - micros) * rate / 1_000_000)).cast("int")
+    cut = packets.select("take_id", "ts", "v", F.explode(F.sequence(first, last)).alias("w"))
+    begin, end = at(F.col("w")), at(F.col("w") + 1)
+    cut = cut.withColumn("x", F.slice("v", begin + 1, F.greatest(end - begin, F.lit(0))))
+    return cut.select("take_id", F.timestamp_micros(F.greatest(micros, F.col("w") * METER_MICROS)).alias("ts"), *_reduced("x"))
+
+
+def _metered(parts: DataFrame) -> DataFrame:
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    return parts.groupBy(F.window("ts", "100 milliseconds"), "take_id").agg(
+        F.max("peak").alias("peak"), F.sum("power").alias("power"), total("values"), total("clipped"), total("invalid"))
 
 
 def block_meter(packets: DataFrame, rate: int, late: str = "10 seconds") -> DataFrame:
-    """Peak, mean square, clipped and invalid counts per take and 100 ms."""
-    samples = sample_times(packets, rate).withWatermark("ts", late)
-    good = F.when(is_finite(F.col("v")), F.col("v"))
-    return (
-        samples.groupBy(F.window("ts", "100 milliseconds"), "take_id")
-        .agg(
-            F.max(F.abs(good)).alias("peak"), F.sum(good * good).alias("power"), F.count("v").alias("values"),
-            F.count_if(F.abs(good) >= CLIP_LEVEL).alias("clipped"),
-            F.count_if(F.col("v").isNotNull() & ~is_finite(F.col("v"))).alias("invalid"),
-        )
-    )
+    """Peak, power, clipped and invalid counts per take and 100 ms."""
+    return _metered(packet_meter(packets, rate).withWatermark("ts", late))
 
 
 def live_loudness(packets: DataFrame, rate: int, span: str, rows: int) -> DataFrame:
-    """Momentary (400 ms, 4 rows) or short-term (3 s, 30 rows) loudness: a second window over the block meter.
-
-    Partial windows at the start are left out by the row count.
+    """Momentary (400 ms, 4 rows) or short-term (3 s, 30 rows) loudness of the packets that ``live_weighted`` gives, none of
+    which crosses a 100 ms border. Partial windows at the start are left out by the row count.
     """
     size = rate // 10
-    blocks = block_meter(packets, rate).filter("values > 0").withColumn("ts", F.window_time("window"))
+    blocks = _metered(packets.select("take_id", "ts", *_reduced("v"))).filter("values > 0").withColumn("ts", F.window_time("window"))
     return (
         blocks.groupBy(F.window("ts", span, "100 milliseconds").alias("span"), "take_id")
         .agg(F.avg(F.col("power") / size).alias("ms"), F.count(F.lit(1)).alias("blocks"))
@@ -154,6 +175,7 @@ RUN_OUT = T.StructType([
     T.StructField("fading", T.BooleanType()), T.StructField("seconds_waited", T.DoubleType()),
     T.StructField("triggered", T.BooleanType()),
 ])
+WAITING_PACKETS = 100  # a packet still missing when so many later ones have come is passed over
 CONTACT = T.StructType([
     T.StructField("take_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("peak", T.DoubleType()),
     T.StructField("step", T.DoubleType()), T.StructField("preroll_seq", T.LongType()),
@@ -178,95 +200,179 @@ def _packets_in_order(frames):
             yield int(seq), np.nan_to_num(np.vstack(signal), nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def _median(values):
-    import statistics
+def _in_turn(frames, held, due):
+    """(packets whose turn it is, packets to hold, next number due): a packet that comes a batch late waits for the ones
+    before it; one that is still missing after WAITING_PACKETS later ones is passed over."""
+    have = {int(seq): x for seq, x in held} | {seq: x for seq, x in _packets_in_order(frames) if due is None or seq >= due}
+    ready = []
+    for seq in sorted(have):
+        if due is not None and seq > due and len(have) <= WAITING_PACKETS:
+            break
+        ready.append((seq, have.pop(seq)))
+        due = seq + 1
+    return ready, sorted(have.items()), due
+
+
+def block_records(x, before, rate: int, response):
+    """(level_db, peak_db, crossings per second) of each whole 100 ms block of x (channels × samples), the rule of
+    ``blocks.run_out_blocks``. ``before`` holds the samples that came first, at least as many as the response has taps."""
+    import numpy as np
 
-    return statistics.median(values)
+    from phonolake.operators.weighting import filtered
+
+    small, big = rate // 100, rate // 10
+    count = x.shape[1] // big
+    lead = before.shape[1]
+    a = np.vstack([filtered(row, response) for row in np.hstack([before, x])])[:, max(lead - 1, 0):]
+    if not lead:  # nothing came before: the first sample has no predecessor to cross from
+        a = np.hstack([np.full((len(x), 1), np.nan), a])
+    sign = np.sign(a[:, : count * big + 1])
+    cross = (sign[:, 1:] != 0) & (sign[:, 1:] != sign[:, :-1]) & ~np.isnan(sign[:, :-1])
+    crossings = cross.reshape(len(x), count, big).sum(axis=2).max(axis=0) * rate / big
+    power = (a[:, 1 : count * big + 1] ** 2).reshape(len(x), count, 10, small).mean(axis=(0, 3))
+    peak = np.abs(x[:, : count * big]).reshape(len(x), count, big).max(axis=(0, 2))
+    with np.errstate(divide="ignore"):
+        levels = np.median(10 * np.log10(power), axis=1)
+        return list(zip(levels.tolist(), (20 * np.log10(peak)).tolist(), crossings.tolist()))
+
+
+class SideMonitor:
+    """The batch rules (``quietest_so_far``, ``fading_tail``, ``waiting``) one block at a time. All it keeps is the ten
+    quietest levels, the last thirty levels, the first programme block and the block from which the hold counts."""
+
+    def __init__(self, rate, hold, minimum_peak_db, block=0, quiet=(), recent=(), first=-1, since=-1, done=False):
+        self.rate, self.hold, self.minimum_peak_db = rate, hold, minimum_peak_db
+        self.block, self.quiet, self.recent = block, list(quiet), list(recent)
+        self.first, self.since, self.done = first, since, done
+
+    def kept(self):
+        return (self.block, self.quiet, self.recent, self.first, self.since, self.done)
+
+    def falling(self) -> bool:
+        import math
+        import statistics
+
+        from phonolake.operators import blocks as B
+
+        if self.first < 0 or self.block - self.first < 29 or len(self.recent) < 30:
+            return False
+        thirds = [statistics.median(self.recent[i:i + 10]) for i in (0, 10, 20)]
+        settled = len(self.quiet) == B.FLOOR_BLOCKS and thirds[2] <= self.quiet[-1] + 1.5
+        return all(map(math.isfinite, thirds)) and not settled and min(thirds[0] - thirds[1], thirds[1] - thirds[2]) >= 0.15
+
+    def see(self, level: float, peak: float, crossings: float):
+        from phonolake.operators import blocks as B
+
+        floor = self.quiet[-1] if len(self.quiet) == B.FLOOR_BLOCKS else None
+        gate = B.PROGRAM_BLOCK_DB if floor is None else max(B.PROGRAM_BLOCK_DB, floor + B.SEPARATION_DB)
+        program = level > gate and peak > self.minimum_peak_db and 150 <= crossings <= 0.4 * self.rate
+        self.recent = [*self.recent, level][-30:]
+        if program and self.first < 0:
+            self.first = self.block
+        fading = not program and self.falling()
+        if program or fading:
+            self.since = self.block + fading * B.SETTLING_BLOCKS
+        if B.MEDIUM_FLOOR_DB <= level <= B.PROGRAM_BLOCK_DB:
+            self.quiet = sorted([*self.quiet, level])[: B.FLOOR_BLOCKS]
+        waited = max(0, self.block - self.since) / 10 if self.since >= 0 else 0.0
+        self.done = self.done or (self.since >= 0 and waited >= self.hold)
+        row = (self.block, level, floor, program, fading, waited, self.done)
+        self.block += 1
+        return row
 
 
 def _processors():
     """Defined on first use: the base class needs the streaming module of the running Spark."""
     from pyspark.sql.streaming import StatefulProcessor
 
-    class RunOut(StatefulProcessor):
-        """End-of-side monitor: learned floor, fade hold and silence hold; one packet is one 100 ms block."""
+    import numpy as np
+    import pandas as pd
 
-        FIELDS = "quiet array<double>, tail array<double>, signs array<double>, counts array<double>"
+    class Held(StatefulProcessor):
+        """Keeps packets in turn and the samples that later ones still need, per channel."""
 
-        def __init__(self, rate: int, hold: float, minimum_peak_db: float = -60.0) -> None:
-            self.rate, self.hold, self.minimum_peak_db = rate, min(60.0, max(5.0, hold)), minimum_peak_db
+        FIELDS = "channels int, tail array<double>, waiting array<struct<seq: long, channels: int, v: array<double>>>, due long"
 
-        def init(self, handle) -> None:
-            self.state = handle.getValueState("take", self.FIELDS)
+        def load(self, value):
+            channels, tail, waiting, due = value
+            shape = lambda v, c: np.array(v, dtype=float).reshape(c, -1)
+            return shape(tail, channels), [(w[0], shape(w[2], w[1])) for w in waiting], due
 
-        def handleInputRows(self, key, rows, timerValues):
-            import math
+        def stored(self, tail, waiting, due):
+            return (len(tail), tail.ravel().tolist(), [(int(s), len(x), x.ravel().tolist()) for s, x in waiting], due)
 
-            import numpy as np
-            import pandas as pd
+        def close(self) -> None:
+            pass
+
+    class RunOut(Held):
+        """End-of-side monitor for packets of any length: blocks are cut from the joined samples."""
 
-            def db(x):
-                return 20 * math.log10(x) if x > 0 else -math.inf
+        def __init__(self, rate: int, hold: float, minimum_peak_db: float, response) -> None:
+            self.setting = (rate, min(60.0, max(5.0, hold)), minimum_peak_db)
+            self.rate, self.response = rate, np.asarray(response, dtype=float)
 
-            held = self.state.get() if self.state.exists() else ([], [], [], [0.0] * 6)
-            quiet, tail, signs, counts = ([float(x) for x in part] for part in held)
-            heard, waited, since_fade, preserved, settled, done = counts
+        def init(self, handle) -> None:
+            self.packets = handle.getValueState("packets", self.FIELDS + ", lead int")
+            self.side = handle.getValueState(
+                "side", "block long, quiet array<double>, recent array<double>, first long, since long, done boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            tail, waiting, due, lead = np.empty((0, 0)), [], None, 0
+            if self.packets.exists():
+                *held, lead = self.packets.get()
+                tail, waiting, due = self.load(held)
+            monitor = SideMonitor(*self.setting, *(self.side.get() if self.side.exists() else ()))
+            ready, waiting, due = _in_turn(rows, waiting, due)
             out = []
-            for block, x in _packets_in_order(rows):
-                if x.shape[1] < self.rate // 10:
-                    continue  # an unfinished block at the end of a take decides nothing
-                small = self.rate // 100
-                usable = x[:, : x.shape[1] // small * small]
-                power = (usable**2).reshape(x.shape[0], -1, small).sum(axis=(0, 2)) / (small * x.shape[0])
-                level = _median([db(math.sqrt(p)) for p in power])
-                sign = np.sign(x)
-                before = np.array(signs)[:, None] if signs else np.full((x.shape[0], 1), np.nan)
-                previous = np.hstack([before, sign[:, :-1]])
-                crossings = ((sign != 0) & (sign != previous) & ~np.isnan(previous)).sum(axis=1).max()
-                signs = [float(s) for s in sign[:, -1]]
-                floor = quiet[9] if len(quiet) == 10 else None
-                gate = max(-55.0, floor + 10) if floor is not None else -55.0
-                per_second = crossings / (x.shape[1] / self.rate)
-                program = (
-                    level > gate and db(float(np.abs(x).max())) > self.minimum_peak_db and 150 <= per_second <= 0.4 * self.rate
-                )
-                if -80 <= level <= -55:
-                    quiet = sorted([*quiet, level])[:10]
-                if program or heard:
-                    tail = [*tail, level][-30:]
-                fading = False
-                seconds = x.shape[1] / self.rate
-                if program:
-                    heard, waited, since_fade, preserved, settled = 1.0, 0.0, 0.0, 0.0, 0.0
-                else:
-                    fading = bool(heard) and self._falling(tail, quiet)
-                    if fading:
-                        waited, since_fade, preserved, settled = 0.0, 0.0, 1.0, 0.0
-                    elif preserved and not settled:
-                        since_fade, waited = since_fade + seconds, 0.0
-                        settled = float(since_fade >= 3.0)
-                    else:
-                        since_fade += seconds if preserved else 0.0
-                        waited += seconds
-                        if heard and waited >= self.hold - 1e-9:
-                            done = 1.0
-                out.append((key[0], block, level, floor, program, fading, waited, bool(done)))
-            self.state.update((quiet, tail, signs, [heard, waited, since_fade, preserved, settled, done]))
+            if ready:
+                x = np.hstack(([tail] if tail.size else []) + [p for _, p in ready])
+                before, fresh = x[:, :lead], x[:, lead:]
+                out = [(key[0], *monitor.see(*record)) for record in block_records(fresh, before, self.rate, self.response)]
+                used = lead + len(out) * (self.rate // 10)
+                lead = min(used, len(self.response) + 1)
+                tail = x[:, used - lead:]
+            if tail.size or waiting:
+                self.packets.update((*self.stored(tail, waiting, -1 if due is None else due), lead))
+                block, quiet, recent, first, since, done = monitor.kept()
+                self.side.update((block, quiet, recent, first, since, bool(done)))
             yield pd.DataFrame(out, columns=RUN_OUT.names)
 
-        @staticmethod
-        def _falling(tail, quiet):
-            import math
+    class Weighted(Held):
+        """Filtered samples, cut at 100 ms borders; a channel's last samples wait in the state for the next packet."""
 
-            if len(tail) < 30:
-                return False
-            a, b, c = (_median(tail[i : i + 10]) for i in (0, 10, 20))
-            if not all(map(math.isfinite, (a, b, c))) or (len(quiet) == 10 and c <= quiet[9] + 1.5):
-                return False
-            return a - b >= 0.15 and b - c >= 0.15
+        def __init__(self, response, rate: int) -> None:
+            self.response, self.rate = np.asarray(response, dtype=float), rate
 
-        def close(self) -> None:
-            pass
+        def parts(self, ts, y):
+            due = ts.value // 1000 + np.floor(np.arange(len(y)) * 1e6 / self.rate).astype(np.int64)
+            edge = np.flatnonzero(np.diff(due // METER_MICROS)) + 1
+            for start, piece in zip([0, *edge], np.split(y, edge)):
+                yield pd.Timestamp(int(due[start]), unit="us"), piece.tolist()
+
+        def init(self, handle) -> None:
+            self.packets = handle.getValueState("packets", self.FIELDS)
+
+        def handleInputRows(self, key, rows, timerValues):
+            from phonolake.operators.weighting import filtered
+
+            tail, waiting, due = np.empty((1, 0)), [], None
+            if self.packets.exists():
+                tail, waiting, due = self.load(self.packets.get())
+            frames = pd.concat(list(rows))
+            # A packet that had to wait is given out with the time it is due, counted from one that is here.
+            here, at = frames["seq"].iloc[0], frames["ts"].iloc[0]
+            span = lambda n, size: pd.Timedelta(int(n * size * 1e6 / self.rate), unit="us")
+            times = {int(s): at + span(int(s) - here, x.shape[1]) for s, x in waiting} | dict(zip(frames["seq"], frames["ts"]))
+            out = [(key[0], int(r.seq), r.ts, key[1], []) for r in frames.itertuples() if r.v is None or not len(r.v)]
+            ready, waiting, due = _in_turn([frames], waiting, due)
+            for seq, x in ready:
+                joined = np.hstack([tail, x])
+                y = filtered(joined[0], self.response)[tail.shape[1]:]
+                out.extend((key[0], seq, ts, key[1], v) for ts, v in self.parts(times[seq], y))
+                tail = joined[:, max(0, joined.shape[1] - len(self.response)):]
+            if due is not None:
+                self.packets.update(self.stored(tail, waiting, due))
+            yield pd.DataFrame(out, columns=PACKETS.names)
 
     class Contact(StatefulProcessor):
         """Contact trigger: a loud, sudden and peaky packet after a warm-up; noise is learned slowly and capped."""
@@ -347,7 +453,7 @@ def _processors():
         def close(self) -> None:
             pass
 
-    return RunOut, Contact, Capacity
+    return RunOut, Contact, Capacity, Weighted
 
 
 def _keyed(packets: DataFrame, processor, schema: T.StructType) -> DataFrame:
@@ -356,8 +462,18 @@ def _keyed(packets: DataFrame, processor, schema: T.StructType) -> DataFrame:
     )
 
 
-def run_out_monitor(packets: DataFrame, rate: int, hold: float = 12.0) -> DataFrame:
-    return _keyed(packets, _processors()[0](rate, hold), RUN_OUT)
+def run_out_monitor(packets: DataFrame, rate: int, hold: float = 12.0, minimum_peak_db: float = -60.0, response=None) -> DataFrame:
+    """Blocks of each take with the decisions of the end-of-side monitor."""
+    taps = response if response is not None else weighting_response("activity", rate)
+    return _keyed(packets, _processors()[0](rate, hold, minimum_peak_db, list(taps)), RUN_OUT)
+
+
+def live_weighted(packets: DataFrame, rate: int, kind: str = "K", response=None, late: str = "10 seconds") -> DataFrame:
+    """Packets with filtered samples, keyed by take and channel; their times stay event times for the windows after it."""
+    taps = response if response is not None else weighting_response(kind, rate)
+    return packets.withWatermark("ts", late).groupBy("take_id", "ch").transformWithStateInPandas(
+        statefulProcessor=_processors()[3](list(taps), rate), outputStructType=PACKETS, outputMode="Append", timeMode="EventTime",
+        eventTimeColumnName="ts")
 
 
 def contact_trigger(packets: DataFrame, rate: int, preroll: float = 0.25) -> DataFrame:
