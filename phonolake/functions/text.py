@@ -204,17 +204,28 @@ def note_name(hz: Column) -> Column:
 
 
 def find_pattern(find: str, match_case: bool = False, whole_words: bool = True) -> str:
-    """Java expression for a literal search: any white space matches any, whole words do not split at apostrophes."""
-    import re
-
-    body = r"\s+".join(re.sub(r"([^A-Za-z0-9 ])", r"\\\1", part) for part in re.split(r"\s+", find))
-    if whole_words:
-        inner = r"[\p{L}\p{M}\p{N}_]"
-        edge = rf"(?!(?<={inner}){inner})(?!(?<={inner})['’]{inner})(?!(?<={inner}['’]){inner})"
-        body = edge + body + edge
+    """Java expression for a literal search. White space in ``find`` stands for any white space. A whole-word search that
+    begins (ends) with a letter may not continue a word to its left (right), not even across an apostrophe."""
+    parts = ["\\Q" + part.replace("\\E", "\\E\\\\E\\Q") + "\\E" for part in find.split()]
+    body = r"\s+".join(parts)
+    letter = r"[\p{L}\p{M}\p{N}_]"
+    if whole_words and find[:1].isalnum():
+        body = rf"(?<!{letter})(?<!{letter}['’])" + body
+    if whole_words and find[-1:].isalnum():
+        body += rf"(?!['’]?{letter})"
     return body if match_case else "(?iu)" + body
 
 
+def apply_replacement(text: Column, before: Column, after: Column) -> Column:
+    """The previewed text where the line still reads as it did; the line itself where someone changed it since."""
+    return F.when(text == before, after).otherwise(text)
+
+
+def undo_replacement(text: Column, before: Column, after: Column) -> Column:
+    """The earlier text where the replacement still stands unchanged."""
+    return F.when(text == after, before).otherwise(text)
+
+
 def replace_preview(text: Column, find: str, replacement: str, **options) -> Column:
     """struct(before, after, changed): ``changed`` counts matches that differ from the replacement."""
     pattern = find_pattern(find, **options)

@@ -38,3 +38,20 @@ def align_counts(reference: list[str], hypothesis: list[str]) -> tuple[int, int,
 def align(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     counts = [align_counts(list(r), list(h)) for r, h in zip(reference, hypothesis)]
     return pd.DataFrame(counts, columns=["hits", "substitutions", "deletions", "insertions"], dtype="int64")
+
+
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a whole row of the table held in one integer."""
+    places: dict[str, int] = {}
+    for i, word in enumerate(a):
+        places[word] = places.get(word, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for word in b:
+        hit = row & places.get(word, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(T.LongType())
+def common_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")

@@ -367,6 +367,17 @@ def _(spark, d):
     return V.table(spark, d, "conversations").select("conv_id", "turn", change.alias("c")).filter("c.changed > 0").select("conv_id", "turn", "c.*")
 
 
+@query("fun07_apply_and_undo", """SELECT conv_id, turn, CASE WHEN turn%3=0 THEN text||'!' ELSE replace(text,'the','THE') END AS applied, text AS undone FROM conversations WHERE contains(text,'the') AND turn%3<>0
+UNION ALL SELECT conv_id, turn, text||'!', text||'!' FROM conversations WHERE contains(text,'the') AND turn%3=0""")
+def _(spark, d):
+    # Every third line is changed by someone else between the preview and its use.
+    change = X.replace_preview(F.col("text"), "the", "THE", match_case=True, whole_words=False)
+    rows = V.table(spark, d, "conversations").select("conv_id", "turn", "text", change.alias("c")).filter("c.changed > 0")
+    now = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    applied = X.apply_replacement(now, F.col("c.before"), F.col("c.after"))
+    return rows.select("conv_id", "turn", applied.alias("applied"), X.undo_replacement(applied, F.col("c.before"), F.col("c.after")).alias("undone"))
+
+
 @query("fun07_whole_word_replacement")
 def _(spark, d):
     change = X.replace_preview(F.col("text"), "the and", "THE  AND")

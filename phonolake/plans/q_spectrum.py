@@ -287,6 +287,19 @@ def _(spark, d):
     return D.phrase_windows(slow, lengths)
 
 
+@query("fun06_useful_gaps")
+def _(spark, d):
+    lines = V.lines(spark, d)
+    # Readings of the gap behind each line: every fifth repeats the line's last three words, as a held word would.
+    spoken = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    echo = F.array_join(F.slice(spoken, F.greatest(F.lit(1), F.size(spoken) - 2), 3), " ")
+    found = lines.select(
+        "rec_id", (F.col("end") + 0.1).alias("start"), (F.col("end") + 1.0).alias("end"),
+        F.when(F.col("line_no") % 5 == 0, echo).otherwise(F.array_join(F.slice(spoken, 1, 3), " ")).alias("text"),
+        F.least(F.lit(3), F.size(spoken)).alias("words"))
+    return D.useful_gaps(found, lines).select("rec_id", r6("start").alias("start"), "text")
+
+
 @query("flt01_usable_intervals", "WITH i AS (SELECT DISTINCT rec_id, n//250 AS id FROM v_lr) SELECT rec_id, id AS interval_id FROM i WHERE EXISTS (SELECT 1 FROM v_stereo v WHERE v.rec_id=i.rec_id AND v.n>=id*250 AND v.n<id*250+125 AND abs(v.v)>1e-8)")
 def _(spark, d):
     lr = V.lr(spark, d)

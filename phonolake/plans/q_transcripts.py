@@ -229,9 +229,14 @@ def _(spark, d):
     return R.drop_boundary_duplicates(words).select("rec_id", "line_no", "i", "word")
 
 
-@query("top03_review_budget", f"""WITH RECURSIVE {_GAP}, c AS (SELECT rec_id, line_no, avg(p) AS a FROM v_words GROUP BY 1,2),
-un AS (SELECT rec_id, line_no, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY rec_id ORDER BY 1-a DESC, "start", line_no) AS k FROM v_lines JOIN c USING (rec_id, line_no)
- WHERE needs_review AND len({tok('text')})>=2 AND "end"-"start"<=16),
+@query("top03_review_budget", f"""WITH RECURSIVE {_GAP}, wk AS (SELECT * FROM (SELECT rec_id, line_no, i, w_start, w_end, row_number() OVER (PARTITION BY rec_id, line_no ORDER BY p, i) AS k FROM v_words) WHERE k=1),
+fi AS (SELECT w.rec_id, w.line_no, min(w.i) AS f FROM v_words w JOIN wk USING (rec_id, line_no) WHERE w.i<=wk.i AND wk.w_end-w.w_start<=12 GROUP BY 1,2),
+la AS (SELECT w.rec_id, w.line_no, max(w.i) AS l FROM v_words w JOIN wk USING (rec_id, line_no) JOIN fi USING (rec_id, line_no) JOIN v_words x ON x.rec_id=w.rec_id AND x.line_no=w.line_no AND x.i=fi.f
+ WHERE w.i>=wk.i AND w.w_end-x.w_start<=12 GROUP BY 1,2),
+c AS (SELECT l.rec_id, l.line_no, CASE WHEN l."end"-l."start"<=16 THEN l."start" ELSE min(w.w_start) END AS s, CASE WHEN l."end"-l."start"<=16 THEN l."end" ELSE max(w.w_end) END AS e, avg(w.p) AS a
+ FROM v_lines l JOIN fi USING (rec_id, line_no) JOIN la USING (rec_id, line_no) JOIN v_words w ON w.rec_id=l.rec_id AND w.line_no=l.line_no AND (l."end"-l."start"<=16 OR w.i BETWEEN f AND la.l)
+ WHERE needs_review AND len({tok('l.text')})>=2 GROUP BY l.rec_id, l.line_no, l."start", l."end"),
+un AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY 1-a DESC, s, line_no) AS k FROM c),
 ch AS (SELECT * FROM un WHERE k<=6), tk AS (SELECT rec_id, count(*) AS t FROM ch GROUP BY 1),
 w(rec_id, s, e) AS (SELECT rec_id, lo, hi FROM gp WHERE hi-lo>=0.9 UNION ALL SELECT rec_id, s+12, e FROM w WHERE e-(s+12)>=0.9),
 gk AS (SELECT rec_id, s, least(e,s+12) AS e, row_number() OVER (PARTITION BY rec_id ORDER BY s) AS k FROM w)

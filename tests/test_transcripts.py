@@ -139,11 +139,56 @@ def test_gap_matching_is_one_to_one(spark):
     assert got == {100: True, 300: False, 900: False}
 
 
-def test_phrases_cover_everything():
-    out = detect._phrases(100.0, [(10.0, 11.0), (22.0, 23.0), (45.0, 46.0), (70.0, 71.0)])
-    assert out[0]["core_start"] == 0 and out[-1]["core_end"] == 100.0
-    assert all(a["core_end"] == b["core_start"] for a, b in zip(out, out[1:]))
-    assert all(p["end"] - p["start"] >= 20 for p in out)
+def test_phrases_cover_everything(spark):
+    quiet = spark.createDataFrame([(1, 10.0, 11.0), (1, 22.0, 23.0), (1, 45.0, 46.0), (1, 70.0, 71.0)], "rec_id long, start double, end double")
+    lengths = spark.createDataFrame([(1, 100.0), (2, 25.0), (3, 80.0)], "rec_id long, duration double")
+    rows = detect.phrase_windows(quiet, lengths).orderBy("rec_id", "core_start").collect()
+    out = [r for r in rows if r.rec_id == 1]
+    assert [r.core_end for r in out] == [22.88, 45.88, 70.88, 85.44, 100.0]
+    assert out[0].core_start == 0 and all(a.core_end == b.core_start for a, b in zip(out, out[1:]))
+    assert all(p.end - p.start >= 20 for p in out)
+    assert [(r.start, r.end) for r in rows if r.rec_id == 2] == [(0.0, 25.0)]
+    assert [r.core_end for r in rows if r.rec_id == 3] == [26.0, 52.0, 80.0]
+
+
+def test_common_words_against_a_plain_table():
+    from phonolake.functions.wordalign import common_subsequence
+
+    rng = random.Random(8)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + (x == y), row[j + 1], new[-1]))
+            row = new
+        assert common_subsequence(a, b) == row[-1]
+
+
+def test_useful_gaps(spark):
+    lines = spark.createDataFrame([(1, 0.0, 2.0, "walking down the road")], "rec_id long, start double, end double, text string")
+    found = spark.createDataFrame(
+        [(1, 2.2, 3.0, "the road", 2), (1, 2.2, 3.0, "another street", 2), (1, 9.0, 9.9, "oh la la road", 4), (1, 9.0, 9.9, "the road", 2)],
+        "rec_id long, start double, end double, text string, words int")
+    got = sorted((r.start, r.text) for r in detect.useful_gaps(found, lines).collect())
+    assert got == [(2.2, "another street"), (9.0, "the road")]
+
+
+def test_long_lines_are_checked_where_they_are_weakest(spark):
+    words = [{"i": i, "w_start": float(i), "w_end": i + 0.9, "word": f"w{i} ", "p": 0.1 if i == 30 else 0.9} for i in range(60)]
+    rows = [(1, 0, 0.0, 59.9, " ".join(f"w{i}" for i in range(60)), True, words), (1, 1, 70.0, 100.0, "not these words", True, words)]
+    lines = spark.createDataFrame(rows, "rec_id long, line_no long, start double, end double, text string, needs_review boolean, "
+                                  "words array<struct<i: long, w_start: double, w_end: double, word: string, p: double>>")
+    got = R.review_budget(lines, spark.createDataFrame([(1, 100.0)], "rec_id long, duration double")).filter("kind = 'line'").collect()
+    assert [(r.line_no, r.start, r.end) for r in got] == [(0, 19.0, 30.9)]
+
+
+def test_recovered_words_lose_what_a_neighbour_holds(spark):
+    primary = [line(0, 2, "we walk along")]
+    got = merged(spark, primary, [line(1, 5, "walk along the river bank")])
+    assert got[0] == ("we walk along", "primary", "walk along the river bank") and [g[1] for g in got[1:]] == ["recovered"]
+    assert "along" not in got[1][0].split()
 
 
 def test_tempo_of_a_pulse_train():
