@@ -60,34 +60,21 @@ def pyramid_base(samples: DataFrame) -> DataFrame:
     ).withColumn("level", F.lit(0))
 
 
-def next_level(level: DataFrame, number: int) -> DataFrame:
-    """Four bins into one; mean squares are averaged unweighted, so a short last bin counts fully."""
-    return level.groupBy("rec_id", "ch", slice_no("bin", LEVEL_FACTOR).alias("bin")).agg(
-        F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.avg("ms").alias("ms")
-    ).withColumn("level", F.lit(number))
-
-
-def levels_for(frames: int) -> int:
-    """Levels above the base until at most 64 bins are left."""
-    bins, count = -(-frames // BASE_BIN), 0
-    while bins > 64:
-        bins, count = -(-bins // LEVEL_FACTOR), count + 1
-    return count
-
-
-def pyramid(samples: DataFrame, max_frames: int) -> DataFrame:
-    """Levels as rows. ``max_frames`` is the longest recording; shorter ones stop at their own last level."""
+def pyramid(samples: DataFrame) -> DataFrame:
+    """Levels as rows, in one aggregation over the base bins: each bin goes to its ancestors up to the level at which its own
+    recording has at most 64 bins left. A level's mean square is the plain mean of the four below it, so a short last bin
+    counts fully; along a path that is a weight of one over the children of each ancestor, and only the last has under four.
+    """
     base = pyramid_base(samples)
-    levels, current = [base], base
-    for number in range(1, levels_for(max_frames) + 1):
-        bins = current.groupBy("rec_id", "ch").agg(F.max("bin").alias("_last"))
-        deeper = current.join(bins, ["rec_id", "ch"]).filter("_last + 1 > 64").drop("_last")
-        current = next_level(deeper, number)
-        levels.append(current)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("rec_id", "ch", "level", "bin", "mn", "mx", "ms")
+    ends = base.groupBy("rec_id", "ch").agg(F.max("bin").alias("_last"))
+    deepest = F.expr("size(filter(sequence(1, 30), j -> shiftright(_last, 2 * (j - 1)) + 1 > 64))")
+    placed = base.drop("level").join(ends, ["rec_id", "ch"]).withColumn(
+        "level", F.explode(F.sequence(F.lit(0), deepest)))
+    weight = F.expr("""CASE WHEN level = 0 THEN 1D ELSE aggregate(sequence(1, level), 1D, (w, j) ->
+        w / least(4, shiftright(_last, 2 * (j - 1)) - 4 * shiftright(bin, 2 * j) + 1)) END""")
+    return placed.withColumn("_w", weight).groupBy(
+        "rec_id", "ch", "level", F.expr("shiftright(bin, 2 * level)").alias("bin")
+    ).agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum(F.col("ms") * F.col("_w")).alias("ms"))
 
 
 def range_summary(samples: DataFrame, levels: DataFrame, ranges: DataFrame) -> DataFrame:

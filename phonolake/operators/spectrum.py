@@ -324,26 +324,17 @@ def emphasis_db(hz: Column) -> Column:
 # --- hum comb ----------------------------------------------------------------------------------------------------
 
 
-def representative_spectra(samples: DataFrame, frames: DataFrame, fft: int, windows: int = 24) -> DataFrame:
-    """Evenly spaced windows per recording (at most 24, as the survey defines): (rec_id, win, bin, p, rms_db).
+def programme_spectra(samples: DataFrame, fft: int) -> DataFrame:
+    """Power of every half-overlapping window that holds sound, averaged over channels: (rec_id, win, bin, p, rms_db, zeros).
 
-    A window names the slices it touches, so only those samples are shuffled; a window is one array of ``fft`` values.
+    Windows are framed where their samples lie; a recording of any length is covered whole.
     """
-    count = F.least(F.lit(windows), F.greatest(F.lit(2), F.floor(F.col("frames") / (fft // 2)))).cast("int")
-    k = F.col("win")
-    start = F.when(F.col("_count") == 1, 0).otherwise(F.bround(k * (F.col("frames") - fft) / (F.col("_count") - 1), 0))
-    plan = frames.filter(F.col("frames") >= fft).withColumn(
-        "_count", F.when(F.col("frames") == fft, 1).otherwise(count)
-    ).withColumn("win", F.explode(F.expr("sequence(0, _count - 1)"))).select("rec_id", "win", start.cast("long").alias("_start"))
-    spread = plan.withColumn("_slice", F.explode(F.sequence(slice_no("_start", fft), slice_no(F.col("_start") + fft - 1, fft))))
-    near = samples.withColumn("_slice", slice_no("n", fft)).join(spread, ["rec_id", "_slice"]).filter(
-        (F.col("n") >= F.col("_start")) & (F.col("n") < F.col("_start") + fft)
-    )
-    packed = near.groupBy("rec_id", "win", "ch").agg(
-        F.array_sort(F.collect_list(F.struct("n", "v"))).alias("_s"), F.avg(F.col("v") * F.col("v")).alias("_ms"),
-        F.avg((F.col("v") == 0).cast("double")).alias("_zeros"),
-    ).select("rec_id", "win", "ch", F.transform("_s", lambda s: s["v"]).alias("v"), "_ms", "_zeros")
-    power = packed.select("rec_id", "win", "_ms", "_zeros", F.posexplode(frame_power("v")).alias("bin", "p"))
+    frames = framed(samples, fft, fft // 2)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) / fft
+    silent = F.size(F.filter("v", lambda x: x == 0)) / fft
+    power = frames.select(
+        "rec_id", F.col("frame").alias("win"), square.alias("_ms"), silent.alias("_zeros"),
+        F.posexplode(frame_power("v")).alias("bin", "p"))
     return power.groupBy("rec_id", "win", "bin").agg(
         F.avg("p").alias("p"), (10 * F.log10(F.greatest(F.lit(1e-12), F.avg("_ms")))).alias("rms_db"), F.avg("_zeros").alias("zeros")
     ).filter((F.col("rms_db") > -100) & (F.col("zeros") < 0.95))

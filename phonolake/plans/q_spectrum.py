@@ -119,7 +119,7 @@ def _(spark, d):
 @query("agg19_hum_comb")
 def _(spark, d):
     s = V.stereo(spark, d)
-    power = Z.representative_spectra(s, P.frames_per_recording(s), 2048).groupBy("rec_id", "bin").agg(F.avg("p").alias("p"))
+    power = Z.programme_spectra(s, 2048).groupBy("rec_id", "bin").agg(F.avg("p").alias("p"))
     out = Z.hum_comb(power, 1000 / 2048, 1000.0)
     return out.withColumns({c: r6(c) for c in ("score", "mean_excess", "separation")})
 
@@ -222,12 +222,12 @@ def _(spark, d):
 @query("win19_tempo")
 def _(spark, d):
     s = V.stereo(spark, d)
-    return D.tempo(s, P.frames_per_recording(s), V.LR_RATE, 32).withColumn("confidence", r6("confidence"))
+    return D.tempo(s, V.LR_RATE, 32).withColumn("confidence", r6("confidence"))
 
 
 @query("win21_pitch")
 def _(spark, d):
-    out = D.pitch(V.stereo(spark, d).filter("ch = 0"), V.LR_RATE, 256)
+    out = D.pitch(V.stereo(spark, d), V.LR_RATE, 256)
     return out.withColumns({"hz": r6("hz"), "confidence": r6("confidence")})
 
 
@@ -328,7 +328,7 @@ def _(spark, d):
     spec = _spec(spark, d)
     dynamics = stage(D.global_dynamics(V.lr(spark, d), V.LR_RATE), "dynamics")
     hiss = spec.groupBy("rec_id").agg((Z.band_db(spec, 300, 450, 1000 / SIZE, []) - Z.band_db(spec, 100, 200, 1000 / SIZE, [])).alias("hiss_excess"))
-    power = Z.representative_spectra(s, P.frames_per_recording(s), 2048).groupBy("rec_id", "bin").agg(F.avg("p").alias("p"))
+    power = Z.programme_spectra(s, 2048).groupBy("rec_id", "bin").agg(F.avg("p").alias("p"))
     rows = D.cleanup_rows(
         dynamics, D.noise_recommendation(dynamics, hiss), Z.rumble_decision(spec, 1000 / SIZE, (5, 40), (60, 130)),
         Z.hum_comb(power, 1000 / 2048, 1000.0), D.channel_delay(V.lr(spark, d), V.LR_RATE, 2, 16.0))

@@ -273,8 +273,7 @@ pyr AS (SELECT 0 AS lev, * FROM p0 UNION ALL SELECT 1, * FROM p1 UNION ALL SELEC
 
 def _pyramid(spark, d):
     s = V.stereo(spark, d)
-    longest = s.agg(F.max("n")).first()[0] + 1  # one number decides how many levels are built
-    return s, S.pyramid(s, longest)
+    return s, S.pyramid(s)
 
 
 @query("agg04_pyramid", f"WITH {_PYR} SELECT rec_id, ch, lev AS level, bin, round(mn,6)+0.0::DOUBLE AS mn, round(mx,6)+0.0::DOUBLE AS mx, round(ms,9)+0.0::DOUBLE AS ms FROM pyr")

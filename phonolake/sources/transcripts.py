@@ -23,7 +23,6 @@ TRANSCRIPT = T.StructType([
     T.StructField("language", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("lines", T.ArrayType(LINE)),
 ])
-MAXIMUM_LINES = 100_000
 
 
 def parse_transcripts(documents: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ def line_problem() -> Column:
     )
     return (
         F.when(
-            F.col("schema_version").isNull() | (F.col("schema_version") != 1) | (F.col("line_count") > MAXIMUM_LINES),
+            F.col("schema_version").isNull() | (F.col("schema_version") != 1),
             "unsupported transcript",
         )
         .when(

@@ -128,15 +128,17 @@ def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
     )
 
 
-def plateau_alarm(tops: DataFrame, late: str = "30 seconds") -> DataFrame:
-    """tops(take_id, ts, level): windows of 10 s every second with three plateaus within 1 dB of the highest."""
+def plateau_alarm(tops: DataFrame, peaks: DataFrame | None = None, late: str = "30 seconds") -> DataFrame:
+    """tops(take_id, ts, level): windows of 10 s every second with three plateaus within 1 dB of the highest, which itself lies
+    within 3 dB of the take's peak where peaks(take_id, peak) are given."""
     windows = (
         tops.withWatermark("ts", late)
         .groupBy(F.window("ts", "10 seconds", "1 second").alias("w"), "take_id")
         .agg(F.max("level").alias("top"), F.count(F.lit(1)).alias("tops"), F.collect_list("level").alias("levels"))
     )
     near = F.size(F.filter("levels", lambda x: 20 * F.log10(F.col("top") / x) <= 1.0))
-    return windows.select("take_id", F.col("w.end").alias("at"), "tops", "top", near.alias("consistent")).filter("consistent >= 3")
+    out = windows.select("take_id", F.col("w.end").alias("at"), "tops", "top", near.alias("consistent")).filter("consistent >= 3")
+    return out if peaks is None else out.join(peaks, "take_id").filter(20 * F.log10(F.col("peak") / F.col("top")) <= 3.0).drop("peak")
 
 
 def unique_packets(packets: DataFrame, late: str = "10 seconds") -> DataFrame:
@@ -281,6 +283,28 @@ class SideMonitor:
         return row
 
 
+#: Least peak (-42 dBFS) and least step (-48 dBFS) of a contact, how far each stands above the usual, the crest
+#: over the packet's own level, and the seconds before anything counts.
+CONTACT_LEAST, CONTACT_ABOVE, CONTACT_CREST, WARM_UP = (0.007943, 0.003981), (8.0, 10.0), 2.5, 0.15
+
+
+def stands_out(loudness, usual) -> bool:
+    """loudness: (peak, rms) of the samples and of their steps; usual: the learned rms of both."""
+    import numpy as np
+
+    peaks, levels = loudness[:, 0], loudness[:, 1]
+    gates = np.maximum(CONTACT_LEAST, usual * CONTACT_ABOVE)
+    return bool((peaks >= gates).all() and peaks[0] >= max(levels[0], usual[0]) * CONTACT_CREST)
+
+
+def learned(powers, levels, seconds: float):
+    """Usual powers after one more packet: a slow mean (1.5 s) into which no packet enters at more than twice the usual."""
+    import numpy as np
+
+    ceiling = np.maximum(2 * np.sqrt(powers), np.array(CONTACT_LEAST) / 4)
+    return powers + (np.minimum(levels, ceiling) ** 2 - powers) * min(0.08, max(0.001, seconds / 1.5))
+
+
 def _processors():
     """Defined on first use: the base class needs the streaming module of the running Spark."""
     from pyspark.sql.streaming import StatefulProcessor
@@ -375,9 +399,9 @@ def _processors():
             yield pd.DataFrame(out, columns=PACKETS.names)
 
     class Contact(StatefulProcessor):
-        """Contact trigger: a loud, sudden and peaky packet after a warm-up; noise is learned slowly and capped."""
+        """Contact trigger: the first packet that stands out from what the take has sounded like so far."""
 
-        FIELDS = "noise double, step double, frames long, last array<double>, recent array<long>, fired boolean"
+        FIELDS = "powers array<double>, frames long, last array<double>, recent array<long>, fired boolean"
 
         def __init__(self, rate: int, preroll: float = 0.25) -> None:
             self.rate, self.preroll = rate, preroll
@@ -386,41 +410,22 @@ def _processors():
             self.state = handle.getValueState("take", self.FIELDS)
 
         def handleInputRows(self, key, rows, timerValues):
-            import math
-
-            import numpy as np
-            import pandas as pd
-
-            # Fixed values: -42 dBFS, -48 dBFS, crest and warm-up of the trigger.
-            least_peak, least_step, crest, warm_up = 0.007943, 0.003981, 2.5, 0.15
-            noise, step_square, frames, last, recent, fired = (
-                self.state.get() if self.state.exists() else (0.0, 0.0, 0, [], [], False)
-            )
-            last, recent = [float(x) for x in last], [int(x) for x in recent]
-            out = []
+            powers, frames, last, recent, fired = self.state.get() if self.state.exists() else ([0.0, 0.0], 0, [], [], False)
+            usual, last, recent, out = np.array(powers, dtype=float), np.array(last, dtype=float), list(recent), []
             for seq, x in _packets_in_order(rows):
                 if fired:
                     break
-                before = np.array(last)[:, None] if last else np.zeros((x.shape[0], 1))
-                steps = np.abs(np.diff(np.hstack([before, x]), axis=1))
-                last = [float(v) for v in x[:, -1]]
-                rms, step_rms = math.sqrt((x**2).mean()), math.sqrt((steps**2).mean())
-                peak, step = float(np.abs(x).max()), float(steps.max())
-                floor, usual = math.sqrt(noise), math.sqrt(step_square)
-                keep = max(1, math.ceil(self.preroll * self.rate / x.shape[1]))
-                recent = [*recent, seq][-(keep + 1) :]
-                if (
-                    frames >= max(1, round(self.rate * warm_up)) and peak >= max(least_peak, floor * 8)
-                    and step >= max(least_step, usual * 10) and peak >= max(rms, floor) * crest
-                ):
-                    fired = True
-                    out.append((key[0], seq, peak, step, recent[0]))
-                    break
-                weight = min(0.08, max(0.001, x.shape[1] / (self.rate * 1.5)))
-                noise += (min(rms, max(floor * 2, least_peak / 4)) ** 2 - noise) * weight
-                step_square += (min(step_rms, max(usual * 2, least_step / 4)) ** 2 - step_square) * weight
+                joined = np.hstack([last[:, None] if len(last) else np.zeros((len(x), 1)), x])
+                loudness = np.array([[np.abs(y).max(), np.sqrt((y * y).mean())] for y in (x, np.diff(joined, axis=1))])
+                last = joined[:, -1]
+                held = int(np.ceil(self.preroll * self.rate / x.shape[1])) + 1
+                recent = [*recent, seq][-max(2, held):]
+                fired = frames >= max(1, round(self.rate * WARM_UP)) and stands_out(loudness, np.sqrt(usual))
+                if fired:
+                    out.append((key[0], seq, *loudness[:, 0].tolist(), recent[0]))
+                usual = learned(usual, loudness[:, 1], x.shape[1] / self.rate)
                 frames += x.shape[1]
-            self.state.update((noise, step_square, int(frames), last, recent, fired))
+            self.state.update((usual.tolist(), int(frames), last.tolist(), [int(r) for r in recent], bool(fired)))
             yield pd.DataFrame(out, columns=CONTACT.names)
 
         def close(self) -> None:

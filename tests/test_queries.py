@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -31,15 +32,35 @@ def tone_with_run_out(spark, rate=2000, music=4, quiet=8):
         F.when(n < rate * music, loud).otherwise(hiss).alias("v"))
 
 
-def test_run_out_triggers_once_the_hold_has_passed(spark):
+@pytest.mark.parametrize("milliseconds", [7, 20, 100, 250])
+def test_run_out_triggers_once_the_hold_has_passed_whatever_the_packets(spark, milliseconds):
+    packets = to_packets(tone_with_run_out(spark), 2 * milliseconds, 2000)
+    path = scratch_path(spark, "runout")
+    packets.repartitionByRange(2, "seq").write.parquet(path)
+    out = S.run(S.run_out_monitor(S.read_packets(spark, path), 2000, 5.0), "runout")
+    assert out.count() == 120 and out.select("block").distinct().count() == 120
+    assert out.filter("triggered").agg(F.min("block")).first()[0] == 89  # 40 blocks of music, then fifty of quiet
+
+
+def test_late_packets_wait_for_their_turn(spark):
     packets = to_packets(tone_with_run_out(spark), 200, 2000)
-    verdicts = []
-    for files in (1, 6):
-        path = scratch_path(spark, "runout")
-        packets.repartitionByRange(files, "seq").write.parquet(path)
-        out = S.run(S.run_out_monitor(S.read_packets(spark, path), 2000, 5.0), "runout")
-        verdicts.append(out.filter("triggered").agg(F.min("block")).first()[0])
-    assert verdicts[0] == verdicts[1] == 89  # 40 blocks of music, then fifty of quiet
+    path = scratch_path(spark, "swapped")
+    swapped = F.when(F.col("seq") % 10 == 3, F.col("seq") + 4).otherwise(F.col("seq"))
+    for low in range(0, 120, 30):
+        packets.filter(swapped.between(low, low + 29)).write.mode("append").parquet(path)
+    got = S.run(S.run_out_monitor(S.read_packets(spark, path, 1), 2000, 5.0), "swapped").orderBy("block").collect()
+    assert [r.block for r in got] == list(range(120))
+    assert min(r.block for r in got if r.triggered) == 89
+
+
+def test_batch_and_stream_agree_on_the_trigger(spark):
+    from phonolake.operators import blocks as B
+
+    samples = tone_with_run_out(spark)
+    blocks = B.run_out_blocks(samples, 2000)
+    program = B.fading_tail(B.run_out_program(B.quietest_so_far(blocks), 2000))
+    got = B.hold_trigger(B.last_program(program), 5.0).first()
+    assert (got.trigger_block, got.last_program, got.keep_to_block) == (89, 39, 79)
 
 
 def test_resumed_stream_counts_every_packet_once(spark):
