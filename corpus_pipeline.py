@@ -37,11 +37,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: rows taken twice appear twice, rows not taken go."""
-    mix = mixing.mix(docs.select("doc_id", "source", "text"))
-    copies = stage(mix.filter("copies > 0").select(F.col("rid").alias("__rid"), F.col("copies").cast("int").alias("__copies")), "copies")
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    taken = rows.join(copies, "__rid").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
-    return taken.drop("__rid", "__copies", "__copy")
+    plan, chosen = mixing.solution(docs)
+    taken = mixing.decided(docs, plan, chosen).filter("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,62 +112,78 @@ def draw(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs(doc_id, source, text) -> rid, doc_id, source, size, source_size, target, rate, copies, taken.
+def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows joined with the one row of their source; Spark broadcasts the plan while it is small."""
+    plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
-    ``rid`` is the row's place in the scan of ``docs`` (monotonically_increasing_id), for joining back to its text.
-    """
+
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """Adds __rate, __floor and __bin (of the draw less the fraction) to rows(doc_id, source, __size) with their source's plan."""
+    full = F.col("__target") >= most * F.col("__source_size")
+    r = F.when(full, F.lit(float(most))).otherwise(rate(F.col("__lam"), F.col("__size").cast("double"), float(most)))
+    rows = rows.withColumn("__rate", r).withColumn("__floor", F.floor("__rate"))
+    v = draw(F.col("doc_id"), F.col("source"), F.col("__size")) - (F.col("__rate") - F.col("__floor"))
+    return rows.withColumn("__v", v).withColumn("__bin", F.floor((F.col("__v") + 1) * (BINS / 2)))
+
+
+def _copies(most: int) -> Column:
+    """Whole copies before the last gaps are closed: one more where the draw lies at or below the source's level."""
+    extra = (F.col("__floor") < most) & (F.col("__bin") <= F.coalesce("__level", F.lit(-1)))
+    return F.col("__floor") + F.when(extra, 1).otherwise(0)
+
+
+def solution(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(plan: one row per source with its target, multiplier and level; chosen: at most 64 rows per source, by their place in the
+    scan of docs, that get one copy more). Only ids and sizes are gathered, never texts."""
     compact = stage(
-        docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.col("source"),
-                    word_count(F.col("text")).alias("size")), "sizes")
-    sizes = stage(compact.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "size-counts")
+        docs.select(F.monotonically_increasing_id().alias("__rid"), "doc_id", "source", word_count(F.col("text")).alias("__size")), "sizes")
+    sizes = stage(compact.groupBy("source", F.col("__size").alias("size")).agg(F.count(F.lit(1)).alias("docs")), "size-counts")
     goals = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")), weights, share, most)
-    solved = solve(sizes, stage(goals, "targets"), most)
-    rated = compact.join(solved.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rated = (
-        rated.withColumn("rate", F.when(F.col("target") >= most * F.col("source_size"), F.lit(float(most)))
-                         .otherwise(rate(F.col("lam"), F.col("size").cast("double"), float(most))))
-        .withColumn("floor", F.floor("rate"))
-        .withColumn("v", draw(F.col("doc_id"), F.col("source"), F.col("size")) - (F.col("rate") - F.col("floor")))
-        .withColumn("bin", F.floor((F.col("v") + 1) * (BINS / 2)))
-        .withColumn("more", F.col("floor") < most)  # room for one copy more
-    )
-    rated = stage(rated.drop("lam"), "rates")
+    solved = stage(solve(sizes, stage(goals, "targets"), most), "multipliers")
 
-    # Words that a further copy brings, by bin of v: at most BINS rows a source.
-    bins = rated.groupBy("source", "bin").agg(
-        F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).alias("gain"),
-        F.sum(F.col("floor") * F.col("size")).alias("sure"), F.max("target").alias("target"))
-    order = Window.partitionBy("source").orderBy("bin")
+    # Words that a further copy brings, by bin of the draw: at most BINS rows a source.
+    bins = _drawn(_with_source(compact, solved), most).groupBy("source", "__bin").agg(
+        F.sum(F.when(F.col("__floor") < most, F.col("__size")).otherwise(0)).alias("gain"),
+        F.sum(F.col("__floor") * F.col("__size")).alias("sure"), F.max("__target").alias("target"))
+    order = Window.partitionBy("source").orderBy("__bin")
     level = (
         bins.withColumn("reach", F.sum("gain").over(order) + F.sum("sure").over(Window.partitionBy("source")))
         .filter(F.col("reach") <= F.floor(F.col("target") + 0.5))
-        .groupBy("source").agg(F.max("bin").alias("level"))
+        .groupBy(F.col("source").alias("_s")).agg(F.max("__bin").alias("level"))
     )
-    drawn = rated.join(level.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    extra = F.col("more") & (F.col("bin") <= F.coalesce("level", F.lit(-1)))
-    drawn = stage(drawn.withColumn("copies", F.col("floor") + F.when(extra, 1).otherwise(0)), "draws")
+    plan = stage(solved.join(level, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
 
     # Close what is left per source with a few single documents.
-    gaps = (
-        drawn.groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-    )
-    room = drawn.filter((F.col("copies") < most) & (F.col("size") > 0))
+    taken = _drawn(_with_source(compact, plan), most).withColumn("__copies", _copies(most))
+    gaps = taken.groupBy("source").agg((F.max("__target") - F.sum(F.col("__copies") * F.col("__size"))).alias("gap"))
+    room = taken.filter((F.col("__copies") < most) & (F.col("__size") > 0))
+    kind = [F.floor(F.log2(F.col("__size"))).alias("class"), (F.xxhash64("doc_id", "__size", F.lit(1)) % 2).alias("half")]
     pick = (
-        room.groupBy("source", F.floor(F.log2(F.col("size"))).alias("class"), (F.xxhash64("doc_id", "size", F.lit(1)) % 2).alias("half"))
-        .agg(F.min(F.struct("v", "size", "doc_id", "rid")).alias("c"))
-        .groupBy("source").agg(F.sort_array(F.collect_list(F.struct("c.size", "c.v", "c.rid")), asc=False).alias("candidates"))
-    )
-    chosen = (
-        gaps.join(pick.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
-            F.explode(F.expr("""
-                aggregate(candidates, struct(CAST(gap AS DOUBLE) AS gap, CAST(array() AS ARRAY<BIGINT>) AS rids),
-                          (a, c) -> IF(c.size <= a.gap + 0.5,
-                                       struct(a.gap - c.size AS gap, concat(a.rids, array(c.rid)) AS rids), a)).rids""")
-            ).alias("rid"))
-        .withColumn("one", F.lit(1))
+        room.groupBy("source", *kind).agg(F.min(F.struct("__v", "__size", "doc_id", "__rid")).alias("c"))
+        .groupBy(F.col("source").alias("_s"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("c.__size").alias("size"), "c.__v", F.col("c.__rid").alias("rid"))), asc=False).alias("candidates"))
     )
-    copies = F.col("copies") + F.coalesce("one", F.lit(0))
-    return drawn.join(chosen, "rid", "left").select(
-        "rid", "doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"))
+    greedy = F.expr("""
+        aggregate(candidates, struct(CAST(gap AS DOUBLE) AS gap, CAST(array() AS ARRAY<BIGINT>) AS rids),
+                  (a, c) -> IF(c.size <= a.gap + 0.5, struct(a.gap - c.size AS gap, concat(a.rids, array(c.rid)) AS rids), a)).rids""")
+    chosen = gaps.join(pick, F.col("source").eqNullSafe(F.col("_s"))).select(F.explode(greedy).alias("__chosen"))
+    return plan, stage(chosen, "mix-chosen")
+
+
+def decided(docs: DataFrame, plan: DataFrame, chosen: DataFrame, most: int = 2) -> DataFrame:
+    """docs (the same scan) with __size, __source_size, __target, __rate and __copies. Each row is decided where it is read: its
+    source's plan and the few chosen rows come to it, so texts are not shuffled."""
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__size", word_count(F.col("text")))
+    rows = _drawn(_with_source(rows, plan), most).join(chosen, F.col("__rid") == F.col("__chosen"), "left")
+    copies = _copies(most) + F.when(F.col("__chosen").isNotNull(), 1).otherwise(0)
+    return rows.withColumn("__copies", copies.cast("long")).drop("__rid", "__chosen", "__floor", "__v", "__bin", "__lam", "__level")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
+    """docs(doc_id, source, text) -> doc_id, source, size, source_size, target, rate, copies, taken, one row per input row."""
+    docs = docs.select("doc_id", "source", "text")
+    plan, chosen = solution(docs, weights, share, most)
+    return decided(docs, plan, chosen, most).select(
+        "doc_id", "source", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "rate", "copies")],
+        (F.col("__copies") * F.col("__size")).alias("taken"))
