@@ -198,16 +198,16 @@ def _(spark, d):
     return B.last_program(_run_out(spark, d)).select("rec_id", "block", "program", F.coalesce("last_program", F.lit(-1)).alias("last_program"))
 
 
-# Recordings are replayed with everything past half of their length 1000 times quieter, so that sides do end.
+# Recordings are replayed with everything past a quarter of their length 1000 times quieter, so that sides do end.
 _SIDE = """q_all AS (SELECT rec_id, max(n) AS top FROM v_lr GROUP BY rec_id), q_side AS (SELECT s.rec_id, ch, n,
-  CASE WHEN n*2>top THEN v*0.001::DOUBLE ELSE v END AS v FROM v_stereo s JOIN q_all USING (rec_id)), q_active AS (SELECT rec_id, ch, n, v,
+  CASE WHEN n*4>top THEN v*0.001::DOUBLE ELSE v END AS v FROM v_stereo s JOIN q_all USING (rec_id)), q_active AS (SELECT rec_id, ch, n, v,
   """ + V._fir_sql(V.ACTIVITY_TAPS) + """ AS a FROM q_side WINDOW w AS (PARTITION BY rec_id, ch ORDER BY n)), """
 
 
 def ending_sides(spark, d):
     s = V.stereo(spark, d)
     top = V.lr(spark, d).groupBy("rec_id").agg(F.max("n").alias("_top"))
-    quiet = F.when(F.col("n") * 2 > F.col("_top"), F.col("v") * 0.001).otherwise(F.col("v"))
+    quiet = F.when(F.col("n") * 4 > F.col("_top"), F.col("v") * 0.001).otherwise(F.col("v"))
     return s.join(top, "rec_id").select("rec_id", "ch", "n", quiet.alias("v"))
 
 
