@@ -423,7 +423,7 @@ def _gram_builder(folder: str, k: int, vocabulary: int, width: int, discount: fl
     return build
 
 
-def train(docs: DataFrame, order: int = 2, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES) -> dict:
+def train(docs: DataFrame, order: int = 3, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES) -> dict:
     """docs(text) -> plan: the folder of the levels and their shards."""
     folder = scratch_path(docs.sparkSession, "ngram-trie")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -477,7 +477,7 @@ def score(docs: DataFrame, plan: dict) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCORES)
 
 
-def train_and_score(docs: DataFrame, order: int = 2) -> DataFrame:
+def train_and_score(docs: DataFrame, order: int = 3) -> DataFrame:
     """Learns from rows whose crc32(doc_id as text) mod 10 is not 0 and scores every row."""
     bucket = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(0))
     docs = docs.select("doc_id", (bucket == 0).alias("held_out"), "text")

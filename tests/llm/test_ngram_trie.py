@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from phonolake.llm import ngram_trie as N
+from phonolake.llm import queries as Q
 from phonolake.llm.elias_fano import EliasFano, encode
 
 
@@ -80,6 +81,14 @@ def test_scores(documents, order, shard_bytes, monkeypatch):
         assert g[:4] == w[:4] and g[4] == pytest.approx(w[4]) and abs(g[5] - w[5]) <= 2e-4 * g[1] + 1e-9
 
 
+def test_query_scores_with_two_words_of_context(spark, documents, tmp_path):
+    documents.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in Q.op6_ngram_trie(spark, str(tmp_path)).collect())
+    close = lambda order: [abs(g[2] - w[5]) <= 2e-4 * g[1] + 1e-9 for g, w in zip(got, plain(rows, order), strict=True)]
+    assert all(close(3)) and not all(close(2))
+
+
 def test_level_probabilities_sum_to_one():
     """Shares of a context and the weight it leaves to the level below."""
     context, word, count = np.array([0, 0, 3, 3, 3]), np.array([1, 4, 0, 2, 9]), np.array([3, 1, 2, 2, 1])
