@@ -59,3 +59,26 @@ def test_empty_table(nothing):
     assert P.pack(nothing).count() == 0
     with pytest.raises(ValueError, match="power of two"):
         P.pack(nothing, longest=1000)
+
+
+WHOLE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+ADDED = P.Encoder(
+    public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, P.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "a", "word", "é", "'s", "12", " b c "]), max_size=15))
+def test_added_tokens_have_their_own_id(parts):
+    text = "".join(parts)
+    assert np.frombuffer(ADDED(text), dtype="<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_documents_with_added_tokens(spark):
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b", "none of <|it|>"]
+    rows = P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for doc_id, text in enumerate(texts):
+        ids, at, want = np.array(WHOLE.encode(text, add_special_tokens=False).ids + [0], dtype="<u4"), 0, set()
+        for n in P.piece_lengths(len(ids), 1024):
+            want.add((at, n, zlib.crc32(ids[at:at + n].tobytes()), len(ids)))
+            at += n
+        assert {(r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows if r.doc_id == doc_id} == want
