@@ -28,8 +28,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document of the smallest id stays."""
-    groups = near_dup.near_groups(near_dup.numbered(docs.select("doc_id", "text")))
+    """Of each near-duplicate group, by shingles of five words, the document of the smallest id stays."""
+    groups = near_dup.near_groups(near_dup.numbered(docs.select("doc_id", "text")), width=5)
     dropped = stage(groups.filter("rid <> first_rid").select(F.col("rid").alias("__rid")), "near-copies")
     rows = docs.withColumn("__rid", F.monotonically_increasing_id())
     return rows.join(near_dup.if_small(dropped), "__rid", "left_anti").drop("__rid")

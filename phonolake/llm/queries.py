@@ -32,7 +32,7 @@ def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = near_dup.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return near_dup.near_groups(docs).select(
+    return near_dup.near_groups(docs, width=4).select(
         "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
