@@ -5,10 +5,13 @@ rate = min(2, exp(lambda * size)), lambda being the source's multiplier in the c
 steps kept inside a bracket. A step is one aggregation over (source, size) counts, so its work does not grow with the
 hottest source's rows, and multipliers stay in a table, one row a source.
 
-Rates become whole copies in two moves. A hashed draw per document adds a copy where draw - fraction lies below a level;
-the level is the source's own weighted quantile over 4 096 bins, so the words taken fall just short of the target. Then
-each source closes its gap with single documents chosen greedily from at most 64 candidates, two per power-of-two class
-of sizes.
+Rates become whole copies by walking each source's documents in the order of draw - fraction, the draw being hashed: a
+document that fits what is left of the target gets one copy more, one that does not is passed over. The walk goes by
+grouped rounds over 4 096 bins. A round takes the bins that fit whole, then enters the first that does not, or steps over
+it if it holds one document. Documents larger than what is left are out of all later rounds, so a round is a range of
+draws and a largest size, and the walk ends when nothing left fits. Documents with one and the same draw (repeated rows,
+null ids) that fit singly but not together are passed over too; of these, at most 64 a source, two per power-of-two
+class of sizes, are added at the end.
 
 Edge cases: null texts and texts without words have size 0 and are taken 0 words; a null source is a source of its own,
 ranked last; a source without words has target 0; repeated rows draw the same number; an empty table gives no rows.
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from phonolake.llm.text_stats import WORD
 from phonolake.session import stage
 
-BINS = 4096
+END = 1 << 53
+WIDEST = 41  # 4 096 bins over all keys
 
 
 def word_count(text: Column) -> Column:
@@ -119,20 +123,57 @@ def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _drawn(rows: DataFrame, most: int) -> DataFrame:
-    """Adds __rate, __floor and __bin (of the draw less the fraction) to rows(doc_id, source, __size) with their source's plan."""
+    """Adds __rate, __floor and __key (draw less fraction, as 53 bits) to rows(doc_id, source, __size) with their source's plan."""
     full = F.col("__target") >= most * F.col("__source_size")
     r = F.when(full, F.lit(float(most))).otherwise(rate(F.col("__lam"), F.col("__size").cast("double"), float(most)))
     rows = rows.withColumn("__rate", r).withColumn("__floor", F.floor("__rate"))
     v = draw(F.col("doc_id"), F.col("source"), F.col("__size")) - (F.col("__rate") - F.col("__floor"))
-    return rows.withColumn("__v", v).withColumn("__bin", F.floor((F.col("__v") + 1) * (BINS / 2)))
+    return rows.withColumn("__key", F.least(F.floor((v + 1) * float(END >> 1)), F.lit(END - 1)).cast("long"))
 
 
 def _copies(most: int) -> Column:
-    """Whole copies before the last gaps are closed: one more where the draw lies at or below the source's level."""
-    extra = (F.col("__floor") < most) & (F.col("__bin") <= F.coalesce("__level", F.lit(-1)))
+    """Whole copies before the last gaps are closed: one more where a round of the walk takes the row."""
+    taken = F.exists("__rounds", lambda r: (F.col("__size") <= r.cap) & (F.col("__key") >= r.lo) & (F.col("__key") < r.upto))
+    extra = (F.col("__floor") < most) & (F.col("__size") > 0) & F.coalesce(taken, F.lit(False))
     return F.col("__floor") + F.when(extra, 1).otherwise(0)
 
 
+def walked(room: DataFrame, gaps: DataFrame) -> DataFrame:
+    """room(source, __size, __key), gaps(source, gap) -> source, rounds: what each round takes, as (cap, lo, upto).
+
+    A round over [lo, hi) has bins of 2**shift keys. The first bin that does not fit whole is the next round's range.
+    """
+    least = room.groupBy(F.col("source").alias("_s")).agg(F.min("__size").alias("least"))
+    state = gaps.join(least, F.col("source").eqNullSafe(F.col("_s"))).select(
+        "source", "gap", "least", F.lit(0).cast("long").alias("lo"), F.lit(END).alias("hi"), F.lit(WIDEST).alias("shift"),
+        F.expr("CAST(array() AS ARRAY<STRUCT<cap: BIGINT, lo: BIGINT, upto: BIGINT>>)").alias("rounds"))
+    state = stage(state, "walk")
+    going = (F.col("gap") >= F.col("least")) & (F.col("lo") < END)
+    order = Window.partitionBy("source").orderBy("bin")
+    while not (now := state.filter(going)).isEmpty():
+        near = _with_source(room, now.select("source", "gap", "lo", "hi", "shift")).filter(
+            (F.col("__size") <= F.col("__gap")) & (F.col("__key") >= F.col("__lo")) & (F.col("__key") < F.col("__hi")))
+        bins = near.withColumn("bin", F.expr("shiftright(__key - __lo, __shift)")).groupBy("source", "bin").agg(
+            F.sum("__size").alias("gain"), F.count(F.lit(1)).alias("docs"), F.max("__gap").alias("gap"))
+        fits = F.col("reach") <= F.col("gap")
+        seen = bins.withColumn("reach", F.sum("gain").over(order)).groupBy(F.col("source").alias("_s")).agg(
+            F.sum(F.when(fits, F.col("gain"))).alias("used"), F.min(F.when(~fits, F.struct("bin", "docs"))).alias("over"))
+        edge = F.expr("lo + shiftleft(over.bin, shift)")
+        past = F.expr("lo + shiftleft(over.bin + 1, shift)")
+        enter = F.col("over").isNotNull() & (F.col("over.docs") > 1) & (F.col("shift") > 0)
+        upto = F.when(F.col("over").isNotNull(), edge).otherwise(F.col("hi"))
+        taken = F.struct(F.col("gap").alias("cap"), F.col("lo"), upto.alias("upto"))
+        step = state.join(seen, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("going", going)
+        state = stage(step.select(
+            "source",
+            F.when(F.col("going"), F.col("gap") - F.coalesce("used", F.lit(0))).otherwise(F.col("gap")).alias("gap"), "least",
+            F.when(~F.col("going"), F.col("lo")).when(enter, edge).when(F.col("over").isNotNull(), past).otherwise(F.col("hi")).alias("lo"),
+            F.when(~F.col("going"), F.col("hi")).when(enter, past).otherwise(F.lit(END)).alias("hi"),
+            F.when(~F.col("going"), F.col("shift")).when(enter, F.greatest(F.col("shift") - 12, F.lit(0))).otherwise(F.lit(WIDEST)).alias("shift"),
+            F.when(F.col("going") & F.col("used").isNotNull(), F.array_append("rounds", taken)).otherwise(F.col("rounds")).alias("rounds")), "walk")
+    return state.select("source", "rounds")
+
+
 def solution(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> tuple[DataFrame, DataFrame]:
     """(plan: one row per source with its target, multiplier and level; chosen: at most 64 rows per source, by their place in the
     scan of docs, that get one copy more). Only ids and sizes are gathered, never texts."""
@@ -142,17 +183,12 @@ def solution(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     goals = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")), weights, share, most)
     solved = stage(solve(sizes, stage(goals, "targets"), most), "multipliers")
 
-    # Words that a further copy brings, by bin of the draw: at most BINS rows a source.
-    bins = _drawn(_with_source(compact, solved), most).groupBy("source", "__bin").agg(
-        F.sum(F.when(F.col("__floor") < most, F.col("__size")).otherwise(0)).alias("gain"),
-        F.sum(F.col("__floor") * F.col("__size")).alias("sure"), F.max("__target").alias("target"))
-    order = Window.partitionBy("source").orderBy("__bin")
-    level = (
-        bins.withColumn("reach", F.sum("gain").over(order) + F.sum("sure").over(Window.partitionBy("source")))
-        .filter(F.col("reach") <= F.floor(F.col("target") + 0.5))
-        .groupBy(F.col("source").alias("_s")).agg(F.max("__bin").alias("level"))
-    )
-    plan = stage(solved.join(level, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
+    drawn = _drawn(_with_source(compact, solved), most)
+    gaps = drawn.groupBy("source").agg(
+        (F.floor(F.max("__target") + 0.5) - F.sum(F.col("__floor") * F.col("__size"))).cast("long").alias("gap"))
+    room = stage(drawn.filter((F.col("__floor") < most) & (F.col("__size") > 0)).select("source", "__size", "__key"), "room")
+    rounds = walked(room, gaps).withColumnRenamed("source", "_s")
+    plan = stage(solved.join(rounds, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s"), "mix-plan")
 
     # Close what is left per source with a few single documents.
     taken = _drawn(_with_source(compact, plan), most).withColumn("__copies", _copies(most))
@@ -160,9 +196,9 @@ def solution(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     room = taken.filter((F.col("__copies") < most) & (F.col("__size") > 0))
     kind = [F.floor(F.log2(F.col("__size"))).alias("class"), (F.xxhash64("doc_id", "__size", F.lit(1)) % 2).alias("half")]
     pick = (
-        room.groupBy("source", *kind).agg(F.min(F.struct("__v", "__size", "doc_id", "__rid")).alias("c"))
+        room.groupBy("source", *kind).agg(F.min(F.struct("__key", "__size", "doc_id", "__rid")).alias("c"))
         .groupBy(F.col("source").alias("_s"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("c.__size").alias("size"), "c.__v", F.col("c.__rid").alias("rid"))), asc=False).alias("candidates"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("c.__size").alias("size"), "c.__key", F.col("c.__rid").alias("rid"))), asc=False).alias("candidates"))
     )
     greedy = F.expr("""
         aggregate(candidates, struct(CAST(gap AS DOUBLE) AS gap, CAST(array() AS ARRAY<BIGINT>) AS rids),
@@ -177,7 +213,7 @@ def decided(docs: DataFrame, plan: DataFrame, chosen: DataFrame, most: int = 2)
     rows = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__size", word_count(F.col("text")))
     rows = _drawn(_with_source(rows, plan), most).join(chosen, F.col("__rid") == F.col("__chosen"), "left")
     copies = _copies(most) + F.when(F.col("__chosen").isNotNull(), 1).otherwise(0)
-    return rows.withColumn("__copies", copies.cast("long")).drop("__rid", "__chosen", "__floor", "__v", "__bin", "__lam", "__level")
+    return rows.withColumn("__copies", copies.cast("long")).drop("__rid", "__chosen", "__floor", "__key", "__lam", "__rounds")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:

@@ -81,3 +81,17 @@ def test_edge_cases(stable, nothing):
     assert M.mix(nothing).count() == 0
     silent = stable.withColumn("text", F.lit(None).cast("string"))
     assert [r.taken for r in M.mix(silent).collect()] == [0] * stable.count()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_long_document_does_not_shut_out_the_small_ones(spark, tmp_path, seed):
+    """Sources of one document with 30 % of the words and 700 of 50 words each; targets are 1.15 times the size."""
+    small = [(1000 * seed + i, "b", "w " * 50) for i in range(700)]
+    rows = small + [(-(10 * seed + k), f"b{k}", "w " * 15_000) for k in range(1, 9)]
+    rows += [(5000 + 1000 * k + i, f"b{k}", "w " * 50) for k in range(1, 9) for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(path := str(tmp_path / "lump.parquet"))
+    out = M.mix(spark.read.parquet(path), weights=(1,), share=1.15).collect()
+    for source in {r.source for r in out}:
+        mine = [r for r in out if r.source == source]
+        left = mine[0].target - sum(r.taken for r in mine)
+        assert -0.5 <= left < 50 + 0.5, (source, left)
