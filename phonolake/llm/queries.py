@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolake.llm import (
+    collision_search,
     compression_classifier,
     exact_dedup,
     mixing,
@@ -15,7 +16,9 @@ from phonolake.llm import (
     preference,
     quality_trees,
     secrets,
+    spelling,
     warc,
+    whitening,
 )
 from phonolake.session import scratch_path
 
@@ -76,6 +79,18 @@ def op10_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_classifier.train_and_score(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
 
 
+def op11_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_trees": op1_quality_trees,
     "op2_hamming_join": op2_hamming_join,
@@ -87,6 +102,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_blob_ledger": op9_blob_ledger,
     "op10_compression": op10_compression,
+    "op11_collision_search": op11_collision_search,
+    "op12_whitening": op12_whitening,
+    "op13_spelling": op13_spelling,
 }
 
 
