@@ -4,9 +4,10 @@ Two words one insertion, deletion or replacement apart share a bigram that the e
 many words hold them, rarest first. A word's prefix is its three rarest bigrams (with all others of the last one's rank); among
 them a dynamic programme chooses two that do not overlap and are rarest together, its pivots. An edit spoils at most one of two
 disjoint pivots, so of two near words the one whose prefix ends earlier has a pivot in the prefix of the other. Pivots are
-therefore looked up in the index of prefixes, under position limits: a bigram lies where it was, or has moved by the difference
-of the lengths. What lies on the side of the pivot away from the edit is equal as well; its hash belongs to the key, which keeps
-groups small however common a bigram is. Candidates are verified by edit distance.
+therefore looked up in the index of prefixes, under position limits: counted from the end that the edit left alone, a bigram keeps its
+place. What lies on that side is equal as well, and so is one half of the other side; their hashes belong to the key, so only
+words that differ within a quarter of their length or so meet, however common a bigram is. Candidates are verified by edit
+distance.
 
 Words are counted where a text is read, in dictionaries flushed at ``FLUSH`` entries, then by a grouped sum. The rank of
 bigrams is a table of the alphabet's pairs (at most 90 x 90), the only thing the driver holds. Chains are followed by pointer
@@ -108,20 +109,39 @@ def prefix_and_pivots(word: str, rank: dict[str, int], sizes: dict[str, int]) ->
     return prefix, [core[i] for i in chosen]
 
 
-def ends_of(word: str, places: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Per place i of a bigram: (hash of the word up to the bigram's end, its length), (hash of the rest from i on, its length)."""
+class Hashes:
+    """Polynomial hashes of any stretch of a word, from one pass over it."""
 
-    def running(text: str, stops: set[int]) -> dict[int, int]:
-        out, crc, at = {}, 0, 0
-        for stop in sorted(stops):
-            crc, at = zlib.crc32(text[at:stop].encode(), crc), stop
-            out[stop] = crc
-        return out
+    BASE, PRIME = 1_000_003, (1 << 61) - 1
 
-    before = running(word, {i + GRAM for i in places})
-    after = running(word[::-1], {len(word) - i for i in places})
-    for i in places:
-        yield before[i + GRAM], i + GRAM, after[len(word) - i], len(word) - i
+    def __init__(self, word: str):
+        self.sums, self.powers = [0], [1]
+        for c in word:
+            self.sums.append((self.sums[-1] * self.BASE + ord(c)) % self.PRIME)
+            self.powers.append(self.powers[-1] * self.BASE % self.PRIME)
+
+    def __call__(self, a: int, b: int) -> int:
+        return (self.sums[b] - self.sums[a] * self.powers[b - a]) % self.PRIME
+
+
+def keys_of(hashes: Hashes, length: int, place: int, spread: int) -> set[int]:
+    """Keys of what a word and a near one share if the bigram at ``place`` is untouched.
+
+    The edit lies after the bigram, so that the word is equal up to its end, or before it, so that the rest is equal. Of the
+    changed side, m long, either the half beside the bigram (m // 2) or the far one (the other m - m // 2) is equal too. m is
+    that of the word with ``spread`` 0; the other word tries the lengths up to ``spread`` away.
+    """
+    end, out = place + GRAM, set()
+    for side, own in ((0, length - end), (1, place)):
+        for m in range(max(0, own - spread), own + spread + 1):
+            near, far = m // 2, m - m // 2
+            if near <= own:
+                out.add(hash((side, 0, near, end, hashes(0, end + near))) if side == 0 else
+                        hash((side, 0, near, length - place, hashes(place - near, length))))
+            if near and far <= own:  # an empty half beside the bigram is always equal
+                out.add(hash((side, 1, far, end, hashes(0, end), hashes(length - far, length))) if side == 0 else
+                        hash((side, 1, far, length - place, hashes(0, far), hashes(place, length))))
+    return out
 
 
 def gram_sizes(words: DataFrame) -> dict[str, int]:
@@ -147,26 +167,24 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rank = {g: i for i, g in enumerate(sorted(sizes, key=lambda g: (sizes[g], g)))}
     numbered = stage(words.select(F.monotonically_increasing_id().alias("id"), "word"), "numbered-words")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # side 0: the edit lies after the bigram and all up to its end is equal; side 1: the reverse.
-        types = dict(id=pa.int64(), pivot=pa.bool_(), last=pa.int32(), length=pa.int32(), side=pa.int8(), place=pa.int32(), equal=pa.int64())
-        for batch in batches:
-            out: list[tuple] = []
-            for number, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                prefix, chosen = prefix_and_pivots(word, rank, sizes)
-                head = (number, True, prefix[-1][0], len(word)), (number, False, prefix[-1][0], len(word))
-                for who, some in zip(head, (chosen, prefix)):
-                    for before, up_to, after, rest in ends_of(word, [i for _, i in some]):
-                        out += (*who, 0, up_to, before), (*who, 1, rest, after)
-            columns = zip(*out) if out else [()] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
-
-    entries = stage(
-        numbered.mapInArrow(cut, "id long, pivot boolean, last int, length int, side tinyint, place int, equal long"), "gram-entries")
-    # Position limits: a bigram keeps its place from the end that the edit has left alone, so the place is part of the key.
-    key = ["side", "place", "equal"]
-    name = lambda rows, n: rows.select(*key, *[F.col(c).alias(f"{n}_{c}") for c in ("id", "last", "length")])
-    met = name(entries.filter("pivot"), "a").join(name(entries.filter("NOT pivot"), "b"), key).filter(
+    def cut(pivot: bool):
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            types = dict(id=pa.int64(), last=pa.int32(), length=pa.int32(), key=pa.int64())
+            for batch in batches:
+                out: list[tuple] = []
+                for number, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    prefix, chosen = prefix_and_pivots(word, rank, sizes)
+                    hashes = Hashes(word)
+                    found = {key for _, i in (chosen if pivot else prefix) for key in keys_of(hashes, len(word), i, EDITS if pivot else 0)}
+                    out += ((number, prefix[-1][0], len(word), key) for key in found)
+                columns = zip(*out) if out else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+        name = "a" if pivot else "b"
+        return numbered.mapInArrow(entries, "id long, last int, length int, key long").select(
+            "key", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "last", "length")])
+
+    met = cut(True).join(cut(False), "key").filter(
         (F.col("a_last") <= F.col("b_last")) & (F.abs(F.col("a_length") - F.col("b_length")) <= EDITS) & (F.col("a_id") != F.col("b_id")))
     pairs = met.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
     spelled = pairs.join(numbered.select(F.col("id").alias("a_id"), F.col("word").alias("a")), "a_id").join(

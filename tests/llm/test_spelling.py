@@ -88,8 +88,8 @@ def test_edge_cases(spark):
 
 
 def test_very_long_words(spark):
-    word = "ab" * 40_000
-    docs = [(i, w) for w, n in ((word, 30), (word[:50_001] + word[50_002:], 5), (word + "c", 6), ("x" * 100_000, 5)) for i in range(n)]
+    word = "ab" * 8_000
+    docs = [(i, w) for w, n in ((word, 30), (word[:9_001] + word[9_002:], 5), (word + "c", 6), ("x" * 20_000, 5)) for i in range(n)]
     check(spark, docs)
 
 
