@@ -30,17 +30,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group, by shingles of five words, the document of the smallest id stays."""
     groups = near_dup.near_groups(near_dup.numbered(docs.select("doc_id", "text")), width=5)
-    dropped = stage(groups.filter("rid <> first_rid").select(F.col("rid").alias("__rid")), "near-copies")
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
-    return rows.join(near_dup.if_small(dropped), "__rid", "left_anti").drop("__rid")
+    dropped = stage(groups.filter("rid <> first_rid").select("rid"), "near-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    return rows.join(near_dup.if_small(dropped), "rid", "left_anti").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: rows taken twice appear twice, rows not taken go."""
     plan, chosen = mixing.solution(docs)
-    taken = mixing.decided(docs, plan, chosen).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    taken = mixing.decided(docs, plan, chosen).filter("copies > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ Rates become whole copies by walking each source's documents in the order of dra
 document that fits what is left of the target gets one copy more, one that does not is passed over. The walk goes by
 grouped rounds over 4 096 bins. A round takes the bins that fit whole, then enters the first that does not, or steps over
 it if it holds one document. Documents larger than what is left are out of all later rounds, so a round is a range of
-draws and a largest size, and the walk ends when nothing left fits. Documents with one and the same draw (repeated rows,
-null ids) that fit singly but not together are passed over too; of these, at most 64 a source, two per power-of-two
-class of sizes, are added at the end.
+draws and a largest size, and the walk ends when nothing left fits. Rows of one id, source and size (repeated rows, null ids)
+draw alike; the last 22 bits of a key are drawn from the row's place in the scan, so that they too are taken one by one. What
+the walk still leaves (rows alike in all 62 bits) is less than a four-millionth of the source, and a few single documents close
+most of it.
 
 Edge cases: null texts and texts without words have size 0 and are taken 0 words; a null source is a source of its own,
-ranked last; a source without words has target 0; repeated rows draw the same number; an empty table gives no rows.
-Every choice hangs on hashes of the data, so reruns agree.
+ranked last; a source without words has target 0; repeated rows are told apart by their place alone; very long texts are
+counted whole; columns of any name pass through; an empty table gives no rows. Every choice hangs on hashes of the data (and,
+between rows that are alike, of their place in the scan), so reruns agree.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from phonolake.llm.text_stats import WORD
 from phonolake.session import stage
 
-END = 1 << 53
-WIDEST = 41  # 4 096 bins over all keys
+DRAWN, PLACED = 40, 22  # bits of a key: the draw less the fraction, then the row's place
+END = 1 << (DRAWN + PLACED)
+WIDEST = DRAWN + PLACED - 12  # 4 096 bins over all keys
 
 
 def word_count(text: Column) -> Column:
@@ -108,6 +111,9 @@ def solve(sizes: DataFrame, goals: DataFrame, most: float = 2.0, steps: int = 60
                 F.when(F.col("open") & ~met, F.col("to")).otherwise(F.col("lam")).alias("lam"),
                 (F.col("open") & ~met & (F.col("hi") - F.col("lo") > 1e-15)).alias("open")),
             "dual")
+    else:
+        if not state.filter("open").isEmpty():
+            raise RuntimeError(f"the dual of some source is not solved after {steps} steps")
     return state.select("source", "source_size", "target", "lam")
 
 
@@ -123,12 +129,14 @@ def _with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _drawn(rows: DataFrame, most: int) -> DataFrame:
-    """Adds __rate, __floor and __key (draw less fraction, as 53 bits) to rows(doc_id, source, __size) with their source's plan."""
+    """Adds __rate, __floor and __key (draw less fraction, then place) to rows(__rid, doc_id, source, __size) with their source's plan."""
     full = F.col("__target") >= most * F.col("__source_size")
     r = F.when(full, F.lit(float(most))).otherwise(rate(F.col("__lam"), F.col("__size").cast("double"), float(most)))
     rows = rows.withColumn("__rate", r).withColumn("__floor", F.floor("__rate"))
     v = draw(F.col("doc_id"), F.col("source"), F.col("__size")) - (F.col("__rate") - F.col("__floor"))
-    return rows.withColumn("__key", F.least(F.floor((v + 1) * float(END >> 1)), F.lit(END - 1)).cast("long"))
+    drawn = F.least(F.floor((v + 1) * float(1 << (DRAWN - 1))), F.lit((1 << DRAWN) - 1)).cast("long")
+    placed = F.shiftrightunsigned(F.xxhash64("__rid", F.lit(2)), 64 - PLACED)
+    return rows.withColumn("__key", F.shiftleft(drawn, PLACED) + placed)
 
 
 def _copies(most: int) -> Column:
@@ -208,12 +216,14 @@ def solution(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 
 def decided(docs: DataFrame, plan: DataFrame, chosen: DataFrame, most: int = 2) -> DataFrame:
-    """docs (the same scan) with __size, __source_size, __target, __rate and __copies. Each row is decided where it is read: its
-    source's plan and the few chosen rows come to it, so texts are not shuffled."""
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__size", word_count(F.col("text")))
+    """docs (the same scan), each row a struct ``row``, with size, source_size, target, rate and copies. A row is decided where it
+    is read: its source's plan and the few chosen rows come to it, so texts are not shuffled."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(
+        whole, "doc_id", "source", F.monotonically_increasing_id().alias("__rid"), word_count(F.col("text")).alias("__size"))
     rows = _drawn(_with_source(rows, plan), most).join(chosen, F.col("__rid") == F.col("__chosen"), "left")
     copies = _copies(most) + F.when(F.col("__chosen").isNotNull(), 1).otherwise(0)
-    return rows.withColumn("__copies", copies.cast("long")).drop("__rid", "__chosen", "__floor", "__key", "__lam", "__rounds")
+    return rows.select("row", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "rate")], copies.cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -221,5 +231,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     docs = docs.select("doc_id", "source", "text")
     plan, chosen = solution(docs, weights, share, most)
     return decided(docs, plan, chosen, most).select(
-        "doc_id", "source", *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "target", "rate", "copies")],
-        (F.col("__copies") * F.col("__size")).alias("taken"))
+        "row.doc_id", "row.source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))

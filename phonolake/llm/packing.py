@@ -4,13 +4,14 @@ Each document (token ids, then one end id) is cut into pieces of ``longest`` ids
 rest, longest first. A piece is a sequence of its own: none crosses a document, and none needs padding because its
 length is a power of two. Pieces of one length form a bucket; a trainer draws each batch from one bucket.
 
-Nothing is shuffled: pieces are made where their document is read. ``sequence_id`` is the place of the document in the
-table's scan (its partition and row) times 2**20 plus the piece's number, so the same table gives the same ids whatever
-executor runs a task. Token ids of words seen before come from a bounded cache of byte strings. Added tokens of the
-tokenizer's JSON (``<|endoftext|>``) are found first and give their own id; what lies between them is encoded alone.
-
-Edge cases: a null or empty text is one piece holding the end id; repeated rows are packed each; an empty table gives no
-pieces; other columns are not read.
+Nothing is shuffled: pieces are made where their document is read. ``sequence_id`` numbers the pieces of a scan partition in the
+order of its rows, above the partition's number in the upper 31 bits (room for 2**33 pieces a partition), so the same table
+gives the same ids whatever executor runs a task. Token ids of words seen before come from a bounded cache of byte strings.
+Added tokens of the tokenizer's JSON (``<|endoftext|>``) are found first and give their own id; what lies between them is
+encoded alone. ``write_buckets`` files the pieces by length.
+
+Edge cases: a null or empty text is one piece holding the end id; repeated rows are packed each; a very long text is encoded
+whole, in memory in proportion to it; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 WORDS_CACHED = 400_000
+ROW_BITS = 33  # of a row's place in the scan, below the partition's number
 
 #: A blank with other white space beside it, or at an end of the text: such a text is not cut at its blanks.
 _LOOSE_BLANK = re.compile(r"\s | \s|^ | $")
@@ -103,6 +105,7 @@ def pack(docs: DataFrame, longest: int = 1024, end_id: int = 0, ranks_path: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = Encoder(path, pattern, added), np.array([end_id], dtype="<u4").tobytes()
+        packed = 0
         for batch in batches:
             doc, piece, start, length, crc, total, sequence = ([] for _ in range(7))
             for doc_id, text, place in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -111,14 +114,21 @@ def pack(docs: DataFrame, longest: int = 1024, end_id: int = 0, ranks_path: str
                 for k, size in enumerate(piece_lengths(n, longest)):
                     doc.append(doc_id), piece.append(k), start.append(at), length.append(size), total.append(n)
                     crc.append(zlib.crc32(ids[4 * at:4 * (at + size)]))
-                    sequence.append((place << 20) + k)
+                    sequence.append((place >> ROW_BITS << ROW_BITS) + packed)
+                    packed += 1
                     at += size
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()),
                  *[pa.array(x, pa.int64()) for x in (start, length, crc, total, sequence, [0] * len(doc))]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    # 2**33 rows a partition would leave no room for the piece: the place is folded to (partition, row) in 43 bits.
-    place = F.monotonically_increasing_id()
-    folded = F.shiftleft(F.shiftright(place, 33), 24) + place.bitwiseAND(F.lit((1 << 33) - 1))
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), folded).mapInArrow(cut, PIECES)
+    return docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id()).mapInArrow(cut, PIECES)
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Files the pieces by length, one folder a power of two, so that a batch is read from one bucket.
+
+    A task writes at most one file a bucket; rows are sorted by length first so that it holds one open at a time.
+    """
+    pieces.sortWithinPartitions("length").write.partitionBy("length").parquet(path)

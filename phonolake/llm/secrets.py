@@ -8,8 +8,12 @@ Findings are then joined back to every id that carries the blob.
 Positions come from cutting the text at a rule's matches: with ``split`` giving what lies between the matches and
 ``regexp_extract_all`` the matches, running sums of their lengths are the offsets (code points, end exclusive).
 
+Findings are written before the pairs are entered as scanned. A run that is lost in between, or two runs at once, scan a pair
+twice and write the same spans twice; spans of a blob are read as a set, so nothing counts double and nothing is missed.
+
 Edge cases: a null text is the empty blob; texts without a finding carry empty strings and zero counts; repeated rows
-share their blob's findings; an empty table gives no rows; other columns are not read.
+share their blob's findings; a very long text is one row to the regular expressions; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -149,7 +153,7 @@ def scan(docs: DataFrame, ledger: Ledger | None = None, rules=RULES) -> DataFram
     current = F.concat_ws(":", "kind", F.col("version").cast("string")).isin([f"{k}:{v}" for k, v in pairs_of(rules)])
     found = (
         ledger.found().filter(current).groupBy("blob")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("found"))
+        .agg(F.sort_array(F.collect_set(F.struct("start", "rank", "end", "kind"))).alias("found"))
     )
     return paths.join(found, "blob", "left")
 

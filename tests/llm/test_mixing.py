@@ -69,6 +69,45 @@ def test_rates_are_exponential_in_size_and_meet_the_dual(corpus):
             assert slope.max() == pytest.approx(slope.min(), abs=1e-9)
 
 
+@pytest.mark.parametrize("share", [1.15, 1.5])
+def test_rows_that_draw_alike_are_taken_one_by_one(spark, tmp_path, share):
+    """Null and repeated ids of equal sizes: every source comes within one document of its target."""
+    words = "w " * 100
+    rows = [(None, "a", words)] * 2000 + [(7, "b", words)] * 1500 + [(i % 3, None, words) for i in range(900)] + [(i, "c", words) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5).write.parquet(path := str(tmp_path / "alike.parquet"))
+    out = M.mix(spark.read.parquet(path), weights=(1,), share=share).collect()
+    for source in {r.source for r in out}:
+        mine = [r for r in out if r.source == source]
+        assert abs(mine[0].target - sum(r.taken for r in mine)) <= 100, source
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a", "w " * 10, "x", "y", "z") for i in range(20)],
+                                 "doc_id long, source string, text string, __rid string, __size string, `size` string")
+    docs.write.parquet(path := str(tmp_path / "names.parquet"))
+    docs = spark.read.parquet(path)
+    out = M.decided(docs, *M.solution(docs)).select("row.*")
+    assert out.columns == docs.columns and {(r["__rid"], r["__size"], r["size"]) for r in out.collect()} == {("x", "y", "z")}
+
+
+def test_the_walk_is_the_rule_row_by_row(spark, tmp_path):
+    """Copies against walking each source's rows in key order by hand, passing over what does not fit."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("abc"), " ".join(["w"] * rng.choice([0, 3, 40, 41, 900]))) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(path := str(tmp_path / "walk.parquet"))
+    docs = spark.read.parquet(path)
+    plan, chosen = M.solution(docs)
+    placed = docs.select(F.monotonically_increasing_id().alias("__rid"), "doc_id", "source", M.word_count(F.col("text")).alias("__size"))
+    keyed = M._drawn(M._with_source(placed, plan), 2).withColumn("__walked", M._copies(2)).collect()
+    for source in "abc":
+        mine = sorted((r for r in keyed if r.source == source), key=lambda r: r["__key"])
+        gap = int(mine[0]["__target"] + 0.5) - sum(int(r["__floor"]) * r["__size"] for r in mine)
+        for r in mine:
+            fits = r["__floor"] < 2 and 0 < r["__size"] <= gap
+            assert r["__walked"] == r["__floor"] + fits, (source, r)
+            gap -= r["__size"] * fits
+
+
 def test_reruns_agree(corpus):
     key = lambda df: sorted(map(str, df.select("doc_id", "source", "size", "copies", "taken").collect()))
     assert key(M.mix(corpus)) == key(M.mix(corpus))

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from phonolake.llm import packing as P
@@ -15,14 +16,11 @@ from phonolake.llm import packing as P
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 ENCODER = P.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 @settings(max_examples=400, deadline=None)
@@ -55,6 +53,24 @@ def test_pieces_cover_every_id_once(stable, tokenizer):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def test_sequence_ids_of_late_and_large_partitions(spark):
+    """Pieces of a partition are numbered in turn above its number: long documents and any number of partitions fit a long."""
+    docs = spark.createDataFrame([(i, "word " * (3000 if i == 0 else 3)) for i in range(40)], "doc_id long, text string").repartition(7)
+    ids = [r.sequence_id for r in P.pack(docs, longest=2).collect()]
+    assert len(set(ids)) == len(ids)
+    assert len({i >> P.ROW_BITS for i in ids}) > 1 and max(i & (1 << P.ROW_BITS) - 1 for i in ids) >= 1500
+    assert ((1 << 30) - 1 << P.ROW_BITS) + (1 << P.ROW_BITS) - 1 < 1 << 63
+
+
+def test_buckets_hold_one_length(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "word " * (3 * i)) for i in range(60)], "doc_id long, text string")
+    pieces = P.pack(docs, longest=16)
+    P.write_buckets(pieces, str(tmp_path / "buckets"))
+    assert sorted(x.name for x in (tmp_path / "buckets").glob("length=*")) == sorted(f"length={1 << k}" for k in range(5))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    assert sorted(map(str, back.select(pieces.columns).collect())) == sorted(map(str, pieces.withColumn("length", F.col("length").cast("int")).collect()))
+
+
 def test_empty_table(nothing):
     assert P.pack(nothing).count() == 0
     with pytest.raises(ValueError, match="power of two"):
