@@ -24,6 +24,7 @@ PACKETS = T.StructType([
 ])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+LATE = "30 seconds"  # how far behind the newest packet one may come
 
 
 def read_packets(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -177,7 +178,6 @@ RUN_OUT = T.StructType([
     T.StructField("fading", T.BooleanType()), T.StructField("seconds_waited", T.DoubleType()),
     T.StructField("triggered", T.BooleanType()),
 ])
-WAITING_PACKETS = 100  # a packet still missing when so many later ones have come is passed over
 CONTACT = T.StructType([
     T.StructField("take_id", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("peak", T.DoubleType()),
     T.StructField("step", T.DoubleType()), T.StructField("preroll_seq", T.LongType()),
@@ -187,32 +187,34 @@ LIMIT = T.StructType([
 ])
 
 
-def _packets_in_order(frames):
-    """Rows of one take in this batch as (seq, channels × samples), by position."""
-    import numpy as np
-    import pandas as pd
-
-    parts = [f for f in frames if len(f)]
-    if not parts:
-        return
-    pdf = pd.concat(parts)
-    for seq, rows in pdf.sort_values(["seq", "ch"]).groupby("seq", sort=True):
-        signal = [np.asarray(v, dtype=float) for v in rows["v"] if v is not None and len(v)]
-        if signal:
-            yield int(seq), np.nan_to_num(np.vstack(signal), nan=0.0, posinf=0.0, neginf=0.0)
-
+def in_turn(waiting: dict, due: int, channels: int, watermark_us: int):
+    """Takes the packets whose turn it is out of ``waiting`` {seq: {ch: (us, samples)}}: (packets, next number due).
 
-def _in_turn(frames, held, due):
-    """(packets whose turn it is, packets to hold, next number due): a packet that comes a batch late waits for the ones
-    before it; one that is still missing after WAITING_PACKETS later ones is passed over."""
-    have = {int(seq): x for seq, x in held} | {seq: x for seq, x in _packets_in_order(frames) if due is None or seq >= due}
+    A packet's turn has come when it is the next one and whole (as many channels as the take has shown), or when the
+    watermark has passed it, since nothing earlier can arrive then: what is still missing is lost.
+    """
     ready = []
-    for seq in sorted(have):
-        if due is not None and seq > due and len(have) <= WAITING_PACKETS:
+    for seq in sorted(waiting):
+        parts = waiting[seq]
+        if not (seq == due and len(parts) >= channels) and max(us for us, _ in parts.values()) > watermark_us:
             break
-        ready.append((seq, have.pop(seq)))
+        ready.append((seq, waiting.pop(seq)))
         due = seq + 1
-    return ready, sorted(have.items()), due
+    return ready, due
+
+
+def stacked(parts: dict, channels: int):
+    """channels × samples of one packet; a channel that got lost is silent, and so is what is not finite."""
+    import numpy as np
+
+    rows = {c: np.asarray(v, dtype=float) for c, (_, v) in parts.items()}
+    size = max(len(v) for v in rows.values())
+    numbers = sorted(rows) if len(rows) >= channels else sorted(set(rows) | set(range(channels)))[:channels]
+    out = np.zeros((len(numbers), size))
+    for i, c in enumerate(numbers):
+        if c in rows:
+            out[i, :len(rows[c])] = rows[c]
+    return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
 
 
 def block_records(x, before, rate: int, response):
@@ -312,93 +314,119 @@ def _processors():
     import numpy as np
     import pandas as pd
 
-    class Held(StatefulProcessor):
-        """Keeps packets in turn and the samples that later ones still need, per channel."""
-
-        FIELDS = "channels int, tail array<double>, waiting array<struct<seq: long, channels: int, v: array<double>>>, due long"
+    class InTurn(StatefulProcessor):
+        """Gives packets to ``take`` in their order. One that is early waits in the state until the ones before it are here or
+        the event-time watermark has passed it; a timer at the earliest waiting packet brings that about without new input."""
 
-        def load(self, value):
-            channels, tail, waiting, due = value
-            shape = lambda v, c: np.array(v, dtype=float).reshape(c, -1)
-            return shape(tail, channels), [(w[0], shape(w[2], w[1])) for w in waiting], due
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.queue = handle.getValueState(
+                "queue", "due long, channels int, timer long, waiting array<struct<seq: long, ch: long, us: long, v: array<double>>>")
+            self.begin(handle)
 
-        def stored(self, tail, waiting, due):
-            return (len(tail), tail.ravel().tolist(), [(int(s), len(x), x.ravel().tolist()) for s, x in waiting], due)
+        def handleInputRows(self, key, rows, timerValues):
+            yield from self.turn(key, list(rows), timerValues.getCurrentWatermarkInMs())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            yield from self.turn(key, [], max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()), fired=True)
+
+        def turn(self, key, frames, watermark_ms, fired=False):
+            due, channels, timer, held = self.queue.get() if self.queue.exists() else (0, 0, -1, [])
+            waiting: dict = {}
+            for seq, ch, us, v in held:
+                waiting.setdefault(seq, {})[ch] = (us, v)
+            for frame in frames:
+                for seq, ch, us, v in zip(frame["seq"], frame["ch"], frame["us"], frame["v"]):
+                    if v is not None and len(v) and seq >= due:
+                        waiting.setdefault(int(seq), {})[int(ch)] = (int(us), v)
+            channels = max([channels, *map(len, waiting.values())])
+            ready, due = in_turn(waiting, due, channels, watermark_ms * 1000)
+            out = self.take(key, [(seq, max(us for us, _ in p.values()), stacked(p, channels)) for seq, p in ready])
+            first = min((max(us for us, _ in p.values()) for p in waiting.values()), default=None)
+            wanted = -1 if first is None else -(-first // 1000)
+            if timer >= 0 and timer != wanted and not fired:
+                self.handle.deleteTimer(timer)
+            if wanted >= 0 and (timer != wanted or fired):
+                self.handle.registerTimer(wanted)
+            rows = [(s, c, us, [float(x) for x in v]) for s, p in sorted(waiting.items()) for c, (us, v) in sorted(p.items())]
+            self.queue.update((int(due), int(channels), int(wanted), rows))
+            yield out
 
         def close(self) -> None:
             pass
 
-    class RunOut(Held):
+    def unpacked(value, fields: int):
+        """(channels × samples, further fields) of a state whose first two fields are channels and samples."""
+        channels, flat, *more = value
+        return np.array(flat, dtype=float).reshape(channels, -1), more[:fields]
+
+    class RunOut(InTurn):
         """End-of-side monitor for packets of any length: blocks are cut from the joined samples."""
 
         def __init__(self, rate: int, hold: float, minimum_peak_db: float, response) -> None:
             self.setting = (rate, min(60.0, max(5.0, hold)), minimum_peak_db)
             self.rate, self.response = rate, np.asarray(response, dtype=float)
 
-        def init(self, handle) -> None:
-            self.packets = handle.getValueState("packets", self.FIELDS + ", lead int")
+        def begin(self, handle) -> None:
+            self.tail = handle.getValueState("tail", "channels int, samples array<double>, lead int")
             self.side = handle.getValueState(
                 "side", "block long, quiet array<double>, recent array<double>, first long, since long, done boolean")
 
-        def handleInputRows(self, key, rows, timerValues):
-            tail, waiting, due, lead = np.empty((0, 0)), [], None, 0
-            if self.packets.exists():
-                *held, lead = self.packets.get()
-                tail, waiting, due = self.load(held)
-            monitor = SideMonitor(*self.setting, *(self.side.get() if self.side.exists() else ()))
-            ready, waiting, due = _in_turn(rows, waiting, due)
+        def take(self, key, packets):
             out = []
-            if ready:
-                x = np.hstack(([tail] if tail.size else []) + [p for _, p in ready])
+            if packets:
+                tail, (lead,) = unpacked(self.tail.get(), 1) if self.tail.exists() else (np.empty((0, 0)), (0,))
+                monitor = SideMonitor(*self.setting, *(self.side.get() if self.side.exists() else ()))
+                x = np.hstack(([tail] if tail.size else []) + [p for _, _, p in packets])
                 before, fresh = x[:, :lead], x[:, lead:]
                 out = [(key[0], *monitor.see(*record)) for record in block_records(fresh, before, self.rate, self.response)]
                 used = lead + len(out) * (self.rate // 10)
                 lead = min(used, len(self.response) + 1)
                 tail = x[:, used - lead:]
-            if tail.size or waiting:
-                self.packets.update((*self.stored(tail, waiting, -1 if due is None else due), lead))
+                self.tail.update((len(tail), tail.ravel().tolist(), int(lead)))
                 block, quiet, recent, first, since, done = monitor.kept()
                 self.side.update((block, quiet, recent, first, since, bool(done)))
-            yield pd.DataFrame(out, columns=RUN_OUT.names)
+            return pd.DataFrame(out, columns=RUN_OUT.names)
 
-    class Weighted(Held):
+    class Weighted(InTurn):
         """Filtered samples, cut at 100 ms borders; a channel's last samples wait in the state for the next packet."""
 
         def __init__(self, response, rate: int) -> None:
             self.response, self.rate = np.asarray(response, dtype=float), rate
 
-        def parts(self, ts, y):
-            due = ts.value // 1000 + np.floor(np.arange(len(y)) * 1e6 / self.rate).astype(np.int64)
+        def begin(self, handle) -> None:
+            self.tail = handle.getValueState("tail", "channels int, samples array<double>")
+
+        def parts(self, us, y):
+            due = us + np.floor(np.arange(len(y)) * 1e6 / self.rate).astype(np.int64)
             edge = np.flatnonzero(np.diff(due // METER_MICROS)) + 1
             for start, piece in zip([0, *edge], np.split(y, edge)):
-                yield pd.Timestamp(int(due[start]), unit="us"), piece.tolist()
-
-        def init(self, handle) -> None:
-            self.packets = handle.getValueState("packets", self.FIELDS)
+                yield pd.Timestamp(int(due[start]), unit="us", tz="UTC"), piece.tolist()
 
         def handleInputRows(self, key, rows, timerValues):
+            frames = list(rows)
+            closing = [(key[0], int(seq), pd.Timestamp(int(us), unit="us", tz="UTC"), key[1], [])
+                       for f in frames for seq, us, v in zip(f["seq"], f["us"], f["v"]) if v is None or not len(v)]
+            if closing:  # a closing packet goes on as it is, to move the windows behind this one
+                yield pd.DataFrame(closing, columns=PACKETS.names)
+            yield from self.turn(key, frames, timerValues.getCurrentWatermarkInMs())
+
+        def take(self, key, packets):
             from phonolake.operators.weighting import filtered
 
-            tail, waiting, due = np.empty((1, 0)), [], None
-            if self.packets.exists():
-                tail, waiting, due = self.load(self.packets.get())
-            frames = pd.concat(list(rows))
-            # A packet that had to wait is given out with the time it is due, counted from one that is here.
-            here, at = frames["seq"].iloc[0], frames["ts"].iloc[0]
-            span = lambda n, size: pd.Timedelta(int(n * size * 1e6 / self.rate), unit="us")
-            times = {int(s): at + span(int(s) - here, x.shape[1]) for s, x in waiting} | dict(zip(frames["seq"], frames["ts"]))
-            out = [(key[0], int(r.seq), r.ts, key[1], []) for r in frames.itertuples() if r.v is None or not len(r.v)]
-            ready, waiting, due = _in_turn([frames], waiting, due)
-            for seq, x in ready:
+            out = []
+            tail, _ = unpacked(self.tail.get(), 0) if self.tail.exists() else (np.empty((1, 0)), ())
+            for seq, us, x in packets:
                 joined = np.hstack([tail, x])
                 y = filtered(joined[0], self.response)[tail.shape[1]:]
-                out.extend((key[0], seq, ts, key[1], v) for ts, v in self.parts(times[seq], y))
+                out.extend((key[0], seq, ts, key[1], v) for ts, v in self.parts(us, y))
                 tail = joined[:, max(0, joined.shape[1] - len(self.response)):]
-            if due is not None:
-                self.packets.update(self.stored(tail, waiting, due))
-            yield pd.DataFrame(out, columns=PACKETS.names)
+            if packets:
+                self.tail.update((len(tail), tail.ravel().tolist()))
+            frame = pd.DataFrame(out, columns=PACKETS.names)
+            return frame if out else frame.astype({"ts": "datetime64[us, UTC]"})
 
-    class Contact(StatefulProcessor):
+    class Contact(InTurn):
         """Contact trigger: the first packet that stands out from what the take has sounded like so far."""
 
         FIELDS = "powers array<double>, frames long, last array<double>, recent array<long>, fired boolean"
@@ -406,13 +434,13 @@ def _processors():
         def __init__(self, rate: int, preroll: float = 0.25) -> None:
             self.rate, self.preroll = rate, preroll
 
-        def init(self, handle) -> None:
+        def begin(self, handle) -> None:
             self.state = handle.getValueState("take", self.FIELDS)
 
-        def handleInputRows(self, key, rows, timerValues):
+        def take(self, key, packets):
             powers, frames, last, recent, fired = self.state.get() if self.state.exists() else ([0.0, 0.0], 0, [], [], False)
             usual, last, recent, out = np.array(powers, dtype=float), np.array(last, dtype=float), list(recent), []
-            for seq, x in _packets_in_order(rows):
+            for seq, _, x in packets:
                 if fired:
                     break
                 joined = np.hstack([last[:, None] if len(last) else np.zeros((len(x), 1)), x])
@@ -426,26 +454,21 @@ def _processors():
                 usual = learned(usual, loudness[:, 1], x.shape[1] / self.rate)
                 frames += x.shape[1]
             self.state.update((usual.tolist(), int(frames), last.tolist(), [int(r) for r in recent], bool(fired)))
-            yield pd.DataFrame(out, columns=CONTACT.names)
-
-        def close(self) -> None:
-            pass
+            return pd.DataFrame(out, columns=CONTACT.names)
 
-    class Capacity(StatefulProcessor):
+    class Capacity(InTurn):
         """Reports the packet in which a take reaches its frame limit."""
 
         def __init__(self, limit: int) -> None:
             self.limit = limit
 
-        def init(self, handle) -> None:
+        def begin(self, handle) -> None:
             self.state = handle.getValueState("frames", "frames long, stopped boolean")
 
-        def handleInputRows(self, key, rows, timerValues):
-            import pandas as pd
-
+        def take(self, key, packets):
             frames, stopped = self.state.get() if self.state.exists() else (0, False)
             out = []
-            for seq, x in _packets_in_order(rows):
+            for seq, _, x in packets:
                 if stopped:
                     break
                 frames += x.shape[1]
@@ -453,41 +476,37 @@ def _processors():
                     stopped = True
                     out.append((key[0], seq, frames))
             self.state.update((int(frames), stopped))
-            yield pd.DataFrame(out, columns=LIMIT.names)
-
-        def close(self) -> None:
-            pass
+            return pd.DataFrame(out, columns=LIMIT.names)
 
     return RunOut, Contact, Capacity, Weighted
 
 
-def _keyed(packets: DataFrame, processor, schema: T.StructType) -> DataFrame:
-    return packets.groupBy("take_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+def _keyed(packets: DataFrame, processor, schema: T.StructType, keys=("take_id",), late: str = LATE, **more) -> DataFrame:
+    """The processor per take, with a watermark that tells it which packets can still come."""
+    timed = packets.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime", **more)
 
 
-def run_out_monitor(packets: DataFrame, rate: int, hold: float = 12.0, minimum_peak_db: float = -60.0, response=None) -> DataFrame:
+def run_out_monitor(packets: DataFrame, rate: int, hold: float = 12.0, minimum_peak_db: float = -60.0, response=None, late: str = LATE) -> DataFrame:
     """Blocks of each take with the decisions of the end-of-side monitor."""
     taps = response if response is not None else weighting_response("activity", rate)
-    return _keyed(packets, _processors()[0](rate, hold, minimum_peak_db, list(taps)), RUN_OUT)
+    return _keyed(packets, _processors()[0](rate, hold, minimum_peak_db, list(taps)), RUN_OUT, late=late)
 
 
-def live_weighted(packets: DataFrame, rate: int, kind: str = "K", response=None, late: str = "10 seconds") -> DataFrame:
+def live_weighted(packets: DataFrame, rate: int, kind: str = "K", response=None, late: str = LATE) -> DataFrame:
     """Packets with filtered samples, keyed by take and channel; their times stay event times for the windows after it."""
     taps = response if response is not None else weighting_response(kind, rate)
-    return packets.withWatermark("ts", late).groupBy("take_id", "ch").transformWithStateInPandas(
-        statefulProcessor=_processors()[3](list(taps), rate), outputStructType=PACKETS, outputMode="Append", timeMode="EventTime",
-        eventTimeColumnName="ts")
+    return _keyed(packets, _processors()[3](list(taps), rate), PACKETS, ("take_id", "ch"), late, eventTimeColumnName="ts")
 
 
-def contact_trigger(packets: DataFrame, rate: int, preroll: float = 0.25) -> DataFrame:
+def contact_trigger(packets: DataFrame, rate: int, preroll: float = 0.25, late: str = LATE) -> DataFrame:
     """First contact of each take, with the packet its 250 ms pre-roll starts at."""
-    return _keyed(packets, _processors()[1](rate, preroll), CONTACT)
+    return _keyed(packets, _processors()[1](rate, preroll), CONTACT, late=late)
 
 
-def capacity_stop(packets: DataFrame, limit_frames: int) -> DataFrame:
-    return _keyed(packets, _processors()[2](limit_frames), LIMIT)
+def capacity_stop(packets: DataFrame, limit_frames: int, late: str = LATE) -> DataFrame:
+    return _keyed(packets, _processors()[2](limit_frames), LIMIT, late=late)
 
 
 # --- batch-wise recompute and exactly-once ------------------------------------------------------------------

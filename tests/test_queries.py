@@ -53,6 +53,85 @@ def test_late_packets_wait_for_their_turn(spark):
     assert min(r.block for r in got if r.triggered) == 89
 
 
+def closing(packets, path):
+    """The empty packet that ends a capture, as the last file."""
+    packets.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("take_id"), F.lit(-1).cast("long").alias("seq"), F.expr("ts + interval 1 hour").alias("ts"),
+        F.lit(0).cast("long").alias("ch"), F.array().cast("array<double>").alias("v")).write.mode("append").parquet(path)
+
+
+def arriving(packets, order, path, parts):
+    """Packets written in ``parts`` files by arrival order (a column), one micro-batch each, then the closing packet."""
+    top = packets.agg(F.max(order)).first()[0] + 1
+    for k in range(parts):
+        packets.filter((order >= k * top / parts) & (order < (k + 1) * top / parts)).coalesce(1).write.mode("append").parquet(path)
+    closing(packets, path)
+
+
+def stereo_packets(spark, milliseconds=20):
+    left = tone_with_run_out(spark)
+    return to_packets(left.unionByName(left.withColumn("ch", F.lit(1).cast("long")).withColumn("v", F.col("v") * 0.5)), 2 * milliseconds, 2000)
+
+
+def blocks_of(spark, packets, path):
+    rows = S.run(S.run_out_monitor(S.read_packets(spark, path, 1), 2000, 5.0), "monitor").collect()
+    return sorted((r.block, round(r.level_db, 6), r.program, r.triggered) for r in rows)
+
+
+IN_ORDER: dict = {}
+
+
+@pytest.mark.parametrize("case", ["lost near the end", "late by more than a hundred", "first one late", "one channel late", "doubled"])
+def test_stream_equals_batch_whatever_the_arrival(spark, case):
+    """600 packets of 20 ms: the monitor's blocks are those of the packets in order, once each."""
+    packets = stereo_packets(spark)
+    seq, arrival = F.col("seq"), F.col("seq")
+    if case == "lost near the end":
+        packets = packets.filter("seq <> 590")
+    elif case == "late by more than a hundred":
+        arrival = F.when(seq == 50, 350).otherwise(seq)  # six seconds behind, inside the 30 that the watermark allows
+    elif case == "first one late":
+        arrival = F.when(seq == 0, 130).otherwise(seq)
+    elif case == "one channel late":
+        arrival = F.when((seq % 50 == 20) & (F.col("ch") == 1), seq + 120).otherwise(seq)
+    else:
+        packets = packets.unionByName(packets.filter("seq % 3 = 0"))
+    lost = case.startswith("lost")
+    if lost not in IN_ORDER:
+        in_order = scratch_path(spark, "in-order")
+        packets.dropDuplicates(["seq", "ch"]).coalesce(1).write.parquet(in_order)
+        closing(packets, in_order)
+        IN_ORDER[lost] = blocks_of(spark, packets, in_order)
+    path = scratch_path(spark, "arriving")
+    arriving(packets, arrival, path, 6)
+    got, want = blocks_of(spark, packets, path), IN_ORDER[lost]
+    assert got == want and len(got) == (119 if case.startswith("lost") else 120)
+    assert min(b for b, _, _, triggered in got if triggered) == 89
+
+
+def test_live_loudness_waits_for_late_packets(spark):
+    packets = stereo_packets(spark)
+    late, plain = scratch_path(spark, "late"), scratch_path(spark, "plain")
+    arriving(packets, F.when(F.col("seq") % 97 == 5, F.col("seq") + 260).otherwise(F.col("seq")), late, 5)
+    arriving(packets, F.col("seq"), plain, 1)
+    read = lambda path: sorted(
+        (str(r["at"]), round(r.loudness, 9)) for r in S.run(S.live_loudness(S.live_weighted(S.read_packets(spark, path, 1), 2000), 2000, "400 milliseconds", 4), "live").collect())
+    assert read(late) == read(plain) and len(read(plain)) == 117
+
+
+def test_contact_and_capacity_in_order(spark):
+    """The trigger and the stop come from the same packet when every fifth packet is seven places late."""
+    packets = to_packets(tone_with_run_out(spark).withColumn("v", F.when(F.col("n") < 4033, F.col("v") * 0.0005).otherwise(F.col("v"))), 40, 2000)
+    paths = [scratch_path(spark, x) for x in ("late", "plain")]
+    arriving(packets, F.when(F.col("seq") % 5 == 0, F.col("seq") + 7).otherwise(F.col("seq")), paths[0], 40)
+    arriving(packets, F.col("seq"), paths[1], 1)
+    for monitor, name in ((lambda p: S.contact_trigger(p, 2000), "contact"), (lambda p: S.capacity_stop(p, 8010), "capacity")):
+        late, plain = (sorted(map(tuple, S.run(monitor(S.read_packets(spark, p, 1)), name).collect())) for p in paths)
+        assert late == plain and len(plain) == 1
+        if name == "capacity":
+            assert plain == [(1, 200, 8040)]
+
+
 def test_batch_and_stream_agree_on_the_trigger(spark):
     from phonolake.operators import blocks as B
 

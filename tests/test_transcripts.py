@@ -191,10 +191,16 @@ def test_recovered_words_lose_what_a_neighbour_holds(spark):
     assert "along" not in got[1][0].split()
 
 
-def test_tempo_of_a_pulse_train():
-    import numpy as np
-
-    energy = np.zeros(3000)
-    energy[::43] = 1.0
-    bpm, confidence = detect.tempo_of(energy, 44100 / 512)
-    assert abs(bpm - 120.2) < 1.0 and confidence > 0.9
+def test_tempo_of_a_pulse_train(spark):
+    """A burst every 43 hops of 512 samples at 44 100 Hz is 120.2 beats a minute; a recording of silence has no tempo."""
+    from pyspark.sql import functions as F
+
+    beat = 43 * 512
+    pulses = spark.range(60 * beat).select(
+        F.lit(1).cast("long").alias("rec_id"), F.lit(0).cast("long").alias("ch"), F.col("id").alias("n"),
+        F.when(F.col("id") % beat < 512, 0.5).otherwise(0.0).alias("v"))
+    silence = spark.range(60 * beat).select(
+        F.lit(2).cast("long").alias("rec_id"), F.lit(0).cast("long").alias("ch"), F.col("id").alias("n"), F.lit(0.0).alias("v"))
+    got = {r.rec_id: r for r in detect.tempo(pulses.unionByName(silence), 44_100, 512).collect()}
+    assert abs(got[1].bpm - 60 * 44_100 / beat) < 0.2 and got[1].confidence > 0.9
+    assert got[2].bpm == 0 and got[2].confidence == 0
