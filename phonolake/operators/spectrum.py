@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phonolake.functions.levels import clamp, clamp01, quantize, ramp
-from phonolake.operators.ordered import over_halo, slice_no, with_halo
+from phonolake.operators.ordered import over_halo, running, slice_no
 from phonolake.operators.quantiles import exact_quantiles
 
 # --- windows ------------------------------------------------------------------------------------------------
@@ -186,11 +186,16 @@ def tonal_scrub(profile: DataFrame, bins: int) -> DataFrame:
     return profile.withColumn("scrubbed", F.least(value, F.col("magnitude")))
 
 
-def burst_scores(spec: DataFrame, inner: int, outer: int, first_bin: int, last_bin: int) -> DataFrame:
-    """Cells standing out from both sides' context: contrast ≥ 9 dB and score ≥ 1.5.
+# A seed's least contrast and score, how a burst grows from it, and what keeps a grown burst.
+MINIMUM_CONTRAST_DB, MINIMUM_SCORE = 9.0, 1.5
+TIME_EXCESS, BAND_EXCESS, BAND_SHARE = 2.0, 1.8, 0.015
+NARROW_BINS, NARROW_SHARE, CONCENTRATION = 12, 0.85, 0.55
+ANCHOR_RATIO, ANCHOR_SLACK, UNION_SECONDS = 4.0, 0.002, 0.010
 
-    The context before is rows −outer…−inner−1, after is inner…outer−1, as running context sums leave it.
-    """
+
+def burst_context(spec: DataFrame, inner: int, outer: int) -> DataFrame:
+    """Cells with their power smoothed over neighbouring bins, the mean ``before`` and ``after`` them, the frame's total and the
+    baseline. The context before is rows −outer…−inner−1, after is inner…outer−1; ``rows`` counts the whole context."""
     keys = ["rec_id", "ch", "bin"]
     smooth = over_halo(
         spec.withColumn("_b", F.col("bin").cast("long")), ["rec_id", "ch", "frame"], "_b",
@@ -202,18 +207,122 @@ def burst_scores(spec: DataFrame, inner: int, outer: int, first_bin: int, last_b
     context = over_halo(
         smooth, keys, "frame",
         {
-            "_before": lambda w: F.avg("p").over(w.rowsBetween(-outer, -inner - 1)),
-            "_after": lambda w: F.avg("p").over(w.rowsBetween(inner, outer - 1)),
-            "_n": lambda w: F.count("p").over(w.rowsBetween(-outer, outer)),
+            "before": lambda w: F.avg("p").over(w.rowsBetween(-outer, -inner - 1)),
+            "after": lambda w: F.avg("p").over(w.rowsBetween(inner, outer - 1)),
+            "rows": lambda w: F.count("p").over(w.rowsBetween(-outer, outer)),
         }, before=outer, after=outer,
-    ).filter((F.col("_n") == 2 * outer + 1) & F.col("bin").between(first_bin, last_bin))
-    j = context.join(totals, ["rec_id", "ch", "frame"]).filter(F.col("total") > 1e-12)
-    base = F.greatest(F.col("_before"), F.col("_after"), F.lit(1e-18), F.col("total") * 1e-4)
-    contrast = 10 * F.log10(F.greatest(F.lit(1e-18), F.col("p") / base))
-    score = contrast * F.sqrt(F.greatest(F.lit(0.0), (F.col("p") - base) / F.col("total")))
-    return j.select("rec_id", "ch", "frame", "bin", contrast.alias("contrast_db"), score.alias("score")).filter(
-        (F.col("contrast_db") >= 9.0) & (F.col("score") >= 1.5)
     )
+    base = F.greatest(F.col("before"), F.col("after"), F.lit(1e-18), F.col("total") * 1e-4)
+    return context.join(totals, ["rec_id", "ch", "frame"]).withColumn("base", base)
+
+
+def seeds_of(context: DataFrame, outer: int, first_bin: int, last_bin: int) -> DataFrame:
+    """Cells of a context that stand out from both sides enough to start a burst."""
+    cells = context.filter((F.col("rows") == 2 * outer + 1) & F.col("bin").between(first_bin, last_bin) & (F.col("total") > 1e-12))
+    contrast = 10 * F.log10(F.greatest(F.lit(1e-18), F.col("p") / F.col("base")))
+    score = contrast * F.sqrt(F.greatest(F.lit(0.0), (F.col("p") - F.col("base")) / F.col("total")))
+    return cells.withColumns({"contrast_db": contrast, "score": score}).filter(
+        (F.col("contrast_db") >= MINIMUM_CONTRAST_DB) & (F.col("score") >= MINIMUM_SCORE))
+
+
+def burst_scores(spec: DataFrame, inner: int, outer: int, first_bin: int, last_bin: int) -> DataFrame:
+    """Cells standing out from both sides' context: contrast ≥ 9 dB and score ≥ 1.5, each channel against its own baseline."""
+    return seeds_of(burst_context(spec, inner, outer), outer, first_bin, last_bin).select(
+        "rec_id", "ch", "frame", "bin", "contrast_db", "score")
+
+
+def grown_bursts(spec: DataFrame, inner: int, outer: int, first_bin: int, last_bin: int, width: int, hop: int, size: int,
+                 rate: float) -> DataFrame:
+    """Seeds grown in time and frequency against their own frame's baseline, where the grown band is narrow, holds most of the
+    new energy and is equally quiet before and after: (rec_id, ch, start, stop, peak, low_hz, high_hz, contrast_db, score).
+
+    A seed meets its bin's neighbours in time (at most ``width`` + 1 each way) by an equi-join and its frame's bins as one
+    array, whose length is that of a spectrum. Seeds are few beside cells; nothing is keyed by the recording alone.
+    """
+    from phonolake.session import stage
+
+    context = stage(burst_context(spec, inner, outer), "burst-context")
+    seeds = seeds_of(context, outer, first_bin, last_bin).select(
+        "rec_id", "ch", "frame", "bin", "contrast_db", "score", F.col("base").alias("_sb"), (F.col("p") - F.col("base")).alias("_excess"), "total")
+    key = ["rec_id", "ch", "frame", "bin"]
+
+    offsets = F.explode(F.sequence(F.lit(1), F.lit(width + 1)))
+    steps = seeds.select(*key, "_sb", offsets.alias("_k")).select(
+        *key, "_sb", "_k", F.explode(F.array(F.lit(-1), F.lit(1))).alias("_way")).withColumn("_f", F.col("frame") + F.col("_way") * F.col("_k"))
+    beside = context.select("rec_id", "ch", F.col("frame").alias("_f"), "bin", F.col("p").alias("_p"))
+    low = ~F.coalesce(F.col("_p") > F.col("_sb") * TIME_EXCESS, F.lit(False))
+    run = lambda way: F.coalesce(F.min(F.when(low & (F.col("_way") == way), F.col("_k"))) - 1, F.lit(width + 1))
+    reach = steps.join(beside, ["rec_id", "ch", "_f", "bin"], "left").groupBy(*key).agg(run(-1).alias("_back"), run(1).alias("_on"))
+    # Forward growth stops once both together have passed the width, as backward growth came first.
+    reach = reach.withColumn("_on", F.least(F.col("_on"), F.greatest(F.lit(0), width + 1 - F.col("_back")))).filter(
+        F.col("_back") + F.col("_on") + 1 <= width)
+
+    frames = context.join(seeds.select("rec_id", "ch", "frame").distinct(), ["rec_id", "ch", "frame"], "left_semi").groupBy(
+        "rec_id", "ch", "frame").agg(F.array_sort(F.collect_list(F.struct("bin", "p", "base", "before", "after"))).alias("_cells"))
+    joined = seeds.join(reach, key).join(frames, ["rec_id", "ch", "frame"])
+    inside = lambda c: (c["bin"] >= first_bin) & (c["bin"] <= last_bin)
+    weak = F.filter("_cells", lambda c: inside(c) & ~((c["p"] >= c["base"] * BAND_EXCESS) & (c["p"] - c["base"] >= F.col("_excess") * BAND_SHARE)))
+    below = F.array_max(F.transform(F.filter(weak, lambda c: c["bin"] < F.col("bin")), lambda c: c["bin"]))
+    above = F.array_min(F.transform(F.filter(weak, lambda c: c["bin"] > F.col("bin")), lambda c: c["bin"]))
+    grown = joined.withColumns({"_low": F.coalesce(below + 1, F.lit(first_bin)), "_high": F.coalesce(above - 1, F.lit(last_bin))})
+    near = lambda c: (c["bin"] >= F.col("_low") - 2) & (c["bin"] <= F.col("_high") + 4)
+    total = lambda keep, value: F.aggregate(F.filter("_cells", keep), F.lit(0.0), lambda a, c: a + value(c))
+    added = lambda c: F.greatest(F.lit(0.0), c["p"] - c["base"])
+    grown = grown.withColumns({
+        "_band": total(lambda c: inside(c) & near(c), added), "_all": total(inside, added),
+        "_e": total(near, lambda c: c["before"]), "_l": total(near, lambda c: c["after"]),
+    })
+    narrow = F.col("_high") - F.col("_low") + 1 <= F.greatest(F.lit(float(NARROW_BINS)), F.col("bin") * NARROW_SHARE)
+    stable = F.greatest("_e", "_l") <= ANCHOR_RATIO * F.least("_e", "_l") + F.col("total") * ANCHOR_SLACK
+    kept = grown.filter(narrow & (F.col("_band") >= CONCENTRATION * F.col("_all")) & stable)
+    half, hz = size // 2, rate / size
+    ends = spec.groupBy("rec_id").agg((F.max("frame") * hop + size).alias("_length"))
+    return kept.join(ends, "rec_id").select(
+        "rec_id", "ch",
+        F.greatest(F.lit(0), (F.col("frame") - F.col("_back") - 2) * hop + half).cast("long").alias("start"),
+        F.least(F.col("_length"), (F.col("frame") + F.col("_on") + 4) * hop + half).cast("long").alias("stop"),
+        (F.col("frame") * hop + half).cast("long").alias("peak"),
+        F.greatest(F.lit(0.0), (F.col("_low") - 2) * hz).alias("low_hz"), F.least(F.lit(rate / 2), (F.col("_high") + 4) * hz).alias("high_hz"),
+        "contrast_db", "score", "bin")
+
+
+def united_burst(bursts: DataFrame, rate: float) -> DataFrame:
+    """One burst per recording: the strongest of each channel's strongest, widened over the other channels' where they are the same
+    event: peaks within 10 ms, overlapping in time and frequency. At most one row a channel meets another."""
+    fields = ["ch", "start", "stop", "peak", "low_hz", "high_hz", "contrast_db", "score"]
+    order = F.struct(F.col("score"), -F.col("peak"), -F.col("bin"))
+    per_channel = bursts.groupBy("rec_id", "ch").agg(F.max_by(F.struct(*fields[1:]), order).alias("b")).select("rec_id", "ch", "b.*")
+    top = per_channel.groupBy("rec_id").agg(F.max_by(F.struct(*fields), F.struct(F.col("score"), -F.col("ch"))).alias("t"))
+    same = (
+        (F.abs(F.col("peak") - F.col("t.peak")) <= rate * UNION_SECONDS) & (F.col("stop") > F.col("t.start")) & (F.col("start") < F.col("t.stop"))
+        & (F.col("high_hz") > F.col("t.low_hz")) & (F.col("low_hz") < F.col("t.high_hz")))
+    return per_channel.join(top, "rec_id").filter(same).groupBy("rec_id").agg(
+        F.first("t.ch").alias("ch"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("t.peak").alias("peak"),
+        F.min("low_hz").alias("low_hz"), F.max("high_hz").alias("high_hz"), F.first("t.contrast_db").alias("contrast_db"),
+        F.first("t.score").alias("score"), F.count(F.lit(1)).alias("channels"))
+
+
+def quietest_apart(windows: DataFrame, count: int = 8) -> DataFrame:
+    """The ``count`` quietest windows(rec_id, win, rms_db, valid) of half-overlapping ones of which no two overlap, picked quietest
+    first: (rec_id, win, rms_db). ``win`` must be dense; ties go to the earlier window.
+
+    Picking one window at a time is not needed. A window is picked unless a quieter neighbour is, so along a slope every
+    second one is, counted from its lowest; on a ridge it takes an even distance on both sides. Both distances are running
+    positions, so no recording is folded.
+    """
+    from pyspark.sql import Window
+
+    rank = F.when(F.col("valid"), F.struct("rms_db", "win"))
+    keyed = windows.withColumn("_r", rank)
+    beside = over_halo(keyed, ["rec_id"], "win", {"_p": lambda w: F.lag("_r").over(w), "_n": lambda w: F.lead("_r").over(w)}, before=1, after=1)
+    stop = lambda c: F.when(~F.coalesce(F.col(c) < F.col("_r"), F.lit(False)), F.col("win"))
+    flagged = beside.withColumns({"_ls": stop("_p"), "_rs": stop("_n")}).drop("_p", "_n", "_r")
+    slices = slice_no("win", 65_536)
+    left = running(flagged, ["rec_id"], slices, ["win"], {"_l": ("last", F.col("_ls"))})
+    both = running(left, ["rec_id"], slices, ["win"], {"_h": ("last", F.col("_rs"))}, reverse=True)
+    picked = both.filter(F.col("valid") & ((F.col("win") - F.col("_l")) % 2 == 0) & ((F.col("_h") - F.col("win")) % 2 == 0))
+    nth = Window.partitionBy("rec_id").orderBy("rms_db", "win")
+    return picked.withColumn("_k", F.row_number().over(nth)).filter(F.col("_k") <= count).select("rec_id", "win", "rms_db")
 
 
 def strongest_burst(scores: DataFrame) -> DataFrame:
@@ -366,14 +475,67 @@ def hum_comb(power: DataFrame, hz_per_bin: float, rate: float) -> DataFrame:
     candidates = scored.groupBy("rec_id", "f").agg(
         score.alias("score"), F.count_if("_hit").alias("supported"), F.max(F.when(F.col("_hit"), F.col("h"))).alias("highest"),
         F.bool_or(F.col("_hit") & (F.col("h") <= 2)).alias("low_order"),
+        F.array_sort(F.collect_set(F.when(F.col("_hit"), F.col("h")))).alias("family"),
         F.coalesce(F.avg(F.when(F.col("_hit"), F.col("excess"))), F.lit(0.0)).alias("mean_excess"),
     )
     best = candidates.groupBy("rec_id").agg(
-        F.max_by(F.struct("f", "score", "supported", "highest", "low_order", "mean_excess"), F.struct(F.col("score"), -F.col("f"))).alias("b")
+        F.max_by(F.struct("f", "score", "supported", "highest", "low_order", "mean_excess", "family"), F.struct(F.col("score"), -F.col("f"))).alias("b")
     ).select("rec_id", "b.*")
     rival = candidates.join(best.select("rec_id", F.col("f").alias("_bf")), "rec_id").filter(
         F.abs(F.col("f") - F.col("_bf")) >= 2.5).groupBy("rec_id").agg(F.max("score").alias("_rival"))
     return best.join(rival, "rec_id", "left").select(
         "rec_id", F.col("f").alias("hum_hz"), "score", "supported", F.coalesce("highest", F.lit(1)).alias("harmonics"), "mean_excess",
-        "low_order", (F.col("score") - F.coalesce("_rival", F.lit(0.0))).alias("separation"),
+        "low_order", "family", (F.col("score") - F.coalesce("_rival", F.lit(0.0))).alias("separation"),
     )
+
+
+#: Blocks looked at, their least and largest length, the distance of the side tones, and what counts as a line.
+HUM_BLOCKS, HUM_SHORTEST, HUM_LONGEST, HUM_SIDE_HZ = 40, 2048, 16_384, 12.0
+HUM_EXCESS_DB, HUM_LINE_DB, HUM_PERSISTENCE = 5.5, -85.0, 0.68
+
+
+def hum_persistence(samples: DataFrame, comb: DataFrame, rate: int) -> DataFrame:
+    """(rec_id, persistence): the share of up to 40 blocks, spread evenly over the recording, that hold at least two lines of the
+    comb's family, one of them of the first two harmonics.
+
+    A line is a tone against two others 12 Hz beside it: sums of the Hann-weighted samples with the tone's phases, for all
+    tones of a block at once. A sample knows the blocks it lies in, so blocks may overlap and no recording is gathered.
+    """
+    block = min(HUM_LONGEST, max(HUM_SHORTEST, rate // 4))
+    lengths = samples.groupBy("rec_id").agg((F.max("n") + 1).alias("_frames"), F.count_distinct("ch").alias("_channels")).filter(F.col("_frames") >= block)
+    plan = lengths.join(comb.filter((F.col("supported") >= 2) & F.col("low_order")).select("rec_id", "hum_hz", "family"), "rec_id").withColumn(
+        "_count", F.least(F.lit(HUM_BLOCKS), F.floor(F.col("_frames") / block))).withColumn(
+        "_gap", F.when(F.col("_count") > 1, (F.col("_frames") - block) / (F.col("_count") - 1)).otherwise(0.0))
+    number = lambda n: F.when(F.col("_gap") > 0, F.floor(n / F.col("_gap"))).otherwise(F.lit(0))
+    placed = samples.join(plan, "rec_id").withColumn("_blk", F.explode(F.sequence(
+        F.greatest(F.lit(0), number(F.col("n") - block) - 1).cast("long"),
+        F.least(F.col("_count") - 1, number(F.col("n")) + 1).cast("long"))))
+    placed = placed.withColumn("_i", F.col("n") - F.bround(F.col("_blk") * F.col("_gap"), 0).cast("long")).filter((F.col("_i") >= 0) & (F.col("_i") < block))
+    tones = F.flatten(F.transform(
+        F.filter("family", lambda h: F.col("hum_hz") * h + HUM_SIDE_HZ < rate * 0.48),
+        lambda h: F.array(*[F.struct(h.alias("h"), F.lit(t).alias("t"), F.greatest(F.lit(5.0), F.col("hum_hz") * h + t * HUM_SIDE_HZ).alias("hz")) for t in (-1, 0, 1)])))
+    x = F.col("v") * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("_i") / block))
+    phase = 2 * math.pi * F.col("hz") * F.col("_i") / rate
+    sums = placed.select("rec_id", "ch", "_blk", "_channels", "_i", "v", F.inline(tones)).groupBy("rec_id", "ch", "_blk", "_channels", "h", "t").agg(
+        F.sum(x * F.cos(phase)).alias("re"), F.sum(x * F.sin(phase)).alias("im"))
+    power = F.sum((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * (4.0 / block) ** 2) / F.max("_channels")
+    lines = sums.groupBy("rec_id", "_blk", "h", "t").agg(power.alias("p")).groupBy("rec_id", "_blk", "h").agg(
+        F.max(F.when(F.col("t") == 0, F.col("p"))).alias("line"), (F.sum(F.when(F.col("t") != 0, F.col("p"))) / 2).alias("floor"))
+    db = lambda c: 10 * F.log10(F.greatest(F.lit(1e-18), F.col(c)))
+    held = lines.filter((db("line") - db("floor") >= HUM_EXCESS_DB) & (db("line") > HUM_LINE_DB)).groupBy("rec_id", "_blk").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("h").alias("_lowest")).filter("_n >= 2 AND _lowest <= 2").groupBy("rec_id").agg(F.count(F.lit(1)).alias("_held"))
+    return plan.join(held, "rec_id", "left").select("rec_id", (F.coalesce("_held", F.lit(0)) / F.col("_count")).alias("persistence"))
+
+
+def hum_estimate(comb: DataFrame, persistence: DataFrame) -> DataFrame:
+    """The decision: frequency, harmonics, notch sharpness and depth, persistence and confidence, per recording."""
+    j = comb.join(persistence, "rec_id", "left").withColumn("persistence", F.coalesce("persistence", F.lit(0.0)))
+    apart = ramp(F.col("separation"), 0.5, 8.0)
+    detected = (F.col("supported") >= 2) & (F.col("score") > 4) & F.col("low_order") & (F.col("persistence") >= HUM_PERSISTENCE) & (F.col("separation") >= 0.5)
+    sure = clamp(0.16 + F.col("supported") * 0.07 + ramp(F.col("mean_excess"), 6.0, 18.0) * 0.27 + F.col("persistence") * 0.28 + apart * 0.10, 0.0, 0.98)
+    unsure = clamp(ramp(F.col("mean_excess"), 8.0, 20.0) * 0.20 + F.col("persistence") * 0.24 + apart * 0.10, 0.0, 0.54)
+    return j.select(
+        "rec_id", quantize(F.col("hum_hz"), 0.1).alias("hum_hz"), "harmonics", "supported", "mean_excess", "separation", "persistence",
+        F.bround(clamp(28 + F.col("mean_excess") * 1.35, 25.0, 65.0), 0).alias("q"),
+        F.when(detected, quantize(clamp((F.col("mean_excess") - 3) / 20, 0.35, 0.9), 0.05)).otherwise(0.0).alias("amount"),
+        F.when(detected, sure).otherwise(unsure).alias("confidence"), detected.alias("detected"))

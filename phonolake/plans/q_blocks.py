@@ -89,21 +89,38 @@ ev AS (SELECT rec_id, greatest(0,max(robust)-max(ref.peak_db)) AS tail_db, coale
   FROM act JOIN ref USING (rec_id) GROUP BY rec_id)"""
 
 
-@query("agg15_level_snapshot", f"""WITH {_EV}, {_tp_sql()},
-ex AS (SELECT rec_id, ref.peak_db, 20*log10(true_peak) AS tpd, cl FROM ref JOIN tp USING (rec_id) JOIN (SELECT rec_id, count(CASE WHEN abs(v)>=0.999969 THEN 1 END) AS cl FROM v_stereo GROUP BY rec_id) USING (rec_id)),
+# Plateaus (ft) and, per recording, how many of them have two consistent others in the ten seconds before (fr).
+FLAT = """fp AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM v_stereo WINDOW w AS (PARTITION BY rec_id, ch ORDER BY n)),
+fe AS (SELECT *, greatest(abs(v),abs(pv)) AS lev FROM fp WHERE v*pv>0 AND greatest(abs(v),abs(pv))>=0.1 AND abs(v-pv)<=greatest(2e-7,greatest(abs(v),abs(pv))*1e-4)),
+fi AS (SELECT rec_id, ch, sign(v) AS s, min(n)-1 AS a, max(n)+1 AS b, max(lev) AS lev, max(abs(v-pv)) AS ins FROM (SELECT *, n-row_number() OVER (PARTITION BY rec_id, ch, sign(v) ORDER BY n) AS g FROM fe) GROUP BY rec_id, ch, sign(v), g),
+ft AS (SELECT i.* FROM fi i JOIN fp x ON x.rec_id=i.rec_id AND x.ch=i.ch AND x.n=a JOIN fp y ON y.rec_id=i.rec_id AND y.ch=i.ch AND y.n=b
+  WHERE b-a>=3 AND lev<0.999969 AND ins<=1.5*greatest(2e-7,1e-4*lev) AND coalesce(abs(x.v-x.pv),0)>=0.001*lev AND coalesce(abs(y.v-y.pv),0)>=0.001*lev),
+fo AS (SELECT t1.rec_id, t1.ch, t1.b, max(t2.lev) AS top FROM ft t1 JOIN ft t2 ON t1.rec_id=t2.rec_id AND t1.ch=t2.ch AND t2.b BETWEEN t1.b-10000 AND t1.b GROUP BY 1,2,3),
+fc AS (SELECT o.rec_id, o.ch, o.b, max(top) AS top, count(CASE WHEN 20*log10(top/t2.lev)<=1.0 THEN 1 END) AS n FROM fo o JOIN ft t2 ON o.rec_id=t2.rec_id AND o.ch=t2.ch AND t2.b BETWEEN o.b-10000 AND o.b GROUP BY 1,2,3),
+fk AS (SELECT rec_id, max(abs(v)) AS pk FROM v_stereo GROUP BY rec_id),
+fr AS (SELECT fk.rec_id, CAST(count(c.b) AS BIGINT) AS alarms, count(c.b)>0 AS flat_tops FROM fk LEFT JOIN fc c ON c.rec_id=fk.rec_id AND n>=3 AND 20*log10(top)>=20*log10(pk)-3 GROUP BY fk.rec_id)"""
+
+
+def _flat_tops(spark, d, samples):
+    peaks = samples.groupBy("rec_id").agg(amplitude_db(F.max(F.abs("v"))).alias("peak_db"))
+    return G.repeated_flat_tops(G.flat_tops(samples), peaks, V.LR_RATE)
+
+
+@query("agg15_level_snapshot", f"""WITH {_EV}, {_tp_sql()}, {FLAT},
+ex AS (SELECT rec_id, ref.peak_db, 20*log10(true_peak) AS tpd, cl, flat_tops AS ft FROM ref JOIN tp USING (rec_id) JOIN fr USING (rec_id) JOIN (SELECT rec_id, count(CASE WHEN abs(v)>=0.999969 THEN 1 END) AS cl FROM v_stereo GROUP BY rec_id) USING (rec_id)),
 q AS (SELECT rec_id, quantile_cont(rms_db,0.5) AS prms, quantile_cont(robust,0.99) AS sp, sum(frames)/1000.0::DOUBLE AS sec FROM act GROUP BY rec_id),
 a AS (SELECT *, CASE WHEN peak_db-sp>6 THEN 0 ELSE least(3,greatest(0,tpd-peak_db)) END AS prem, sec+1e-9>=10 AS settled FROM ex LEFT JOIN q USING (rec_id) LEFT JOIN ev USING (rec_id)),
-b AS (SELECT *, sp+prem AS pp, CASE WHEN settled THEN floor((least(96,greatest(-96,CASE WHEN cl>0 THEN least(-1-tpd,-1) ELSE -1-tpd END))+1e-6)*2)/2 ELSE 0 END AS g FROM a)
+b AS (SELECT *, sp+prem AS pp, CASE WHEN settled THEN floor((least(96,greatest(-96,CASE WHEN cl>0 OR ft THEN least(-1-tpd,-1) ELSE -1-tpd END))+1e-6)*2)/2 ELSE 0 END AS g FROM a)
 SELECT rec_id, round(sec,6) AS active_seconds, round(prms,5)+0.0::DOUBLE AS program_rms_db, round(pp,5)+0.0::DOUBLE AS program_peak_db, round(greatest(0,pp-prms),5) AS crest_db,
  g+0.0::DOUBLE AS suggested_gain_db, round(least(0.95,1-exp(-sec/30))/(1+novelty_db/6),6) AS confidence,
- CASE WHEN cl>0 THEN 'Clipping' WHEN tpd>=0 THEN 'AboveTarget' WHEN sec IS NULL THEN 'WaitingForSignal' WHEN NOT settled THEN 'Analyzing' WHEN g<0 THEN 'AboveTarget' WHEN g>0 THEN 'TooLow' ELSE 'Good' END AS status FROM b""")
+ CASE WHEN cl>0 THEN 'Clipping' WHEN ft THEN 'UpstreamClipping' WHEN tpd>=0 THEN 'AboveTarget' WHEN sec IS NULL THEN 'WaitingForSignal' WHEN NOT settled THEN 'Analyzing' WHEN g<0 THEN 'AboveTarget' WHEN g>0 THEN 'TooLow' ELSE 'Good' END AS status FROM b""")
 def _(spark, d):
     s = V.stereo(spark, d)
     extremes = N.true_peak(s).join(
         s.groupBy("rec_id").agg(
             amplitude_db(F.max(F.abs("v"))).alias("peak_db"), F.count_if(F.abs("v") >= 0.999969).alias("clipped")
         ), "rec_id",
-    ).withColumn("flat_tops", F.lit(False))
+    ).join(_flat_tops(spark, d, s).select("rec_id", "flat_tops"), "rec_id")
     out = B.level_snapshot(stage(B.block_summary(s, V.LR_RATE, V.ACTIVITY_TAPS), "blocks"), stage(extremes, "extremes"), V.LR_RATE)
     return out.withColumns({
         "active_seconds": r6("active_seconds"), "confidence": r6("confidence"), "suggested_gain_db": F.col("suggested_gain_db") + F.lit(0.0),
@@ -134,19 +151,9 @@ def _(spark, d):
     return B.hum_decision(B.classify(_block_table(spark, d), V.LR_RATE)).withColumn("hum_db", r6("hum_db", 5))
 
 
-@query("win09_repeated_flat_tops", """WITH p AS (SELECT *, lag(v) OVER w AS pv, lead(v) OVER w AS nv FROM v_stereo WINDOW w AS (PARTITION BY rec_id, ch ORDER BY n)),
-e AS (SELECT *, greatest(abs(v),abs(pv)) AS lev FROM p WHERE v*pv>0 AND greatest(abs(v),abs(pv))>=0.1 AND abs(v-pv)<=greatest(2e-7,greatest(abs(v),abs(pv))*1e-4)),
-i AS (SELECT rec_id, ch, sign(v) AS s, min(n)-1 AS a, max(n)+1 AS b, max(lev) AS lev, max(abs(v-pv)) AS ins FROM (SELECT *, n-row_number() OVER (PARTITION BY rec_id, ch, sign(v) ORDER BY n) AS g FROM e) GROUP BY rec_id, ch, sign(v), g),
-t AS (SELECT i.* FROM i JOIN p x ON x.rec_id=i.rec_id AND x.ch=i.ch AND x.n=a JOIN p y ON y.rec_id=i.rec_id AND y.ch=i.ch AND y.n=b
-  WHERE b-a>=3 AND lev<0.999969 AND ins<=1.5*greatest(2e-7,1e-4*lev) AND coalesce(abs(x.v-x.pv),0)>=0.001*lev AND coalesce(abs(y.v-y.pv),0)>=0.001*lev),
-o AS (SELECT t1.rec_id, t1.ch, t1.b, max(t2.lev) AS top FROM t t1 JOIN t t2 ON t1.rec_id=t2.rec_id AND t1.ch=t2.ch AND t2.b BETWEEN t1.b-10000 AND t1.b GROUP BY 1,2,3),
-c AS (SELECT o.rec_id, o.ch, o.b, max(top) AS top, count(CASE WHEN 20*log10(top/t2.lev)<=1.0 THEN 1 END) AS n FROM o JOIN t t2 ON o.rec_id=t2.rec_id AND o.ch=t2.ch AND t2.b BETWEEN o.b-10000 AND o.b GROUP BY 1,2,3),
-k AS (SELECT rec_id, max(abs(v)) AS pk FROM v_stereo GROUP BY rec_id)
-SELECT k.rec_id, CAST(count(c.b) AS BIGINT) AS alarms, count(c.b)>0 AS flat_tops FROM k LEFT JOIN c ON c.rec_id=k.rec_id AND n>=3 AND 20*log10(top)>=20*log10(pk)-3 GROUP BY k.rec_id""")
+@query("win09_repeated_flat_tops", f"WITH {FLAT} SELECT rec_id, alarms, flat_tops FROM fr")
 def _(spark, d):
-    s = V.stereo(spark, d)
-    peaks = s.groupBy("rec_id").agg(amplitude_db(F.max(F.abs("v"))).alias("peak_db"))
-    return G.repeated_flat_tops(G.flat_tops(s), peaks, V.LR_RATE)
+    return _flat_tops(spark, d, V.stereo(spark, d))
 
 
 @query("win10_zero_crossings", """WITH s AS (SELECT rec_id, ch, n, sign(a) AS s, lag(sign(a)) OVER (PARTITION BY rec_id, ch ORDER BY n) AS p FROM v_active),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from phonolake.operators import blocks as B
 from phonolake.operators import segments as G
 from phonolake.plans import views as V
-from phonolake.plans.q_blocks import BLK, CLS, RUN
+from phonolake.plans.q_blocks import BLK, CLS, FLAT, RUN
 from phonolake.plans.q_loudness import MOV
 from phonolake.plans.q_transforms import r6
 from phonolake.plans.registry import query
@@ -132,19 +132,23 @@ def _(spark, d):
     return out.filter("take_id >= 0").select("take_id", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "rows")
 
 
-@query("st10_plateau_alarm", """WITH p AS (SELECT rec_id, n, abs(v) AS level FROM v_stereo WHERE ch=0 AND abs(v)>=0.93), w AS (SELECT CAST(unnest(range(-9,60)) AS BIGINT) AS s),
-a AS (SELECT rec_id, s+10 AS at_s, max(level) AS top, count(*) AS tops, list(level) AS ls FROM p JOIN w ON n>=s*1000 AND n<(s+10)*1000 GROUP BY 1,2), b AS (SELECT *, len(list_filter(ls, lambda x: 20*log10(top/x)<=1.0)) AS consistent FROM a)
-SELECT rec_id AS take_id, at_s, CAST(tops AS BIGINT) AS tops, round(top,6) AS top FROM b WHERE consistent>=3""")
+@query("st10_plateau_alarm", f"""WITH {FLAT}, w AS (SELECT CAST(unnest(range(-9,60)) AS BIGINT) AS s),
+a AS (SELECT rec_id, ch, w.s+10 AS at_s, max(lev) AS top, count(*) AS tops, list(lev) AS ls FROM ft JOIN w ON b>=w.s*1000 AND b<(w.s+10)*1000 GROUP BY 1,2,3), al AS (SELECT *, len(list_filter(ls, lambda x: 20*log10(top/x)<=1.0)) AS consistent FROM a)
+SELECT rec_id AS take_id, ch, at_s, CAST(tops AS BIGINT) AS tops, round(top,6) AS top FROM al JOIN fk USING (rec_id) WHERE consistent>=3 AND 20*log10(pk/top)<=3.0""")
 def _(spark, d):
     base = F.unix_micros(F.lit(START).cast("timestamp"))
-    tops = V.stereo(spark, d).filter((F.col("ch") == 0) & (F.abs("v") >= 0.93)).select(
-        F.col("rec_id").alias("take_id"), F.timestamp_micros(base + F.col("n") * 1000).alias("ts"), F.abs("v").alias("level"))
+    s = stage(V.stereo(spark, d), "stereo")
+    tops = G.flat_tops(s).select(
+        F.col("rec_id").alias("take_id"), "ch", F.timestamp_micros(base + F.col("end") * 1000).alias("ts"), "level")
     path = scratch_path(spark, "tops")
     tops.write.parquet(path)
-    tops.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("take_id"), F.expr("ts + interval 1 hour").alias("ts"), F.lit(0.0).alias("level")).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("take_id long, ts timestamp, level double").parquet(path)
-    out = S.run(S.plateau_alarm(stream), "alarm").filter("take_id >= 0")
-    return out.select("take_id", (F.unix_seconds("at") - F.unix_seconds(F.lit(START).cast("timestamp"))).alias("at_s"), "tops", r6("top").alias("top"))
+    tops.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("long").alias("take_id"), F.lit(0).cast("long").alias("ch"), F.expr("ts + interval 1 hour").alias("ts"),
+        F.lit(0.0).alias("level")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("take_id long, ch long, ts timestamp, level double").parquet(path)
+    peaks = s.groupBy(F.col("rec_id").alias("take_id")).agg(F.max(F.abs("v")).alias("peak"))
+    out = S.run(S.plateau_alarm(stream, peaks), "alarm")
+    return out.select("take_id", "ch", (F.unix_seconds("at") - F.unix_seconds(F.lit(START).cast("timestamp"))).alias("at_s"), "tops", r6("top").alias("top"))
 
 
 @query("st11_unique_packets", "SELECT rec_id AS take_id, CAST(count(DISTINCT n//100)*2 AS BIGINT) AS packets FROM v_lr GROUP BY 1")

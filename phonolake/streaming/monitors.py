@@ -130,15 +130,15 @@ def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def plateau_alarm(tops: DataFrame, peaks: DataFrame | None = None, late: str = "30 seconds") -> DataFrame:
-    """tops(take_id, ts, level): windows of 10 s every second with three plateaus within 1 dB of the highest, which itself lies
-    within 3 dB of the take's peak where peaks(take_id, peak) are given."""
+    """tops(take_id, ch, ts, level): per channel, windows of 10 s every second with three plateaus within 1 dB of the highest, which
+    itself lies within 3 dB of the take's peak where peaks(take_id, peak) are given."""
     windows = (
         tops.withWatermark("ts", late)
-        .groupBy(F.window("ts", "10 seconds", "1 second").alias("w"), "take_id")
+        .groupBy(F.window("ts", "10 seconds", "1 second").alias("w"), "take_id", "ch")
         .agg(F.max("level").alias("top"), F.count(F.lit(1)).alias("tops"), F.collect_list("level").alias("levels"))
     )
     near = F.size(F.filter("levels", lambda x: 20 * F.log10(F.col("top") / x) <= 1.0))
-    out = windows.select("take_id", F.col("w.end").alias("at"), "tops", "top", near.alias("consistent")).filter("consistent >= 3")
+    out = windows.select("take_id", "ch", F.col("w.end").alias("at"), "tops", "top", near.alias("consistent")).filter("consistent >= 3")
     return out if peaks is None else out.join(peaks, "take_id").filter(20 * F.log10(F.col("peak") / F.col("top")) <= 3.0).drop("peak")
 
 
