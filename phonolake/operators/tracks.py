@@ -238,25 +238,13 @@ def plan_diff(old: DataFrame, new: DataFrame, rate: int) -> DataFrame:
         F.max_by(move, F.struct(F.abs(move), -F.col("track"))).alias("move")
     )
     seconds = F.coalesce(F.col("move"), F.lit(0)) / rate
-    tracks = F.when(F.col("proposed") == 1, "1 track").otherwise(F.format_string("%d tracks", "proposed"))
-    side = F.when(seconds < 0, "earlier").otherwise("later")
+    same = F.col("previous") == F.col("proposed")
+    shift = F.when(seconds == 0, ", starts unchanged").otherwise(F.concat(
+        F.format_string(", starts shift by at most %.1f s ", F.abs(seconds)), F.when(seconds < 0, "(earlier)").otherwise("(later)")))
+    change = F.when(same, shift).otherwise(F.format_string(", %d before", "previous"))
     return counts.join(moves, "rec_id", "left").select(
-        "rec_id", "previous", "proposed", F.when(F.col("previous") == F.col("proposed"), seconds).alias("worst_move_s"),
-        F.when(F.col("proposed") <= 0, "No tracks were proposed.")
-        .when(F.col("proposed") == 1, "No gaps found - this is all one track.")
-        .when((F.col("previous") == F.col("proposed")) & (seconds == 0), F.concat(F.lit("Same "), tracks, F.lit(", in the same places.")))
-        .when(
-            F.col("previous") == F.col("proposed"),
-            F.concat(F.lit("Still "), tracks, F.format_string(", moved up to %.1f s ", F.abs(seconds)), side, F.lit(".")),
-        )
-        .when(
-            F.col("previous") > 0,
-            F.concat(F.lit("Now "), tracks, F.when(F.col("previous") == 1, " - there was ").otherwise(" - there were "),
-                     F.col("previous").cast("string"), F.lit(".")),
-        )
-        .otherwise(F.concat(tracks, F.lit(" found.")))
-        .alias("sentence"),
-    )
+        "rec_id", "previous", "proposed", F.when(same, seconds).alias("worst_move_s"),
+        F.concat(F.format_string("%d planned", "proposed"), change).alias("sentence"))
 
 
 def plan_from_regions(regions: DataFrame, lengths: DataFrame) -> DataFrame:

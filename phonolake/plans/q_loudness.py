@@ -106,9 +106,9 @@ g AS (SELECT *, least(req,alw) AS gain, greatest(0,req-least(req,alw)) AS sf FRO
 SELECT rec_id, round(integrated,6) AS measured, round(true_peak_db,6)+0.0::DOUBLE AS true_peak_db, round(CASE WHEN idle THEN 0 ELSE req END,6)+0.0::DOUBLE AS requested,
  round(CASE WHEN idle THEN 0 ELSE gain END,6)+0.0::DOUBLE AS gain_db, round(CASE WHEN idle THEN 0 ELSE sf END,6)+0.0::DOUBLE AS shortfall,
  (NOT idle AND abs(gain)>0.05) AS applies, round(integrated+CASE WHEN idle THEN 0 ELSE gain END,6)+0.0::DOUBLE AS resulting,
- CASE WHEN idle THEN 'reference' WHEN sf>0.05 AND alw<0 AND req>0 THEN printf('already %.1f dB over the ceiling — brought down instead', -alw)
-  WHEN sf>0.05 THEN printf('true-peak limited · %.1f dB of limiting would be needed to reach %.1f LUFS', sf, goal)
-  WHEN abs(gain)<=0.05 THEN 'already there' ELSE '—' END AS note FROM g"""
+ CASE WHEN idle THEN 'anchor of the set' WHEN sf>0.05 AND alw<0 AND req>0 THEN printf('peaks exceed the ceiling by %.1f dB, lowered', -alw)
+  WHEN sf>0.05 THEN printf('stays %.1f dB short under the ceiling', sf)
+  WHEN abs(gain)<=0.05 THEN 'on target' ELSE 'gain applied' END AS note FROM g"""
 
 
 def _plan(spark, d, mode, **kw):
@@ -138,8 +138,7 @@ def _(spark, d):
 
 
 @query("fun28_match_summary", f"""WITH {MEASURE}, s AS (SELECT avg(integrated) AS a FROM meas), g AS (SELECT s.a, s.a-integrated AS req, least(s.a-integrated, -1.0::DOUBLE-true_peak_db) AS gain FROM meas, s)
-SELECT printf('Match Loudness · %d track(s) to %.1f LUFS (the average of the set), ceiling -1.0 dBTP · %d changed', count(*), max(a), count(CASE WHEN abs(gain)>0.05 THEN 1 END))
- || CASE WHEN count(CASE WHEN req-gain>0.05 THEN 1 END)>0 THEN printf(', %d true-peak limited', count(CASE WHEN req-gain>0.05 THEN 1 END)) ELSE '' END || '.' AS summary FROM g""")
+SELECT printf('%d recordings to %.1f LUFS by the average of the set, peaks under -1.0 dBTP: %d change, %d stay short, %d without loudness', count(*), max(a), count(CASE WHEN abs(gain)>0.05 THEN 1 END), count(CASE WHEN req-gain>0.05 THEN 1 END), 0) AS summary FROM g""")
 def _(spark, d):
     return N.match_summary(N.loudness_match(_measures(spark, d), "average"), "the average of the set")
 

@@ -84,8 +84,7 @@ def _(spark, d):
 @query("join17_plan_diff", _TRK + """, w AS (SELECT rec_id, track, s, CASE WHEN track=1 THEN s ELSE s+(rec_id-1)*37*track END AS s2 FROM trk), c AS (SELECT rec_id, count(*) AS n, max(CASE WHEN rec_id=0 THEN 1 ELSE 0 END) AS one FROM trk GROUP BY 1),
 m AS (SELECT rec_id, arg_max(s2-s, abs(s2-s)) AS mv FROM w GROUP BY 1)
 SELECT c.rec_id, CAST(n AS BIGINT) AS previous, CAST(n-one AS BIGINT) AS proposed, CASE WHEN one=0 THEN mv/1000.0::DOUBLE END AS worst_move_s,
- CASE WHEN n-one<=0 THEN 'No tracks were proposed.' WHEN n-one=1 THEN 'No gaps found - this is all one track.' WHEN one=0 AND mv=0 THEN printf('Same %d tracks, in the same places.', n)
- WHEN one=0 THEN printf('Still %d tracks, moved up to %.1f s %s.', n, abs(mv)/1000.0::DOUBLE, CASE WHEN mv<0 THEN 'earlier' ELSE 'later' END) ELSE printf('Now %d tracks - there %s %d.', n-one, CASE WHEN n=1 THEN 'was' ELSE 'were' END, n) END AS sentence FROM c JOIN m USING (rec_id)""")
+ printf('%d planned', n-one) || CASE WHEN one=1 THEN printf(', %d before', n) WHEN mv=0 THEN ', starts unchanged' ELSE printf(', starts shift by at most %.1f s (%s)', abs(mv)/1000.0::DOUBLE, CASE WHEN mv<0 THEN 'earlier' ELSE 'later' END) END AS sentence FROM c JOIN m USING (rec_id)""")
 def _(spark, d):
     old = stage(_tracks(spark, d, V.stereo(spark, d)), "tracks")
     moved = F.when(F.col("track") == 1, F.col("start")).otherwise(F.col("start") + (F.col("rec_id") - 1) * 37 * F.col("track"))
