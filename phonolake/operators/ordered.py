@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,3 +203,103 @@ def islands(
     )
     columns = [*keys, "start", "last", *aggs]
     return parts.filter(~edge).select(*columns).unionByName(borders.select(*columns))
+
+
+def _chain(pos: np.ndarray, low: np.ndarray, high: np.ndarray, span: int, skip: int):
+    """Of every point as the first of a group: index of its last member, borders, index of the next first (-1: none
+    that hangs on this group), and whether the point begins a group whatever came before."""
+    last = np.searchsorted(pos, pos + span, "left") - 1
+    start = np.maximum(low, pos[last] + 1 - span)
+    end = np.minimum(high[last] + 1, start + span)
+    following = np.searchsorted(pos, end + skip, "left")
+    root = np.diff(pos, prepend=pos[0] - span - skip - 1) > span + skip
+    inside = following < len(pos)
+    following = np.where(inside & ~root[np.minimum(following, len(pos) - 1)], following, -1)
+    return last, start, end, following, root
+
+
+def greedy_groups(
+    points: DataFrame, keys: Sequence[str], n: str, span: int, skip: int = 0,
+    low: str | None = None, high: str | None = None, size: int = SLICE,
+) -> DataFrame:
+    """Groups whose extent hangs on their own first point: (*keys, n, first, last, start, end) per member.
+
+    The first point of a key opens a group that takes all points less than ``span`` after it. ``low`` and ``high`` name
+    how far a point may be widened (default: not at all); a group is widened to the left first and never beyond
+    ``span``. The next group opens at the first point at least ``skip`` after that end; points between are in none.
+
+    A point with no other in the ``span + skip`` before it opens a group whatever came earlier, so slices are solved on
+    their own. Only a slice without such a point asks where the chain enters it: it answers with a table from its
+    first points to the exit, and those tables, one row a slice, are put together over runs of such slices. Positions
+    are distinct; points with a null key or position are passed over.
+    """
+    reach = span + skip
+    if size <= 3 * reach:
+        raise ValueError("a slice must be longer than three groups with their gaps")
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in points.select(*keys).schema}
+    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    shaped = points.dropna(subset=[*keys, n]).select(
+        *keys, F.col(n).cast("long").alias("_n"), F.col(low or n).cast("long").alias("_low"),
+        F.col(high or n).cast("long").alias("_high"))
+    sliced = with_halo(shaped, "_n", before=reach, after=2 * reach, size=size)
+
+    def solved(pdf: pd.DataFrame):
+        pdf = pdf.sort_values("_n", ignore_index=True)
+        home = np.flatnonzero(pdf["_home"].to_numpy())
+        chain = _chain(*(pdf[c].to_numpy(np.int64) for c in ("_n", "_low", "_high")), span, skip)
+        return pdf, pdf["_n"].to_numpy(np.int64), home, chain
+
+    def doors(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, pos, home, (_, _, _, following, root) = solved(pdf)
+        if not len(home):
+            return pd.DataFrame(columns=[*keys, "_slice", "_rooted", "_doors", "_exits"])
+        leave = np.full(len(pos), -1, np.int64)
+        for i in home[::-1]:
+            to = following[i]
+            if to >= 0:
+                leave[i] = pos[to] if to > home[-1] else leave[to]
+        rooted = home[root[home]]
+        row = pdf.loc[[home[0]], [*keys, "_slice"]].reset_index(drop=True)
+        row["_rooted"] = bool(len(rooted))
+        near = home[pos[home] < pos[home[0]] // size * size + 2 * reach]
+        row["_doors"] = [[] if len(rooted) else pos[near].tolist()]
+        row["_exits"] = [[int(leave[rooted[-1]])] if len(rooted) else leave[near].tolist()]
+        return row
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_slice", ignore_index=True)
+        found, at = [], -1
+        for rooted, inside, outside in zip(pdf["_rooted"], pdf["_doors"], pdf["_exits"]):
+            at = outside[0] if rooted else dict(zip(inside, outside)).get(at, -1)
+            found.append(at)
+        out = pdf[keys].assign(_entry=np.array(found, np.int64))
+        return out[out["_entry"] >= 0]
+
+    def marked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, pos, home, (last, start, end, following, root) = solved(pdf)
+        firsts = []
+        if len(home):
+            begins = home[root[home]].tolist()
+            entry = pdf["_entry"].iloc[home[0]]
+            if entry == entry and entry >= 0:
+                begins.append(int(np.searchsorted(pos, int(entry))))
+            for i in begins:
+                while 0 <= i <= home[-1]:
+                    firsts.append(i)
+                    i = following[i]
+        firsts = np.array(sorted(firsts), np.int64)
+        sizes = last[firsts] - firsts + 1
+        group = np.repeat(firsts, sizes)
+        member = group + np.arange(len(group)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        out = pdf.loc[group, keys].reset_index(drop=True)
+        return out.assign(n=pos[member], first=pos[group], last=pos[last[group]], start=start[group], end=end[group])
+
+    tables = sliced.groupBy(*keys, "_slice").applyInPandas(
+        doors, f"{key_schema}, _slice long, _rooted boolean, _doors array<long>, _exits array<long>")
+    order = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    runs = tables.withColumn("_run", F.sum(F.col("_rooted").cast("long")).over(order))
+    entry = runs.groupBy(*keys, "_run").applyInPandas(exits, f"{key_schema}, _entry long").select(
+        *keys, slice_no("_entry", size).alias("_slice"), "_entry")
+    return sliced.join(entry, [*keys, "_slice"], "left").groupBy(*keys, "_slice").applyInPandas(
+        marked, f"{key_schema}, n long, first long, last long, start long, end long")

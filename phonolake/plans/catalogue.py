@@ -3,6 +3,7 @@
 from phonolake.plans import (  # noqa: F401
     q_blocks,
     q_dataset,
+    q_impulses,
     q_loudness,
     q_segments,
     q_spectrum,
