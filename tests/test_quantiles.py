@@ -1,0 +1,63 @@
+"""Exact quantiles of values that crowd together."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from phonolake.operators import quantiles as Q
+
+SHAPES = {
+    "one far value": lambda r: np.append(r.uniform(-1, 1, 3000), 1e9),
+    "around an offset": lambda r: np.append(1e6 + r.uniform(-1, 1, 3000), [1e15, -1e15]),
+    "powers": lambda r: 10.0 ** r.uniform(-14, 0, 3000) * r.choice([-1, 1], 3000),
+    "ties": lambda r: np.repeat([0.0, -0.0, 1e-9, 2.0], [900, 30, 50, 20]),
+    "one": lambda r: np.array([5.0]),
+    "largest doubles": lambda r: np.append(r.uniform(-1, 1, 500), [1.7e308, -1.7e308]),
+    "infinite": lambda r: np.append(r.uniform(0, 1, 500), [np.inf, -np.inf, np.inf]),
+}
+
+
+@pytest.mark.parametrize("rule", ["linear", "nearest", "floor", "index"])
+def test_crowded_values(spark, rule):
+    shares = [0.0, 0.1, 0.5, 0.9995]
+    parts, want = [], {}
+    for name, make in SHAPES.items():
+        v = make(np.random.default_rng(3))
+        parts.append(pd.DataFrame({"k": name, "v": v}))
+        v = np.sort(v)
+        for p in shares:
+            at = {"linear": (len(v) - 1) * p, "nearest": np.floor((len(v) - 1) * p + 0.5), "floor": np.floor((len(v) - 1) * p),
+                  "index": min(np.floor(len(v) * p), len(v) - 1)}[rule]
+            low, part = int(at), at - int(at)
+            want[name, p] = v[low] if part == 0 else v[low] * (1 - part) + v[min(low + 1, len(v) - 1)] * part
+    rows = spark.createDataFrame(pd.concat(parts)).unionByName(spark.sql("SELECT 'ties' AS k, CAST(NULL AS DOUBLE) AS v"))
+    got = Q.exact_quantiles(rows, ["k"], "v", {f"q{i}": (rule, p) for i, p in enumerate(shares)}).toPandas().set_index("k")
+    for (name, p), value in want.items():
+        assert got.loc[name, f"q{shares.index(p)}"] == pytest.approx(value, rel=1e-12, abs=1e-300), (name, p)
+
+
+def test_a_far_value_leaves_no_crowded_bucket(spark):
+    v = np.append(np.random.default_rng(4).uniform(-1, 1, 40_000), 1e9)
+    rows = spark.createDataFrame(pd.DataFrame({"k": 0, "v": v}))
+    counts = []
+    real = Q._hit
+
+    def watched(sizes, keys, bucket):
+        counts.append(sizes.groupBy().agg(F.max("_n")).first()[0])
+        return real(sizes, keys, bucket)
+
+    Q._hit = watched
+    try:
+        got = Q.exact_quantiles(rows, ["k"], "v", {"m": ("linear", 0.5)}).first()["m"]
+    finally:
+        Q._hit = real
+    assert got == pytest.approx(np.median(v), rel=1e-12)
+    assert counts[0] < 500 and counts[1] < 20
+
+
+def test_no_rows_and_no_keys(spark):
+    empty = spark.createDataFrame([], "k int, v double")
+    assert Q.exact_quantiles(empty, ["k"], "v", {"m": ("linear", 0.5)}).count() == 0
+    rows = spark.createDataFrame([(1.0,), (4.0,)], "v double")
+    assert Q.exact_quantiles(rows, [], "v", {"m": ("linear", 0.5)}).collect()[0]["m"] == 2.5
