@@ -74,6 +74,60 @@ def windowed_energy(frames: DataFrame, length: int) -> DataFrame:
     )
 
 
+def chebyshev_window(length: int, attenuation_db: float) -> Column:
+    """Array of the Dolph-Chebyshev window, peak 1: every side lobe lies ``attenuation_db`` below the main lobe.
+
+    A Chebyshev polynomial of order length - 1 is sampled in frequency and transformed back about the middle of the window.
+    """
+    if length < 2:
+        return F.array(*[F.lit(1.0)] * length).cast("array<double>")
+    order = length - 1
+    beta = math.cosh(math.acosh(10 ** (abs(attenuation_db) / 20)) / order)
+    places = F.sequence(F.lit(0), F.lit(order))
+
+    def amplitude(k):
+        x = beta * F.cos(math.pi * k / length)
+        outside = F.pow(F.signum(x), F.lit(order)) * F.cosh(order * F.acosh(F.abs(x)))
+        return F.when(F.abs(x) <= 1, F.cos(order * F.acos(x))).otherwise(outside)
+
+    raw = F.transform(places, lambda i: F.aggregate(
+        places, F.lit(0.0), lambda total, k: total + amplitude(k) * F.cos(2 * math.pi * k * (i - order / 2) / length)))
+    return F.transform(raw, lambda w: w / F.array_max(F.transform(raw, F.abs)))
+
+
+def window_table(spark, length: int, attenuation_db: float = 60.0) -> DataFrame:
+    """(kind, i, w) of every window kind: a few hundred or thousand rows, for joins on the index."""
+    i = F.col("i")
+    plain = spark.range(length).withColumnRenamed("id", "i").select(
+        "i", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), window_value(k, i, length).cast("double").alias("w")) for k in WINDOWS])))
+    values = spark.range(1).select(F.posexplode(chebyshev_window(length, attenuation_db)).alias("i", "w"))
+    return plain.select("kind", "i", "w").unionByName(
+        values.select(F.lit("DolphChebyshev").alias("kind"), F.col("i").cast("long").alias("i"), "w"))
+
+
+def overlap_gain(positions: DataFrame, windows: DataFrame, length: int, hop: int, tolerance: float = 1e-6) -> DataFrame:
+    """Whether frames every ``hop`` samples add up to a constant: (rec_id, kind, covered, constant, ripple, satisfied).
+
+    ``positions(rec_id, n)`` are the samples, from 0 without holes. What a sample is given by all frames hangs on its place within
+    the hop alone, so samples are counted by place first. Samples that some frame would need from before the start or after
+    the end are not covered; a recording with none has no row.
+    """
+    if hop < 1:
+        raise ValueError("a hop is at least one sample")
+    frames = positions.groupBy("rec_id").agg((F.max("n") + 1).alias("_frames"))
+    n, frame = F.col("n"), F.col("_frames")
+    last = F.floor((frame - length) / hop) * hop  # where the last whole frame starts
+    inside = (n >= length - 1) & (n < last + hop)
+    places = positions.join(frames, "rec_id").filter(inside).groupBy("rec_id", (n % hop).alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    sums = windows.groupBy("kind", (F.col("i") % hop).alias("_place")).agg(F.sum("w").alias("_w"))
+    out = places.join(sums, "_place").groupBy("rec_id", "kind").agg(
+        F.sum("_n").alias("covered"), F.avg("_w").alias("constant"), (F.max("_w") - F.min("_w")).alias("_range"))
+    small = F.abs("constant") < 1e-12
+    ripple = F.when(~small, F.col("_range") / F.abs("constant"))
+    return out.select("rec_id", "kind", "covered", "constant", ripple.alias("ripple"),
+                      F.coalesce(ripple <= tolerance, F.lit(False)).alias("satisfied"))
+
+
 # --- frames and spectra ----------------------------------------------------------------------------------------
 
 

@@ -61,6 +61,31 @@ def _(spark, d):
     return Z.windowed_energy(V.frames(spark, d), 64).withColumn("energy", r6("energy", 8))
 
 
+def _cheb_sql(length: int, db: float) -> str:
+    m, beta = length - 1, math.cosh(math.acosh(10 ** (db / 20)) / (length - 1))
+    x = f"({beta!r}::DOUBLE*cos(pi()*k/{length}))"
+    t = f"CASE WHEN abs({x})<=1 THEN cos({m}*acos(least(1,greatest(-1,{x})))) ELSE pow(sign({x}),{m})*cosh({m}*acosh(greatest(1,abs({x})))) END"
+    return (f"ck AS (SELECT unnest(range({length})) AS k), cr AS (SELECT a.k AS i, sum(({t.replace('*k/', '*b.k/')})*cos(2*pi()*b.k*(a.k-{m / 2})/{length})) AS w FROM ck a, ck b GROUP BY 1), "
+            "cheb AS (SELECT i, w/max(abs(w)) OVER () AS w FROM cr)")
+
+
+@query("fun16_chebyshev_energies", f"WITH {_cheb_sql(64, 60.0)} SELECT rec_id, frame, round(sum(pow(v*w,2)),8) AS energy FROM v_frames JOIN cheb ON cheb.i=v_frames.i GROUP BY 1,2")
+def _(spark, d):
+    w = Z.window_table(spark, 64).filter("kind = 'DolphChebyshev'")
+    return V.frames(spark, d).join(w, "i").groupBy("rec_id", "frame").agg(r6(F.sum(F.pow(F.col("v") * F.col("w"), 2)), 8).alias("energy"))
+
+
+@query("fun16_overlap_gain", f"WITH {_cheb_sql(64, 60.0)}, ki AS (SELECT CAST(i AS DOUBLE) AS i, unnest([" + ",".join(f"'{k}'" for k in Z.WINDOWS) + "]) AS kind FROM (SELECT unnest(range(64)) AS i)), "
+       + "wn AS (SELECT kind, CAST(i AS BIGINT) AS i, CASE kind " + " ".join(f"WHEN '{k}' THEN {_W[k].format(a='(2*pi()*i/64)')}" for k in Z.WINDOWS) + " END AS w FROM ki UNION ALL SELECT 'DolphChebyshev', i, w FROM cheb), "
+       + """fr AS (SELECT rec_id, max(n)+1 AS f FROM v_sig GROUP BY 1), cs AS (SELECT rec_id, n FROM v_sig JOIN fr USING (rec_id) WHERE n>=63 AND n<((f-64)//32)*32+32),
+ov AS (SELECT rec_id, n, kind, sum(w) AS w FROM cs JOIN wn ON wn.i%32=cs.n%32 GROUP BY 1,2,3), hp AS (SELECT rec_id, n%32 AS pl, kind, any_value(w) AS w, count(*) AS c FROM ov GROUP BY 1,2,3),
+x AS (SELECT rec_id, kind, sum(c) AS covered, avg(w) AS m, max(w)-min(w) AS r FROM hp GROUP BY 1,2)
+SELECT rec_id, kind, CAST(covered AS BIGINT) AS covered, round(m,8) AS constant, round(CASE WHEN abs(m)>=1e-12 THEN r/abs(m) END,8) AS ripple, coalesce(r/abs(m)<=1e-6 AND abs(m)>=1e-12,false) AS satisfied FROM x""")
+def _(spark, d):
+    out = Z.overlap_gain(V.sig(spark, d).select("rec_id", "n"), Z.window_table(spark, 64), 64, 32)
+    return out.withColumns({"constant": r6("constant", 8), "ripple": r6("ripple", 8)})
+
+
 @query("fun17_dft_frames", """SELECT rec_id, frame, bin, round((pow(sum(x*cos(2*pi()*bin*i/64)),2)+pow(sum(x*sin(2*pi()*bin*i/64)),2))*pow(2/32.0::DOUBLE,2),9) AS p
  FROM (SELECT rec_id, frame, i, v*(0.5-0.5*cos(2*pi()*i/64)) AS x FROM v_frames), (SELECT CAST(unnest(range(33)) AS INT) AS bin) GROUP BY 1,2,3""")
 def _(spark, d):
