@@ -1,9 +1,7 @@
 """Exact order statistics per group without holding a group in memory.
 
-Values are counted (map-side combined) and placed twice: first in buckets of equal width in the logarithm of the distance from
-zero, so that one far value does not push all others together, then, for the buckets that hold a wanted rank, in buckets of equal
-width between the least and the largest value there. Only the inner buckets that hold a rank are sorted. The three rank rules of
-level measurement coexist.
+Values are counted (map-side combined), placed in a fixed number of equal-width buckets per group, and
+only the buckets that hold a wanted rank are sorted. The three rank rules of level measurement coexist.
 """
 
 from __future__ import annotations
@@ -14,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
-FINEST = 1e-12  # of a group's span: distances from zero below it share their bucket
 
 
 def rank_position(rule: str, p: float, total: Column) -> Column:
@@ -30,23 +27,6 @@ def rank_position(rule: str, p: float, total: Column) -> Column:
     raise ValueError(rule)
 
 
-def _bucket(v: Column, low: Column, high: Column) -> Column:
-    """Number of the equal-width bucket; each step of the formula is monotone, so equal buckets are intervals."""
-    return F.when(high <= low, F.lit(0)).otherwise(
-        F.least(F.floor((v - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1)))
-
-
-def _hit(sizes: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """Buckets of sizes(*keys, bucket, _n, _ranks) that hold one of their group's ranks, with the ranks counted from the
-    bucket's first value."""
-    upto = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(upto), F.lit(0))
-    own = F.transform(
-        F.filter("_ranks", lambda x: (x["r"] >= F.col("_before")) & (x["r"] < F.col("_before") + F.col("_n"))),
-        lambda x: F.struct(x["q"].alias("q"), (x["r"] - F.col("_before")).alias("r"), x["w"].alias("w")))
-    return sizes.withColumn("_before", before).select(*keys, bucket, own.alias("_ranks")).filter(F.size("_ranks") > 0)
-
-
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, tuple[str, float]]
 ) -> DataFrame:
@@ -66,16 +46,26 @@ def exact_quantiles(
     span = counted.groupBy(*keys).agg(
         F.min(finite).alias("_lo"), F.max(finite).alias("_hi"), F.sum("_c").alias("_total")
     )
-    # halved before subtracting, so that the span of any two doubles is finite
-    unit = F.greatest((F.col("_hi") / 2 - F.col("_lo") / 2) * FINEST, F.lit(1e-300))
-    place = lambda v: F.signum(v) * F.ln(1 + F.abs(v) / unit)
-    outer = (
+    bucket = (
         F.when(F.col("_v") == -infinity, F.lit(-1))
         .when(F.col("_v") == infinity, F.lit(BUCKETS))
-        .otherwise(_bucket(place(F.col("_v")), place(F.col("_lo")), place(F.col("_hi"))))
+        .when(F.col("_hi") <= F.col("_lo"), F.lit(0))
+        .otherwise(
+            F.least(
+                F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BUCKETS),
+                F.lit(BUCKETS - 1),
+            )
+        )
+        .cast("int")
+    )
+    placed = (
+        counted.join(span, keys)
+        .withColumn("_b", bucket)
+        .select(*keys, "_v", "_c", "_total", "_b")
     )
-    placed = counted.join(span, keys).select(*keys, "_v", "_c", "_total", outer.cast("int").alias("_b"))
     sizes = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"), F.first("_total").alias("_total"))
+    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
 
     ranks = []
     for name, (rule, p) in wanted.items():
@@ -85,18 +75,21 @@ def exact_quantiles(
         high = F.least(low + 1, F.col("_total") - 1)
         ranks.append(F.struct(F.lit(name).alias("q"), low.cast("long").alias("r"), (1 - weight).alias("w")))
         ranks.append(F.struct(F.lit(name).alias("q"), high.cast("long").alias("r"), weight.alias("w")))
-    crowded = _hit(sizes.withColumn("_ranks", F.filter(F.array(*ranks), lambda x: x["w"] > 0)), keys, "_b")
-    near = placed.drop("_total").join(crowded, [*keys, "_b"])
-    edges = near.groupBy(*keys, "_b").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    split = near.join(edges, [*keys, "_b"]).withColumn(
-        "_s", _bucket(F.col("_v") / 2, F.col("_lo") / 2, F.col("_hi") / 2).cast("int")).drop("_lo", "_hi")
-    inner = split.groupBy(*keys, "_b", "_s").agg(F.sum("_c").alias("_n"), F.first("_ranks").alias("_ranks"))
-    targets = _hit(inner, [*keys, "_b"], "_s")
-    inside = Window.partitionBy(*keys, "_b", "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    targets = (
+        sizes.withColumn("_rank", F.explode(F.array(*ranks)))
+        .filter(
+            (F.col("_rank.w") > 0)
+            & (F.col("_rank.r") >= F.col("_before"))
+            & (F.col("_rank.r") < F.col("_before") + F.col("_n"))
+        )
+        .groupBy(*keys, "_b", "_before")
+        .agg(F.collect_list("_rank").alias("_ranks"))
+    )
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        split.drop("_ranks")
-        .join(targets, [*keys, "_b", "_s"])
-        .withColumn("_cum", F.sum("_c").over(inside))
+        placed.drop("_total")
+        .join(targets, [*keys, "_b"])
+        .withColumn("_cum", F.sum("_c").over(inside) + F.col("_before"))
         .withColumn("_rank", F.explode("_ranks"))
         .filter((F.col("_rank.r") < F.col("_cum")) & (F.col("_rank.r") >= F.col("_cum") - F.col("_c")))
     )
