@@ -1,4 +1,4 @@
-"""From a side to a disc plan: split sweep, trimming, validation and positions."""
+"""From a side to a disc plan: trimming, validation and positions; where it divides is chosen in ``splits``."""
 
 from __future__ import annotations
 
@@ -15,192 +15,6 @@ MAXIMUM_TRACKS = 99
 MAXIMUM_SECONDS = 80 * 60
 MINIMUM_SECONDS = 4.0
 
-BOUNDARIES = "rec_id long, threshold_db double, cluster long, boundaries array<long>"
-
-
-def split_candidates(silences: DataFrame, frames: DataFrame, minimum_track: int) -> DataFrame:
-    """Middles of silences far enough from both ends: (rec_id, threshold_db, position, weight)."""
-    middle = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2)
-    return (
-        silences.join(frames, "rec_id")
-        .select("rec_id", "threshold_db", middle.alias("position"), (F.col("end") - F.col("start")).alias("weight"), "frames")
-        .filter((F.col("position") >= minimum_track) & (F.col("frames") - F.col("position") >= minimum_track))
-        .drop("frames")
-    )
-
-
-def strongest_splits(silences: DataFrame, frames: DataFrame, minimum_track: int) -> DataFrame:
-    """Heaviest compatible set of splits per (rec_id, threshold): (…, boundaries) including 0 and the length.
-
-    Candidates that are at least the minimum apart never compete, so the choice falls apart into independent
-    clusters of close candidates. Spark forms the clusters; only the choice inside one is made by a task.
-    """
-    keys = ["rec_id", "threshold_db"]
-    candidates = split_candidates(silences, frames, minimum_track)
-    slices = slice_no("position", 64 * minimum_track)
-    before = running(candidates, keys, slices, ["position"], {"_prev": ("max", F.col("position"))}, inclusive=False)
-    apart = F.col("_prev").isNull() | (F.col("position") - F.col("_prev") >= minimum_track)
-    clustered = running(
-        before.withColumn("_new", apart.cast("long")), keys, slices, ["position"], {"cluster": ("sum", F.col("_new"))}
-    )
-
-    def choose(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("position")
-        at, weight = pdf["position"].tolist(), pdf["weight"].tolist()
-        best, kept = _heaviest(at, weight, minimum_track)
-        del best
-        row = (pdf["rec_id"].iloc[0], pdf["threshold_db"].iloc[0], pdf["cluster"].iloc[0], kept)
-        return pd.DataFrame([row], columns=["rec_id", "threshold_db", "cluster", "boundaries"])
-
-    chosen = clustered.select(*keys, "cluster", "position", "weight").groupBy(*keys, "cluster").applyInPandas(
-        choose, BOUNDARIES
-    )
-    inner = chosen.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("boundaries"))).alias("_inner"))
-    thresholds = silences.select(*keys).distinct()
-    return (
-        thresholds.join(inner, keys, "left")
-        .join(frames, "rec_id")
-        .select(
-            *keys,
-            F.concat(
-                F.array(F.lit(0).cast("long")), F.coalesce("_inner", F.array().cast("array<long>")),
-                F.array(F.col("frames").cast("long")),
-            ).alias("boundaries"),
-        )
-    )
-
-
-def _heaviest(at: list[int], weight: list[int], apart: int) -> tuple[float, list[int]]:
-    """Weighted selection of positions at least ``apart`` from each other; ties keep the smaller set found first."""
-    from bisect import bisect_right
-
-    n = len(at)
-    total, taken = [0.0] * (n + 1), [False] * (n + 1)
-    compatible = [bisect_right(at, at[i] - apart, 0, i) for i in range(n)]
-    for i in range(1, n + 1):
-        with_it = weight[i - 1] + total[compatible[i - 1]]
-        taken[i] = with_it > total[i - 1]
-        total[i] = with_it if taken[i] else total[i - 1]
-    out, i = [], n
-    while i:
-        if taken[i]:
-            out.append(at[i - 1])
-            i = compatible[i - 1]
-        else:
-            i -= 1
-    return total[n], out[::-1]
-
-
-def exact_splits(silences: DataFrame, frames: DataFrame, minimum_track: int, tracks: int) -> DataFrame:
-    """Heaviest set of exactly ``tracks`` − 1 splits, where one exists: a disc holds at most 99 tracks.
-
-    The number of splits couples all clusters, so each cluster first reports its best weight for every number of
-    splits it could give (at most 98), and only those short profiles are combined per recording.
-    """
-    keys = ["rec_id", "threshold_db"]
-    wanted = tracks - 1
-    candidates = split_candidates(silences, frames, minimum_track)
-    slices = slice_no("position", 64 * minimum_track)
-    before = running(candidates, keys, slices, ["position"], {"_prev": ("max", F.col("position"))}, inclusive=False)
-    apart = F.col("_prev").isNull() | (F.col("position") - F.col("_prev") >= minimum_track)
-    clustered = running(
-        before.withColumn("_new", apart.cast("long")), keys, slices, ["position"], {"cluster": ("sum", F.col("_new"))}
-    )
-
-    def profile(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("position")
-        at, weight = pdf["position"].tolist(), pdf["weight"].tolist()
-        sets = _by_count(at, weight, minimum_track, wanted)
-        head = (pdf["rec_id"].iloc[0], pdf["threshold_db"].iloc[0], pdf["cluster"].iloc[0])
-        rows = [(*head, k, float(w), kept) for k, (w, kept) in sets.items()]
-        return pd.DataFrame(rows, columns=["rec_id", "threshold_db", "cluster", "k", "weight", "boundaries"])
-
-    profiles = clustered.select(*keys, "cluster", "position", "weight").groupBy(*keys, "cluster").applyInPandas(
-        profile, "rec_id long, threshold_db double, cluster long, k long, weight double, boundaries array<long>"
-    )
-
-    def combine(pdf):
-        import pandas as pd
-
-        state = {0: (0.0, [])}
-        for _, cluster in pdf.sort_values("cluster").groupby("cluster", sort=True):
-            merged = {}
-            for have, (w, kept) in state.items():
-                for row in cluster.itertuples():
-                    k, total = have + row.k, w + row.weight
-                    if k <= wanted and (k not in merged or total > merged[k][0]):
-                        merged[k] = (total, kept + list(row.boundaries))
-            state = merged
-        head = (pdf["rec_id"].iloc[0], pdf["threshold_db"].iloc[0])
-        rows = [(*head, state[wanted][1])] if wanted in state else []
-        return pd.DataFrame(rows, columns=["rec_id", "threshold_db", "splits"])
-
-    return profiles.groupBy(*keys).applyInPandas(combine, "rec_id long, threshold_db double, splits array<long>")
-
-
-def _by_count(at: list[int], weight: list[int], apart: int, most: int) -> dict[int, tuple[float, list[int]]]:
-    from bisect import bisect_right
-
-    n = len(at)
-    compatible = [bisect_right(at, at[i] - apart, 0, i) for i in range(n)]
-    table: list[dict[int, tuple[float, list[int]]]] = [{0: (0.0, [])}]
-    for i in range(1, n + 1):
-        row = dict(table[i - 1])
-        for k, (w, kept) in table[compatible[i - 1]].items():
-            if k < most and (k + 1 not in row or w + weight[i - 1] > row[k + 1][0]):
-                row[k + 1] = (w + weight[i - 1], [*kept, at[i - 1]])
-        table.append(row)
-    return table[n]
-
-
-PLATEAUS = "rec_id long, tracks long, low_db double, high_db double, chosen_db double, boundaries array<long>"
-
-
-def plateaus(boundaries: DataFrame, tolerance: int) -> DataFrame:
-    """Consecutive settings whose boundaries agree with the run's first answer; at most 46 settings per recording."""
-
-    def fold(pdf):
-        import math
-
-        import pandas as pd
-
-        rows = [(r.threshold_db, list(r.boundaries)) for r in pdf.sort_values("threshold_db").itertuples()]
-        runs: list[list] = []
-        for db, found in rows:
-            first = runs[-1][0][1] if runs else None
-            same = first is not None and len(first) == len(found) and all(
-                abs(a - b) <= tolerance for a, b in zip(first, found)
-            )
-            if same:
-                runs[-1].append((db, found))
-            else:
-                runs.append([(db, found)])
-        out = []
-        for run in runs:
-            low, high = run[0][0], run[-1][0]
-            mid = (low + high) / 2
-            chosen = math.copysign(math.floor(abs(mid) + 0.5), mid)  # half away from zero
-            kept = run[int(chosen - low)][1]
-            out.append((pdf["rec_id"].iloc[0], len(kept) - 1, low, high, chosen, kept))
-        return pd.DataFrame(out, columns=["rec_id", "tracks", "low_db", "high_db", "chosen_db", "boundaries"])
-
-    return boundaries.groupBy("rec_id").applyInPandas(fold, PLATEAUS)
-
-
-def choose_plateau(candidates: DataFrame, minimum_width: float = 4.0) -> DataFrame:
-    """Ranked by width, then by lowest setting: first wide multi-track answer, else a single track, else the first."""
-    width = F.col("high_db") - F.col("low_db")
-    order = Window.partitionBy("rec_id").orderBy(width.desc(), F.col("low_db"))
-    ranked = candidates.withColumn("rank", F.row_number().over(order))
-    grade = F.when((F.col("tracks") > 1) & (width >= minimum_width), 0).when(F.col("tracks") == 1, 1).otherwise(2)
-    best = Window.partitionBy("rec_id").orderBy(grade, "rank")
-    return ranked.withColumn("best", F.row_number().over(best) == 1)
-
-
 def trim_to_music(samples: DataFrame, tracks: DataFrame, threshold_db: float, width: int = SLICE) -> DataFrame:
     """Move inner track ends to the first and last loud sample. ``tracks(rec_id, track, start, end)``, disjoint.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phonolake.operators import segments as G
 from phonolake.operators import signal as S
+from phonolake.operators import splits as L
 from phonolake.operators import timeline as M
 from phonolake.operators import tracks as K
 from phonolake.operators import transforms as P
@@ -39,23 +40,104 @@ def _(spark, d):
 
 @query("top02_split_candidates", f"WITH {_ACT} SELECT rec_id, db AS threshold_db, CAST(s+(e-s)//2 AS BIGINT) AS position, CAST(e-s AS BIGINT) AS weight FROM sw JOIN fr USING (rec_id) WHERE s+(e-s)//2>=2000 AND frames-(s+(e-s)//2)>=2000")
 def _(spark, d):
-    return K.split_candidates(*_sweep(spark, d), 2000)
+    return L.split_candidates(*_sweep(spark, d), 2000)
+
+
+def _choice(quiet: str, splits: int = 0) -> str:
+    """Boundaries ``bd`` from silences ``sw(rec_id, db, s, e)``, lengths ``fr`` and settings ``th``: the heaviest choice, and
+    with ``splits`` the heaviest of that many where there is one (``exact``)."""
+    counts = range(1, splits + 1)
+    more = "".join(f", [CAST(NULL AS BIGINT)] AS s{k}, CAST([] AS BOOLEAN[]) AS t{k}" for k in counts)
+    prior = lambda k: f"(w+{f's{k - 1}[pred+1]' if k > 1 else '0'})"
+    taken = lambda k: f"coalesce({prior(k)}>coalesce(s{k}[i],-1),false)"
+    step = "".join(f", list_append(s{k}, CASE WHEN {taken(k)} THEN {prior(k)} ELSE s{k}[i] END), list_append(t{k}, {taken(k)})" for k in counts)
+    flag = "CASE k " + "".join(f"WHEN {k} THEN t{k}[j] " for k in counts) + "ELSE tk[j] END" if splits else "tk[j]"
+    start = f"CASE WHEN s{splits}[n+1] IS NULL THEN -1 ELSE {splits} END" if splits else "-1"
+    return f"""RECURSIVE {quiet}, cd AS (SELECT rec_id, db, CAST(s+(e-s)//2 AS BIGINT) AS p, CAST(e-s AS BIGINT) AS w FROM sw JOIN fr USING (rec_id) WHERE s+(e-s)//2>=2000 AND frames-(s+(e-s)//2)>=2000),
+cn AS (SELECT rec_id, db, p, w, row_number() OVER (PARTITION BY rec_id, db ORDER BY p) AS c, count(*) OVER (PARTITION BY rec_id, db ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND 2000 PRECEDING) AS pred FROM cd),
+gr AS (SELECT rec_id, db, count(*) AS n FROM cn GROUP BY 1,2),
+dp AS (SELECT rec_id, db, n, CAST(1 AS BIGINT) AS i, [CAST(0 AS BIGINT)] AS sc, CAST([] AS BOOLEAN[]) AS tk{more} FROM gr
+ UNION ALL SELECT rec_id, db, n, i+1, list_append(sc, greatest(w+sc[pred+1], sc[i])), list_append(tk, w+sc[pred+1]>sc[i]){step} FROM dp JOIN cn USING (rec_id, db) WHERE c=i),
+bk AS (SELECT rec_id, db, n AS j, {start} AS k, CAST([] AS BIGINT[]) AS kept, tk{"".join(f", t{k}" for k in counts)} FROM dp WHERE i=n+1
+ UNION ALL SELECT rec_id, db, CASE WHEN {flag} THEN pred ELSE j-1 END, CASE WHEN {flag} THEN k-1 ELSE k END, CASE WHEN {flag} THEN list_prepend(p, kept) ELSE kept END, tk{"".join(f", t{k}" for k in counts)} FROM bk JOIN cn USING (rec_id, db) WHERE c=j AND j>0 AND k<>0),
+ch AS (SELECT rec_id, db, kept FROM bk WHERE j=0 OR k=0),
+bd AS (SELECT fr.rec_id, th.db, list_concat([CAST(0 AS BIGINT)], coalesce(kept, []), [CAST(frames AS BIGINT)]) AS bs FROM fr CROSS JOIN th LEFT JOIN ch ON ch.rec_id=fr.rec_id AND ch.db=th.db)"""
+
+
+#: Plateaus ``pl`` of boundaries ``bd``: setting after setting, compared with the first answer of the run.
+_PLATEAUS = """pw AS (SELECT rec_id, db, bs AS held, db AS low FROM bd WHERE db=-70
+ UNION ALL SELECT pw.rec_id, bd.db, CASE WHEN ag THEN held ELSE bs END, CASE WHEN ag THEN low ELSE bd.db END FROM pw JOIN bd ON bd.rec_id=pw.rec_id AND bd.db=pw.db+1,
+  LATERAL (SELECT len(bs)=len(held) AND coalesce(list_max(list_transform(range(1,least(len(bs),len(held))+1), lambda x: abs(bs[x]-held[x]))),0)<=500 AS ag)),
+sp AS (SELECT rec_id, low, max(db) AS high FROM pw GROUP BY 1,2), md AS (SELECT *, round((low+high)/2) AS mid FROM sp),
+pl AS (SELECT md.rec_id, CAST(len(bs)-1 AS BIGINT) AS tracks, low AS low_db, high AS high_db, mid AS chosen_db, bs FROM md JOIN bd ON bd.rec_id=md.rec_id AND bd.db=md.mid)"""
+_RANKED = """rk AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY high_db-low_db DESC, low_db) AS rank FROM pl)
+SELECT rec_id, tracks, low_db, high_db, chosen_db, array_to_string(bs, ',') AS boundaries, CAST(rank AS INT) AS rank, """
+_BEST = "row_number() OVER (PARTITION BY rec_id ORDER BY CASE WHEN tracks>1 AND high_db-low_db>=4 THEN 0 WHEN tracks=1 THEN 1 ELSE 2 END, rank)=1 AS best"
+
+
+@query("top02_strongest_splits", f"WITH {_choice(_ACT)} SELECT rec_id, db AS threshold_db, array_to_string(bs, ',') AS boundaries FROM bd")
+def _(spark, d):
+    return L.strongest_splits(*_sweep(spark, d), 2000, _SETTINGS).withColumn("boundaries", F.array_join("boundaries", ","))
 
 
-@query("top02_strongest_splits")
+@query("top02_exact_splits", f"WITH {_choice(_ACT, 2)} SELECT rec_id, db AS threshold_db, array_to_string(bs, ',') AS boundaries, len(bs)=4 AS exact FROM bd")
 def _(spark, d):
-    return K.strongest_splits(*_sweep(spark, d), 2000).select("rec_id", "threshold_db", F.array_join("boundaries", ",").alias("boundaries"))
+    return L.exact_splits(*_sweep(spark, d), 2000, 3, _SETTINGS).withColumn("boundaries", F.array_join("boundaries", ","))
 
 
-@query("top02_exact_splits")
+@query("top01_threshold_sweep", f"WITH {_choice(_ACT)}, {_PLATEAUS}, {_RANKED} {_BEST} FROM rk")
 def _(spark, d):
-    return K.exact_splits(*_sweep(spark, d), 2000, 3).select("rec_id", "threshold_db", F.array_join("splits", ",").alias("splits"))
+    chosen = L.choose_plateau(L.plateaus(L.strongest_splits(*_sweep(spark, d), 2000, _SETTINGS), 500))
+    return chosen.withColumn("boundaries", F.array_join("boundaries", ","))
+
 
+#: Pauses that compete: one per order on 48 sides, each falling silent at one of nine settings; every eighth side has short ones.
+_SETS = "th AS (SELECT CAST(unnest(range(-70,-24)) AS DOUBLE) AS db), sd AS (SELECT DISTINCT o_custkey%48 AS rec_id, 200000 AS frames FROM orders)"
+_PAUSES = """pa AS (SELECT o_custkey%48 AS rec_id, (o_orderkey*7919)%198000 AS s, CASE WHEN o_custkey%48%8=0 THEN 100+(o_orderkey*31)%1100 ELSE 400+(o_orderkey*31)%1600 END AS len, -72+5*((o_orderkey*13)%9) AS lvl FROM orders),
+pt AS (SELECT rec_id, db, s, s+len AS e FROM pa, th WHERE db>lvl)"""
+_PLAIN = f"{_SETS}, {_PAUSES}, fr AS (SELECT * FROM sd), sw AS (SELECT * FROM pt WHERE e-s>=600)"
+#: The same sides twice: with long gaps, and, numbered from 1000, with shorter ones.
+_TWICE = f"""{_SETS}, {_PAUSES}, fr AS (SELECT * FROM sd UNION ALL SELECT rec_id+1000, frames FROM sd),
+sw AS (SELECT * FROM pt WHERE e-s>=1250 UNION ALL SELECT rec_id+1000, db, s, e FROM pt WHERE e-s>=600)"""
+_RELAXED = """dv AS (SELECT DISTINCT rec_id FROM pl WHERE tracks>1),
+px AS (SELECT * FROM pl), re AS (SELECT rec_id-1000 AS rec_id FROM dv WHERE rec_id>=1000 AND rec_id-1000 NOT IN (SELECT rec_id FROM dv)),
+pr AS (SELECT px.* REPLACE (px.rec_id%1000 AS rec_id), px.rec_id>=1000 AS relaxed FROM px WHERE (px.rec_id>=1000)=(px.rec_id%1000 IN (SELECT rec_id FROM re)))"""
 
-@query("top01_threshold_sweep")
+
+def _pauses(spark, d):
+    o = V.table(spark, d, "orders")
+    key, side = F.col("o_orderkey"), F.col("o_custkey") % 48
+    length = F.when(side % 8 == 0, 100 + (key * 31) % 1100).otherwise(400 + (key * 31) % 1600)
+    grid = F.explode(F.filter(F.array(*[F.lit(x) for x in _SETTINGS]), lambda x: x > -72 + 5 * ((key * 13) % 9)))
+    frames = o.select(side.alias("rec_id"), F.lit(200_000).cast("long").alias("frames")).distinct()
+    at = (key * 7919) % 198_000
+    silences = o.select(side.alias("rec_id"), at.alias("start"), (at + length).alias("end"), grid.alias("threshold_db"))
+    return stage(silences.filter(F.col("end") - F.col("start") >= 600), "pauses"), frames
+
+
+@query("top02_competing_splits", f"WITH {_choice(_PLAIN)} SELECT rec_id, db AS threshold_db, array_to_string(bs, ',') AS boundaries FROM bd")
 def _(spark, d):
-    chosen = K.choose_plateau(K.plateaus(K.strongest_splits(*_sweep(spark, d), 2000), 500))
-    return chosen.withColumn("boundaries", F.array_join("boundaries", ","))
+    return L.strongest_splits(*_pauses(spark, d), 2000, _SETTINGS).withColumn("boundaries", F.array_join("boundaries", ","))
+
+
+@query("top02_counted_splits", f"WITH {_choice(_PLAIN, 5)} SELECT rec_id, db AS threshold_db, array_to_string(bs, ',') AS boundaries, len(bs)=7 AS exact FROM bd")
+def _(spark, d):
+    return L.exact_splits(*_pauses(spark, d), 2000, 6, _SETTINGS).withColumn("boundaries", F.array_join("boundaries", ","))
+
+
+@query("top01_relaxed_sweep", f"WITH {_choice(_TWICE)}, {_PLATEAUS}, {_RELAXED}, {_RANKED.replace('FROM pl', 'FROM pr')} relaxed, {_BEST} FROM rk")
+def _(spark, d):
+    silences, frames = _pauses(spark, d)
+    out = L.sweep_tracks(silences, frames, _SETTINGS, 2000, 500, 1250)
+    return out.withColumn("boundaries", F.array_join("boundaries", ","))
+
+
+@query("top01_sweep_for_tracks", f"""WITH {_choice(_TWICE, 5)}, {_PLATEAUS}, {_RELAXED}, {_RANKED.replace('FROM pl', 'FROM pr')} relaxed,
+ tracks=6 AND row_number() OVER (PARTITION BY rec_id ORDER BY CASE WHEN tracks=6 THEN 0 ELSE 1 END, rank)=1 AS best FROM rk""")
+def _(spark, d):
+    silences, frames = _pauses(spark, d)
+    out = L.sweep_tracks(silences, frames, _SETTINGS, 2000, 500, 1250, tracks=6)
+    return out.withColumn("boundaries", F.array_join("boundaries", ","))
 
 
 _TRK = f"""WITH {SIL}, b AS (SELECT rec_id, CAST(s+(e-s)//2 AS BIGINT) AS m FROM sil), p AS (SELECT rec_id, m FROM b UNION ALL SELECT rec_id, 0 FROM fr UNION ALL SELECT rec_id, frames FROM fr),

@@ -10,7 +10,6 @@ from phonolake.operators import dataset as D
 from phonolake.operators import detect
 from phonolake.operators import intervals as I
 from phonolake.operators import scoring as C
-from phonolake.operators import tracks as K
 from phonolake.operators import transcripts as R
 
 
@@ -119,19 +118,6 @@ def test_whole_word_search_respects_apostrophes(spark):
     assert got.after == "don't DO it, I don’t  DO" and got.changed == 2
 
 
-def test_strongest_splits_against_enumeration():
-    from itertools import combinations
-
-    rng = random.Random(6)
-    for _ in range(40):
-        at = sorted(rng.sample(range(100), 7))
-        w = [rng.randint(1, 20) for _ in at]
-        best = max(sum(w[i] for i in c) for k in range(8) for c in combinations(range(7), k)
-                   if all(at[b] - at[a] >= 12 for a, b in zip(c, c[1:])))
-        total, kept = K._heaviest(at, w, 12)
-        assert total == best and sum(w[at.index(x)] for x in kept) == best
-
-
 def test_gap_matching_is_one_to_one(spark):
     planted = spark.createDataFrame([(1, 100, 200), (1, 300, 400), (1, 900, 950)], "rec_id long, start long, end long")
     found = spark.createDataFrame([(1, 90, 390)], "rec_id long, start long, end long")
