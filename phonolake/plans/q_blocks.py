@@ -83,10 +83,11 @@ def _(spark, d):
     return _blocks(spark, d).filter(B.is_program(F.lit(-55.0), V.LR_RATE)).select("rec_id", "block")
 
 
-_EV = CLS + """, act AS (SELECT *, sum(frames) OVER (PARTITION BY rec_id ORDER BY block)-frames AS before, sum(frames) OVER (PARTITION BY rec_id) AS al FROM cls WHERE class='active'),
+_ACTIVE = """, act AS (SELECT *, sum(frames) OVER (PARTITION BY rec_id ORDER BY block)-frames AS before, sum(frames) OVER (PARTITION BY rec_id) AS al FROM cls WHERE class='active'),
 ref AS (SELECT rec_id, 20*log10(max(abs(v))) AS peak_db FROM v_stereo GROUP BY rec_id),
 ev AS (SELECT rec_id, greatest(0,max(robust)-max(ref.peak_db)) AS tail_db, coalesce(least(3,greatest(0,max(robust)-max(CASE WHEN before<floor(al*0.5) THEN robust END))),0) AS novelty_db
   FROM act JOIN ref USING (rec_id) GROUP BY rec_id)"""
+_EV = CLS + _ACTIVE
 
 
 # Plateaus (ft) and, per recording, how many of them have two consistent others in the ten seconds before (fr).
@@ -106,14 +107,26 @@ def _flat_tops(spark, d, samples):
     return G.repeated_flat_tops(G.flat_tops(samples), peaks, V.LR_RATE)
 
 
-@query("agg15_level_snapshot", f"""WITH {_EV}, {_tp_sql()}, {FLAT},
+def snapshot_sql(classes: str = CLS, top: str = "quantile_cont(robust,0.99)") -> str:
+    """Level, advice and status from the blocks of ``classes``; whole-recording figures always from all samples."""
+    return f"""WITH {classes}{_ACTIVE}, {_tp_sql()}, {FLAT},
 ex AS (SELECT rec_id, ref.peak_db, 20*log10(true_peak) AS tpd, cl, flat_tops AS ft FROM ref JOIN tp USING (rec_id) JOIN fr USING (rec_id) JOIN (SELECT rec_id, count(CASE WHEN abs(v)>=0.999969 THEN 1 END) AS cl FROM v_stereo GROUP BY rec_id) USING (rec_id)),
-q AS (SELECT rec_id, quantile_cont(rms_db,0.5) AS prms, quantile_cont(robust,0.99) AS sp, sum(frames)/1000.0::DOUBLE AS sec FROM act GROUP BY rec_id),
+q AS (SELECT rec_id, quantile_cont(rms_db,0.5) AS prms, {top} AS sp, sum(frames)/1000.0::DOUBLE AS sec FROM act GROUP BY rec_id),
 a AS (SELECT *, CASE WHEN peak_db-sp>6 THEN 0 ELSE least(3,greatest(0,tpd-peak_db)) END AS prem, sec+1e-9>=10 AS settled FROM ex LEFT JOIN q USING (rec_id) LEFT JOIN ev USING (rec_id)),
 b AS (SELECT *, sp+prem AS pp, CASE WHEN settled THEN floor((least(96,greatest(-96,CASE WHEN cl>0 OR ft THEN least(-1-tpd,-1) ELSE -1-tpd END))+1e-6)*2)/2 ELSE 0 END AS g FROM a)
 SELECT rec_id, round(sec,6) AS active_seconds, round(prms,5)+0.0::DOUBLE AS program_rms_db, round(pp,5)+0.0::DOUBLE AS program_peak_db, round(greatest(0,pp-prms),5) AS crest_db,
  g+0.0::DOUBLE AS suggested_gain_db, round(least(0.95,1-exp(-sec/30))/(1+novelty_db/6),6) AS confidence,
- CASE WHEN cl>0 THEN 'Clipping' WHEN ft THEN 'UpstreamClipping' WHEN tpd>=0 THEN 'AboveTarget' WHEN sec IS NULL THEN 'WaitingForSignal' WHEN NOT settled THEN 'Analyzing' WHEN g<0 THEN 'AboveTarget' WHEN g>0 THEN 'TooLow' ELSE 'Good' END AS status FROM b""")
+ CASE WHEN cl>0 THEN 'Clipping' WHEN ft THEN 'UpstreamClipping' WHEN tpd>=0 THEN 'AboveTarget' WHEN sec IS NULL THEN 'WaitingForSignal' WHEN NOT settled THEN 'Analyzing' WHEN g<0 THEN 'AboveTarget' WHEN g>0 THEN 'TooLow' ELSE 'Good' END AS status FROM b"""
+
+
+def snapshot_columns(out):
+    return out.withColumns({
+        "active_seconds": r6("active_seconds"), "confidence": r6("confidence"), "suggested_gain_db": F.col("suggested_gain_db") + F.lit(0.0),
+        **{c: r6(c, 5) for c in ("program_rms_db", "program_peak_db", "crest_db")},
+    })
+
+
+@query("agg15_level_snapshot", snapshot_sql())
 def _(spark, d):
     s = V.stereo(spark, d)
     extremes = N.true_peak(s).join(
@@ -121,11 +134,7 @@ def _(spark, d):
             amplitude_db(F.max(F.abs("v"))).alias("peak_db"), F.count_if(F.abs("v") >= 0.999969).alias("clipped")
         ), "rec_id",
     ).join(_flat_tops(spark, d, s).select("rec_id", "flat_tops"), "rec_id")
-    out = B.level_snapshot(stage(B.block_summary(s, V.LR_RATE, V.ACTIVITY_TAPS), "blocks"), stage(extremes, "extremes"), V.LR_RATE)
-    return out.withColumns({
-        "active_seconds": r6("active_seconds"), "confidence": r6("confidence"), "suggested_gain_db": F.col("suggested_gain_db") + F.lit(0.0),
-        **{c: r6(c, 5) for c in ("program_rms_db", "program_peak_db", "crest_db")},
-    })
+    return snapshot_columns(B.level_snapshot(stage(B.block_summary(s, V.LR_RATE, V.ACTIVITY_TAPS), "blocks"), stage(extremes, "extremes"), V.LR_RATE))
 
 
 @query("agg16_channel_balance", f"""WITH {CLS} SELECT rec_id, round(least(60,greatest(-60,10*log10(sum(left_ms)/sum(right_ms)))),5)+0.0::DOUBLE AS balance_db,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from phonolake.operators import blocks as B
+from phonolake.operators import loudness as N
 from phonolake.operators import segments as G
 from phonolake.plans import views as V
-from phonolake.plans.q_blocks import BLK, CLS, FLAT, RUN
+from phonolake.plans.q_blocks import BLK, CLS, FLAT, RUN, _flat_tops, snapshot_columns, snapshot_sql
 from phonolake.plans.q_loudness import MOV
 from phonolake.plans.q_transforms import r6
 from phonolake.plans.registry import query
@@ -100,6 +101,32 @@ def _(spark, d):
     return B.classify(kept, V.LR_RATE).groupBy("rec_id", "class").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+#: The latest 12 s of every take.
+_KEPT = CLS.replace(BLK, BLK.replace("blk AS (SELECT bb.*", "bk AS (SELECT bb.*") + ", blk AS (SELECT bk.* FROM bk JOIN (SELECT rec_id, max(block) AS newest FROM bk GROUP BY 1) USING (rec_id) WHERE block>newest-120)")
+
+
+def _live_snapshot(spark, d, **how):
+    """Blocks arrive shuffled over files as a stream; snapshot from what the sink has kept."""
+    s = stage(V.stereo(spark, d), "stereo")
+    peaks = N.true_peak(s, V.LR_RATE // 10).select("rec_id", "block", "true_peak_db")
+    source, path = scratch_path(spark, "blocks"), scratch_path(spark, "levels")
+    B.block_summary(s, V.LR_RATE, V.ACTIVITY_TAPS).join(peaks, ["rec_id", "block"], "left").repartition(5, "block").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    S.append_levels(stream, path, scratch_path(spark, "levels-checkpoint"))
+    blocks, extremes = (spark.read.parquet(f"{path}/{name}").drop("batch_id") for name in ("blocks", "extremes"))
+    return snapshot_columns(S.rolling_snapshot(blocks, extremes, _flat_tops(spark, d, s), V.LR_RATE, **how))
+
+
+@query("st06_rolling_snapshot", snapshot_sql(_KEPT))
+def _(spark, d):
+    return _live_snapshot(spark, d, keep=120)
+
+
+@query("st06_full_scan", snapshot_sql(top="max(robust)"))
+def _(spark, d):
+    return _live_snapshot(spark, d, full_scan=True)
+
+
 @query("st07_capacity_stop", "SELECT rec_id AS take_id, CAST(79 AS BIGINT) AS stop_seq, CAST(8000 AS BIGINT) AS frames FROM v_lr GROUP BY 1 HAVING count(*)>=8000")
 def _(spark, d):
     return S.run(S.capacity_stop(_stream(spark, d), 8000), "capacity")

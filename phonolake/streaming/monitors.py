@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phonolake.functions.levels import amplitude_db, is_finite, lufs
+from phonolake.operators.blocks import level_snapshot
 from phonolake.operators.signal import CLIP_LEVEL
 from phonolake.operators.weighting import weighting_response
 from phonolake.session import scratch_path
@@ -530,3 +531,39 @@ def rolling_levels(blocks: DataFrame, keep: int = 1200) -> DataFrame:
     """The retained block table: the latest ``keep`` blocks of each take (two minutes), by a range filter."""
     newest = blocks.groupBy("rec_id").agg(F.max("block").alias("_newest"))
     return blocks.join(newest, "rec_id").filter(F.col("block") > F.col("_newest") - keep).drop("_newest")
+
+
+def batch_extremes(blocks: DataFrame) -> DataFrame:
+    """What a micro-batch adds to the figures of whole takes: one row per take, merged by maximum and sum."""
+    return blocks.groupBy("rec_id").agg(
+        F.max("peak_db").alias("peak_db"), F.max("true_peak_db").alias("true_peak_db"),
+        F.sum("clipped").cast("long").alias("clipped"))
+
+
+def append_levels(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Level assistant: the block records of every micro-batch below ``path/blocks``, its extremes below ``path/extremes``.
+
+    Both belong to the batch's own partition, so a repeated batch replaces itself in both.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.withColumn("batch_id", F.lit(batch_id)).persist()
+        for name, rows in (("blocks", kept), ("extremes", batch_extremes(kept).withColumn("batch_id", F.lit(batch_id)))):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/{name}")
+        kept.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def rolling_snapshot(
+    blocks: DataFrame, extremes: DataFrame, alarms: DataFrame, rate: int, keep: int = 1200, full_scan: bool = False
+) -> DataFrame:
+    """Levels and advice as they stand: programme figures from the latest ``keep`` blocks, peaks and clipping from all.
+
+    A full scan keeps every block and takes the highest programme peak instead of a high percentile. ``extremes`` are
+    those of all batches; ``alarms(rec_id, flat_tops)``.
+    """
+    merged = extremes.groupBy("rec_id").agg(
+        F.max("peak_db").alias("peak_db"), F.max("true_peak_db").alias("true_peak_db"), F.sum("clipped").alias("clipped"))
+    whole = merged.join(alarms.select("rec_id", "flat_tops"), "rec_id", "left").na.fill(False, ["flat_tops"])
+    return level_snapshot(blocks if full_scan else rolling_levels(blocks, keep), whole, rate, full_scan=full_scan)
