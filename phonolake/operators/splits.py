@@ -248,3 +248,16 @@ def sweep_tracks(
     candidates = first.join(divided, "rec_id", "left_anti").withColumn("relaxed", F.lit(False)).unionByName(
         second.join(divided, "rec_id", "left_semi").withColumn("relaxed", F.lit(True)))
     return choose_plateau(candidates, tracks)
+
+
+def sweep_sentences(candidates: DataFrame, tracks: int | None = None) -> DataFrame:
+    """What a sweep found, in one sentence per recording of ``sweep_tracks``."""
+    best = F.max_by(F.struct("tracks", "low_db", "high_db", "relaxed"), F.col("best").cast("int"))
+    found = candidates.groupBy("rec_id").agg(
+        best.alias("_b"), F.bool_or("best").alias("_any"), F.array_sort(F.collect_set("tracks")).alias("_all"))
+    where = F.format_string("%d tracks, the same from %.0f to %.0f dB", F.col("_b.tracks"), F.col("_b.low_db"), F.col("_b.high_db"))
+    short = F.when(F.col("_b.relaxed"), ", by shorter gaps").otherwise("")
+    never = F.format_string(f"never {tracks} tracks; settings give %s", F.array_join(F.col("_all").cast("array<string>"), ", "))
+    one = F.lit("one track, no gap divides it")
+    said = F.when(~F.col("_any"), never).when(F.col("_b.tracks") > 1, F.concat(where, short)).otherwise(one)
+    return found.select("rec_id", said.alias("sentence"))

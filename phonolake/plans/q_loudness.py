@@ -99,6 +99,24 @@ def _(spark, d):
     return N.compliance(_measures(spark, d)).withColumn("suggested_gain", r6("suggested_gain"))
 
 
+_CHECKS = """ck AS (SELECT rec_id, target, 'integrated' AS name, integrated AS measured, tl-tol AS low, tl+tol AS high, printf('%.1f to %.1f LUFS', tl-tol, tl+tol) AS required FROM meas, tg
+ UNION ALL SELECT rec_id, target, 'true peak', true_peak_db, NULL, tpk, printf('up to %.1f dBTP', tpk) FROM meas, tg UNION ALL SELECT rec_id, target, 'range', range_lu, NULL, mr, printf('up to %.1f LU', mr) FROM meas, tg WHERE mr>0),
+cp AS (SELECT *, (low IS NULL OR measured>=low-1e-9) AND measured<=high+1e-9 AS passed FROM ck)"""
+
+
+@query("agg10_compliance_checks", f"WITH {MEASURE}, {_TG}, {_CHECKS} SELECT rec_id, target, name, round(measured,6)+0.0::DOUBLE AS measured, low, high, required, passed FROM cp")
+def _(spark, d):
+    return N.compliance_checks(_measures(spark, d)).withColumn("measured", r6("measured"))
+
+
+@query("fun28_compliance_sentences", f"""WITH {MEASURE}, {_TG}, {_CHECKS}, f AS (SELECT rec_id, target, string_agg(name, ', ' ORDER BY name) FILTER (WHERE NOT passed) AS bad FROM cp GROUP BY 1,2),
+g AS (SELECT rec_id, target, tl-integrated AS w, least(tl-integrated, tpk-true_peak_db) AS g FROM meas, tg)
+SELECT rec_id, target, CASE WHEN bad IS NULL THEN 'meets '||target ELSE 'misses '||target||' on '||bad END || CASE WHEN abs(g)>0.05 THEN printf('; gain %+.1f dB', g) ELSE '' END
+ || CASE WHEN abs(g)>0.05 AND w-g>0.1 THEN printf(', %.1f dB left to limiting', w-g) ELSE '' END AS sentence FROM f JOIN g USING (rec_id, target)""")
+def _(spark, d):
+    return N.compliance_sentences(_measures(spark, d))
+
+
 def _match_sql(goal, ceiling, same="false"):
     return f"""WITH {MEASURE}, s AS (SELECT min(integrated) AS q, avg(integrated) AS a, max(CASE WHEN rec_id=2 THEN integrated END) AS ref FROM meas WHERE NOT isinf(integrated)),
 p AS (SELECT meas.*, {goal} AS goal, {goal}-integrated AS req, {ceiling}-true_peak_db AS alw, {same} AS idle FROM meas, s),

@@ -140,6 +140,23 @@ def _(spark, d):
     return out.withColumn("boundaries", F.array_join("boundaries", ","))
 
 
+_SAID = """CASE WHEN NOT bool_or(best) THEN printf('never 6 tracks; settings give %s', array_to_string(list_sort(list(DISTINCT tracks)), ', ')) WHEN max(CASE WHEN best THEN tracks END)=1 THEN 'one track, no gap divides it'
+ ELSE printf('%d tracks, the same from %.0f to %.0f dB', max(CASE WHEN best THEN tracks END), max(CASE WHEN best THEN low_db END), max(CASE WHEN best THEN high_db END))||CASE WHEN bool_or(best AND relaxed) THEN ', by shorter gaps' ELSE '' END END AS sentence"""
+
+
+@query("fun28_sweep_sentences", f"""WITH {_choice(_TWICE)}, {_PLATEAUS}, {_RELAXED}, sq AS ({_RANKED.replace('FROM pl', 'FROM pr').replace('rk AS', 'WITH rk AS')} relaxed, {_BEST} FROM rk)
+SELECT rec_id, {_SAID} FROM sq GROUP BY rec_id""")
+def _(spark, d):
+    return L.sweep_sentences(L.sweep_tracks(*_pauses(spark, d), _SETTINGS, 2000, 500, 1250))
+
+
+@query("fun28_counted_sweep_sentences", f"""WITH {_choice(_TWICE, 5)}, {_PLATEAUS}, {_RELAXED}, sq AS ({_RANKED.replace('FROM pl', 'FROM pr').replace('rk AS', 'WITH rk AS')} relaxed,
+ tracks=6 AND row_number() OVER (PARTITION BY rec_id ORDER BY CASE WHEN tracks=6 THEN 0 ELSE 1 END, rank)=1 AS best FROM rk)
+SELECT rec_id, {_SAID} FROM sq GROUP BY rec_id""")
+def _(spark, d):
+    return L.sweep_sentences(L.sweep_tracks(*_pauses(spark, d), _SETTINGS, 2000, 500, 1250, tracks=6), 6)
+
+
 _TRK = f"""WITH {SIL}, b AS (SELECT rec_id, CAST(s+(e-s)//2 AS BIGINT) AS m FROM sil), p AS (SELECT rec_id, m FROM b UNION ALL SELECT rec_id, 0 FROM fr UNION ALL SELECT rec_id, frames FROM fr),
 t AS (SELECT rec_id, m AS s, lead(m) OVER (PARTITION BY rec_id ORDER BY m) AS e, row_number() OVER (PARTITION BY rec_id ORDER BY m) AS track FROM p), trk AS (SELECT * FROM t WHERE e>s)"""
 
