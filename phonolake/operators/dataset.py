@@ -97,7 +97,7 @@ def balanced_subset(rows: DataFrame, total: int, seed: int = 44) -> DataFrame:
 
 
 def fresh_artist_songs(songs: DataFrame, seen: DataFrame, count: int, seed: int = 7) -> DataFrame:
-    """One seeded song for each of ``count`` artists that are not in ``seen``; ``short`` tells when too few exist."""
+    """One seeded song for each of ``count`` artists that are not in ``seen``; ``fresh_artist_shortage`` tells when too few exist."""
     identity = artist_identity(F.col("artist"))
     known = seen.select(identity.alias("identity")).distinct()
     fresh = songs.withColumn("identity", identity).join(known, "identity", "left_anti").withColumn(
@@ -107,6 +107,14 @@ def fresh_artist_songs(songs: DataFrame, seen: DataFrame, count: int, seed: int
     return one.orderBy("_h").limit(count).select("identity", "song")
 
 
+def fresh_artist_shortage(songs: DataFrame, seen: DataFrame, count: int) -> DataFrame:
+    """One row (wanted, available, short): how many artists not in ``seen`` there are, and how many are lacking."""
+    available = F.count_distinct("identity").cast("long")
+    return seen_artist_exclusion(songs, seen).agg(
+        F.lit(count).cast("long").alias("wanted"), available.alias("available"),
+        F.greatest(F.lit(0).cast("long"), F.lit(count) - available).alias("short"))
+
+
 def stratified_speakers(clips: DataFrame, per_group: int = 4, per_speaker: int = 3, seed: int = 7) -> DataFrame:
     """Per group some seeded speakers, per speaker some seeded clips of 2 to 25 seconds."""
     speakers = seeded_rank(clips.select("group", "speaker").distinct(), ["group"], seed, ["speaker"]).filter(

@@ -129,6 +129,35 @@ def cue_sheet(positions: DataFrame) -> DataFrame:
     )
 
 
+def image_sheet(plan: DataFrame, positions: DataFrame, performer: str = "") -> DataFrame:
+    """Sheet of one continuous image per disc, as rows to be put out in order of track: row 0 is the disc's own header.
+
+    Times count from the start of the image; a track with a pregap states where that begins as index 00.
+    """
+    name = F.concat(F.lit("disc-"), F.col("disc_id").cast("string"))
+    by = F.concat(F.lit('PERFORMER "'), cue_escape(F.lit(performer)), F.lit('"\n')) if performer else F.lit("")
+    header = positions.select("disc_id").distinct().select(
+        "disc_id", F.lit(0).cast("long").alias("track"),
+        F.concat(F.lit('TITLE "'), name, F.lit('"\n'), by, F.lit('FILE "'), name, F.lit('.wav" WAVE')).alias("sheet"))
+    gap = F.when(F.col("track") == 1, 0).otherwise(F.coalesce("pregap", F.lit(0)))
+    begin = F.col("start_sector") - LEAD_IN
+    index = F.when(gap > 0, F.concat(F.lit("    INDEX 00 "), cd_time(begin - gap), F.lit("\n"))).otherwise("")
+    lines = positions.join(plan.select("disc_id", "track", "pregap"), ["disc_id", "track"]).select(
+        "disc_id", "track", F.concat(
+            F.lit("  TRACK "), two(F.col("track")), F.lit(' AUDIO\n    TITLE "'), cue_escape(F.col("title")), F.lit('"\n'), index,
+            F.lit("    INDEX 01 "), cd_time(begin)).alias("sheet"))
+    return header.unionByName(lines)
+
+
+def pq_sheet(positions: DataFrame) -> DataFrame:
+    """Disc timing counted from the lead-in: (disc_id, entry, start, length) per track and, as entry AA, the lead-out."""
+    tracks = positions.select(
+        "disc_id", two(F.col("track")).alias("entry"), cd_time(F.col("start_sector")).alias("start"), cd_time(F.col("sectors")).alias("length"))
+    out = positions.select("disc_id", "lead_out").distinct().select(
+        "disc_id", F.lit("AA").alias("entry"), cd_time(F.col("lead_out")).alias("start"), F.lit(None).cast("string").alias("length"))
+    return tracks.unionByName(out)
+
+
 def plan_issues(plan: DataFrame, lengths: DataFrame, rate: int) -> DataFrame:
     """(disc_id, severity, message) for every rule a plan breaks."""
     joined = lengths.join(plan, "disc_id", "left")

@@ -152,6 +152,13 @@ def _(spark, d):
     return D.fresh_artist_songs(a, a.filter("kind = 'b'"), 5)
 
 
+@query("top06_artist_shortage", f"""SELECT CAST(2000 AS BIGINT) AS wanted, CAST(count(DISTINCT {_ID}) AS BIGINT) AS available, CAST(greatest(0, 2000-count(DISTINCT {_ID})) AS BIGINT) AS short
+ FROM v_ann WHERE {_ID} NOT IN (SELECT {_ID} FROM v_ann WHERE kind='b')""")
+def _(spark, d):
+    a = V.annotations(spark, d)
+    return D.fresh_artist_shortage(a, a.filter("kind = 'b'"), 2000)
+
+
 @query("ds04_acceptance_set", f"""WITH {_FRESH}, t AS (SELECT artist, song, "start", "end", {_ID} AS identity FROM v_ann a WHERE NOT EXISTS (SELECT 1 FROM v_ann b WHERE b.artist=a.artist AND b.song<>a.song AND least(a."end",b."end")-greatest(a."start",b."start")>0.05))
 SELECT t.song, t."start", t."end", CASE WHEN c.song IS NULL THEN 'context' ELSE 'selected' END AS role FROM t JOIN (SELECT DISTINCT identity FROM chosen) i USING (identity) LEFT JOIN chosen c ON c.song=t.song""")
 def _(spark, d):

@@ -230,6 +230,24 @@ def _(spark, d):
     return K.cue_sheet(K.disc_positions(*_plan(spark, d), 44100))
 
 
+def _cd(x):
+    return f"printf('%02d:%02d:%02d', ({x})//4500, ({x})//75%60, ({x})%75)"
+
+
+@query("snk05_image_sheet", f"""WITH {_ASM} SELECT disc_id, CAST(0 AS BIGINT) AS track, 'TITLE "disc-'||disc_id||'"'||chr(10)||'PERFORMER "House Band"'||chr(10)||'FILE "disc-'||disc_id||'.wav" WAVE' AS sheet FROM (SELECT DISTINCT disc_id FROM ps)
+ UNION ALL SELECT disc_id, CAST(track AS BIGINT), printf('  TRACK %02d AUDIO', track)||chr(10)||'    TITLE "'||trim(replace(ps.title,'"',''''))||'"'||chr(10)||
+ CASE WHEN pregap>0 THEN '    INDEX 00 '||{_cd("start_sector-150-pregap")}||chr(10) ELSE '' END||'    INDEX 01 '||{_cd("start_sector-150")} FROM ps JOIN pln USING (disc_id, track)""")
+def _(spark, d):
+    plan, lengths = _plan(spark, d)
+    return K.image_sheet(plan, K.disc_positions(plan, lengths, 44100), "House Band")
+
+
+@query("snk05_pq_rows", f"""WITH {_ASM} SELECT disc_id, printf('%02d', track) AS entry, {_cd("start_sector")} AS start, {_cd("sectors")} AS length FROM ps
+ UNION ALL SELECT DISTINCT disc_id, 'AA', {_cd("lead_out")}, NULL FROM ps""")
+def _(spark, d):
+    return K.pq_sheet(K.disc_positions(*_plan(spark, d), 44100))
+
+
 @query("ds09_plan_issues", f"""WITH {_ASM}, q AS (SELECT sc.*, CASE WHEN track%5=0 THEN s ELSE e END AS e2, CASE WHEN track%7=0 THEN '' ELSE title END AS t2, CASE WHEN track%4=0 THEN 'US-BAD' ELSE 'USS1Z9900001' END AS isrc FROM sc),
 r AS (SELECT *, e2<=s AS emp, greatest(0,(CASE WHEN e2>=frames THEN ceil(e2/588.0::DOUBLE) ELSE floor(e2/588.0::DOUBLE+0.5) END)-a) AS sec FROM q),
 i AS (SELECT disc_id, unnest(list_filter([CASE WHEN emp THEN 'error|'||printf('Track %02d covers no audio.', track) END, CASE WHEN NOT emp AND sec*588/44100.0::DOUBLE<4 THEN 'error|'||printf('Track %02d is shorter than 4 s.', track) END,
