@@ -200,19 +200,22 @@ LEAD_OUT = 0xAA
 def tracks_from_toc(entries: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Table of contents(disc_id, number, start, is_data) to tracks, with rejected discs and reasons.
 
-    A table has at most 100 entries, so its window is small. ``sessions(disc_id, session, first, last, lead_out)``.
+    A table has at most 100 entries, so its window is small. ``sessions(disc_id, session, first, last, lead_out)`` meet the
+    entries by disc and range of numbers: listing a session's numbers would make a hundred rows of one, unseen by the planner.
     """
     order = Window.partitionBy("disc_id").orderBy(F.when(F.col("number") == LEAD_OUT, 1000).otherwise(F.col("number")))
     seen = entries.withColumns({
         "_next": F.lead("number").over(order), "_next_start": F.lead("start").over(order),
         "_copies": F.count(F.lit(1)).over(Window.partitionBy("disc_id", "number")),
     })
-    s = sessions.select("disc_id", F.explode(F.sequence("first", "last")).alias("number"), "session", "lead_out")
-    own = s.select("disc_id", "number", F.col("session").alias("_s"), F.col("lead_out").alias("_own_out"))
-    following = s.select("disc_id", F.col("number").alias("_next"), F.col("session").alias("_ns"))
-    joined = seen.filter(F.col("number") != LEAD_OUT).join(own, ["disc_id", "number"], "left").join(
-        following, ["disc_id", "_next"], "left"
-    )
+    def session_of(tracks, number, session, lead_out):
+        side = sessions.select(F.col("disc_id").alias("_d"), F.col("session").alias(session), F.col("first").alias("_f"),
+                               F.col("last").alias("_l"), F.col("lead_out").alias(lead_out))
+        met = (F.col("disc_id") == F.col("_d")) & F.col(number).between(F.col("_f"), F.col("_l"))
+        return tracks.join(side, met, "left").drop("_d", "_f", "_l")
+
+    tracks = session_of(seen.filter(F.col("number") != LEAD_OUT), "number", "_s", "_own_out")
+    joined = session_of(tracks, "_next", "_ns", "_next_out")
     crosses = ~F.col("is_data") & (F.col("_next") != LEAD_OUT) & (F.col("_s") != F.col("_ns"))
     end = F.when(F.coalesce(crosses, F.lit(False)), F.col("_own_out")).otherwise(F.col("_next_start"))
     laid = joined.withColumn("_end", end)
