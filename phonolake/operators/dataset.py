@@ -9,7 +9,8 @@ from phonolake.functions.text import artist_identity
 from phonolake.operators.intervals import isolated
 from phonolake.operators.ordered import ordinals
 
-ANNOTATION_LINE = r"^\s*(\S+)\s+(\S+)\s+(\S+)(?:\s+([\s\S]*?))?\s*$"
+#: Start, end and kind; what follows them, without the blanks around it, is the text.
+ANNOTATION_HEAD = r"^\s*(\S+)\s+(\S+)\s+(\S+)"
 
 
 def seeded_order(seed: int, *columns: str) -> Column:
@@ -51,7 +52,7 @@ def annotation_reason() -> Column:
     """First rule a parsed annotation breaks, or NULL; the order of the rules matters."""
     length = F.col("end") - F.col("start")
     return (
-        F.when(F.col("raw").rlike(r"[*?]"), "uncertain_excluded")
+        F.when(F.col("_doubt"), "uncertain_excluded")
         .when(F.col("start").isNull() | F.col("end").isNull() | F.col("kind").isNull(), "malformed_excluded")
         .when(~((length >= 1) & (length <= 30)) | (F.col("start") < 0), "duration_excluded")
         .when(~F.col("kind").isin("a", "b", "d"), "overlapping_different_words_excluded")
@@ -63,11 +64,18 @@ def parse_annotations(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """lines(song, annotation_line, raw) to (kept rows, counts by reason); nothing is dropped uncounted."""
     from phonolake.functions.text import clock_seconds
 
-    field = lambda i: F.nullif(F.regexp_extract("raw", ANNOTATION_LINE, i), F.lit(""))
-    parsed = lines.filter(F.trim("raw") != "").select(
-        "song", "annotation_line", "raw", clock_seconds(field(1)).alias("start"), clock_seconds(field(2)).alias("end"),
-        F.lower(field(3)).alias("kind"), F.coalesce(F.trim(field(4)), F.lit("")).alias("text"),
-    ).withColumn("reason", annotation_reason())
+    blanks = " \t\n\x0b\f\r"
+    once = lambda *columns: F.inline(F.array(F.struct(*columns)))
+    head = F.regexp_extract("raw", ANNOTATION_HEAD, 0)
+    # Each step is a generator: a filter is not pushed through it, so long texts are matched once and not once per rule.
+    lined = lines.select("song", "annotation_line", once(F.col("raw").alias("raw"))).filter(F.trim("raw") != "")
+    headed = lined.select("song", "annotation_line", once(
+        F.col("raw").rlike(r"[*?]").alias("_doubt"), head.alias("_head"),
+        F.when(head != "", F.trim(F.btrim(F.substring("raw", F.length(head) + 1, F.length("raw")), F.lit(blanks)))).otherwise("").alias("text")))
+    field = lambda i: F.nullif(F.regexp_extract("_head", ANNOTATION_HEAD, i), F.lit(""))
+    parsed = headed.select("song", "annotation_line", "text", "_doubt", once(
+        clock_seconds(field(1)).alias("start"), clock_seconds(field(2)).alias("end"), F.lower(field(3)).alias("kind"),
+    )).select("song", "annotation_line", "start", "end", "kind", "text", once(annotation_reason().alias("reason")))
     counts = parsed.groupBy(
         F.coalesce("reason", F.when(F.col("kind") == "d", "negative").otherwise("positive")).alias("reason")
     ).agg(F.count(F.lit(1)).alias("rows"))
