@@ -66,12 +66,12 @@ def parse_annotations(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     blanks = " \t\n\x0b\f\r"
     once = lambda *columns: F.inline(F.array(F.struct(*columns)))
-    head = F.regexp_extract("raw", ANNOTATION_HEAD, 0)
     # Each step is a generator: a filter is not pushed through it, so long texts are matched once and not once per rule.
     lined = lines.select("song", "annotation_line", once(F.col("raw").alias("raw"))).filter(F.trim("raw") != "")
-    headed = lined.select("song", "annotation_line", once(
-        F.col("raw").rlike(r"[*?]").alias("_doubt"), head.alias("_head"),
-        F.when(head != "", F.trim(F.btrim(F.substring("raw", F.length(head) + 1, F.length("raw")), F.lit(blanks)))).otherwise("").alias("text")))
+    headed = lined.select("*", once(F.regexp_extract("raw", ANNOTATION_HEAD, 0).alias("_head"))).select(
+        "song", "annotation_line", "_head", once(
+            F.col("raw").rlike(r"[*?]").alias("_doubt"),
+            F.when(F.col("_head") != "", F.trim(F.btrim(F.substring("raw", F.length("_head") + 1, F.length("raw")), F.lit(blanks)))).otherwise("").alias("text")))
     field = lambda i: F.nullif(F.regexp_extract("_head", ANNOTATION_HEAD, i), F.lit(""))
     parsed = headed.select("song", "annotation_line", "text", "_doubt", once(
         clock_seconds(field(1)).alias("start"), clock_seconds(field(2)).alias("end"), F.lower(field(3)).alias("kind"),
