@@ -127,7 +127,7 @@ def loud_spans(unusual: DataFrame, samples: DataFrame, limits: Limits) -> DataFr
     back = F.col("_e") + F.greatest(F.lit(2), size)
     reach = F.greatest(F.lit(limits.envelope), F.greatest(F.lit(2), size) + 3 * size)
     near = spans.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_s") - limits.envelope), F.col("_e") + reach))).join(
-        samples.select(*KEYS, "n", "v"), [*KEYS, "n"])
+        samples.select(*KEYS, "n", "v").hint("merge"), [*KEYS, "n"])
     inside = (n >= F.col("_s")) & (n < F.col("_e"))
     later = (n >= back) & (n < back + 3 * size)
     before, after = n < F.col("_s"), (n >= F.col("_e")) & (n < F.col("_e") + limits.envelope)
@@ -185,7 +185,9 @@ def merge_impulses(events: DataFrame, limits: Limits) -> DataFrame:
 def impulse_events(samples: DataFrame, limits: Limits, minimum_confidence: float = 0.65) -> DataFrame:
     """Both passes and their merge. Null samples and recordings shorter than a block context find nothing."""
     unusual = stage(unusual_samples(samples, limits), "unusual")
-    return merge_impulses(both_passes(unusual, samples, limits).filter(F.col("confidence") >= minimum_confidence), limits)
+    found = both_passes(unusual, samples, limits).filter(F.col("confidence") >= minimum_confidence)
+    # The merge reads its events several times: each reading would run both passes again, at the same time.
+    return merge_impulses(stage(found, "found"), limits)
 
 
 def both_passes(unusual: DataFrame, samples: DataFrame, limits: Limits) -> DataFrame:

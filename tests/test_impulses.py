@@ -84,3 +84,12 @@ def test_pieces_of_a_long_run_keep_the_most_severe(spark):
         (0, 0, 10, 15, "pop", 0.3, 2), (0, 0, 107, 116, "pop", 0.9, 2), (0, 0, 117, 118, "click", 0.1, 1),
         (0, 1, 13, 14, "click", 0.4, 1), (1, 0, 16, 17, "click", 0.4, 1)}
     assert I.merge_impulses(events.filter(F.lit(False)), limits).count() == 0
+
+
+def test_positions_made_of_spans_are_never_broadcast(spark):
+    from phonolake.operators.detect import score_impulses
+
+    samples = spark.range(200).selectExpr("1L AS rec_id", "0L AS ch", "id AS n", "sin(id) AS v", "0.1 AS reference", "0.2 AS rms")
+    spans = spark.createDataFrame([(1, 0, 50, 52)], "rec_id long, ch long, start long, end long")
+    for frame in (score_impulses(spans, samples, 1000), I.loud_spans(samples, samples, I.Limits(1000))):
+        assert "strategy=merge" in frame._jdf.queryExecution().optimizedPlan().toString()
