@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +28,34 @@ def file_catalogue(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     )
 
 
+PIECE = 4 << 20  # bytes of a file in memory at a time
+
+
+def _hashes(batches):
+    """SHA-256 of every path's file, read piece by piece."""
+    from urllib.parse import unquote, urlparse
+
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for path in batch["path"]:
+            parts = urlparse(path)
+            system, place = (fs.LocalFileSystem(), unquote(parts.path)) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(place) as source:
+                while piece := source.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield batch.assign(hash=found)
+
+
 def duplicate_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Groups of files with equal content. Only files whose length occurs more than once are read and hashed."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    )
+    """Groups of files with equal content. Only files whose length occurs more than once are read and hashed, in pieces:
+    the content column would hold a whole file in a row, and those of all files before the join."""
+    files = file_catalogue(spark, path, pattern).select("path", "length")
     repeated = files.groupBy("length").count().filter("count > 1").select("length")
-    hashed = files.join(repeated, "length", "left_semi").select("path", "length", F.sha2("content", 256).alias("hash"))
+    hashed = files.join(repeated, "length", "left_semi").mapInPandas(_hashes, "path string, length long, hash string")
     return hashed.groupBy("hash", "length").agg(F.count(F.lit(1)).alias("copies"), F.min("path").alias("first_path")).filter("copies > 1")
 
 

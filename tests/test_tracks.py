@@ -13,3 +13,27 @@ def test_sessions_meet_entries_by_range_without_listing_numbers(spark):
     good, rejects = K.tracks_from_toc(entries, sessions)
     assert sorted((r.disc_id, r.number, r.length) for r in good.collect()) == [(1, 1, 100), (1, 2, 150), (1, 3, 200), (2, 1, 9)]
     assert rejects.count() == 0
+
+
+def test_equal_files_are_hashed_piece_by_piece(spark, tmp_path, monkeypatch):
+    from phonolake.sources import catalog as A
+
+    for name, body in (("a.bin", b"x" * 100), ("b.bin", b"x" * 100), ("c.bin", b"y" * 100), ("d e.bin", b"z")):
+        (tmp_path / name).write_bytes(body)
+    found = A.duplicate_files(spark, str(tmp_path))
+    assert [(r.length, r.copies, r.first_path.rsplit("/", 1)[1]) for r in found.collect()] == [(100, 2, "a.bin")]
+    assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_clip_joins_slices_not_samples(spark):
+    from pyspark.sql import functions as F
+
+    from phonolake.operators import timeline as M
+
+    sources = spark.range(2000).select(F.lit(1).cast("long").alias("source_id"), F.lit(0).cast("long").alias("ch"), F.col("id").alias("n"), F.col("id").cast("double").alias("v"))
+    clips = spark.createDataFrame([(1, 1, 1, 250, 20, 1000), (1, 2, 1, 1990, 50, 2000), (1, 3, 9, 0, 5, 0), (1, 4, 1, 0, 0, 0)],
+                                  "timeline_id long, clip_id long, source_id long, source_start long, length long, timeline_start long")
+    out = M.clip_samples(clips, sources)
+    got = sorted((r.clip_id, r.t, r.v) for r in out.collect())
+    assert got == [(1, 1000 + i, 250.0 + i) for i in range(20)] + [(2, 2000 + i, 1990.0 + i) for i in range(10)]
+    assert "inline" in out._jdf.queryExecution().optimizedPlan().toString()
