@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +34,14 @@ PIECE = 4 << 20  # bytes of a file in memory at a time
 
 def _hashes(batches):
     """SHA-256 of every path's file, read piece by piece."""
-    from urllib.parse import unquote, urlparse
-
     from pyarrow import fs
 
     for batch in batches:
         found = []
         for path in batch["path"]:
-            parts = urlparse(path)
-            system, place = (fs.LocalFileSystem(), unquote(parts.path)) if parts.scheme in ("", "file") else fs.FileSystem.from_uri(path)
+            # Listed paths are not percent-encoded: a local name is taken as it stands.
+            local = path.startswith(("/", "file:"))
+            system, place = (fs.LocalFileSystem(), re.sub(r"^file:(//)?", "", path)) if local else fs.FileSystem.from_uri(path)
             digest = hashlib.sha256()
             with system.open_input_stream(place) as source:
                 while piece := source.read(PIECE):

@@ -18,7 +18,7 @@ def test_sessions_meet_entries_by_range_without_listing_numbers(spark):
 def test_equal_files_are_hashed_piece_by_piece(spark, tmp_path, monkeypatch):
     from phonolake.sources import catalog as A
 
-    for name, body in (("a.bin", b"x" * 100), ("b.bin", b"x" * 100), ("c.bin", b"y" * 100), ("d e.bin", b"z")):
+    for name, body in (("a.bin", b"x" * 100), ("b %20#1.bin", b"x" * 100), ("c.bin", b"y" * 100), ("d e.bin", b"z")):
         (tmp_path / name).write_bytes(body)
     found = A.duplicate_files(spark, str(tmp_path))
     assert [(r.length, r.copies, r.first_path.rsplit("/", 1)[1]) for r in found.collect()] == [(100, 2, "a.bin")]
