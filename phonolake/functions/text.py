@@ -13,6 +13,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.replace(text, F.lit("’"), F.lit("'"))), F.lit(WORD), F.lit(0))
 
 
+def upper_each(text: Column) -> Column:
+    """Upper case code point by code point: one that has no single capital (ß) stays, so that no letter becomes two."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def reading_key(text: Column) -> Column:
     """Tokens joined without spaces, so that spacing alone is no difference; 'alright' reads 'all right'."""
     return F.array_join(tokens(F.regexp_replace(F.lower(text), r"\balright\b", "all right")), "")

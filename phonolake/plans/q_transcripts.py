@@ -276,7 +276,7 @@ SELECT sg.rec_id, sg.line_no, sg.text, CAST(count(*) AS BIGINT) AS confirmation_
 HAVING bool_and({_KEY.format(tok("regexp_replace(lower(vw.text),'\\balright\\b','all right','g')"))}={_KEY.format(tok("regexp_replace(lower(sg.text),'\\balright\\b','all right','g')"))})""")
 def _(spark, d):
     proposals = _second(spark, d)
-    views = V.lines(spark, d).select("rec_id", "line_no", "text").unionByName(proposals.withColumn("text", F.upper("text")))
+    views = V.lines(spark, d).select("rec_id", "line_no", "text").unionByName(proposals.withColumn("text", X.upper_each(F.col("text"))))
     return R.confirmed_proposals(proposals, views)
 
 
