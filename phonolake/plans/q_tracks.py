@@ -395,13 +395,14 @@ def _(spark, d):
 def _(spark, d):
     pages = V.table(spark, d, "pages")
     size, ticks = F.length("html").cast("long"), F.col("page_id") * 1000
-    files = pages.select(F.col("url").alias("path"), size.alias("length"), ticks.alias("ticks"))
+    path = F.concat(F.col("page_id").cast("string"), F.lit(" "), "url")  # one file a page, also where two pages share their URL
+    files = pages.select(path.alias("path"), size.alias("length"), ticks.alias("ticks"))
     marks = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int")), lambda i: F.struct(F.lit("cue").alias("name"), (F.col("page_id") + i).alias("position")))
     stale = F.when(F.col("page_id") % 4 == 1, 1).otherwise(0)  # a quarter of the files changed since
     unstamped = F.col("page_id") % 4 == 2  # and a quarter never had a stamp
-    side = pages.select(F.col("url").alias("path"), F.to_json(F.struct(
+    side = pages.select(path.alias("path"), F.to_json(F.struct(
         marks.alias("markers"), F.when(~unstamped, size + stale).alias("audio_length_bytes"), ticks.alias("audio_write_ticks"))).alias("json"))
-    return A.valid_sidecars(side, files).select("path", F.size("markers").cast("long").alias("markers"), F.element_at("markers", 1)["position"].alias("first_position"))
+    return A.valid_sidecars(side, files).select(F.expr("substring(path, instr(path, ' ') + 1)").alias("path"), F.size("markers").cast("long").alias("markers"), F.element_at("markers", 1)["position"].alias("first_position"))
 
 
 @query("src06_montage_documents", "SELECT timeline_id, clip_id, source_id, (source_id IN (SELECT DISTINCT rec_id FROM v_sig)) AS loaded FROM v_clips")

@@ -29,3 +29,9 @@ def test_capital_views_keep_letters_without_a_capital(spark):
     got, want = against_sql(spark, "set13_confirmed_proposals", conversations=talk.limit(0).unionByName(
         talk.limit(1).withColumn("text", F.lit("heitßkeit straße alright"))))
     assert got == want and len(got) == 1
+
+
+def test_pages_that_share_their_url_keep_their_own_sidecar(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got, want = against_sql(spark, "src03_sidecars", pages=pages.withColumn("url", F.when(F.col("page_id") % 5 == 0, "http://a/b c").otherwise(F.col("url"))))
+    assert got == want and len(want) > 10
