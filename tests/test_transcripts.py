@@ -190,3 +190,13 @@ def test_tempo_of_a_pulse_train(spark):
     got = {r.rec_id: r for r in detect.tempo(pulses.unionByName(silence), 44_100, 512).collect()}
     assert abs(got[1].bpm - 60 * 44_100 / beat) < 0.2 and got[1].confidence > 0.9
     assert got[2].bpm == 0 and got[2].confidence == 0
+
+
+def test_merging_passes_reads_its_inputs_a_fixed_number_of_times(spark):
+    """The result is a plan over tables written once, not one that grows with every branch."""
+    word = "struct<i: long, w_start: double, w_end: double, word: string, p: double>"
+    fields = f"rec_id long, start double, end double, text string, needs_review boolean, avg_logprob double, no_speech_prob double, compression_ratio double, words array<{word}>"
+    ws = [(0, 0.0, 0.5, "one", 0.9), (1, 0.5, 1.0, "two", 0.9)]
+    rows = spark.createDataFrame([(1, 0.0, 1.0, "one two", False, -0.2, 0.1, 1.2, ws)], fields)
+    plan = R.merge_passes(rows, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 4 and plan.count("LogicalRDD") == 0
