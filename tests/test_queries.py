@@ -150,3 +150,15 @@ def test_resumed_stream_counts_every_packet_once(spark):
         S.append_batches(S.read_packets(spark, path), table, mark)
     got = spark.read.parquet(table)
     assert got.count() == got.select("seq").distinct().count() == 120
+
+
+def test_packets_written_by_stretches_of_time_bound_every_batch(spark):
+    """Twelve files of 100 packets in order, then the closing one: the monitor's blocks are those of one batch."""
+    from phonolake.sources.packets import write_packets
+
+    packets = stereo_packets(spark)
+    pieces, whole = write_packets(packets, "pieces", per_file=100), write_packets(packets, "whole")
+    files = spark.read.parquet(pieces).filter("take_id >= 0").groupBy(F.col("_metadata.file_modification_time").alias("at"), F.input_file_name()).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("at").collect()
+    assert [f.rows for f in files] == [100] * 12 and all(a.high < b.low for a, b in zip(files, files[1:]))
+    assert blocks_of(spark, packets, pieces) == blocks_of(spark, packets, whole)
