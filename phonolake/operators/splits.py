@@ -4,13 +4,15 @@ Candidates at least the minimum track apart never compete, so a choice falls apa
 Clusters are solved and combined ``FAN`` at a time, round after round, each report holding at most 98 counts of splits
 with their positions; no task sees a recording. Only the candidates of one cluster meet in one place.
 
+Silences are given per setting (``threshold_db``) or, where one is quiet from a level upward, once with ``from_db``. Then
+a place keeps its heaviest candidate per level, and settings that hear the same silences are answered once.
+
 Of equally heavy choices the one stands whose latest split is earliest, then the one before it, and so on; of two
 that agree as far as the shorter goes, the shorter.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -28,17 +30,50 @@ MAXIMUM_SPLITS = 98
 MINIMUM_PLATEAU_DB = 4.0
 
 
-def split_candidates(silences: DataFrame, frames: DataFrame, minimum_track: int) -> DataFrame:
-    """Middles of silences far enough from both ends: (rec_id, threshold_db, position, weight)."""
+def split_candidates(silences: DataFrame, frames: DataFrame, minimum_track: int, level: str = "threshold_db") -> DataFrame:
+    """Middles of silences far enough from both ends: (rec_id, level, position, weight)."""
     middle = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2)
     return (
         silences.join(frames, "rec_id")
-        .select(*KEYS, middle.alias("position"), (F.col("end") - F.col("start")).alias("weight"), "frames")
+        .select("rec_id", level, middle.alias("position"), (F.col("end") - F.col("start")).alias("weight"), "frames")
         .filter((F.col("position") >= minimum_track) & (F.col("frames") - F.col("position") >= minimum_track))
         .drop("frames")
     )
 
 
+def _posed(
+    silences: DataFrame, frames: DataFrame, minimum_track: int, settings: Sequence[float] | None
+) -> tuple[DataFrame, DataFrame]:
+    """Candidates (rec_id, threshold_db, position, weight) to be solved, and what is asked: (rec_id, frames, threshold_db,
+    _solved), ``_solved`` being the setting whose candidates answer it.
+
+    Of silences with ``from_db`` a setting hears all of lower levels too. Of candidates at one place only the heaviest is
+    ever taken, so a place holds at most one row per level, whatever the number of silences.
+    """
+    if "from_db" not in silences.columns:
+        asked = silences.select(*KEYS).distinct().join(frames, "rec_id") if settings is None else _grid(frames, settings)
+        return split_candidates(silences, frames, minimum_track), asked.withColumn("_solved", F.col("threshold_db"))
+    if settings is None:
+        raise ValueError("silences from a level upward need settings")
+    all_settings = F.array(*[F.lit(float(db)) for db in settings])
+    heard = F.array_min(F.filter(all_settings, lambda db: db >= F.col("from_db")))
+    places = stage(
+        split_candidates(silences.withColumn("_heard", heard).filter("_heard IS NOT NULL"), frames, minimum_track, "_heard")
+        .groupBy("rec_id", "_heard", "position").agg(F.max("weight").alias("weight")), "places")
+    levels = places.groupBy("rec_id").agg(F.array_sort(F.collect_set("_heard")).alias("_levels"))
+    held = places.groupBy("rec_id", "position").agg(F.collect_list(F.struct("_heard", "weight")).alias("_held")).join(levels, "rec_id")
+    heaviest_at = lambda db: F.array_max(F.transform(F.filter("_held", lambda h: h["_heard"] <= db), lambda h: h["weight"]))
+    rows = F.inline(F.transform("_levels", lambda db: F.struct(db.alias("threshold_db"), heaviest_at(db).alias("weight"))))
+    candidates = stage(held.select("rec_id", "position", rows).filter("weight IS NOT NULL").select(*KEYS, "position", "weight"), "candidates")
+    at_most = F.array_max(F.filter("_levels", lambda db: db <= F.col("threshold_db")))
+    asked = _grid(frames, settings).join(levels, "rec_id", "left").withColumn("_solved", at_most).drop("_levels")
+    return candidates, asked
+
+
+def _answered(asked: DataFrame, found: DataFrame) -> DataFrame:
+    return asked.join(found.withColumnRenamed("threshold_db", "_solved"), ["rec_id", "_solved"], "left")
+
+
 def clusters(candidates: DataFrame, minimum_track: int) -> DataFrame:
     """Adds ``cluster``, counted from 0 per key: a candidate opens one if the last lies a minimum track back."""
     slices = slice_no("position", 64 * minimum_track)
@@ -48,11 +83,17 @@ def clusters(candidates: DataFrame, minimum_track: int) -> DataFrame:
     return numbered.select(*KEYS, "position", "weight", (F.col("_no") - 1).alias("cluster"))
 
 
+def _compatible(at: Sequence[int], apart: int) -> np.ndarray:
+    """For every position, how many lie at least ``apart`` before it."""
+    at = np.asarray(at, np.int64)
+    return np.searchsorted(at, at - apart, "right")
+
+
 def heaviest(at: Sequence[int], weight: Sequence[int], apart: int) -> tuple[int, list[int]]:
     """Heaviest selection of rising positions at least ``apart`` from each other."""
     n = len(at)
     total, taken = [0] * (n + 1), [False] * (n + 1)
-    compatible = [bisect_right(at, at[i] - apart, 0, i) for i in range(n)]
+    compatible = _compatible(at, apart).tolist()
     for i in range(1, n + 1):
         with_it = weight[i - 1] + total[compatible[i - 1]]
         taken[i] = with_it > total[i - 1]
@@ -69,28 +110,23 @@ def heaviest(at: Sequence[int], weight: Sequence[int], apart: int) -> tuple[int,
 
 def profile(at: Sequence[int], weight: Sequence[int], apart: int, most: int) -> dict[int, tuple[int, list[int]]]:
     """For every possible number of splits up to ``most``: the best weight and its positions, latest first."""
-    n = len(at)
-    compatible = [bisect_right(at, at[i] - apart, 0, i) for i in range(n)]
+    at, weight, compatible = np.asarray(at, np.int64), np.asarray(weight, np.int64), _compatible(at, apart)
     impossible = np.iinfo(np.int64).min // 2
-    total = np.full((n + 1, most + 1), impossible, np.int64)
-    taken = np.zeros((n + 1, most + 1), bool)
-    total[:, 0] = 0
-    for i in range(1, n + 1):
-        with_it = total[compatible[i - 1], :-1] + weight[i - 1]
-        taken[i, 1:] = with_it > np.maximum(total[i - 1, 1:], 0)
-        total[i, 1:] = np.where(taken[i, 1:], with_it, total[i - 1, 1:])
-    out = {}
-    for k in range(most + 1):
-        if total[n, k] < 0:
+    total, taken = np.zeros(len(at) + 1, np.int64), [np.array([], np.int64)]
+    out = {0: (0, [])}
+    for k in range(1, most + 1):
+        with_it = total[compatible] + weight
+        with_it[with_it <= 0] = impossible
+        total = np.maximum.accumulate(np.append(impossible, with_it))
+        if total[-1] < 0:
             break
-        kept, i, left = [], n, k
-        while left:
-            if taken[i, left]:
-                kept.append(at[i - 1])
-                i, left = compatible[i - 1], left - 1
-            else:
-                i -= 1
-        out[k] = (int(total[n, k]), kept)
+        taken.append(np.flatnonzero(with_it > total[:-1]))
+        kept, before = [], len(at)
+        for left in range(k, 0, -1):
+            last = taken[left][np.searchsorted(taken[left], before) - 1]
+            kept.append(int(at[last]))
+            before = compatible[last]
+        out[k] = (int(total[-1]), kept)
     return out
 
 
@@ -116,8 +152,8 @@ def strongest_splits(
     With ``settings`` every recording answers at each of them, with a single track where nothing is quiet; without, at
     the thresholds it has silences for.
     """
-    near = clusters(split_candidates(silences, frames, minimum_track), minimum_track).withColumn(
-        "_pack", slice_no("cluster", FAN))
+    candidates, asked = _posed(silences, frames, minimum_track, settings)
+    near = clusters(candidates, minimum_track).withColumn("_pack", slice_no("cluster", FAN))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = []
@@ -127,7 +163,7 @@ def strongest_splits(
 
     chosen = near.groupBy(*KEYS, "_pack").applyInPandas(choose, "rec_id long, threshold_db double, position long")
     inner = chosen.groupBy(*KEYS).agg(F.array_sort(F.collect_list("position")).alias("_inner"))
-    return _asked(silences, frames, settings).join(inner, KEYS, "left").select(*KEYS, _bounded(F.col("_inner")).alias("boundaries"))
+    return _answered(asked, inner).select(*KEYS, _bounded(F.col("_inner")).alias("boundaries"))
 
 
 def exact_splits(
@@ -158,7 +194,8 @@ def exact_splits(
         groups = pdf.sort_values(["node", "k"]).groupby("node")
         return report(pdf, [{r.k: (int(r.weight), list(r.splits)) for r in g.itertuples()} for _, g in groups])
 
-    near = clusters(split_candidates(silences, frames, minimum_track), minimum_track)
+    candidates, asked = _posed(silences, frames, minimum_track, settings)
+    near = clusters(candidates, minimum_track)
     nodes = stage(near.withColumn("_pack", slice_no("cluster", FAN)).groupBy(*KEYS, "_pack").applyInPandas(solve, types), "splits")
     last = nodes.agg(F.max("node")).first()[0] or 0
     while last > 0:
@@ -167,13 +204,11 @@ def exact_splits(
     rank = F.struct((F.col("k") != wanted).alias("short"), (-F.col("weight")).alias("light"), F.col("splits").alias("splits"))
     best = nodes.groupBy(*KEYS).agg(F.min(rank).alias("_best"))
     exact = F.size("boundaries") == tracks + 1
-    return _asked(silences, frames, settings).join(best, KEYS, "left").select(
+    return _answered(asked, best).select(
         *KEYS, _bounded(F.reverse("_best.splits")).alias("boundaries")).withColumn("exact", exact)
 
 
-def _asked(silences: DataFrame, frames: DataFrame, settings: Sequence[float] | None) -> DataFrame:
-    if settings is None:
-        return silences.select(*KEYS).distinct().join(frames, "rec_id")
+def _grid(frames: DataFrame, settings: Sequence[float]) -> DataFrame:
     grid = F.explode(F.array(*[F.lit(float(db)) for db in settings]))
     return frames.select("rec_id", "frames", grid.alias("threshold_db"))
 

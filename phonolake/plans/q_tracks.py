@@ -108,10 +108,10 @@ def _pauses(spark, d):
     o = V.table(spark, d, "orders")
     key, side = F.col("o_orderkey"), F.col("o_custkey") % 48
     length = F.when(side % 8 == 0, 100 + (key * 31) % 1100).otherwise(400 + (key * 31) % 1600)
-    grid = F.explode(F.filter(F.array(*[F.lit(x) for x in _SETTINGS]), lambda x: x > -72 + 5 * ((key * 13) % 9)))
-    frames = o.select(side.alias("rec_id"), F.lit(200_000).cast("long").alias("frames")).distinct()
-    at = (key * 7919) % 198_000
-    silences = o.select(side.alias("rec_id"), at.alias("start"), (at + length).alias("end"), grid.alias("threshold_db"))
+    frames = stage(o.select(side.alias("rec_id"), F.lit(200_000).cast("long").alias("frames")).distinct(), "frames")
+    at, level = (key * 7919) % 198_000, -72 + 5 * ((key * 13) % 9)
+    # Settings are whole decibels: above the level means from the next one upward.
+    silences = o.select(side.alias("rec_id"), at.alias("start"), (at + length).alias("end"), (level + 1).cast("double").alias("from_db"))
     return stage(silences.filter(F.col("end") - F.col("start") >= 600), "pauses"), frames
 
 

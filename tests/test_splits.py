@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from phonolake.operators import splits as L
 
@@ -104,3 +105,25 @@ def test_empty_tables(spark):
     silences, frames = tables(spark, [])
     assert L.exact_splits(silences, frames, 6, 3, [-40.0]).count() == 0
     assert L.sweep_tracks(silences, frames, [-40.0], 6, 5, 10).count() == 0
+
+
+def test_silences_from_a_level_upward_are_answered_as_if_given_per_setting(spark):
+    rng = random.Random(26)
+    settings = [float(x) for x in range(-50, -40)]
+    rows = [(rec, at, at + rng.randrange(4, 30), float(rng.choice((-53, -48, -44.5, -30)))) for rec in range(4) for at in rng.choices(range(20, 900), k=200)]
+    frames = spark.createDataFrame([(rec, 1000) for rec in range(5)], "rec_id long, frames long")
+    once = spark.createDataFrame(rows, "rec_id long, start long, end long, from_db double")
+    each = once.select("rec_id", "start", "end", F.explode(F.filter(F.array(*[F.lit(x) for x in settings]), lambda x: x >= F.col("from_db"))).alias("threshold_db"))
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    assert plain(L.strongest_splits(once, frames, 40, settings)) == plain(L.strongest_splits(each, frames, 40, settings))
+    assert plain(L.exact_splits(once, frames, 40, 5, settings)) == plain(L.exact_splits(each, frames, 40, 5, settings))
+    a, b = (L.sweep_tracks(x, frames, settings, 40, 5, 20, tracks=5) for x in (once, each))
+    assert plain(a.select(sorted(a.columns))) == plain(b.select(sorted(b.columns)))
+
+
+def test_candidates_do_not_grow_with_silences_at_one_place(spark):
+    frames = spark.createDataFrame([(1, 1000)], "rec_id long, frames long")
+    silences = spark.range(5000).select(F.lit(1).cast("long").alias("rec_id"), (500 - F.col("id") % 40).alias("start"), (500 + F.col("id") % 40).alias("end"), F.lit(-48.0).alias("from_db"))
+    candidates, asked = L._posed(silences, frames, 40, [-50.0, -48.0, -45.0])
+    assert [tuple(r) for r in candidates.collect()] == [(1, -48.0, 500, 78)]
+    assert sorted((r.threshold_db, r._solved) for r in asked.collect()) == [(-50.0, None), (-48.0, -48.0), (-45.0, -48.0)]
