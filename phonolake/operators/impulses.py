@@ -1,20 +1,21 @@
 """Clicks and pops: two detector passes over a recording and the merge of what they find.
 
-Samples are read once for the local levels; what is left then are the few samples above them. Every later step works on
-that sparse table, and the gates join it with the neighbourhood of each candidate by position.
+Samples are read once, slice by slice, for the local levels; what is left then are the samples that can open an event and
+what its gates look at around them. Every later step works on that sparse table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phonolake.functions.levels import clamp01
 from phonolake.operators.detect import score_impulses
-from phonolake.operators.ordered import SLICE, greedy_groups, islands, over_halo, running, slice_no, with_halo
-from phonolake.operators.segments import steps
+from phonolake.operators.ordered import SLICE, greedy_groups, islands, running, slice_no, with_halo
 from phonolake.session import stage
 
 WIDEN = 0.45  # of the threshold: how far a candidate is widened
@@ -61,56 +62,102 @@ class Limits:
         return 8.0 - 5.0 * self.turn
 
 
-def unusual_samples(samples: DataFrame, limits: Limits) -> DataFrame:
-    """Samples bent beyond 0.45 of their block's curvature threshold or louder than 1.5 of its reference level.
+def _middle(rows: np.ndarray) -> np.ndarray:
+    """Median of each row, missing values left out; NaN where a row has none."""
+    ordered, count = np.sort(rows, axis=1), np.sum(~np.isnan(rows), axis=1)
+    pick = lambda k: np.take_along_axis(ordered, k[:, None], axis=1)[:, 0]
+    return 0.5 * pick(np.maximum(count - 1, 0) // 2) + 0.5 * pick(np.minimum(count // 2, rows.shape[1] - 1))
 
-    A block is 25 ms; threshold and RMS look at a quarter block more on both sides, the reference level (1.13 of the
-    median, at least half the RMS) at the block alone. Every sample is judged by the levels of its own block.
-    """
+
+def _levels(v: np.ndarray, limits: Limits) -> tuple[np.ndarray, ...]:
+    """(curvature, threshold, reference, rms) of every sample of whole blocks, given a quarter block and one sample more on
+    both sides; missing samples are NaN."""
     t, size = limits.turn, limits.block
-    curved = steps(samples).select(*KEYS, "n", "v", "curvature")
-    near = with_halo(curved, "n", before=size // 4, after=size // 4, size=size)
-    groups = [*KEYS, "_slice"]
-    level = near.groupBy(*groups).agg(
-        F.percentile("curvature", F.lit(0.5)).alias("_md"), F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"),
-        F.percentile(F.when(F.col("_home"), F.abs("v")), F.lit(0.5)).alias("_amp"), F.bool_or("_home").alias("_any"),
-    ).filter("_any")
-    spread = near.join(level, groups).groupBy(*groups).agg(
-        F.percentile(F.abs(F.col("curvature") - F.col("_md")), F.lit(0.5)).alias("_mad"),
-        *[F.first(c).alias(c) for c in ("_md", "rms", "_amp")])
-    scale = F.greatest(1.4826 * F.col("_mad"), 0.25 * F.col("_md"), F.col("rms") * (0.008 - 0.0065 * t), F.lit(2e-7))
-    known = spread.select(
-        *groups, "rms", (F.col("_md") + (15 - 9.5 * t) * scale).alias("threshold"),
-        F.greatest(1.13 * F.col("_amp"), 0.5 * F.col("rms")).alias("reference"))
-    return (
-        curved.withColumn("_slice", slice_no("n", size)).join(known, groups).drop("_slice")
-        .filter((F.col("curvature") > WIDEN * F.col("threshold")) | (F.abs("v") > LOUD * F.col("reference")))
-    )
-
-
-def bent_spans(unusual: DataFrame, limits: Limits) -> DataFrame:
+    quarter = size // 4
+    curvature = np.full(len(v), np.nan)
+    curvature[1:-1] = np.abs(v[1:-1] - (v[:-2] + v[2:]) / 2)
+    near = lambda x: np.lib.stride_tricks.sliding_window_view(x[1:-1], size + 2 * quarter)[::size]
+    home = slice(quarter + 1, len(v) - quarter - 1)
+    bends, values = near(curvature), near(v)
+    count = np.sum(~np.isnan(values), axis=1)
+    rms = np.sqrt(np.nansum(values * values, axis=1) / np.where(count, count, np.nan))
+    middle, loud = _middle(bends), _middle(np.abs(v[home].reshape(-1, size)))
+    spread = _middle(np.abs(bends - middle[:, None]))
+    scale = np.fmax(np.fmax(1.4826 * spread, 0.25 * middle), np.fmax(rms * (0.008 - 0.0065 * t), 2e-7))
+    known = (middle + (15 - 9.5 * t) * scale, np.fmax(1.13 * loud, 0.5 * rms), rms)
+    return curvature[home], *(np.repeat(x, size) for x in known)
+
+
+def marked_samples(samples: DataFrame, limits: Limits) -> DataFrame:
+    """Samples around those that can open an event: (rec_id, ch, n, v, curvature, threshold, reference, rms, low, high).
+
+    An event opens where a sample is bent beyond its block's curvature threshold or lies beyond the outlier gate; all
+    samples that its candidates and gates look at are kept. A block is 25 ms; threshold and RMS look at a quarter block
+    more on both sides, the reference level (1.13 of the median, at least half the RMS) at the block alone. Every sample
+    is judged by the levels of its own block. ``low`` and ``high`` bound the run beyond 0.45 of the threshold around a
+    bent sample, as far as the longest pop reaches (null elsewhere).
+
+    Slices of whole blocks are solved on their own, with a halo of that reach. NaN counts as a missing sample.
+    """
+    size, pop = limits.block, limits.pop
+    reach = pop + max(8, limits.envelope, 4 * pop, 3 * pop + 2) + 2
+    span = max(SLICE // size, -(-8 * reach // size)) * size
+    blocks = -(-(reach + pop) // size) * size  # whole blocks of the neighbours
+    halo = blocks + size // 4 + 1
+    sliced = with_halo(samples.select(*KEYS, "n", "v").filter("n IS NOT NULL"), "n", before=halo, after=halo, size=span)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*KEYS).schema)
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["_slice"].iloc[0]) * span - halo
+        at = pdf["n"].to_numpy(np.int64) - first
+        v = np.full(span + 2 * halo, np.nan)
+        v[at] = pdf["v"].to_numpy(float)
+        there = np.zeros(len(v), bool)
+        there[at] = True
+        edge = size // 4 + 1
+        curvature, threshold, reference, rms = _levels(v, limits)
+        v, there = v[edge:-edge], there[edge:-edge]
+        loud = np.abs(v)
+        strong = curvature > threshold
+        outlier = (loud > LOUD * reference) & (loud / np.fmax(1e-9, reference + 0.1 * rms) >= limits.outlier)
+        opens = np.concatenate([[0], np.cumsum(strong | outlier)])
+        place = np.arange(len(v))
+        near = opens[np.minimum(place + reach + 1, len(v))] > opens[np.maximum(place - reach, 0)]
+        hot = curvature > WIDEN * threshold
+        low = np.maximum.accumulate(np.where(hot, -1, place)) + 1
+        high = np.minimum.accumulate(np.where(hot, len(v), place)[::-1])[::-1] - 1
+        low, high = np.maximum(low, place - pop), np.minimum(high, place + pop)
+        keep = near & there
+        keep[:blocks] = keep[blocks + span:] = False
+        k = np.flatnonzero(keep)
+        n = k + first + edge
+        out = {c: pdf[c].iloc[0] for c in KEYS} | {"n": n, "v": v[k]}
+        for name, x in (("curvature", curvature), ("threshold", threshold), ("reference", reference), ("rms", rms)):
+            out[name] = x[k]
+        for name, x in (("low", low), ("high", high)):
+            out[name] = pd.Series(np.where(strong[k], n + x[k] - k, 0), dtype="Int64").mask(~strong[k])
+        return pd.DataFrame(out)
+
+    figures = "n long, v double, curvature double, threshold double, reference double, rms double, low long, high long"
+    marked = sliced.groupBy(*KEYS, "_slice").applyInPandas(mark, f"{types}, {figures}")
+    return marked.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("v", "curvature", "threshold", "reference", "rms")})
+
+
+def bent_spans(marked: DataFrame, limits: Limits) -> DataFrame:
     """Candidates of the curvature pass: (rec_id, ch, start, end, peak, ratio).
 
     The first sample beyond the threshold opens a candidate, all others within the longest pop belong to it; it is
     widened over samples beyond 0.45 of the threshold without becoming longer than that, and the search goes on a
-    short rest behind it.
+    short rest behind it. The marked samples are read twice.
     """
-    hot = unusual.filter(F.col("curvature") > WIDEN * F.col("threshold"))
-    edges = over_halo(hot, KEYS, "n", {"_p": lambda w: F.lag("n").over(w), "_x": lambda w: F.lead("n").over(w)}, before=1, after=1)
-    opens = F.col("_p").isNull() | (F.col("n") - F.col("_p") > 1)
-    closes = F.col("_x").isNull() | (F.col("_x") - F.col("n") > 1)
-    place = slice_no("n", SLICE)
-    low = running(edges, KEYS, place, ["n"], {"low": ("last", F.when(opens, F.col("n")))})
-    both = running(low, KEYS, place, ["n"], {"high": ("last", F.when(closes, F.col("n")))}, reverse=True)
-    strong = stage(
-        both.filter(F.col("curvature") > F.col("threshold")).select(
-            *KEYS, "n", "low", "high", (F.col("curvature") / F.col("threshold")).alias("_q"), "curvature"), "strong")
+    strong = marked.filter(F.col("curvature") > F.col("threshold")).select(
+        *KEYS, "n", "low", "high", (F.col("curvature") / F.col("threshold")).alias("_q"), "curvature")
     members = greedy_groups(strong, KEYS, "n", limits.pop, limits.rest, "low", "high")
     return members.join(strong, [*KEYS, "n"]).groupBy(*KEYS, "start", "end").agg(
         F.max_by("n", F.struct(F.col("curvature"), -F.col("n"))).alias("peak"), F.max("_q").alias("ratio"))
 
 
-def loud_spans(unusual: DataFrame, samples: DataFrame, limits: Limits) -> DataFrame:
+def loud_spans(marked: DataFrame, samples: DataFrame, limits: Limits) -> DataFrame:
     """Events of the amplitude pass: (rec_id, ch, start, end, confidence, severity).
 
     A run above 1.5 of the reference level, no longer than the longest pop, with a sample beyond the outlier gate (3 to
@@ -119,7 +166,7 @@ def loud_spans(unusual: DataFrame, samples: DataFrame, limits: Limits) -> DataFr
     """
     beyond = F.abs("v") / F.greatest(F.lit(1e-9), F.col("reference") + 0.1 * F.col("rms"))
     first = F.when(beyond >= limits.outlier, F.struct(F.col("n"), beyond.alias("q")))
-    loud = unusual.filter(F.abs("v") > LOUD * F.col("reference"))
+    loud = marked.filter(F.abs("v") > LOUD * F.col("reference"))
     runs = islands(loud, KEYS, "n", {"first": ("min", first)}).filter(
         F.col("first").isNotNull() & (F.col("last") - F.col("start") < limits.pop))
     spans = runs.select(*KEYS, F.col("start").alias("_s"), (F.col("last") + 1).alias("_e"), F.col("first.q").alias("_q"))
@@ -184,14 +231,13 @@ def merge_impulses(events: DataFrame, limits: Limits) -> DataFrame:
 
 def impulse_events(samples: DataFrame, limits: Limits, minimum_confidence: float = 0.65) -> DataFrame:
     """Both passes and their merge. Null samples and recordings shorter than a block context find nothing."""
-    unusual = stage(unusual_samples(samples, limits), "unusual")
-    found = both_passes(unusual, samples, limits).filter(F.col("confidence") >= minimum_confidence)
+    found = both_passes(stage(marked_samples(samples, limits), "marked"), limits).filter(F.col("confidence") >= minimum_confidence)
     # The merge reads its events several times: each reading would run both passes again, at the same time.
     return merge_impulses(stage(found, "found"), limits)
 
 
-def both_passes(unusual: DataFrame, samples: DataFrame, limits: Limits) -> DataFrame:
-    """Scored events of the two passes, not merged and of any confidence."""
+def both_passes(marked: DataFrame, limits: Limits) -> DataFrame:
+    """Scored events of the two passes over the marked samples, not merged and of any confidence."""
     fields = [*KEYS, "start", "end", "confidence", "severity"]
-    bent = score_impulses(bent_spans(unusual, limits), samples, limits.rate).select(*fields)
-    return bent.unionByName(loud_spans(unusual, samples, limits).select(*fields))
+    bent = score_impulses(bent_spans(marked, limits), marked, limits.rate).select(*fields)
+    return bent.unionByName(loud_spans(marked, marked, limits).select(*fields))

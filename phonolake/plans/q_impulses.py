@@ -72,9 +72,8 @@ FOUND = f"{LEVELS}, {BENT}, {GATES}, {LOUD}, {MERGE}"
 CLIPS = f"{RUNS}, {_SHOULDER}, clp AS (SELECT *, 0.58+0.16*len+0.14*con+0.12*least(1,greatest(0,8*(lev-0.9)/0.9)) AS cf FROM sc)".replace("v_stereo", "v_clicked")
 
 
-def _unusual(spark, d):
-    samples = clicked(spark, d)
-    return stage(I.unusual_samples(samples, LIMITS), "unusual"), samples
+def _marked(samples):
+    return stage(I.marked_samples(samples, LIMITS), "marked")
 
 
 def _impulses(spark, d):
@@ -87,13 +86,13 @@ def _clips(samples):
 
 @query("win08_span_limited", f"""WITH RECURSIVE {LEVELS}, {BENT} SELECT rec_id, ch, s AS "start", e AS "end", pk AS peak, round(q,5) AS ratio FROM bent""")
 def _(spark, d):
-    return I.bent_spans(_unusual(spark, d)[0], LIMITS).withColumn("ratio", r6("ratio", 5))
+    return I.bent_spans(_marked(clicked(spark, d)), LIMITS).withColumn("ratio", r6("ratio", 5))
 
 
 @query("win08_amplitude_pass", f"""WITH {LEVELS}, {LOUD} SELECT rec_id, ch, s AS "start", e AS "end", round(c,6) AS confidence, round(sv,6)+0.0::DOUBLE AS severity FROM sa""")
 def _(spark, d):
-    unusual, samples = _unusual(spark, d)
-    return I.loud_spans(unusual, samples, LIMITS).withColumns({c: r6(c) for c in ("confidence", "severity")})
+    marked = _marked(clicked(spark, d))
+    return I.loud_spans(marked, marked, LIMITS).withColumns({c: r6(c) for c in ("confidence", "severity")})
 
 
 @query("set01_detected_events", f"""WITH RECURSIVE {FOUND} SELECT rec_id, ch, kind, s AS "start", e AS "end", round(c,6) AS confidence, round(sv,6) AS severity, CAST(merged AS BIGINT) AS merged FROM imk""")
@@ -121,8 +120,8 @@ def _(spark, d):
 x AS (SELECT f.rec_id, any_value(f) AS f, count(CASE WHEN c>=0.65 THEN 1 END) AS ev, count(CASE WHEN c<0.65 THEN 1 END) AS rj FROM f LEFT JOIN al ON al.rec_id=f.rec_id GROUP BY 1)
 SELECT rec_id, CAST(ev+rj AS BIGINT) AS candidates, round(ev*1000/f::DOUBLE,6) AS density, round(CASE WHEN ev+rj>0 THEN ev/(ev+rj)::DOUBLE ELSE 0 END,6) AS acceptance, (ev>=3 AND ev*1000/f::DOUBLE>=0.25 AND ev/greatest(1,ev+rj)::DOUBLE>=0.2) AS decrackle FROM x""")
 def _(spark, d):
-    unusual, samples = _unusual(spark, d)
-    scored = I.both_passes(unusual, samples, LIMITS).groupBy("rec_id").agg(
+    samples = stage(clicked(spark, d), "clicked")
+    scored = I.both_passes(_marked(samples), LIMITS).groupBy("rec_id").agg(
         F.count_if(F.col("confidence") >= 0.65).alias("events"), F.count_if(F.col("confidence") < 0.65).alias("rejected"))
     counts = P.frames_per_recording(samples).join(scored, "rec_id", "left").fillna(0, ["events", "rejected"])
     return E.crackle_decision(counts, V.LR_RATE).withColumns({"density": r6("density"), "acceptance": r6("acceptance")})

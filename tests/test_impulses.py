@@ -93,3 +93,26 @@ def test_positions_made_of_spans_are_never_broadcast(spark):
     spans = spark.createDataFrame([(1, 0, 50, 52)], "rec_id long, ch long, start long, end long")
     for frame in (score_impulses(spans, samples, 1000), I.loud_spans(samples, samples, I.Limits(1000))):
         assert "strategy=merge" in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_are_marked_slice_by_slice(spark, monkeypatch):
+    """Short slices, a missing sample and an unfinished block give what one slice gives; levels are those of plain medians."""
+    limits = I.Limits(1000, 10.0, 2.0, 10.0)
+    v = 0.05 * np.random.default_rng(3).uniform(-1, 1, 6_013)
+    for at in (0, 249, 1_260, 2_499, 2_500, 3_740, 6_012):
+        v[at] += 0.7
+    v[4_004] = np.nan
+    frame = pd.DataFrame({"rec_id": 1, "ch": 0, "n": np.arange(len(v)), "v": v})
+    samples = spark.createDataFrame(frame).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    whole = {tuple(r) for r in I.marked_samples(samples, limits).collect()}
+    events = {tuple(r) for r in I.impulse_events(samples, limits).collect()}
+    monkeypatch.setattr(I, "SLICE", 1_250)
+    assert {tuple(r) for r in I.marked_samples(samples, limits).collect()} == whole and len(whole) < len(v) // 3
+    assert {tuple(r) for r in I.impulse_events(samples, limits).collect()} == events and events
+    x = np.abs(v[1:-1] - (v[:-2] + v[2:]) / 2)
+    near, home = slice(1_244, 1_281), slice(1_250, 1_275)
+    middle, rms = np.median(x[1_243:1_280]), np.sqrt(np.mean(v[near] ** 2))
+    scale = max(1.4826 * np.median(np.abs(x[1_243:1_280] - middle)), 0.25 * middle, 0.0015 * rms, 2e-7)
+    at = next(r for r in whole if r[2] == 1_260)
+    assert at[4:8] == pytest.approx((x[1_259], middle + 5.5 * scale, max(1.13 * np.median(np.abs(v[home])), 0.5 * rms), rms))
+    assert at[8] <= 1_260 <= at[9]
