@@ -1,10 +1,10 @@
 """N-gram language model in an Elias-Fano trie of memory-mapped levels.
 
 Level 1 is the vocabulary: sorted 63-bit word names with exact counts; a word's number is its place. Level k holds the
-k-grams by (number of their first k-1 words on level k-1, number of the last word). The last words of one context rise;
-adding the end of the context before makes the whole level one rising sequence, which is Elias-Fano coded. Monotone
-pointers, coded the same way, give each context's range. A query looks up its context's pointer and base and searches
-the successor of base + word: its place is the number of the k-gram and the context of the next level.
+k-grams by (number of their first k-1 words on level k-1, number of the last word). Context times vocabulary plus word makes
+the whole level one rising sequence, which is Elias-Fano coded: the children of a context are neighbours, and the borders in
+the unary high bits point to them. A query goes to its border and compares from there: the place where it is found is the
+number of the k-gram and the context of the next level.
 
 Smoothing is interpolated absolute discounting: p_k = max(n - D, 0) / n(context) + D * types / n(context) * p_(k-1), ending
 in the add-0.1 unigram with one share for unknown words. The discounted share of each k-gram and the weight of each context
@@ -12,8 +12,9 @@ are kept as 16-bit logarithms.
 
 Levels are cut into shards by name or context range, one file each in the shared folder; shards grow in number with the
 text, so a shard is of bounded size but for the followers of one context, at most the vocabulary. Tasks count within
-themselves first and shuffle packed counts (sorted differences, compressed), never occurrences. Scoring maps the files and
-shuffles nothing. A file is written under a name of its task and then moved, so a repeated task is harmless.
+themselves first and shuffle packed counts (sorted differences, compressed), never occurrences. Texts are cut into words
+twice, for the vocabulary and for their numbers, which are written once; all later steps read the numbers. Scoring maps the
+files and shuffles nothing. A file is written under a name of its task and then moved, so a repeated task is harmless.
 
 Edge cases: a null or empty text is one end token; a null id counts as held out and never trains; repeated rows count
 as often as they occur; a table without training rows gives an empty vocabulary, where every token is unknown and has
@@ -47,6 +48,7 @@ STEP = 4096  # 16-bit codes: log10 in steps of 1 / 4096, down to -16
 WORDS_KEPT = 300_000
 TOKENS_AT_ONCE = 1_000_000
 SHARD_BYTES = 24 << 20
+SHARES = 10.0 ** (np.arange(1 << 16) / -STEP)
 END = b""
 
 
@@ -59,7 +61,7 @@ def logs(p: np.ndarray) -> np.ndarray:
 
 
 def shares(codes: np.ndarray) -> np.ndarray:
-    return 10.0 ** (codes.astype(np.float64) / -STEP)
+    return SHARES[codes]
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -85,7 +87,7 @@ def unpack_counts(blob: bytes) -> np.ndarray:
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all parts with their counts summed."""
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     return k[first], np.add.reduceat(c, first)
@@ -169,6 +171,17 @@ class Vocabulary:
         return out, count
 
 
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Count of each number; 0 for -1."""
+        distinct, back = np.unique(numbers, return_inverse=True)
+        out = np.zeros(len(distinct), dtype=np.int64)
+        edges = np.searchsorted(distinct, self.first)
+        for i in np.flatnonzero(np.diff(edges)):
+            a, b = edges[i], edges[i + 1]
+            out[a:b] = self.part(int(i))[1][distinct[a:b] - self.first[i]]
+        return out[back]
+
+
 class Level:
     """Level k > 1 over all shards: (context, word) to number and discounted share, context to weight."""
 
@@ -182,54 +195,49 @@ class Level:
     def part(self, i: int) -> dict:
         if i not in self.held:
             a = load(self.folder, f"grams{self.order}-{self.shards[i]['shard']}")
-            fan = lambda name: EliasFano({k.split(".")[1]: v for k, v in a.items() if k.startswith(name + ".")})
-            self.held[i] = {"ids": fan("ids"), "starts": fan("starts"), "contexts": fan("contexts"), "share": a["share"], "weight": a["weight"]}
+            ids = EliasFano({k.split(".")[1]: v for k, v in a.items() if k.startswith("ids.")})
+            self.held[i] = {"ids": ids, "share": a["share"], "weight": a["weight"]}
         return self.held[i]
 
     def look(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number or -1, share, weight of the context; 0 and 1 where unseen), for contexts in rising order."""
+        """(number or -1, share, weight of the context; 0 and 1 where unseen), for known contexts in rising order."""
         number = np.full(len(context), -1, dtype=np.int64)
         share, weight = np.zeros(len(context)), np.ones(len(context))
-        where = np.searchsorted(self.lows, context, side="right") - 1
-        where[context < 0] = -1
-        for i in np.unique(where[where >= 0]):
-            p, mine = self.part(int(i)), np.flatnonzero(where == i)
-            distinct, back = np.unique(context[mine], return_inverse=True)
-            at = p["contexts"].find((distinct - self.lows[i]).astype(np.uint64))
-            known = at >= 0
-            begin, end, base = (np.zeros(len(distinct), dtype=np.int64) for _ in range(3))
-            begin[known] = p["starts"].access(at[known]).astype(np.int64)
-            end[known] = p["starts"].access(at[known] + 1).astype(np.int64)
-            later = known & (begin > 0)
-            base[later] = p["ids"].access(begin[later] - 1).astype(np.int64) + 1
-            ask = mine[known[back] & (word[mine] >= 0)]
-            row = back[known[back] & (word[mine] >= 0)]
-            weight[mine[known[back]]] = shares(p["weight"][at[back[known[back]]]])
-            x = (base[row] + word[ask]).astype(np.uint64)
-            found = p["ids"].successor(x)
-            hit = np.flatnonzero((found >= begin[row]) & (found < end[row]))
-            hit = hit[p["ids"].access(found[hit]) == x[hit]]
-            number[ask[hit]] = found[hit] + self.first[i]
-            share[ask[hit]] = shares(p["share"][found[hit]])
+        edges = np.append(np.searchsorted(context, self.lows), len(context))
+        for i in np.flatnonzero(np.diff(edges)):
+            p, a, b = self.part(int(i)), edges[i], edges[i + 1]
+            b = a + int(np.searchsorted(context[a:b], self.lows[i] + len(p["weight"])))  # a shard without grams has no file
+            local = context[a:b] - self.lows[i]
+            weight[a:b] = shares(p["weight"][local])
+            ask = np.flatnonzero(word[a:b] >= 0)
+            found = p["ids"].find(local[ask] * self.words + word[a:b][ask])
+            hit = np.flatnonzero(found >= 0)
+            number[a + ask[hit]] = found[hit] + self.first[i]
+            share[a + ask[hit]] = shares(p["share"][found[hit]])
         return number, share, weight
 
 
-def level_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float) -> dict[str, np.ndarray]:
-    """Arrays of one shard from its k-grams, sorted by (context - low, word)."""
+def level_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float, words: int | None = None
+                 ) -> dict[str, np.ndarray]:
+    """Arrays of one shard from its k-grams, sorted by (context - low, word); a weight for each context that has any."""
     starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
     sizes = np.diff(np.append(starts, len(context)))
     total = np.add.reduceat(count, starts)
-    last = word[np.append(starts[1:], len(context)) - 1]
-    base = np.concatenate([[0], np.cumsum(last + 1)[:-1]])  # one past the last value of the context before
-    ids = word + np.repeat(base, sizes)
+    ids = context * (words or int(word.max()) + 1) + word
     out = {f"ids.{k}": v for k, v in encode(ids, int(ids[-1]) + 1).items()}
-    out |= {f"starts.{k}": v for k, v in encode(np.append(starts, len(context)), len(context) + 1).items()}
-    out |= {f"contexts.{k}": v for k, v in encode(context[starts], int(context[-1]) + 1).items()}
     out["share"] = logs((count - discount) / np.repeat(total, sizes))
     out["weight"] = logs(discount * sizes / total)
     return out
 
 
+class Places(dict):
+    """Words to their place in the order of first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 class Words:
     """Words of a task to small numbers, with the names of the new ones; forgets all when full."""
 
@@ -237,14 +245,14 @@ class Words:
         self.clear()
 
     def clear(self):
-        self.local: dict[bytes, int] = {}
+        self.local = Places()
         self.names = np.empty(0, dtype=np.uint64)
+        self.numbers = np.empty(0, dtype=np.int64)
 
     def tokens(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         words.append(END)
-        local = self.local
-        return np.fromiter([local.setdefault(w, len(local)) for w in words], dtype=np.int64, count=len(words))
+        return np.fromiter(map(self.local.__getitem__, words), dtype=np.int64, count=len(words))
 
     def fresh(self) -> np.ndarray:
         """Names of all words met, brought up to date."""
@@ -253,6 +261,13 @@ class Words:
             self.names = np.concatenate([self.names, np.array(new, dtype=np.uint64)])
         return self.names
 
+    def numbered(self, vocabulary: Vocabulary) -> np.ndarray:
+        """Numbers of all words met, brought up to date."""
+        new = self.fresh()[len(self.numbers):]
+        if len(new):
+            self.numbers = np.concatenate([self.numbers, vocabulary.numbers(new)[0]])
+        return self.numbers
+
 
 def chunks(batches: Iterator[pa.RecordBatch], words: Words, column: int):
     """(rows so far as (batch, row) lists, token arrays), about TOKENS_AT_ONCE tokens at a time."""
@@ -305,10 +320,33 @@ class Pool:
         return k, c
 
 
-def _positions(token_arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all tokens, lengths, starts) of a chunk."""
-    lengths = np.array([len(t) for t in token_arrays])
-    return np.concatenate(token_arrays), lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def number_chunks(batches: Iterator[pa.RecordBatch], kind: str):
+    """(slices of batches, numbers, lengths, starts) of about TOKENS_AT_ONCE tokens; the numbers are the last column."""
+    parts, held, sizes, n = [], [], [], 0
+
+    def whole():
+        lengths = np.concatenate(sizes)
+        return parts, np.concatenate(held).astype(np.int64), lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+    for batch in batches:
+        column = batch.column(batch.num_columns - 1)
+        _, edges, data = column.buffers()
+        edges = np.frombuffer(edges, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+        edges = edges[column.offset:column.offset + len(column) + 1].astype(np.int64)
+        at = 0
+        while at < len(column):
+            width = np.dtype(kind).itemsize
+            to = min(len(column), int(np.searchsorted(edges, edges[at] + (TOKENS_AT_ONCE - n) * width)))
+            to = max(to, at + 1)
+            held.append(np.frombuffer(data, np.uint8)[edges[at]:edges[to]].view(kind))
+            sizes.append(np.diff(edges[at:to + 1]) // width)
+            parts.append(batch.slice(at, to - at))
+            n, at = n + len(held[-1]), to
+            if n >= TOKENS_AT_ONCE:
+                yield whole()
+                parts, held, sizes, n = [], [], [], 0
+    if parts:
+        yield whole()
 
 
 def _shifted(values: np.ndarray, starts: np.ndarray, fill: int) -> np.ndarray:
@@ -327,27 +365,28 @@ class Model:
         self.vocabulary = Vocabulary(plan["folder"], plan["words"])
         self.levels = [Level(plan["folder"], k + 2, s, self.vocabulary.size) for k, s in enumerate(plan["levels"])]
 
-    def numbered(self, words: Words, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(word numbers, counts) of tokens and the number of the end token, which also opens every text."""
-        number, count = self.vocabulary.numbers(words.fresh())
-        end, _ = self.vocabulary.numbers(np.array([name_of(END)], dtype=np.uint64))
-        return number[tokens], count[tokens], int(end[0])
+    def end(self) -> int:
+        """Number of the end token, which also opens every text."""
+        return int(self.vocabulary.numbers(np.array([name_of(END)], dtype=np.uint64))[0][0])
 
     def walk(self, number: np.ndarray, starts: np.ndarray, end: int, p: np.ndarray | None = None):
         """Numbers of the longest-order contexts per token, and, given p (the unigram), the interpolated probability."""
         context = _shifted(number, starts, end)
-        for k, level in enumerate(self.levels):
-            order = np.lexsort((number, context))
-            c, w = context[order], number[order]
-            first = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
-            spread = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
-            found, share, weight = level.look(c[first], w[first])
-            gram = np.empty_like(number)
-            gram[order] = found[spread]
+        for level in self.levels:
+            key = np.where(context < 0, -1, context * (level.words + 1) + number + 1)
+            order = np.argsort(key)
+            key = key[order]
+            known = int(np.searchsorted(key, 0))
+            order, key = order[known:], key[known:]
+            first = np.ones(len(key), dtype=bool)
+            first[1:] = key[1:] != key[:-1]
+            one, spread = order[first], np.cumsum(first) - 1
+            found, share, weight = level.look(context[one], number[one])
             if p is not None:
-                a, b = np.empty(len(p)), np.empty(len(p))
-                a[order], b[order] = share[spread], weight[spread]
-                p = a + b * p
+                p = p.copy()
+                p[order] = share[spread] + weight[spread] * p[order]
+            gram = np.full(len(number), -1, dtype=np.int64)
+            gram[order] = found[spread]
             context = _shifted(gram, starts, -1)
         return context, p
 
@@ -356,11 +395,9 @@ def count_words(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         words, pool = Words(), Pool()
         for _, arrays in chunks(batches, words, 0):
-            tokens, _, _ = _positions(arrays)
-            local, counts = np.unique(tokens, return_counts=True)
-            names = words.fresh()[local]
-            order = np.argsort(names)
-            pool.add(names[order], counts[order])
+            counts = np.bincount(np.concatenate(arrays))
+            local = np.flatnonzero(counts)
+            pool.add(words.fresh()[local], counts[local])
         keys, counts = pool.take()
         if len(keys):
             yield _sharded(keys, counts, (keys // np.uint64(NAMES // shards + 1)).astype(np.int64))
@@ -368,14 +405,39 @@ def count_words(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, PACKED)
 
 
-def count_grams(docs: DataFrame, plan: dict, contexts: int, shards: int) -> DataFrame:
-    """Packed (context, word) counts one level above the plan's last."""
+def number_type(plan: dict) -> str:
+    return "<i4" if sum(s["n"] for s in plan["words"]) < 1 << 31 else "<i8"
+
+
+NUMBERED = "doc_id long, held_out boolean, numbers binary"
+
+
+def numbered(docs: DataFrame, plan: dict) -> DataFrame:
+    """docs(doc_id, held_out, text) -> NUMBERED: the vocabulary's number of every token, -1 for unknown words."""
+    kind = number_type(plan)
+
     def run(batches):
-        model, words, pool = Model(plan), Words(), Pool()
-        size, width = model.vocabulary.size, -(-contexts // shards)
-        for _, arrays in chunks(batches, words, 0):
-            tokens, _, starts = _positions(arrays)
-            number, _, end = model.numbered(words, tokens)
+        vocabulary, words = Vocabulary(plan["folder"], plan["words"]), Words()
+        for rows, arrays in chunks(batches, words, 2):
+            numbers = words.numbered(vocabulary)[np.concatenate(arrays)].astype(kind)
+            edges = np.cumsum([0] + [len(a) for a in arrays]) * numbers.itemsize
+            binary = pa.Array.from_buffers(
+                pa.large_binary(), len(rows), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(numbers.tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), binary.cast(pa.binary())],
+                names=["doc_id", "held_out", "numbers"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, NUMBERED)
+
+
+def count_grams(texts: DataFrame, plan: dict, contexts: int, shards: int) -> DataFrame:
+    """Packed (context, word) counts one level above the plan's last, from texts(numbers)."""
+    kind = number_type(plan)
+
+    def run(batches):
+        model, pool = Model(plan), Pool()
+        size, width, end = model.vocabulary.size, -(-contexts // shards), model.end()
+        for _, number, _, starts in number_chunks(batches, kind):
             context, _ = model.walk(number, starts, end)
             fit = context >= 0
             keys, counts = np.unique(context[fit].astype(np.uint64) * np.uint64(size) + number[fit].astype(np.uint64), return_counts=True)
@@ -387,7 +449,7 @@ def count_grams(docs: DataFrame, plan: dict, contexts: int, shards: int) -> Data
         if len(keys):
             yield _sharded(keys, counts, (keys // np.uint64(size * width)).astype(np.int64))
 
-    return docs.select("text").mapInArrow(run, PACKED)
+    return texts.select("numbers").mapInArrow(run, PACKED)
 
 
 def _gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -417,14 +479,17 @@ def _gram_builder(folder: str, k: int, vocabulary: int, width: int, discount: fl
         keys, counts = _gathered(group)
         context = (keys // np.uint64(vocabulary)).astype(np.int64) - shard * width
         word = (keys % np.uint64(vocabulary)).astype(np.int64)
-        save(folder, f"grams{k}-{shard}", level_arrays(context, word, counts, discount))
+        arrays = level_arrays(context, word, counts, discount, vocabulary)
+        weight = np.zeros(width, dtype=np.uint16)  # of contexts without followers: 1
+        weight[context[np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))]] = arrays["weight"]
+        save(folder, f"grams{k}-{shard}", arrays | {"weight": weight})
         return _built(shard, shard * width, len(keys), int(counts.sum()))
 
     return build
 
 
-def train(docs: DataFrame, order: int = 3, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES) -> dict:
-    """docs(text) -> plan: the folder of the levels and their shards."""
+def train_words(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> dict:
+    """docs(text) -> plan: the folder of the levels and the shards of the vocabulary."""
     folder = scratch_path(docs.sparkSession, "ngram-trie")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // shard_bytes))
@@ -436,49 +501,66 @@ def train(docs: DataFrame, order: int = 3, discount: float = DISCOUNT, shard_byt
         save(folder, f"words-{shard}", encode(names, NAMES) | {"counts": counts})
         return _built(shard, low, len(names), int(counts.sum()))
 
-    plan = {"folder": folder, "words": [], "levels": []}
-    plan["words"] = _shard_list(count_words(docs, shards).groupBy("shard").applyInArrow(words, BUILT), "word-shards")
-    vocabulary = sum(s["n"] for s in plan["words"])
-    contexts = vocabulary
+    built = count_words(docs, shards).groupBy("shard").applyInArrow(words, BUILT)
+    return {"folder": folder, "shards": shards, "words": _shard_list(built, "word-shards"), "levels": []}
+
+
+def train_levels(texts: DataFrame, plan: dict, order: int = 3, discount: float = DISCOUNT) -> dict:
+    """The plan with levels up to ``order``, from the training rows of ``numbered``, read once a level."""
+    vocabulary = contexts = sum(s["n"] for s in plan["words"])
+    plan, shards = plan | {"levels": list(plan["levels"])}, plan["shards"]
     for k in range(2, order + 1):
         if not contexts:
             break
         width = -(-contexts // shards)
-
-        counted = count_grams(docs, plan, contexts, shards)
+        counted = count_grams(texts, plan, contexts, shards)
         plan["levels"].append(_shard_list(counted.groupBy("shard").applyInArrow(
-            _gram_builder(folder, k, vocabulary, width, discount), BUILT), f"gram-shards-{k}"))
+            _gram_builder(plan["folder"], k, vocabulary, width, discount), BUILT), f"gram-shards-{k}"))
         contexts = sum(s["n"] for s in plan["levels"][-1])
     return plan
 
 
+def train(docs: DataFrame, order: int = 3, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES) -> dict:
+    """docs(text) -> plan: the folder of the levels and their shards."""
+    plan = train_words(docs, shard_bytes)
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    return train_levels(stage(numbered(rows, plan), "numbered"), plan, order, discount)
+
+
 SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
 
 
-def score(docs: DataFrame, plan: dict) -> DataFrame:
-    """docs(doc_id, held_out, text) -> SCORES, one row per input row."""
+def score_numbered(texts: DataFrame, plan: dict) -> DataFrame:
+    """NUMBERED -> SCORES, one row per input row."""
+    kind = number_type(plan)
+
     def run(batches):
-        model, words = Model(plan), Words()
-        total, size = model.vocabulary.total, model.vocabulary.size
-        for rows, arrays in chunks(batches, words, 2):
-            tokens, lengths, starts = _positions(arrays)
-            number, count, end = model.numbered(words, tokens)
-            p = (count + 0.1) / (total + 0.1 * (size + 1))
+        model = Model(plan)
+        total, size, end = model.vocabulary.total, model.vocabulary.size, model.end()
+        for parts, number, lengths, starts in number_chunks(batches, kind):
+            p = (model.vocabulary.counts(number) + 0.1) / (total + 0.1 * (size + 1))
             _, full = model.walk(number, starts, end, p)
-            sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(p), np.log10(full))]
+            sums = [np.add.reduceat(x, starts) for x in ((number >= 0).astype(np.int64), np.log10(p), np.log10(full))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()),
+                [pa.concat_arrays([b.column(0) for b in parts]), pa.concat_arrays([b.column(1) for b in parts]),
                  pa.array(lengths, pa.int64()), pa.array(sums[0], pa.int64()),
-                 pa.array(np.full(len(rows), total), pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())],
+                 pa.array(np.full(len(lengths), total), pa.int64()), pa.array(sums[1], pa.float64()), pa.array(sums[2], pa.float64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, SCORES)
+    return texts.select("doc_id", "held_out", "numbers").mapInArrow(run, SCORES)
+
+
+def score(docs: DataFrame, plan: dict) -> DataFrame:
+    """docs(doc_id, held_out, text) -> SCORES, one row per input row."""
+    return score_numbered(numbered(docs, plan), plan)
 
 
 def train_and_score(docs: DataFrame, order: int = 3) -> DataFrame:
     """Learns from rows whose crc32(doc_id as text) mod 10 is not 0 and scores every row."""
     bucket = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10, F.lit(0))
     docs = docs.select("doc_id", (bucket == 0).alias("held_out"), "text")
-    return score(docs, train(docs.filter(~F.col("held_out")), order))
+    plan = train_words(docs.filter(~F.col("held_out")))
+    texts = stage(numbered(docs, plan), "numbered")
+    return score_numbered(texts, train_levels(texts.filter(~F.col("held_out")), plan, order))

@@ -101,3 +101,26 @@ def test_empty_tables(nothing, documents):
     assert N.train_and_score(nothing).count() == 0
     untrained = documents.selectExpr("CAST(NULL AS LONG) AS doc_id", "text")
     assert {r.n_known for r in N.train_and_score(untrained).collect()} == {0}
+
+
+def test_find_in_large_buckets_and_beyond_the_end():
+    """Runs of neighbours longer than are compared one by one, and numbers past the last."""
+    values = np.concatenate([np.arange(100, 400), np.arange(2**40, 2**40 + 70), [2**41]])
+    coded = EliasFano(encode(values, 2**41 + 1))
+    asked = np.concatenate([np.arange(0, 500), np.arange(2**40 - 5, 2**40 + 80), [2**41 - 1, 2**41, 2**41 + 1, 2**60]])
+    where = {v: i for i, v in enumerate(values.tolist())}
+    assert coded.find(asked).tolist() == [where.get(a, -1) for a in asked.tolist()]
+
+
+def test_texts_are_cut_into_words_twice_and_contexts_once_a_shard(documents):
+    """Numbers are written once: levels and scores read no text. A level holds no second sequence of its contexts."""
+    docs = documents.selectExpr("doc_id", "false AS held_out", "text").limit(40)
+    plan = N.train_words(docs, 2000)
+    texts = N.numbered(docs, plan)
+    assert texts.columns == ["doc_id", "held_out", "numbers"]
+    plan = N.train_levels(texts.localCheckpoint(), plan, 3)
+    level = N.Level(plan["folder"], 3, plan["levels"][1], sum(s["n"] for s in plan["words"]))
+    arrays = N.load(plan["folder"], f"grams3-{level.shards[0]['shard']}")
+    assert {k.split(".")[0] for k in arrays} == {"ids", "share", "weight"}
+    got = sorted(map(repr, N.score_numbered(texts, plan).collect()))
+    assert got == sorted(map(repr, N.score(docs, N.train(docs, 3, shard_bytes=2000)).collect()))
