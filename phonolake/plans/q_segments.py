@@ -112,7 +112,7 @@ SELECT rec_id, ch, pol AS polarity, s AS "start", e AS "end", round(lev,6) AS le
  round(greatest(lev,lev+greatest(0.001*lev,os)),6) AS estimated_peak FROM r WHERE cf>=0.65""")
 def _(spark, d):
     s = V.stereo(spark, d)
-    runs = G.equal_runs(s).filter(F.col("end") - F.col("start") >= 3).drop("inside")
+    runs = G.equal_runs(s).filter(F.col("end") - F.col("start") >= 3).drop("inside", "slope_in", "slope_out")
     return G.score_clipped(runs, s).withColumns({c: r6(c) for c in ("level", "confidence", "severity", "estimated_peak")})
 
 
