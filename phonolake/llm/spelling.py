@@ -13,6 +13,9 @@ Words are counted where a text is read, in dictionaries flushed at ``FLUSH`` ent
 bigrams is a table of the alphabet's pairs (at most 90 x 90), the only thing the driver holds. Chains are followed by pointer
 doubling, one join a round, since a form has at least five times its word's occurrences.
 
+Every join asks for a merge join: entries are made by ``mapInArrow`` and words are read from compressed files, so the planner,
+which sees the files only, would broadcast tables of many times the size it counts on.
+
 Edge cases: null and empty texts have no runs; a null doc_id is written as the empty string; repeated rows count each; very
 long texts are read in stretches cut between runs; ties go to the smaller word in code-point order; an empty table gives no
 rows; other columns are not read.
@@ -184,11 +187,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
         return numbered.mapInArrow(entries, "id long, last int, length int, key long").select(
             "key", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "last", "length")])
 
-    met = cut(True).join(cut(False), "key").filter(
+    met = cut(True).join(cut(False).hint("merge"), "key").filter(
         (F.col("a_last") <= F.col("b_last")) & (F.abs(F.col("a_length") - F.col("b_length")) <= EDITS) & (F.col("a_id") != F.col("b_id")))
     pairs = met.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
-    spelled = pairs.join(numbered.select(F.col("id").alias("a_id"), F.col("word").alias("a")), "a_id").join(
-        numbered.select(F.col("id").alias("b_id"), F.col("word").alias("b")), "b_id")
+    spelled = pairs.join(numbered.select(F.col("id").alias("a_id"), F.col("word").alias("a")).hint("merge"), "a_id").join(
+        numbered.select(F.col("id").alias("b_id"), F.col("word").alias("b")).hint("merge"), "b_id")
     near = spelled.filter(F.levenshtein("a", "b", EDITS) == EDITS).select("a", "b")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -198,7 +201,7 @@ def roots(forms: DataFrame) -> DataFrame:
     state = stage(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         ahead = state.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = state.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        step = state.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         step = stage(step, "spelling-roots")
         if step.filter("moved").isEmpty():
             return step.select("word", "root")
@@ -211,13 +214,13 @@ def variants(docs: DataFrame, every: int = 199, shortest: int = 6, least: int =
         raise ValueError("a word needs two disjoint bigrams among its three rarest: four code points")
     words = stage(word_counts(docs, every, shortest, least), "words")
     best = (
-        near_pairs(words).join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")), "b")
+        near_pairs(words).join(words.select(F.col("word").alias("b"), F.col("n").alias("b_n")).hint("merge"), "b")
         .groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("form"))).alias("best"))
     )
     clear = -F.col("best.less") >= times * F.col("n")
     chosen = stage(
-        words.join(best, "word", "left").select(
+        words.join(best.hint("merge"), "word", "left").select(
             "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(clear, F.col("best.form")).alias("form"),
             F.when(clear, -F.col("best.less")).alias("form_n")), "spelling-forms")
     ends = roots(chosen.filter(F.col("form").isNotNull()).select("word", "form"))
-    return chosen.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return chosen.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

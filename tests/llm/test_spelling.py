@@ -111,3 +111,13 @@ def test_pivots_are_the_cheapest_disjoint_pair(grams):
     else:
         assert abs(grams[got[0]][0] - grams[got[1]][0]) >= 2
         assert sum(grams[i][1] for i in got) == min(grams[i][1] + grams[j][1] for i, j in pairs)
+
+
+def test_joins_broadcast_nothing(spark, tmp_path):
+    path = str(tmp_path / "words")
+    spark.createDataFrame([(a + "ight" + b, 5) for a in "lnrs" for b in "ly"], "word string, n long").write.parquet(path)
+    docs = spark.createDataFrame([(i, "nightly lightly") for i in range(6)], "doc_id long, text string")
+    for result in (S.near_pairs(spark.read.parquet(path)), S.variants(docs)):
+        assert result.count()
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
