@@ -200,3 +200,23 @@ def test_merging_passes_reads_its_inputs_a_fixed_number_of_times(spark):
     rows = spark.createDataFrame([(1, 0.0, 1.0, "one two", False, -0.2, 0.1, 1.2, ws)], fields)
     plan = R.merge_passes(rows, rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 4 and plan.count("LogicalRDD") == 0
+
+
+def test_words_of_candidates_stay_in_their_row(spark, monkeypatch):
+    from phonolake import session
+
+    plans, write = {}, session.stage
+    monkeypatch.setattr(session, "stage", lambda df, label: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, label))
+    held = [line(0, 2, "hello world"), line(50, 52, "far away")]
+    assert merged(spark, held, [line(1, 9, "world one two three")])[1:2] == [("one two three", "recovered", "")]
+    assert "posexplode" not in plans["groups"] and "Window" not in plans["groups"]
+
+
+def test_loose_words_in_consecutive_runs(spark):
+    word = lambda a, b: (a, b, f"w{a}")
+    rows = [
+        (0, [word(0.0, 1.0), word(1.0, 2.0), word(2.0, 3.0), word(3.0, 3.0), word(4.0, 5.0), word(5.0, 6.0)], [(1.2, 1.6), (9.0, 9.5)]),
+        (1, [word(0.0, 1.0), word(1.0, 2.0)], None), (2, [word(0.0, 1.0)], [(0.5, 2.0)]), (3, [word(0.0, 1.0)], [(0.0, 0.5)]), (4, [], [])]
+    table = spark.createDataFrame(rows, "k int, words array<struct<w_start double, w_end double, word string>>, spans array<struct<_s double, _e double>>")
+    runs = table.withColumn("loose", R.loose_words(F.col("words"), F.col("spans"))).select("k", R.consecutive("loose").alias("runs")).collect()
+    assert {r.k: [[x["at"] for x in run] for run in r.runs or []] for r in runs} == {0: [[0], [2], [4, 5]], 1: [[0, 1]], 2: [], 3: [[0]], 4: []}
