@@ -55,3 +55,36 @@ def test_plateaus_know_their_slopes_also_at_slice_borders_and_ends(spark):
     tops = G.flat_tops(samples)
     assert "Join" not in tops._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.start, r.end) for r in tops.collect()) == [(100, 105), (65_534, 65_538), (65_600, 65_603)]
+
+
+def test_pyramid_levels_are_means_of_the_level_below(spark):
+    import random
+
+    from phonolake.operators import signal as S
+
+    rng, sizes, want = random.Random(7), {1: 64 * 300 - 20, 2: 64 * 64, 3: 10}, {}
+    rows = [(r, 0, n, None if r == 3 and n == 4 else round(rng.uniform(-1, 1), 2) / 0.7) for r, size in sizes.items() for n in range(size)]
+
+    def mean(values):
+        total = 0.0
+        for x in values:
+            total += x
+        return total / len(values)
+
+    for r in sizes:
+        level = {}
+        for _, _, n, v in (x for x in rows if x[0] == r and x[3] is not None):
+            level.setdefault(n // 64, []).append(v * v)
+        level, k = {b: mean(v) for b, v in level.items()}, 0
+        want |= {(r, k, b): m for b, m in level.items()}
+        while len(level) > 64:
+            above = {}
+            for b, m in sorted(level.items()):
+                above.setdefault(b // 4, []).append(m)
+            level, k = {b: mean(v) for b, v in above.items()}, k + 1
+            want |= {(r, k, b): m for b, m in level.items()}
+    table = spark.createDataFrame(rows, "rec_id long, ch long, n long, v double").repartition(7)
+    got = S.pyramid(table).collect()
+    assert len(got) == len(want) and {(r.rec_id, r.level, r.bin): r.ms for r in got} == want  # to the last bit
+    assert {k for _, k, _ in want} == {0, 1, 2}
+    assert S.pyramid(table.limit(0)).count() == 0
